@@ -55,6 +55,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _times(n: int, odd: np.uint64) -> np.uint64:
+    return _U(n * int(odd) & 0xFFFFFFFFFFFFFFFF)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Hashes as numbers in (0, 1)."""
     return ((x >> _U(11)).astype(np.float64) + 0.5) / float(1 << 53)
@@ -103,11 +107,11 @@ def darts(elements: np.ndarray, weights: np.ndarray, threshold: float):
             break
         width = hi - lo
         element, weight = elements[inside], weights[inside]
-        stream = mix(element + _U(band + 1) * _A)
+        stream = mix(element + _times(band + 1, _A))
         rank, i = np.zeros(len(element)), 0
         while len(element):
             i += 1
-            dart = mix(stream + _U(i) * _C)
+            dart = mix(stream + _times(i, _C))
             rank = rank - np.log(unit(dart)) / width
             alive = rank < threshold
             element, weight, stream, rank, dart = element[alive], weight[alive], stream[alive], rank[alive], dart[alive]
