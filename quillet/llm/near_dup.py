@@ -10,9 +10,10 @@ threshold, inversely proportional to the document's weight, are never made, so a
 same for any length of shingle list; the threshold grows where a coordinate stayed empty.
 
 Documents with equal shingle sequences are one node. Nodes that share a band of the signature share a bucket.
-In each bucket every member is compared with a centre, the least node; where members that are no centre are
-still in different classes, further centres are compared, those outside the bucket's largest class first, until
-each bucket's other members are of one class. So every pair that shares a bucket is compared or already
+In each bucket every member is compared with a centre, the member that shares most
+buckets with others, as a text that others were edited from does; where members that are no centre are still in
+different classes, further centres are compared, twice as many in each round, until each bucket's other members
+are of one class. So every pair that shares a bucket is compared or already
 connected, and no bucket's pairs are all emitted. Compared pairs are settled by the share of agreeing
 coordinates where it is far from the threshold, and by the exact weighted Jaccard similarity of the whole
 texts between. Classes are connected components, found by joins alone.
@@ -41,7 +42,7 @@ BANDS, ROWS = 28, 5
 COORDS = BANDS * ROWS
 #: Agreement shares that settle a pair without its texts: over four standard deviations from 0.8.
 SURELY, HARDLY = 0.95, 0.65
-#: Centres compared in one round in a bucket that has not settled.
+#: Centres compared in the second round in a bucket that has not settled; doubled in each further round.
 CENTRES = 16
 
 _U = np.uint64
@@ -97,54 +98,64 @@ def shingles(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return mix(out + _U(width))
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, threshold: float):
-    """Ranks and ids of all darts with rank under the threshold that hit the elements' weights."""
-    ranks, ids = [], []
+def darts(elements: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
+    """All darts with rank under their element's threshold that hit its weight: the element's place, rank and id.
+
+    Elements of many documents go through together; each step throws the next dart of every stream that is still
+    under its threshold.
+    """
+    places, ranks, ids = [], [], []
     band, lo, hi = 0, 0.0, 1.0
     while True:
-        inside = weights > lo
-        if not inside.any():
+        place = np.flatnonzero(weights > lo)
+        if not len(place):
             break
         width = hi - lo
-        element, weight = elements[inside], weights[inside]
-        stream = mix(element + _times(band + 1, _A))
-        rank, i = np.zeros(len(element)), 0
-        while len(element):
+        stream = mix(elements[place] + _times(band + 1, _A))
+        rank, i = np.zeros(len(place)), 0
+        while len(place):
             i += 1
             dart = mix(stream + _times(i, _C))
             rank = rank - np.log(unit(dart)) / width
-            alive = rank < threshold
-            element, weight, stream, rank, dart = element[alive], weight[alive], stream[alive], rank[alive], dart[alive]
-            place = mix(dart ^ _A)
-            hit = lo + width * unit(place) < weight
+            alive = rank < thresholds[place]
+            place, stream, rank, dart = place[alive], stream[alive], rank[alive], dart[alive]
+            hit = slice(None) if band == 0 and (weights[place] >= hi).all() else lo + width * unit(mix(dart ^ _A)) < weights[place]
+            places.append(place[hit])
             ranks.append(rank[hit])
             ids.append(mix(dart + _B)[hit])
         band, lo, hi = band + 1, hi, hi * 2
-    return np.concatenate(ranks), np.concatenate(ids)
-
-
-def signature(elements: np.ndarray, weights: np.ndarray, coords: int = COORDS) -> np.ndarray:
-    """The earliest dart's id for each coordinate; zeros for an empty set."""
-    if not len(elements):
-        return np.zeros(coords, np.uint64)
-    aim = coords * (math.log(coords) + 4)
-    while True:
-        rank, dart = darts(elements, weights, aim / weights.sum())
-        at = (dart % _U(coords)).astype(np.int64)
-        late = np.argsort(-rank, kind="stable")
-        out, hit = np.zeros(coords, np.uint64), np.zeros(coords, bool)
-        out[at[late]] = dart[late]  # the earliest is written last
-        hit[at] = True
-        if hit.all():
-            return out
+    return (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((places, np.int64), (ranks, float), (ids, np.uint64)))
+
+
+def signature(sets: list[tuple[np.ndarray, np.ndarray]], coords: int = COORDS) -> np.ndarray:
+    """For each weighted set (elements, weights) the earliest dart's id per coordinate; zeros for an empty set."""
+    out = np.zeros((len(sets), coords), np.uint64)
+    todo = np.array([i for i, (e, _) in enumerate(sets) if len(e)], np.int64)
+    aim = coords * (math.log(coords) + 3)
+    while len(todo):
+        sizes = np.array([len(sets[i][0]) for i in todo])
+        elements = np.concatenate([sets[i][0] for i in todo])
+        weights = np.concatenate([sets[i][1] for i in todo]).astype(np.float64)
+        owner = np.repeat(np.arange(len(todo)), sizes)
+        total = np.bincount(owner, weights)
+        place, rank, dart = darts(elements, weights, (aim / total)[owner])
+        cell = owner[place] * coords + (dart % _U(coords)).astype(np.int64)
+        earliest = np.full(len(todo) * coords, np.inf)
+        np.minimum.at(earliest, cell, rank)
+        kept = rank == earliest[cell]
+        ids = np.zeros(len(todo) * coords, np.uint64)
+        ids[cell[kept]] = dart[kept]
+        out[todo] = ids.reshape(-1, coords)
+        todo = todo[np.isinf(earliest.reshape(-1, coords)).any(1)]  # a coordinate stayed empty: throw on
         aim *= 2
+    return out
 
 
-def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One key a band; the band's number is part of it."""
-    out = np.arange(1, bands + 1, dtype=np.uint64) * _B
+def band_keys(sigs: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One key a band for each signature; the band's number is part of it."""
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _B, (len(sigs), 1))
     for r in range(rows):
-        out = out * _A + sig.reshape(bands, rows)[:, r]
+        out = out * _A + sigs.reshape(-1, bands, rows)[:, :, r]
     return mix(out)
 
 
@@ -160,7 +171,7 @@ def similarity(a: str, b: str) -> float:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, node (digest of the lower-case word sequence), sig (low 32 bits of each coordinate), bands."""
+    """id, node (digest of the lower-case word sequence), sig (low byte of each coordinate), bands."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -168,18 +179,27 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         words = Words()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                nodes, sigs, bands = [], [], []
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                nodes, fresh, sets = [], {}, []
                 for text in part.column(1).to_pylist():
                     split = text.lower().split() if text else []
-                    nodes.append(xxhash.xxh3_128_digest("\n".join(split).encode("utf-8", "surrogatepass")))
-                    element, count = np.unique(shingles(words.hashes(split)), return_counts=True)
-                    sig = signature(element, count.astype(np.float64))
-                    sigs.append((sig & _U(0xFFFFFFFF)).astype("<u4").tobytes())
-                    bands.append(band_keys(sig).astype(np.int64) if split else np.zeros(0, np.int64))
+                    node = xxhash.xxh3_128_digest("\n".join(split).encode("utf-8", "surrogatepass"))
+                    nodes.append(node)
+                    if node not in fresh:
+                        fresh[node] = len(sets)
+                        sets.append(np.unique(shingles(words.hashes(split)), return_counts=True))
+                sigs = signature(sets)
+                keys = band_keys(sigs).astype(np.int64)
+                low = (sigs & _U(0xFF)).astype(np.uint8)
+                at = [fresh[n] for n in nodes]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    [
+                        part.column(0),
+                        pa.array(nodes, pa.binary()),
+                        pa.array([low[i].tobytes() for i in at], pa.binary()),
+                        pa.array([keys[i] if len(sets[i][0]) else keys[i][:0] for i in at], pa.list_(pa.int64())),
+                    ],
                     names=["id", "node", "sig", "bands"],
                 )
 
@@ -191,9 +211,10 @@ def _agreement(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, COORDS)
-            y = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, COORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((x == y).mean(1))], names=["a", "b", "share"])
+            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
+            y = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDS)
+            share = ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256)  # bytes of different darts agree once in 256
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "share"])
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, share double")
 
@@ -236,21 +257,25 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # one row for each different word sequence; equal rows are reduced before the shuffle
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"))
     banded = rows.select("node", F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre")).where("members > 1")
-    buckets = staged(banded.join(shared, "band").select("band", "node", "centre"), "buckets")
-    links = None
-    pairs = buckets.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    rest = buckets.where("node <> centre").select("band", "node")
-    labels, round_no = None, 1
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    met = staged(banded.join(shared, "band"), "met")
+    # how many others a node meets, over all its bands
+    fame = met.groupBy("node").agg(F.sum("members").alias("fame"))
+    buckets = staged(met.join(fame, "node").select("band", "node", "fame"), "buckets")
+    unstage(met)
+    centres = buckets.groupBy("band").agg(F.max(F.struct("fame", "node"))["node"].alias("centre"))
+    placed = buckets.join(centres, "band").where("node <> centre")
+    pairs = placed.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    rest = placed.select("band", "node", "fame")
+    links, round_no, centres_now = None, 1, CENTRES
     while True:
         found = _settle(pairs, rows, nodes, texts, round_no)
         links = found if links is None else staged(links.unionByName(found).distinct(), f"alllinks{round_no}")
         labels = components(links, str(round_no))
-        open_members = _unsettled(rest, labels, round_no)
+        open_members = _unsettled(rest, labels, centres_now, round_no)
         if open_members is None:
             break
-        # members with their label, rank and whether they are a centre of this round
-        centre = open_members.where("rank <= %d" % CENTRES)
+        centre = open_members.where("rank IS NOT NULL")
         pairs = (
             open_members.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
             .join(centre.select("band", F.col("node").alias("a"), F.col("label").alias("label_a")), "band")
@@ -258,8 +283,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )
-        rest = open_members.where("rank > %d OR rank IS NULL" % CENTRES).select("band", "node")
-        round_no += 1
+        rest = open_members.where("rank IS NULL").select("band", "node", "fame")
+        round_no, centres_now = round_no + 1, centres_now * 2
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     known = labels.join(degree, "node")
     placed = rows.select("id", "node").join(known, "node", "left").select(
@@ -294,18 +319,23 @@ def _settle(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFram
     return found
 
 
-def _unsettled(rest: DataFrame, labels: DataFrame, round_no: int) -> DataFrame | None:
-    """Members, no centres yet, of buckets where they are of several classes; rank orders the next centres."""
-    placed = staged(rest.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), f"rest{round_no}")
+def _unsettled(rest: DataFrame, labels: DataFrame, centres: int, round_no: int) -> DataFrame | None:
+    """Members, no centres yet, of buckets where they are of several classes; rank marks the next centres.
+
+    Where few members are outside the bucket's largest class they are the centres, and the bucket is settled by
+    this round; else the most famous members are.
+    """
+    placed = staged(rest.join(labels, "node", "left").select("band", "node", "fame", F.coalesce("label", "node").alias("label")), f"rest{round_no}")
     mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
     some = staged(placed.join(mixed, "band"), f"mixed{round_no}")
     unstage(placed)
     if some.isEmpty():
         return None
     sizes = some.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"))
-    # the bucket's largest class goes last, so a bucket settles once the rest have been centres
-    ranked = some.join(largest, "band").select("band", "node", "label", (F.col("label") == F.col("largest")).alias("in_largest"))
-    rank = F.row_number().over(W.partitionBy("band").orderBy("in_largest", "node"))
-    top = ranked.withColumn("rank", rank).where(F.col("rank") <= CENTRES).select("band", "node", "rank")
-    return staged(ranked.join(top, ["band", "node"], "left").select("band", "node", "label", "rank"), f"open{round_no}")
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    ranked = some.join(largest, "band").select(
+        "band", "node", "label", "fame", F.when(F.col("all") - F.col("top.n") <= centres, F.col("label") == F.col("top.label")).otherwise(F.lit(False)).alias("later")
+    )
+    rank = F.row_number().over(W.partitionBy("band").orderBy("later", F.desc("fame"), "node"))
+    top = ranked.withColumn("rank", rank).where(F.col("rank") <= centres).select("band", "node", "rank")
+    return staged(ranked.join(top, ["band", "node"], "left").select("band", "node", "fame", "label", "rank"), f"open{round_no}")
