@@ -1,13 +1,16 @@
-"""Query name -> (builder, oracle SQL); filled by the query modules of this package."""
+"""Query name -> builder and oracle SQL, gathered from the query modules of this package."""
 
 from __future__ import annotations
 
+from quillet.plans import building, parsing, scalar, searching
+
 FLAGSHIP = "search_flagship"
+MODULES = (scalar, searching, parsing, building)
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
