@@ -43,19 +43,17 @@ def pair_keys(states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 def token_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tokens, each text closed by END, and the number of tokens of each text."""
+    from itertools import repeat
+
     import xxhash
 
-    known: dict[bytes, int] = {}
-    digest, end = xxhash.xxh64_intdigest, int(END)
+    digest = xxhash.xxh64_intdigest
     parts, lengths = [], np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        for w in words:
-            if w not in known:
-                known[w] = digest(w, 7)
         row = np.empty(len(words) + 1, np.uint64)
-        row[:-1] = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        row[-1] = end
+        row[:-1] = np.fromiter(map(digest, words, repeat(7)), np.uint64, len(words))
+        row[-1] = END
         parts.append(row)
         lengths[i] = len(row)
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), lengths
@@ -108,6 +106,16 @@ def _blocks(keys: np.ndarray, counts: np.ndarray, buckets: int):
             yield b, keys[some], counts[some]
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as they need: 1, 2, 4 or 8."""
+    top = int(counts.max()) if len(counts) else 0
+    return counts.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(t).max)).tobytes()
+
+
+def _wide(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{len(blob) // n}").astype("<i8")
+
+
 def _tallied(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, at = np.unique(keys, return_inverse=True)
     return distinct, np.bincount(at[train], minlength=len(distinct)).astype("<i8")
@@ -163,17 +171,17 @@ def score(
         part = table["part"][0].as_py()
         out = []
         for kind, keys in ((1, tokens), (2, pairs)):
-            out += [(b, part, kind, k.tobytes(), np.minimum(c, 2**31 - 1).astype("<i4").tobytes()) for b, k, c in _blocks(*_tallied(keys, train), groups)]
+            out += [(b, part, kind, k.tobytes(), _narrow(c)) for b, k, c in _blocks(*_tallied(keys, train), groups)]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "part", "kind", "keys", "counts"])
 
     def add_up(table: pa.Table) -> pa.Table:
         parts, kinds, blobs = table["part"].to_pylist(), table["kind"].to_pylist(), table["keys"].to_pylist()
         keys = np.frombuffer(b"".join(blobs), "<u8")
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), "<i4")
+        counts = np.concatenate([_wide(c, len(b) // 8) for c, b in zip(table["counts"].to_pylist(), blobs)])
         _, at = np.unique(keys, return_inverse=True)
         sums = np.bincount(at, counts).astype("<i8")[at]  # for each asked key, its total
         edges = np.cumsum([0, *(len(b) // 8 for b in blobs)])
-        answers = [sums[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:])]
+        answers = [_narrow(sums[lo:hi]) for lo, hi in zip(edges, edges[1:])]
         return pa.table([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), table["bucket"].combine_chunks(), pa.array(answers, pa.binary())], names=["part", "kind", "bucket", "totals"])
 
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
@@ -181,27 +189,30 @@ def score(
     def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, states, lengths, pairs = _group_keys(texts["text"].to_pylist())
         replies = {(k, b): t for k, b, t in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["totals"].to_pylist())}
-        counts = {}
-        for kind, keys in ((1, tokens), (2, pairs)):
+
+        def asked(kind: int, keys: np.ndarray) -> np.ndarray:
+            """The total of each key: answers lie bucket by bucket, in each in the order of the keys."""
             known, at = np.unique(keys, return_inverse=True)
+            bucket = (known % np.uint64(groups)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            some, n = np.unique(bucket, return_counts=True)
             of = np.zeros(len(known), np.int64)
-            order = (known % np.uint64(groups)).astype(np.int64)
-            by = np.argsort(order, kind="stable")
-            some = np.unique(order)
-            if len(some):
-                of[by] = np.frombuffer(b"".join([replies[kind, int(b)] for b in some]), "<i8")
-            counts[kind] = of[at]
-        c, both = counts[1], counts[2]
+            of[by] = np.concatenate([_wide(replies[kind, b], k) for b, k in zip(some.tolist(), n.tolist())])
+            return of[at]
+
+        both = asked(2, pairs)
+        del pairs, states
+        c = asked(1, tokens)
+        del tokens
         before = np.empty_like(c)
         before[1:] = c[:-1]
         starts_at = np.cumsum(lengths) - lengths
         before[starts_at] = automaton.starts
         steps = automaton.weights(before, both, c)
         base = np.log10(automaton.root(c))
-        sums = [np.add.reduceat(x, starts_at) if len(lengths) else x[:0] for x in (c > 0, base, steps)]
-        known_n = np.add.reduceat((c > 0).astype(np.int64), starts_at) if len(lengths) else lengths
+        known_n, base_sum, step_sum = (np.add.reduceat(x, starts_at) for x in ((c > 0).astype(np.int64), base, steps))
         return pa.table(
-            [texts["id"], texts["held_out"], pa.array(lengths), pa.array(known_n), pa.array(sums[1]), pa.array(sums[2])], names=names
+            [texts["id"], texts["held_out"], pa.array(lengths), pa.array(known_n), pa.array(base_sum), pa.array(step_sum)], names=names
         )
 
     answers = (
