@@ -10,13 +10,13 @@ threshold, inversely proportional to the document's weight, are never made, so a
 same for any length of shingle list; the threshold grows where a coordinate stayed empty.
 
 Documents with equal shingle sequences are one node. Nodes that share a band of the signature share a bucket.
-In each bucket every member is compared with a centre, the member that shares most
-buckets with others, as a text that others were edited from does; where members that are no centre are still in
-different classes, further centres are compared, twice as many in each round, until each bucket's other members
-are of one class. So every pair that shares a bucket is compared or already
-connected, and no bucket's pairs are all emitted. Compared pairs are settled by the share of agreeing
-coordinates where it is far from the threshold, and by the exact weighted Jaccard similarity of the whole
-texts between. Classes are connected components, found by joins alone.
+In each bucket every member is compared with a centre, the member that shares most buckets with others, as a text
+that others were edited from does. Where members are still in different classes after that, those outside the
+bucket's largest class are its query set and are compared with the bucket's members in blocks, best agreement
+first, each pair in the first bucket that it shares; only links that join classes leave a block. So every pair
+that shares a bucket is compared or already connected, and no bucket's pairs are emitted. Compared pairs are
+settled by the share of agreeing coordinates where it is far from the threshold, and by the exact weighted Jaccard
+similarity of the whole texts between. Classes are connected components, found by joins alone.
 
 Defined results: words are compared in lower case; a text of under five words is one shingle of all its words;
 a null text or one without words is a class of its own with all other such texts; the class id is the least id
@@ -42,8 +42,10 @@ BANDS, ROWS = 28, 5
 COORDS = BANDS * ROWS
 #: Agreement shares that settle a pair without its texts: over four standard deviations from 0.8.
 SURELY, HARDLY = 0.95, 0.65
-#: Centres compared in the second round in a bucket that has not settled; doubled in each further round.
-CENTRES = 16
+#: Members of a bucket in one block of the second comparison.
+BLOCK = 2048
+#: Shingle sets that a worker keeps while it compares.
+KEPT_SETS = 4096
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -159,15 +161,35 @@ def band_keys(sigs: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return mix(out)
 
 
+def shingle_set(text: str, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingle hashes of a whole text and their counts."""
+    return np.unique(shingles(words.hashes(text.lower().split())), return_counts=True)
+
+
+def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Exact weighted Jaccard similarity of two shingle sets."""
+    (x, m), (y, n) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+    both = int(np.minimum(m, n[at])[y[at] == x].sum()) if len(x) else 0
+    every = int(m.sum()) + int(n.sum()) - both
+    return both / every if every else 1.0
+
+
 def similarity(a: str, b: str) -> float:
-    """Exact weighted Jaccard similarity of two whole texts' shingles."""
     words = Words()
-    x, m = np.unique(shingles(words.hashes(a.lower().split())), return_counts=True)
-    y, n = np.unique(shingles(words.hashes(b.lower().split())), return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = np.minimum(m[i], n[j]).sum()
-    every = m.sum() + n.sum() - both
-    return float(both / every) if every else 1.0
+    return jaccard(shingle_set(a, words), shingle_set(b, words))
+
+
+def node_of(text: str | None) -> bytes:
+    """Digest of the lower-case word sequence."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest("\n".join(text.lower().split() if text else []).encode("utf-8", "surrogatepass"))
+
+
+def share_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Share of agreeing coordinates from their low bytes; bytes of different darts agree once in 256."""
+    return ((x == y).mean(-1) - 1 / 256) / (1 - 1 / 256)
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -175,20 +197,17 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        import xxhash
-
         words = Words()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 nodes, fresh, sets = [], {}, []
                 for text in part.column(1).to_pylist():
-                    split = text.lower().split() if text else []
-                    node = xxhash.xxh3_128_digest("\n".join(split).encode("utf-8", "surrogatepass"))
+                    node = node_of(text)
                     nodes.append(node)
                     if node not in fresh:
                         fresh[node] = len(sets)
-                        sets.append(np.unique(shingles(words.hashes(split)), return_counts=True))
+                        sets.append(shingle_set(text or "", words))
                 sigs = signature(sets)
                 keys = band_keys(sigs).astype(np.int64)
                 low = (sigs & _U(0xFF)).astype(np.uint8)
@@ -211,23 +230,56 @@ def _agreement(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
-            y = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, COORDS)
-            share = ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256)  # bytes of different darts agree once in 256
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share)], names=["a", "b", "share"])
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDS) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share_of(x, y))], names=["a", "b", "share"])
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary, share double")
 
 
+def _similar(share: float, a: str | None, b: str | None, sets) -> bool:
+    """Whether a pair is similar: by its share where that settles it or a text is missing, else exactly."""
+    if share >= SURELY or share < HARDLY:
+        return share >= SURELY
+    return share >= SIMILARITY if a is None or b is None else jaccard(sets(a), sets(b)) >= SIMILARITY - 1e-12
+
+
+class _Sets:
+    """Shingle sets of texts, the last few thousand kept."""
+
+    def __init__(self):
+        self.words, self.known = Words(), {}
+
+    def __call__(self, text: str):
+        got = self.known.get(text)
+        if got is None:
+            if len(self.known) >= KEPT_SETS:
+                self.known.clear()
+            got = self.known[text] = shingle_set(text, self.words)
+        return got
+
+
 def _exact(pairs: DataFrame) -> DataFrame:
-    """a, b of the pairs whose texts are similar."""
+    """a, b of the pairs that are similar; columns a, b, share, text_a, text_b."""
 
     def run(batches):
+        sets = _Sets()
         for batch in batches:
-            keep = [x is None or y is None or similarity(x, y) >= SIMILARITY - 1e-12 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = [_similar(s, x, y, sets) for s, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "share", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+
+
+def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, text of wanted nodes: the text of the node's least id whose words make up the node."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [node_of(t) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    found = wanted.join(nodes, "node").join(texts, "id").select("node", "text").mapInArrow(run, "node binary, text string")
+    return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def components(edges: DataFrame, round_label: str) -> DataFrame:
@@ -251,7 +303,7 @@ def components(edges: DataFrame, round_label: str) -> DataFrame:
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, class_id, class_size, n_links (links of the row's node to other nodes), kept."""
+    """One row per input row: id, class_id, class_size, kept."""
     rows = staged(signatures(df, id_col, text_col), "darts")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # one row for each different word sequence; equal rows are reduced before the shuffle
@@ -263,79 +315,86 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     fame = met.groupBy("node").agg(F.sum("members").alias("fame"))
     buckets = staged(met.join(fame, "node").select("band", "node", "fame"), "buckets")
     unstage(met)
+    marks = rows.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    marks = staged(marks, "marks")
     centres = buckets.groupBy("band").agg(F.max(F.struct("fame", "node"))["node"].alias("centre"))
-    placed = buckets.join(centres, "band").where("node <> centre")
-    pairs = placed.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-    rest = placed.select("band", "node", "fame")
-    links, round_no, centres_now = None, 1, CENTRES
-    while True:
-        found = _settle(pairs, rows, nodes, texts, round_no)
-        links = found if links is None else staged(links.unionByName(found).distinct(), f"alllinks{round_no}")
-        labels = components(links, str(round_no))
-        open_members = _unsettled(rest, labels, centres_now, round_no)
-        if open_members is None:
-            break
-        centre = open_members.where("rank IS NOT NULL")
-        pairs = (
-            open_members.select("band", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            .join(centre.select("band", F.col("node").alias("a"), F.col("label").alias("label_a")), "band")
-            .where("label_a <> label_b")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        rest = open_members.where("rank IS NULL").select("band", "node", "fame")
-        round_no, centres_now = round_no + 1, centres_now * 2
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = labels.join(degree, "node")
-    placed = rows.select("id", "node").join(known, "node", "left").select(
-        "id", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.monotonically_increasing_id().alias("rid")
-    )
+    rest = buckets.join(centres, "band").where("node <> centre")
+    links = _star(rest.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), marks, nodes, texts)
+    labels = components(links, "1")
+    more = _within(rest.select("band", "node"), labels, marks, nodes, texts)
+    if more is not None:
+        links = links.unionByName(more)
+        labels = components(links, "2")
+    placed = rows.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"), F.monotonically_increasing_id().alias("rid"))
     placed = staged(placed, "placed")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))).alias("first")
     groups = placed.groupBy("label").agg(first, F.count(F.lit(1)).alias("class_size"))
-    return placed.join(groups, "label").select(
-        F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "class_size", "n_links", (F.col("rid") == F.col("first.rid")).alias("kept")
-    )
-
-
-def _settle(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, round_no: int) -> DataFrame:
-    """The pairs a, b of nodes that are similar."""
-    sigs = rows.groupBy("node").agg(F.min("sig").alias("sig"))
-    shares = staged(
-        _agreement(
-            pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        ).where(F.col("share") >= HARDLY),
-        f"shares{round_no}",
-    )
-    unsure = shares.where(F.col("share") < SURELY).select("a", "b")
+    return placed.join(groups, "label").select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"))
+
+
+def _star(pairs: DataFrame, marks: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs a, b of nodes and their buckets' centres that are similar."""
+    sig = lambda c: marks.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+    shares = staged(_agreement(pairs.join(sig("a"), "a").join(sig("b"), "b")).where(F.col("share") >= HARDLY), "shares")
+    unsure = shares.where(F.col("share") < SURELY)
     wanted = unsure.select(F.col("a").alias("node")).unionByName(unsure.select(F.col("b").alias("node"))).distinct()
-    # a node's text is that of its least id; of repeated ids, that whose words make up the node is not known, so any
-    bodies = staged(wanted.join(nodes, "node").join(texts, "id", "left").groupBy("node").agg(F.first("text").alias("text")), f"bodies{round_no}")
-    exact = _exact(
-        unsure.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    )
-    found = staged(shares.where(F.col("share") >= SURELY).select("a", "b").unionByName(exact), f"found{round_no}")
+    bodies = staged(_texts_of(wanted, nodes, texts), "bodies")
+    body = lambda c: bodies.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+    exact = _exact(unsure.join(body("a"), "a", "left").join(body("b"), "b", "left"))
+    found = staged(shares.where(F.col("share") >= SURELY).select("a", "b").unionByName(exact), "found")
     unstage(bodies)
+    unstage(shares)
     return found
 
 
-def _unsettled(rest: DataFrame, labels: DataFrame, centres: int, round_no: int) -> DataFrame | None:
-    """Members, no centres yet, of buckets where they are of several classes; rank marks the next centres.
-
-    Where few members are outside the bucket's largest class they are the centres, and the bucket is settled by
-    this round; else the most famous members are.
-    """
-    placed = staged(rest.join(labels, "node", "left").select("band", "node", "fame", F.coalesce("label", "node").alias("label")), f"rest{round_no}")
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    some = staged(placed.join(mixed, "band"), f"mixed{round_no}")
+def _within(rest: DataFrame, labels: DataFrame, marks: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links between classes inside buckets (centres left out) whose members are of several classes."""
+    placed = staged(rest.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "rest")
+    sizes = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    some = staged(placed.join(mixed, "band").select("band", "node", "label", "largest", "members"), "mixed")
     unstage(placed)
     if some.isEmpty():
         return None
-    sizes = some.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
-    ranked = some.join(largest, "band").select(
-        "band", "node", "label", "fame", F.when(F.col("all") - F.col("top.n") <= centres, F.col("label") == F.col("top.label")).otherwise(F.lit(False)).alias("later")
-    )
-    rank = F.row_number().over(W.partitionBy("band").orderBy("later", F.desc("fame"), "node"))
-    top = ranked.withColumn("rank", rank).where(F.col("rank") <= centres).select("band", "node", "rank")
-    return staged(ranked.join(top, ["band", "node"], "left").select("band", "node", "fame", "label", "rank"), f"open{round_no}")
+    wanted = some.select("node").distinct()
+    bodies = marks.join(wanted, "node").join(_texts_of(wanted, nodes, texts), "node", "left")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    asks = F.col("label") != F.col("largest")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    # a member is in one block of its bucket; one of the query set is in every block too
+    spread = some.select(
+        "band", "node", "label",
+        F.explode(F.when(asks, F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("block"), (b == own).alias("member"), F.lit(True).alias("asks"))))
+                  .otherwise(F.array(F.struct(own.alias("block"), F.lit(True).alias("member"), F.lit(False).alias("asks"))))).alias("x"),
+    ).select("band", "node", "label", "x.*")
+
+    def compare(table: pa.Table) -> pa.Table:
+        order = table.sort_by("node")
+        node, label, text = (order[c].to_pylist() for c in ("node", "label", "text"))
+        sig = np.frombuffer(b"".join(order["sig"].to_pylist()), np.uint8).reshape(-1, COORDS)
+        bands = np.array(order["bands"].to_pylist(), np.int64)
+        before = np.arange(BANDS) < int(np.argmax(bands[0] == order["band"][0].as_py()))
+        member, asks = (np.array(order[c].to_pylist(), bool) for c in ("member", "asks"))
+        number = {x: i for i, x in enumerate(dict.fromkeys(label))}
+        root = np.arange(len(number))
+        own = np.array([number[x] for x in label])
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        sets, a, b = _Sets(), [], []
+        for q in np.flatnonzero(asks):
+            share = share_of(sig, sig[q])
+            # pairs that share an earlier bucket are that bucket's
+            todo = np.flatnonzero(member & (own != own[q]) & (share >= HARDLY) & ~((bands == bands[q])[:, before].any(1)))
+            for u in todo[np.argsort(-share[todo], kind="stable")].tolist():
+                x, y = find(own[q]), find(own[u])
+                if x != y and _similar(float(share[u]), text[q], text[u], sets):
+                    root[x] = y
+                    a.append(node[q])
+                    b.append(node[u])
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return staged(spread.join(bodies, "node").groupBy("band", "block").applyInArrow(compare, "a binary, b binary"), "within")
