@@ -302,7 +302,9 @@ def near_rows():
     return rows
 
 
-def test_near_dedup_equals_brute_force(spark, none):
+@pytest.mark.parametrize("block", [2048, 3])
+def test_near_dedup_equals_brute_force(spark, none, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rows = near_rows()
     got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     parent = list(range(len(rows)))
@@ -330,6 +332,36 @@ def test_near_dedup_equals_brute_force(spark, none):
     assert near_dup.classes(none).count() == 0
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, t, l) for i, t, l in ROWS if i is not None and i not in (13, 11, 18)]
+    rows += [(i, t, "en") for i, t in near_rows() if (i or 0) >= 1000 and len(t) > 0]
+    docs = spark.createDataFrame([(i, t, l, "s", len(t or "")) for i, t, l in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    stage = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, stage, str(tmp_path))
+        assert out.columns == docs.columns
+        rows_in, rows_out = stage.collect(), out.collect()
+        if name == "language_id":
+            lost = {r["doc_id"] for r in rows_in} - {r["doc_id"] for r in rows_out}
+            assert {2, 3, 4} <= lost
+        elif name == "exact_dedup":
+            assert len(rows_out) == len({SPACE.sub("", r["text"]) for r in rows_in}) == len({SPACE.sub("", r["text"]) for r in rows_out})
+        elif name == "near_dedup":
+            left = sorted(rows_out, key=lambda r: r["doc_id"])
+            assert all(weighted(a["text"], b["text"]) < 0.8 for i, a in enumerate(left) for b in left[:i])
+            assert all(any(weighted(r["text"], k["text"]) >= 0.5 for k in left) for r in rows_in)
+        else:
+            assert [r["doc_id"] for r in sorted(rows_out)] == [r["doc_id"] for r in sorted(rows_in)]
+            assert not any(base_spans(r["text"]) for r in rows_out)
+            assert all(r["n_chars"] == len(r["text"]) for r in rows_out)
+        stage = spark.createDataFrame(rows_out, docs.schema)
+    check_packing([(r["doc_id"], r["text"]) for r in rows_out], got, 2048)
+
+
 # 7
 
 
