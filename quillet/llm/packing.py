@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quillet.llm.common import shuffle_partitions, staged, unstage
 
 #: Whole words (as split at ASCII white space) and word cores whose ids a worker keeps.
-CACHE = 600_000
+CACHE = 1_200_000
 _PUNCTUATION = b".,|;:!?()\"'"
 
 
