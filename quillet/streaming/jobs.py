@@ -12,9 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillet.operators import corpus
 
 
-def limited(requests: DataFrame, key: str, per_second: float, burst: float, idle_ms: int = 600_000) -> DataFrame:
-    """Token buckets as keyed state: tokens and last time; idle keys are dropped. Rows are sorted inside a micro-batch."""
+def limited(requests: DataFrame, key: str, per_second: float, burst: float, late: str = "1 day") -> DataFrame:
+    """Token buckets as keyed state: tokens and last time, in event time. Rows are sorted inside a micro-batch.
+
+    A key is dropped once the watermark is past the time at which its bucket is full again and ten minutes more; a new
+    bucket starts full, so dropping it changes nothing.
+    """
     kind = requests.schema[key].dataType.simpleString()
+    idle_ms = int(burst / per_second * 1000) + 600_000
 
     def fold(k, batches, state: GroupState):
         if state.hasTimedOut:
@@ -23,17 +28,17 @@ def limited(requests: DataFrame, key: str, per_second: float, burst: float, idle
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         tokens, last = state.get if state.exists else (float(burst), None)
         allowed = []
-        for now in rows["ts"].astype("int64") // 1000:
+        for now in rows["ts"].astype("datetime64[us]").astype("int64"):
             tokens = min(burst, tokens + ((now - last) / 1e6 * per_second if last is not None else 0))
             last = now
             allowed.append(tokens >= 1)
             tokens -= tokens >= 1
         state.update((float(tokens), int(last)))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: k[0], "event_id": rows["event_id"], "allowed": allowed})
 
-    at = requests.withColumn("ts", F.col("ts").cast("timestamp"))
-    return at.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, event_id long, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    at = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return at.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, event_id long, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _run(stream: DataFrame, name: str, folder: str) -> DataFrame:
