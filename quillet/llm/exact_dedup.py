@@ -6,8 +6,9 @@ whether the text ends there. A group that is a single row is settled, and so is
 its members agreed in every byte, so equality needs no digest. Only rows of unsettled groups go on to the next
 level, so most texts leave after a few bytes.
 
-Group sizes and the best row of each group are aggregated before the shuffle, one row per group and task, and
-joined back to the rows; a hot group is a skewed join key that Spark splits, never one task's state.
+Group sizes and the best row of each group are aggregated before the shuffle, one row per group and task, written,
+and joined back to the rows. Being read again, that table brings a plain shuffle or a size-checked broadcast to the
+join, so a hot group is a skewed key that Spark splits, never one task's state.
 
 Defined results: a null text counts as empty; all empty texts are one group; of equal texts the row with most
 code points in its original text stays, then the smallest id (null ids last), then the first stored row, so
@@ -36,7 +37,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_b
         F.regexp_replace(text, SPACE_CLASS + "+", "").cast("binary").alias("body"),
     )
     rows = bare.select("*", F.substring("body", 1, first_bytes).alias("digit"))
-    shared = rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digit").alias("shared"))
+    shared = staged(rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digit").alias("shared")), "digits1")
     first = staged(
         rows.join(shared, rows["digit"] == shared["shared"], "left").select(
             F.monotonically_increasing_id().alias("rid"),
@@ -60,7 +61,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_b
             "*", F.substring(F.col("body"), F.lit(at + 1), F.lit(width)).alias("digit"), (F.octet_length("body") <= at + width).alias("ended")
         )
         best = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))
-        groups = keyed.groupBy("gid", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best"))
+        groups = staged(keyed.groupBy("gid", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best")), f"digits{level}")
         split = staged(
             keyed.join(groups, ["gid", "digit", "ended"]).select(
                 "rid",
