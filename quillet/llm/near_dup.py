@@ -309,7 +309,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # one row for each different word sequence; equal rows are reduced before the shuffle
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"))
     banded = rows.select("node", F.explode("bands").alias("band")).distinct()
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    # aggregates are written before they are joined back: then Spark splits a hot key or broadcasts a small table
+    shared = staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     met = staged(banded.join(shared, "band"), "met")
     # how many others a node meets, over all its bands
     fame = met.groupBy("node").agg(F.sum("members").alias("fame"))
@@ -317,7 +318,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     unstage(met)
     marks = rows.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     marks = staged(marks, "marks")
-    centres = buckets.groupBy("band").agg(F.max(F.struct("fame", "node"))["node"].alias("centre"))
+    centres = staged(buckets.groupBy("band").agg(F.max(F.struct("fame", "node"))["node"].alias("centre")), "centres")
     rest = buckets.join(centres, "band").where("node <> centre")
     links = _star(rest.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), marks, nodes, texts)
     labels = components(links, "1")
@@ -328,7 +329,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     placed = rows.select("id", "node").join(labels, "node", "left").select("id", F.coalesce("label", "node").alias("label"), F.monotonically_increasing_id().alias("rid"))
     placed = staged(placed, "placed")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))).alias("first")
-    groups = placed.groupBy("label").agg(first, F.count(F.lit(1)).alias("class_size"))
+    groups = staged(placed.groupBy("label").agg(first, F.count(F.lit(1)).alias("class_size")), "classes")
     return placed.join(groups, "label").select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept"))
 
 
