@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillet.plans import building, parsing, scalar, searching
+from quillet.plans import building, parsing, scalar, searching, serving
 
 FLAGSHIP = "search_flagship"
-MODULES = (scalar, searching, parsing, building)
+MODULES = (scalar, searching, parsing, building, serving)
 
 
 def queries() -> dict:

@@ -218,3 +218,20 @@ def test_multi_tenant_roots(spark):
     rows = [("https://medium.com/",), ("https://medium.com/@a/",), ("https://x.org/",), ("https://y.org/",), ("https://y.org/~t/",), ("https://www.note.com/",)]
     got = builder.drop_platform_roots(spark.createDataFrame(rows, "site string")).collect()
     assert {r["site"] for r in got} == {"https://medium.com/@a/", "https://x.org/", "https://y.org/~t/", "https://www.note.com/"}
+
+
+def test_service(spark):
+    from quillet.operators.service import Bucket, Service
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    s = Service(docs, limits={"caller": (60, 2), "service": (600, 300), "semantic_caller": (10, 1), "semantic_service": (60, 15)})
+    status, headers, body = s.handle({"q": "the"}, "a", now=0.0)
+    assert status == 200 and '"results"' in body and "max-age" in headers["Cache-Control"]
+    assert s.handle({"q": ""}, "a", now=0.0)[0] == 400
+    status, headers, _ = s.handle({"q": "the"}, "a", now=0.0)
+    assert status == 429 and headers["Retry-After"] == "2"
+    assert s.health()[0] == 200 and len(s.log) == 1
+    b = Bucket(1.0, 2)
+    assert [b.allow("k", 0.0)[0] for _ in range(3)] == [True, True, False] and b.allow("k", 1.0)[0]
+    b.sweep(10_000.0)
+    assert not b.state
