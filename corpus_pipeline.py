@@ -7,6 +7,8 @@ pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,20 +26,25 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """docs without the rows that are not kept; rows are matched by doc_id."""
-    dropped = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__dropped"]), "left_anti")
+def _kept(docs: DataFrame, judge: Callable[..., DataFrame]) -> DataFrame:
+    """The rows of docs that the judge keeps. docs is read from Parquet, so a row's place in its file tells repeated
+    rows apart; ties still go to the smallest doc_id, null ones last."""
+    place = F.struct(
+        F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+    keyed = docs.select("*", place.alias("__place"))
+    dropped = judge(keyed.select("__place", "text"), id_col="__place").where(~F.col("kept")).select("__place")
+    return keyed.join(dropped, "__place", "left_anti").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _without(docs, exact_dedup.dedup(docs))
+    return _kept(docs, exact_dedup.dedup)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return _without(docs, near_dup.classes(docs))
+    return _kept(docs, near_dup.classes)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -336,6 +336,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
     rows = [(i, t, l) for i, t, l in ROWS if i is not None and i not in (13, 11, 18)]
+    rows += rows[:8]  # repeated rows: one of each stays
     rows += [(i, t, "en") for i, t in near_rows() if (i or 0) >= 1000 and len(t) > 0]
     docs = spark.createDataFrame([(i, t, l, "s", len(t or "")) for i, t, l in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
@@ -358,7 +359,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             assert [r["doc_id"] for r in sorted(rows_out)] == [r["doc_id"] for r in sorted(rows_in)]
             assert not any(base_spans(r["text"]) for r in rows_out)
             assert all(r["n_chars"] == len(r["text"]) for r in rows_out)
-        stage = spark.createDataFrame(rows_out, docs.schema)
+        spark.createDataFrame(rows_out, docs.schema).coalesce(2).write.parquet(f"{tmp_path}/{name}")
+        stage = spark.read.parquet(f"{tmp_path}/{name}")
     check_packing([(r["doc_id"], r["text"]) for r in rows_out], got, 2048)
 
 
