@@ -235,3 +235,16 @@ def test_service(spark):
     assert [b.allow("k", 0.0)[0] for _ in range(3)] == [True, True, False] and b.allow("k", 1.0)[0]
     b.sweep(10_000.0)
     assert not b.state
+
+
+def test_overrides_and_yaml(spark):
+    from quillet.operators import build_run
+
+    assert build_run.overrides_of(spark, "- {site: 'https://a.org/', name: A}\n").count() == 1
+    for bad in ("- {name: A}\n", "- {site: 'https://a.org', colour: red}\n", "- {site: 'https://a.org'}\n- {site: 'http://www.a.org/'}\n"):
+        with pytest.raises(ValueError):
+            build_run.overrides_of(spark, bad)
+    rows = spark.createDataFrame([("b", "beta", "https://b.org/", None, [], ["x"]), ("a", "Älpha", "https://a.org/", "f", ["k"], [])], "id string, name string, site string, feed string, kind array<string>, tags array<string>")
+    out = build_run.sources_yaml(rows)
+    assert out.index("id: b") < out.index("id: a") and "Älpha" in out and "feed: null" not in out
+    assert [r["id"] for r in src.allowlist(spark, out).orderBy("pos").collect()] == ["b", "a"]
