@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from quillet.llm.common import shuffle_partitions, staged, unstage
 
-#: Whole words (as split at ASCII white space) and word cores whose ids a worker keeps.
-CACHE = 1_200_000
+#: Whole words (as split at ASCII white space) and, dearer to find, word cores whose ids a worker keeps.
+KEPT_WORDS, KEPT_CORES = 500_000, 1_200_000
 _PUNCTUATION = b".,|;:!?()\"'"
 
 
@@ -47,7 +47,7 @@ class Tokenizer:
 
     def _learn(self, words: list[bytes]) -> None:
         """Ids of unseen words: ASCII letters with punctuation around them from parts, others whole."""
-        if len(self.words) + len(words) > CACHE:
+        if len(self.words) + len(words) > KEPT_WORDS:
             self.words.clear()
         parts, fresh = [], {}
         for w in words:
@@ -60,7 +60,7 @@ class Tokenizer:
             for p in split:
                 if p not in self.cores:
                     fresh[p] = None
-        if len(self.cores) + len(fresh) > CACHE:
+        if len(self.cores) + len(fresh) > KEPT_CORES:
             self.cores.clear()
             fresh = {p: None for split in parts for p in split}
         fresh = list(fresh)
@@ -76,7 +76,7 @@ class Tokenizer:
         known = self.words
         unseen = [w for w in dict.fromkeys(words) if w not in known]
         if unseen:
-            if len(known) + len(unseen) > CACHE:
+            if len(known) + len(unseen) > KEPT_WORDS:
                 unseen = list(dict.fromkeys(words))
             self._learn(unseen)
         return b"".join(map(known.__getitem__, words))
