@@ -42,7 +42,7 @@ BANDS, ROWS = 28, 5
 COORDS = BANDS * ROWS
 #: Agreement shares that settle a pair without its texts: over four standard deviations from 0.8.
 SURELY, HARDLY = 0.95, 0.65
-#: Members of a bucket in one block of the second comparison.
+#: Members, and askers, of a bucket in one block of the second comparison.
 BLOCK = 2048
 #: Shingle sets that a worker keeps while it compares.
 KEPT_SETS = 4096
@@ -352,22 +352,21 @@ def _within(rest: DataFrame, labels: DataFrame, marks: DataFrame, nodes: DataFra
     """Links between classes inside buckets (centres left out) whose members are of several classes."""
     placed = staged(rest.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "rest")
     sizes = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("largest"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    some = staged(placed.join(mixed, "band").select("band", "node", "label", "largest", "members"), "mixed")
+    top = F.max(F.struct("n", "label"))
+    mixed = sizes.groupBy("band").agg(top["label"].alias("largest"), F.sum("n").alias("members"), (F.sum("n") - top["n"]).alias("asking"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    some = staged(placed.join(staged(mixed, "bands"), "band").select("band", "node", "label", "largest", "members", "asking"), "mixed")
     unstage(placed)
     if some.isEmpty():
         return None
     wanted = some.select("node").distinct()
     bodies = marks.join(wanted, "node").join(_texts_of(wanted, nodes, texts), "node", "left")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    asks = F.col("label") != F.col("largest")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    # a member is in one block of its bucket; one of the query set is in every block too
-    spread = some.select(
-        "band", "node", "label",
-        F.explode(F.when(asks, F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("block"), (b == own).alias("member"), F.lit(True).alias("asks"))))
-                  .otherwise(F.array(F.struct(own.alias("block"), F.lit(True).alias("member"), F.lit(False).alias("asks"))))).alias("x"),
-    ).select("band", "node", "label", "x.*")
+    # a grid of member blocks and query blocks: no cell holds more than a block of either, however large the bucket
+    rows, columns = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "asking"))
+    row, column = F.pmod(F.xxhash64("node"), rows).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), columns).cast("int")
+    cell = lambda r, c, asks: F.struct(r.alias("row"), c.alias("column"), F.lit(asks).alias("asks"))
+    as_member = F.transform(F.sequence(F.lit(0), columns - 1), lambda c: cell(row, c, False))
+    as_query = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: cell(r, column, True))
+    spread = some.select("band", "node", "label", F.explode(F.when(F.col("label") != F.col("largest"), F.concat(as_member, as_query)).otherwise(as_member)).alias("x")).select("band", "node", "label", "x.*")
 
     def compare(table: pa.Table) -> pa.Table:
         order = table.sort_by("node")
@@ -375,7 +374,8 @@ def _within(rest: DataFrame, labels: DataFrame, marks: DataFrame, nodes: DataFra
         sig = np.frombuffer(b"".join(order["sig"].to_pylist()), np.uint8).reshape(-1, COORDS)
         bands = np.array(order["bands"].to_pylist(), np.int64)
         before = np.arange(BANDS) < int(np.argmax(bands[0] == order["band"][0].as_py()))
-        member, asks = (np.array(order[c].to_pylist(), bool) for c in ("member", "asks"))
+        asks = np.array(order["asks"].to_pylist(), bool)
+        members = np.flatnonzero(~asks)
         number = {x: i for i, x in enumerate(dict.fromkeys(label))}
         root = np.arange(len(number))
         own = np.array([number[x] for x in label])
@@ -387,15 +387,17 @@ def _within(rest: DataFrame, labels: DataFrame, marks: DataFrame, nodes: DataFra
 
         sets, a, b = _Sets(), [], []
         for q in np.flatnonzero(asks):
-            share = share_of(sig, sig[q])
+            share = share_of(sig[members], sig[q])
             # pairs that share an earlier bucket are that bucket's
-            todo = np.flatnonzero(member & (own != own[q]) & (share >= HARDLY) & ~((bands == bands[q])[:, before].any(1)))
-            for u in todo[np.argsort(-share[todo], kind="stable")].tolist():
+            near = (own[members] != own[q]) & (share >= HARDLY) & ~((bands[members] == bands[q])[:, before].any(1))
+            todo = np.flatnonzero(near)
+            for k in todo[np.argsort(-share[todo], kind="stable")].tolist():
+                u = members[k]
                 x, y = find(own[q]), find(own[u])
-                if x != y and _similar(float(share[u]), text[q], text[u], sets):
+                if x != y and _similar(float(share[k]), text[q], text[u], sets):
                     root[x] = y
                     a.append(node[q])
                     b.append(node[u])
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return staged(spread.join(bodies, "node").groupBy("band", "block").applyInArrow(compare, "a binary, b binary"), "within")
+    return staged(spread.join(bodies, "node").groupBy("band", "row", "column").applyInArrow(compare, "a binary, b binary"), "within")
