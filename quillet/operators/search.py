@@ -134,6 +134,34 @@ def matches(rows: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     return grouped.select("id", "url", "source_id", "origin", "score")
 
 
+def lengths(rows: DataFrame) -> DataFrame:
+    """id, field and number of tokens: what relevance needs beside the postings."""
+    return field_tokens(rows).select("id", "field", F.size("tokens").alias("len"))
+
+
+def write_index(rows: DataFrame, path: str) -> None:
+    """Postings in ranges of terms, sorted, so that a term's filter skips all other row groups; and lengths."""
+    postings(rows).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths(rows).write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def matches_indexed(index: DataFrame, sizes: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """id and relevance as in matches(), from stored postings and lengths: only the terms' postings are read."""
+    hits = index.where(F.col("term").isin(*terms))
+    df = hits.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    stats = sizes.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    # a row a term and field: as many as the query's terms times five
+    weights = df.join(F.broadcast(stats), "field")
+    weight = F.create_map(*[x for name, w in fixed.FIELD_WEIGHTS.items() for x in (F.lit(name), F.lit(w))])[F.col("field")]
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    scored = hits.join(F.broadcast(weights), ["term", "field"]).join(sizes, ["id", "field"])
+    grouped = scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), *[F.max((F.col("term") == t).cast("int")).alias(f"has{i}") for i, t in enumerate(terms)])
+    for i in range(len(terms)):
+        grouped = grouped.where(F.col(f"has{i}") == 1)
+    return grouped.select("id", "score")
+
+
 def top(scored: DataFrame, n: int, offset: int = 0) -> DataFrame:
     """Rows offset + 1 to offset + n by relevance, then id; `rank` counts from 1 over all."""
     some = scored.orderBy(F.desc("score"), "id").limit(offset + n)

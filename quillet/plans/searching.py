@@ -139,6 +139,12 @@ def term_df(spark, d):
     return search.postings(search.articles(docs(spark, d))).groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
 
 
+@query(f"WITH {matched(*TERMS)} SELECT id, score FROM m")
+def search_indexed(spark, d):
+    rows = search.articles(docs(spark, d))
+    return search.matches_indexed(search.postings(rows), search.lengths(rows), TERMS)
+
+
 REQUESTS = [
     (1, "go", "", "", "", ""), (2, "", "", "", "", ""), (3, "x" * 513, "", "", "", ""), (4, "go", "51", "", "", ""), (5, "go", "50", "1000", "", ""), (6, "go", "20", "1001", "", ""),
     (7, "go", "20", "30", "", "semantic"), (8, "go", "20", "31", "", "semantic"), (9, "go", "", "", "feed", ""), (10, "go", "", "", "rss", ""), (11, "go", "", "", "", "vector"), (12, "go", "abc", "", "", ""), (13, "語" * 512, "", "-1", "", ""),

@@ -248,3 +248,14 @@ def test_overrides_and_yaml(spark):
     out = build_run.sources_yaml(rows)
     assert out.index("id: b") < out.index("id: a") and "Älpha" in out and "feed: null" not in out
     assert [r["id"] for r in src.allowlist(spark, out).orderBy("pos").collect()] == ["b", "a"]
+
+
+def test_stored_index(spark, tmp_path):
+    rows = search.articles(spark.read.parquet(f"{DATA}/documents.parquet"))
+    search.write_index(rows, f"file://{tmp_path}/index")
+    index, sizes = (spark.read.parquet(f"file://{tmp_path}/index/{x}") for x in ("postings", "lengths"))
+    got = search.matches_indexed(index, sizes, ("the", "of"))
+    assert "PushedFilters: [In(term" in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    want = {r["id"]: r["score"] for r in search.matches(rows, ("the", "of")).collect()}
+    found = {r["id"]: r["score"] for r in got.collect()}
+    assert set(found) == set(want) and all(abs(found[k] - want[k]) < 2e-6 for k in want)
