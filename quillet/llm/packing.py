@@ -13,6 +13,7 @@ table; only the id and text columns are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -24,7 +25,9 @@ from quillet.llm.common import shuffle_partitions, staged, unstage
 
 #: Whole words (as split at ASCII white space) and, dearer to find, word cores whose ids a worker keeps.
 KEPT_WORDS, KEPT_CORES = 500_000, 1_200_000
-_PUNCTUATION = b".,|;:!?()\"'"
+#: A run of Latin letters, whose lower case no neighbour changes, with ASCII signs around it but no apostrophe (contractions) and
+#: no angle brackets (special tokens).
+_LETTERS = re.compile(r"([!-&(-/:;=?@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+)([!-&(-/:;=?@\[-`{-~]*)")
 
 
 class Tokenizer:
@@ -42,34 +45,55 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        """Ids of unseen words: ASCII letters with punctuation around them from parts, others whole."""
+        """Ids of unseen words: a run of letters and the signs around it from parts, others whole."""
         if len(self.words) + len(words) > KEPT_WORDS:
             self.words.clear()
-        parts, fresh = [], {}
+        parts, letters, others = [], {}, {}
         for w in words:
-            low = w.lower()
-            core = low.strip(_PUNCTUATION)
-            i = low.find(core)
-            split = (low[:i], core, low[i + len(core) :]) if core.isalpha() and core.isascii() and b"'" not in low else (w,)
-            split = tuple(p for p in split if p)
+            found = _LETTERS.fullmatch(t := w.decode("utf-8", "surrogatepass"))
+            if found:
+                before, core, after = found[1], found[2].lower(), found[3]
+                split = (before, core, after)
+                letters[core] = others[before] = others[after] = None
+            else:
+                split = (t,)
+                others[t] = None
             parts.append(split)
-            for p in split:
-                if p not in self.cores:
-                    fresh[p] = None
-        if len(self.cores) + len(fresh) > KEPT_CORES:
+        if len(self.cores) + len(letters) + len(others) > KEPT_CORES:
             self.cores.clear()
-            fresh = {p: None for split in parts for p in split}
-        fresh = list(fresh)
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            for p, e in zip(some, self.library.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in some], add_special_tokens=False)):
-                self.cores[p] = np.array(e.ids, "<u4").tobytes()
+        cores = self.cores
+        cores[""] = b""
+        fresh = [x for x in letters if x not in cores]
+        for i in range(0, len(fresh), 2000):
+            self._letters(fresh[i : i + 2000])
+        rest = [x for x in others if x not in cores]
+        for i in range(0, len(rest), 4096):
+            self._each(rest[i : i + 4096])
         for w, split in zip(words, parts):
-            self.words[w] = b"".join(map(self.cores.__getitem__, split))
+            self.words[w] = b"".join(map(cores.__getitem__, split))
+
+    def _letters(self, cores: list[str]) -> None:
+        """Runs of letters in one text: each is one pre-token and ends with its only word-end id."""
+        ids = np.array(self.library.encode(" ".join(cores), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(cores):
+            self._each(cores)
+            return
+        blob, at = ids.tobytes(), 0
+        for core, end in zip(cores, (4 * ends).tolist()):
+            self.cores[core] = blob[at:end]
+            at = end
+
+    def _each(self, texts: list[str]) -> None:
+        for t, e in zip(texts, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            self.cores[t] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         words = text.encode("utf-8", "surrogatepass").split()

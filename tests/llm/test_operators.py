@@ -148,6 +148,20 @@ def test_packing(spark, docs, group_rows):
     assert used <= 1.1 * packing.lower_bound([r["length"] for r in got], 64) + 3
 
 
+def test_tokenizer_equals_the_library():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    own = packing.Tokenizer()
+    r = random.Random(9)
+    signs = ["é", "É", "ß", "ñ", "İ", "ı", "ſ", "ŉ", "Σ", "ς", "e\u0301", "'s", "'", "’", "1", "!", "-", "_", "|", " ", "\n", "\u00a0", "\u0085", "日", "🙂", "ǆ", "Ǆ", "ﬁ", "<|endoftext|>", "A", "b", "the", "TION", "\x00", "µ", "º"]
+    for _ in range(3000):
+        t = "".join(r.choices(signs, k=r.randint(1, 14)))
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_packing_empty(none):
     assert packing.pack(none).count() == 0
 
