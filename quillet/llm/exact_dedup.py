@@ -7,7 +7,7 @@ its members agreed in every byte, so equality needs no digest. Only rows of unse
 level, so most texts leave after a few bytes.
 
 Group sizes and the best row of each group are aggregated before the shuffle, one row per group and task, written,
-and joined back to the rows. Being read again, that table brings a plain shuffle or a size-checked broadcast to the
+and joined back to the rows by a merge join at every size. Being read again, that table brings a plain shuffle to the
 join, so a hot group is a skewed key that Spark splits, never one task's state.
 
 Defined results: a null text counts as empty; all empty texts are one group; of equal texts the row with most
@@ -39,7 +39,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_b
     rows = bare.select("*", F.substring("body", 1, first_bytes).alias("digit"))
     shared = staged(rows.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digit").alias("shared")), "digits1")
     first = staged(
-        rows.join(shared, rows["digit"] == shared["shared"], "left").select(
+        rows.join(shared.hint("merge"), rows["digit"] == shared["shared"], "left").select(
             F.monotonically_increasing_id().alias("rid"),
             "id",
             "chars",
@@ -63,7 +63,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_b
         best = F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("rid"))
         groups = staged(keyed.groupBy("gid", "digit", "ended").agg(F.count(F.lit(1)).alias("n"), F.min(best).alias("best")), f"digits{level}")
         split = staged(
-            keyed.join(groups, ["gid", "digit", "ended"]).select(
+            keyed.join(groups.hint("merge"), ["gid", "digit", "ended"]).select(
                 "rid",
                 "id",
                 "chars",
