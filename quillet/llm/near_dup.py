@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillet.llm.common import staged, unstage
+from quillet.llm.common import resident, staged, unstage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -197,6 +197,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        resident(("near_dup",))
         words = Words()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -369,6 +370,7 @@ def _within(rest: DataFrame, labels: DataFrame, marks: DataFrame, nodes: DataFra
     spread = some.select("band", "node", "label", F.explode(F.when(F.col("label") != F.col("largest"), F.concat(as_member, as_query)).otherwise(as_member)).alias("x")).select("band", "node", "label", "x.*")
 
     def compare(table: pa.Table) -> pa.Table:
+        resident(("near_dup",))
         order = table.sort_by("node")
         node, label, text = (order[c].to_pylist() for c in ("node", "label", "text"))
         sig = np.frombuffer(b"".join(order["sig"].to_pylist()), np.uint8).reshape(-1, COORDS)

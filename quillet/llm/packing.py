@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import shuffle_partitions, staged, unstage
+from quillet.llm.common import resident, shuffle_partitions, staged
 
 #: Whole words (as split at ASCII white space) and, dearer to find, word cores whose ids a worker keeps.
 KEPT_WORDS, KEPT_CORES = 500_000, 1_200_000
@@ -106,13 +106,8 @@ class Tokenizer:
         return b"".join(map(known.__getitem__, words))
 
 
-_tokenizers: dict = {}
-
-
 def tokenizer(path: str | None) -> Tokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer(path)
-    return _tokenizers[path]
+    return resident(("packing", path), lambda: Tokenizer(path))
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, path: str | None, end_id: int) -> DataFrame:
