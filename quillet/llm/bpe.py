@@ -22,8 +22,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import resident
-
 #: The white space of the tokenizer's pattern, spelled out, since libraries differ on U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A boundary this near to a chunk's cut end may change with what follows.
@@ -112,8 +110,13 @@ class Codec:
         return sure
 
 
+_codecs: dict = {}
+
+
 def codec(ranks_path: str | None) -> Codec:
-    return resident(("bpe", ranks_path), lambda: Codec(ranks_path))
+    if ranks_path not in _codecs:
+        _codecs[ranks_path] = Codec(ranks_path)
+    return _codecs[ranks_path]
 
 
 def encode(

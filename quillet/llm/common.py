@@ -57,17 +57,3 @@ def text_bytes(df: DataFrame, text_col: str) -> int:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-_resident: dict = {}
-
-
-def resident(key: tuple, make=object):
-    """What a Python worker keeps from task to task for one operator; another operator's is dropped first.
-
-    Workers are reused by later stages, so without this their memory would be the sum of all operators' caches.
-    """
-    if key not in _resident:
-        _resident.clear()
-        _resident[key] = make()
-    return _resident[key]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import crc_of_id, resident, staged, unstage
+from quillet.llm.common import crc_of_id, staged, unstage
 
 UNDETERMINED = "und"
 START = "▁"
@@ -166,8 +166,13 @@ class Pieces:
             yield which, None
 
 
+_pieces: dict = {}
+
+
 def pieces(path: str | None) -> Pieces:
-    return resident(("langid", path), lambda: Pieces(path))
+    if path not in _pieces:
+        _pieces[path] = Pieces(path)
+    return _pieces[path]
 
 
 class Model:
