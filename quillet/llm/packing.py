@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillet.llm.common import shuffle_partitions, staged, unstage
 
 #: Whole words (as split at ASCII white space) and, dearer to find, word cores whose ids a worker keeps.
-KEPT_WORDS, KEPT_CORES = 500_000, 1_200_000
+KEPT_WORDS, KEPT_CORES = 300_000, 700_000
 #: A run of Latin letters, whose lower case no neighbour changes, with ASCII signs around it but no apostrophe (contractions) and
 #: no angle brackets (special tokens).
 _LETTERS = re.compile(r"([!-&(-/:;=?@\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+)([!-&(-/:;=?@\[-`{-~]*)")
