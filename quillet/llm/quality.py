@@ -1,7 +1,10 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
 Beside the base counts, each document's character-class histogram and its histogram over the common words of
-its language are compared to references of that language by Jensen-Shannon distance (base 2, 0 to 1). The
+its language are compared to references of that language by Jensen-Shannon distance (base 2, 0 to 1). A text
+without common words lies at a distance that the reference fixes by its share of other words; a text as far as
+BARE of that distance is rejected, so that word salad and texts in another language do not pass, unless chance takes a clean
+text of its length that far (few common words in the reference) and it has FEW of their expected number. The
 references are sums over all documents of the language; a language with few documents, or none given, uses the
 reference of all documents together. Documents under a minimum length are not judged by divergence, since
 their histograms are noise.
@@ -13,6 +16,8 @@ columns are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +31,12 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = r"[#*$%&|<>]"
 CLASSES = ("letter", "upper", "digit", "space", "punctuation", "wide")
 ANY = ""
+#: Part of the distance of a text without common words that a text may have.
+BARE = 0.95
+#: A squared distance up to so many times the mean one of clean texts of that length can be chance.
+NOISE = 2.0
+#: Part of the expected common words under which a text has too few of them.
+FEW = 0.25
 
 
 def words_of(text: Column) -> Column:
@@ -161,6 +172,21 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, t: a + t) / 2))
 
 
+def bare_distance(rest: Column) -> Column:
+    """Distance of a text without common words from a reference with this share of other words."""
+    m = (1 + rest) / 2
+    other = F.when(rest > 0, rest * F.log2(rest / m)).otherwise(F.lit(0.0)) - F.log2(m)
+    return F.sqrt(F.greatest(F.lit(0.0), 1 - rest + other) / 2)
+
+
+def lacks_words(distance: Column, word_ref: Column, n_words: Column, n_common: Column) -> Column:
+    """Whether a text of so many words, n_common of them common ones, lies as far as one without any."""
+    n, rest = F.greatest(n_words, F.lit(1)), F.element_at(word_ref, -1)
+    chance = (F.size(word_ref) - 1) / (8 * math.log(2) * n)
+    sure = (n_common < FEW * (1 - rest) * n) | (distance * distance > NOISE * chance)
+    return (distance > BARE * bare_distance(rest)) & sure
+
+
 def _shares(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
     # a one-element transform binds the total once
@@ -205,8 +231,11 @@ def judge(
         base_failed.alias("base_failed"),
         F.when(long, jensen_shannon(_shares(F.col("__classes")), F.col("__class_ref"))).alias("class_distance"),
         F.when(long, jensen_shannon(_shares(F.col("__hist")), F.col("__word_ref"))).alias("word_distance"),
+        "__word_ref",
+        F.size("__low").alias("__common"),
     )
-    fits = ~long | ((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance))
+    lacks = lacks_words(F.col("word_distance"), F.col("__word_ref"), F.col("n_words"), F.col("__common"))
+    fits = ~long | ((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance) & ~lacks)
     return far.select(id_col, *_BASE, "base_failed", (~F.col("base_failed") & fits).alias("kept"), "class_distance", "word_distance")
 
 

@@ -410,6 +410,18 @@ def test_quality_divergence(spark):
     assert abs(d - math.sqrt((kl(p) + kl(q)) / 2)) < 1e-9
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    r = random.Random(3)
+    common = "the of and to a in is that it for was on with as be by this at from or".split()
+    long_words = [w for w in VOCABULARY if len(w) > 4]
+    clean = lambda n: " ".join(r.choice(common) if r.random() < 0.4 else r.choice(long_words) for _ in range(n))
+    rows = [(i, clean(60 + 3 * i), "en") for i in range(200)] + [(900, " ".join(r.choices(long_words, k=600)), "en")]
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    bad = got[900][0]
+    assert not bad["base_failed"] and bad["class_distance"] < 0.3 and not bad["kept"]
+    assert all(got[i][0]["kept"] for i in range(200))
+
+
 # 8
 
 
