@@ -5,12 +5,12 @@ its language are compared to references of that language by Jensen-Shannon dista
 without common words lies at a distance that the reference fixes by its share of other words; a text as far as
 BARE of that distance is rejected, so that word salad and texts in another language do not pass, unless chance takes a clean
 text of its length that far (few common words in the reference) and it has FEW of their expected number. The
-references are sums over all documents of the language; a language with few documents, or none given, uses the
-reference of all documents together. Documents under a minimum length are not judged by divergence, since
-their histograms are noise.
+references are sums over all documents of the language and are joined by language. A language with little text
+of its own, or none given, has no reference, and its documents are not judged by divergence; nor are documents
+under a minimum length, since their histograms are noise.
 
 Defined results: a null text has no words and fails the base rule; repeated rows get equal results; a null
-language uses the common reference; an empty table gives an empty table; only the id, text and language
+or empty language has no reference; an empty table gives an empty table; only the id, text and language
 columns are read.
 """
 
@@ -82,17 +82,20 @@ def _read(df: DataFrame, id_col: str | None, text_col: str, lang_col: str) -> Da
     return df.select(*kept, F.coalesce(F.col(lang_col), F.lit(ANY)).alias("__lang"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
 
-def measures(read: DataFrame, id_col: str, common_chars: int, listed: Column) -> DataFrame:
-    """id, language, the base counts, class counts and the listed common words (lower case, repeats kept)."""
+def measures(read: DataFrame, id_col: str, common_chars: int, *kept: str) -> DataFrame:
+    """id, the base counts, class counts, the common words found (lower case, repeats kept) and the columns kept.
+
+    __list of read holds the common words of the row's language.
+    """
     text = F.col("__text")
-    split = read.select("*", words_of(text).alias("__words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"), listed.alias("__list"))
+    split = read.select("*", words_of(text).alias("__words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"))
     n = F.size("__words")
     windows = F.when(
         n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("__words"), i, WINDOW)))
     ).otherwise(F.array().cast("array<bigint>"))
     counted = split.select(
         id_col,
-        "__lang",
+        *kept,
         "__text",
         n.cast("long").alias("n_words"),
         F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
@@ -104,7 +107,7 @@ def measures(read: DataFrame, id_col: str, common_chars: int, listed: Column) ->
     repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
     return counted.select(
         id_col,
-        "__lang",
+        *kept,
         "n_words",
         "word_chars",
         "n_symbols",
@@ -115,51 +118,41 @@ def measures(read: DataFrame, id_col: str, common_chars: int, listed: Column) ->
     )
 
 
-def references(df: DataFrame, text_col: str, lang_col: str, common: int, common_chars: int, min_share: float, min_docs: int) -> dict:
-    """language -> (class shares, common words, their shares and the share of all others); ANY for all documents.
+def references(df: DataFrame, text_col: str, lang_col: str, common: int, common_chars: int, least_words: int) -> DataFrame:
+    """__lang, class shares, common words, their shares and the share of all others, per language with enough text.
 
-    One scan counts short words and, under names that no word has, documents, words and character classes. At most
-    1 / min_share languages have a reference of their own, so what comes to the driver is bounded by
-    (1 / min_share + 1) * (common + classes) rows.
+    One scan counts short words and, under names that no word has, words and character classes. A language has a
+    reference from least_words words on, whatever its part of the table; nothing comes to the driver.
     """
     text = F.col("__text")
-    split = _read(df, None, text_col, lang_col).where("__text <> ''").select("*", words_of(F.lower(text)).alias("words"))
+    split = _read(df, None, text_col, lang_col).where("__text <> '' AND __lang <> ''").select("*", words_of(F.lower(text)).alias("words"))
     entry = lambda w, n: F.struct(w.alias("word"), n.alias("n"))
     one = F.lit(1.0)
     classes = _class_counts(text, F.char_length(text), F.char_length(F.array_join("words", "")))
     totals = split.select("*", classes.alias("c")).select(
-        F.col("__lang").alias("lang"),
+        "__lang",
         F.inline(F.concat(
             F.transform(F.filter("words", lambda w: F.char_length(w) <= common_chars), lambda w: entry(w, one)),
-            F.array(entry(F.lit(" docs"), one), entry(F.lit(" words"), F.size("words").cast("double")), *[entry(F.lit(f" {k}"), F.get("c", F.lit(i))) for i, k in enumerate(CLASSES)]),
+            F.array(entry(F.lit(" words"), F.size("words").cast("double")), *[entry(F.lit(f" {k}"), F.get("c", F.lit(i))) for i, k in enumerate(CLASSES)]),
         )),
     )
-    counts = staged(totals.groupBy("lang", "word").agg(F.sum("n").alias("n")), "references")
-    every = counts.groupBy("word").agg(F.sum("n").alias("n"))
-    found = every.where("word = ' docs'").first()
-    docs = found["n"] if found else 0
-    if not docs:
-        return {}
-    names = [r["lang"] for r in counts.where(f"word = ' docs' AND lang <> '' AND n >= {max(min_docs, min_share * docs)}").collect()]
-
-    def reference(rows: DataFrame) -> dict:
-        """lang -> word -> count of the pseudo-words and the most common words."""
-        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-        top = rows.where("word NOT LIKE ' %'").withColumn("r", rank).where(f"r <= {common}").select("lang", "word", "n", "r")
-        got: dict = {}
-        for r in top.unionByName(rows.where("word LIKE ' %'").select("lang", "word", "n", F.lit(0).alias("r"))).orderBy("lang", "r").collect():
-            got.setdefault(r["lang"], {})[r["word"]] = r["n"]
-        return got
-
-    all_of = reference(counts.where(F.col("lang").isin(names))) if names else {}
-    all_of |= reference(every.withColumn("lang", F.lit(ANY)))
+    counts = staged(totals.groupBy("__lang", "word").agg(F.sum("n").alias("n")), "counts")
+    of = lambda name: F.max(F.when(F.col("word") == f" {name}", F.col("n")))
+    sums = counts.where("word LIKE ' %'").groupBy("__lang").agg(of("words").alias("words"), F.array(*[of(k) for k in CLASSES]).alias("c"))
+    rank = F.row_number().over(W.partitionBy("__lang").orderBy(F.desc("n"), "word"))
+    top = counts.where("word NOT LIKE ' %'").withColumn("r", rank).where(f"r <= {common}")
+    tops = top.groupBy("__lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
+    shares = F.coalesce(F.transform("top", lambda x: x["n"] / F.col("words")), F.array().cast("array<double>"))
+    rest = 1 - F.aggregate("__shares", F.lit(0.0), lambda a, x: a + x)
+    refs = sums.where(F.col("words") >= least_words).join(tops, "__lang", "left").withColumn("__shares", shares).select(
+        "__lang",
+        _shares(F.col("c")).alias("__class_ref"),
+        F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("__list"),
+        F.concat("__shares", F.array(F.greatest(F.lit(0.0), rest))).alias("__word_ref"),
+    )
+    found = staged(refs, "references")
     unstage(counts)
-    out = {}
-    for lang, n in all_of.items():
-        size, words = sum(n[f" {k}"] for k in CLASSES), n[" words"]
-        shares = {w: x / words for w, x in n.items() if not w.startswith(" ")} if words else {}
-        out[lang] = ([n[f" {k}"] / size for k in CLASSES], list(shares), [*shares.values(), max(0.0, 1 - sum(shares.values()))])
-    return out
+    return found
 
 
 def jensen_shannon(p: Column, q: Column) -> Column:
@@ -203,28 +196,22 @@ def judge(
     min_words: int = 60,
     max_class_distance: float = 0.3,
     max_word_distance: float = 0.7,
-    min_share: float = 0.001,
     min_docs: int = 50,
 ) -> DataFrame:
-    """id, base counts, base_failed, kept, class_distance and word_distance (null under the minimum length)."""
-    refs = references(df, text_col, lang_col, common, common_chars, min_share, min_docs) or {ANY: ([0.0] * len(CLASSES), [], [0.0])}
-    of = F.when(F.col("__lang").isin([k for k in refs if k != ANY]), F.col("__lang")).otherwise(F.lit(ANY))
-
-    def pick(which: int, kind) -> Column:
-        return F.element_at(F.create_map(*[x for k, v in refs.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v[which]]).cast(kind))]), of)
-
-    rows = measures(_read(df, id_col, text_col, lang_col), id_col, common_chars, pick(1, "array<string>"))
+    """id, base counts, base_failed, kept, class_distance and word_distance (null where not judged by them)."""
+    # the text of min_docs documents of the least length that is judged
+    refs = references(df, text_col, lang_col, common, common_chars, min_docs * min_words)
+    read = _read(df, id_col, text_col, lang_col).join(refs, "__lang", "left")
+    rows = measures(read, id_col, common_chars, "__list", "__class_ref", "__word_ref")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     hist = rows.select(
         "*",
-        pick(0, "array<double>").alias("__class_ref"),
-        pick(2, "array<double>").alias("__word_ref"),
         F.concat(
-            F.transform(pick(1, "array<string>"), lambda c: (F.size("__low") - F.size(F.array_remove(F.col("__low"), c))).cast("double")),
+            F.transform("__list", lambda c: (F.size("__low") - F.size(F.array_remove(F.col("__low"), c))).cast("double")),
             F.array((F.col("n_words") - F.size("__low")).cast("double")),
         ).alias("__hist"),
     )
-    long = F.col("n_words") >= min_words
+    long = (F.col("n_words") >= min_words) & F.col("__class_ref").isNotNull()
     far = hist.select(
         id_col,
         *_BASE,
@@ -235,7 +222,7 @@ def judge(
         F.size("__low").alias("__common"),
     )
     lacks = lacks_words(F.col("word_distance"), F.col("__word_ref"), F.col("n_words"), F.col("__common"))
-    fits = ~long | ((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance) & ~lacks)
+    fits = F.col("class_distance").isNull() | ((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance) & ~lacks)
     return far.select(id_col, *_BASE, "base_failed", (~F.col("base_failed") & fits).alias("kept"), "class_distance", "word_distance")
 
 

@@ -422,6 +422,17 @@ def test_quality_rejects_texts_without_common_words(spark):
     assert all(got[i][0]["kept"] for i in range(200))
 
 
+def test_quality_references_of_small_languages(spark):
+    r = random.Random(4)
+    greek = str.maketrans("abcdefghilmnorstu", "αβγδεφγηιλμνορστυ")
+    rows = [(i, prose(100, i), "en") for i in range(300)] + [(1000 + i, prose(400, 1000 + i).translate(greek), "el") for i in range(30)]
+    rows += [(2000, prose(100, 1).translate(greek), None), (2001, prose(100, 2).translate(greek), "rare"), (2002, prose(100, 3).translate(greek), "en")]
+    got = by_id(quality.judge(spark.createDataFrame(r.sample(rows, len(rows)), "doc_id long, text string, lang string")))
+    assert all(got[1000 + i][0]["kept"] and got[1000 + i][0]["class_distance"] < 0.1 for i in range(30))
+    assert all(got[i][0]["kept"] and got[i][0]["class_distance"] is None for i in (2000, 2001))
+    assert not got[2002][0]["kept"]
+
+
 # 8
 
 
