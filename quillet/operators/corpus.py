@@ -95,3 +95,25 @@ def crawl_route(outcomes: DataFrame) -> DataFrame:
     done = F.when(F.col("ok") | F.col("disallowed"), 0).otherwise(1)
     best = outcomes.withColumns({"priority": p, "done": done}).withColumn("r", F.row_number().over(w)).where("r = 1")
     return best.select("source_id", "route", F.when(F.col("disallowed"), 0).when(F.col("done") == 0, F.col("n")).otherwise(0).alias("n"), F.when(F.col("done") == 1, F.col("error")).alias("error"))
+
+
+def ntiles(rows: DataFrame, key: str, order: str, tiles: int, block: int = 50_000) -> DataFrame:
+    """key, order and the row's tile as ntile() numbers them per key, by a whole-number order column.
+
+    Rows are numbered inside ranges of the order's values, of about `block` rows where values are spread evenly, and
+    the sizes of the ranges before are added, so that a key's rows need not meet in one task.
+    """
+    span = rows.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"), F.count("*").alias("all"))
+    width = F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo")) / F.greatest(F.lit(1.0), F.col("all") / block))
+    at = F.floor((F.col(order).cast("double") - F.col("lo")) / F.col("width"))
+    ranged = rows.select(key, order).crossJoin(F.broadcast(span.select("lo", width.alias("width")))).select(key, order, at.alias("__at"))
+    sizes = ranged.groupBy(key, "__at").agg(F.count("*").alias("n"))
+    of_key = W.partitionBy("k").orderBy("at")
+    before = F.sum("n").over(of_key) - F.col("n")
+    sizes = sizes.select(F.col(key).alias("k"), F.col("__at").alias("at"), "n").select("k", "at", before.alias("before"), F.sum("n").over(W.partitionBy("k")).alias("size"))
+    numbered = ranged.withColumn("r", F.row_number().over(W.partitionBy(key, "__at").orderBy(order)))
+    joined = numbered.join(sizes, F.col(key).eqNullSafe(F.col("k")) & F.col("__at").eqNullSafe(F.col("at")))
+    least, more, r = F.floor(F.col("size") / tiles), F.col("size") % tiles, F.col("before") + F.col("r") - 1
+    big = more * (least + 1)
+    tile = F.when(r < big, F.floor(r / (least + 1))).otherwise(more + F.floor((r - big) / F.greatest(least, F.lit(1))))
+    return joined.select(key, order, (tile + 1).cast("long").alias("tile"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillet.functions import fixed
-from quillet.operators import crawl, service
+from quillet.operators import corpus, crawl, service
 from quillet.plans.literals import frame, values
 
 QUERIES, ORACLES = {}, {}
@@ -150,7 +150,5 @@ def filter_active(spark, d):
 
 @query("SELECT doc_id, ntile(8) OVER (ORDER BY doc_id) AS chunk FROM documents WHERE source = 'src1'")
 def chunking(spark, d):
-    from pyspark.sql import Window as W
-
     rows = spark.read.parquet(f"{d}/documents.parquet").where("source = 'src1'")
-    return rows.select("doc_id", F.ntile(8).over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("chunk"))
+    return corpus.ntiles(rows, "source", "doc_id", 8).select("doc_id", F.col("tile").alias("chunk"))

@@ -259,3 +259,19 @@ def test_stored_index(spark, tmp_path):
     want = {r["id"]: r["score"] for r in search.matches(rows, ("the", "of")).collect()}
     found = {r["id"]: r["score"] for r in got.collect()}
     assert set(found) == set(want) and all(abs(found[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_chunks_of_every_source_equal_ntile(spark):
+    from pyspark.sql import Window as W
+
+    r = random.Random(8)
+    rows = [(i * r.randint(1, 9), r.choice(["hot"] * 9 + ["a", "b", None])) for i in range(600)] + [(-7, "one"), (3, "few"), (2, "few"), (9, "few")]
+    rows = list({x[0]: x for x in rows}.values())
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    tile = F.ntile(8).over(W.partitionBy("source").orderBy("doc_id")).cast("long")
+    want = sorted(map(str, df.select("source", "doc_id", tile).collect()))
+    for block in (20, 50_000):
+        got = corpus.ntiles(df, "source", "doc_id", 8, block).select("source", "doc_id", F.col("tile").alias(df.select("source", "doc_id", tile).columns[2]))
+        assert sorted(map(str, got.collect())) == want
+    every = corpus.ntiles(spark.read.parquet(f"{DATA}/documents.parquet"), "source", "doc_id", 8)
+    assert every.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
