@@ -12,6 +12,8 @@ columns are read.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,18 +124,29 @@ def known(spark, licences: dict[str, str] | None = None) -> DataFrame:
     return digests.groupBy("canonical_sha256").agg(F.min("licence").alias("licence"))
 
 
+#: licence and canonical_sha256 of whole texts of more licences, and of LICENCES under titles that the steps leave in.
+DIGESTS = Path(__file__).with_name("licence_digests.tsv")
+
+
+def shipped(spark) -> DataFrame:
+    """canonical_sha256 and licence of DIGESTS; none of them is one of LICENCES under known()."""
+    rows = [tuple(line.split("\t")) for line in DIGESTS.read_text(encoding="utf-8").splitlines()]
+    return spark.createDataFrame(rows, "licence string, canonical_sha256 string").select("canonical_sha256", "licence")
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences: dict[str, str] | None = None) -> DataFrame:
     """One row per input row: id, canonical_sha256, licence (null if none), matched."""
     form = canonical(F.coalesce(F.col(text_col), F.lit("")))
     rows = df.select(F.col(id_col), F.sha2(form.cast("binary"), 256).alias("canonical_sha256"), (F.length(form) > 0).alias("__has"))
-    names = known(df.sparkSession, licences).withColumnRenamed("canonical_sha256", "__digest")
+    names = known(df.sparkSession, licences)
+    names = (names if licences else names.unionByName(shipped(df.sparkSession))).withColumnRenamed("canonical_sha256", "__digest")
     return rows.join(names, (rows["canonical_sha256"] == names["__digest"]) & rows["__has"], "left").select(
         id_col, "canonical_sha256", "licence", F.col("licence").isNotNull().alias("matched")
     )
 
 
 def scan_sql() -> str:
-    """The same scan as DuckDB SQL over documents."""
+    """The scan for LICENCES alone as DuckDB SQL over documents; DIGESTS are not in it."""
 
     def form(x: str) -> str:
         x = f"translate({x}, '{_UPPER}', '{_UPPER.lower()}')"

@@ -96,6 +96,22 @@ def test_licences(spark):
     assert licences.known(spark).count() == len(licences.LICENCES)
 
 
+def test_licences_whole_texts_and_titles(spark):
+    files = {
+        "Apache-2.0": "Apache-2.0", "Artistic": "Artistic", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0",
+        "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+    }
+    rows = [(want, (licences.Path("/usr/share/common-licenses") / f).read_text(encoding="utf-8")) for f, want in files.items()]
+    titles = {
+        "0BSD": "BSD Zero Clause License", "BSD-2-Clause": 'BSD 2-Clause "Simplified" License', "BSD-3-Clause": 'BSD 3-Clause "New" or "Revised" License', "BSL-1.0": "Boost Software License 1.0",
+        "ISC": "ISC License (ISC)", "MIT": "The MIT License (MIT)", "Unlicense": "The Unlicense", "Zlib": "The zlib/libpng License",
+    }
+    rows += [(want, f"{title}\n\nCopyright (c) 2020 A. Person\n\n{licences.LICENCES[want]}") for want, title in titles.items()]
+    rows += [("", rows[0][1] + " and more"), ("", rows[6][1].replace("Program", "Thing", 1))]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(got) == len(rows) and all((r["licence"] or "") == r["doc_id"] and r["matched"] == (r["doc_id"] != "") for r in got)
+
+
 # 2
 
 
