@@ -1,11 +1,16 @@
 """Language identification by segmentation-marginalised unigram pieces.
 
-The pieces are the lower-case ones of a fixed public vocabulary. Each language has a probability per piece; a
-forward pass over a word sums the probability of every segmentation of it into pieces, and since pieces never
-cross white space, a text's likelihood is the product over its words. Piece probabilities are learned by
-expectation-maximisation (a backward pass gives each piece's expected count) from labelled training rows, a
-bounded sample of them: at most sample_rows, taken by hash of the text, so the sample is the same for equal
-tables. Distinct words are scored once per worker and kept.
+The pieces are the lower-case ones of a fixed public vocabulary, of any length. Each language has a probability per
+piece; a forward pass over a word sums the probability of every segmentation of it into pieces, and since pieces
+never cross white space, a text's likelihood is the product over its words. The pass is rescaled as it goes, so
+words of any length stay in range. Piece probabilities are learned by expectation-maximisation: walking back over
+the forward pass gives each piece's expected count, in shares that lie between 0 and 1. Distinct words are scored
+once per worker and kept.
+
+What is bounded: the model knows the `languages` values of the language column that have most labelled rows (ties by
+name), and fits each on at most `language_rows` of its different texts, those with the least hashes, so equal tables
+give equal samples, copies add nothing and a rare language keeps its rows. Language shares are counts of all labelled
+rows. In training a word is read in stretches of at most STRETCH characters; in prediction it is read whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; rows without a language or with
 a null text teach nothing; repeated rows get equal results; a tie goes to the first language by name; with no
@@ -16,23 +21,27 @@ language columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillet.llm.common import crc_of_id, staged, unstage
 
 UNDETERMINED = "und"
 START = "▁"
-#: Longest piece, word start included, and the probability of a character that no piece spells.
-MAX_PIECE = 6
+#: Probability of a character that no piece spells, and the least one of any piece.
 UNSEEN = 1e-8
-LONG_WORD = 40
-CACHE = 400_000
+#: Columns between two rescalings (UNSEEN to that power is far from underflow), characters that a table holds of each
+#: word, and word x character x language cells that are worked on at once.
+RESCALE, STRETCH, CELLS = 24, 4096, 2_000_000
+#: Word x language likelihoods that a worker keeps.
+KEPT_CELLS = 1_600_000
 _LETTER = re.compile(r"[^\W\d_]")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -41,17 +50,7 @@ def vocabulary(path: str | None = None) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for p in pieces if p == p.lower() and 1 <= len(p) <= MAX_PIECE})
-
-
-def _keys(flat: np.ndarray, width: int):
-    """For each length up to width, the key of the piece that ends at each place (wrapping arithmetic)."""
-    base = flat.astype(np.uint64) + np.uint64(1)
-    key = base.copy()
-    yield key
-    for _ in range(1, width):
-        key = np.concatenate([np.zeros(1, np.uint64), key[:-1]]) * _MULTIPLIER + base
-        yield key
+    return sorted({p for p in pieces if p and p == p.lower()})
 
 
 class Pieces:
@@ -59,9 +58,10 @@ class Pieces:
 
     def __init__(self, path: str | None = None):
         self.names = vocabulary(path)
-        self.by_length = []
+        self.longest = max(map(len, self.names))
+        self.by_length, self.marked = [], np.zeros(1 << 20, bool)
         order = {p: i for i, p in enumerate(self.names)}
-        for n in range(1, MAX_PIECE + 1):
+        for n in range(1, self.longest + 1):
             mine = [p for p in self.names if len(p) == n]
             keys = []
             for p in mine:
@@ -72,98 +72,134 @@ class Pieces:
             keys = np.array(keys, np.uint64)
             by = np.argsort(keys)
             self.by_length.append((keys[by], np.array([order[p] for p in mine], np.int64)[by]))
+            self.marked[self._mark(keys)] = True
         self.none = len(self.names)  # no piece
         self.unseen = len(self.names) + 1  # a character without a piece
 
-    def table(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids[k, w, t]: the piece of k + 1 characters that ends at place t of word w; and the words' lengths."""
+    @staticmethod
+    def _mark(keys: np.ndarray) -> np.ndarray:
+        return (keys * _SPREAD >> np.uint64(44)).astype(np.int64)
+
+    def _find(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in keys, a flat array, where a piece of n characters ends, and the pieces."""
+        known, numbers = self.by_length[n - 1]
+        at = np.flatnonzero(self.marked[self._mark(keys)]) if len(known) else np.zeros(0, np.int64)
+        if not len(at):
+            return at, at
+        found = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
+        hit = known[found] == keys[at]
+        return at[hit], numbers[found[hit]]
+
+    def table(self, words: list[str], lo: int, hi: int):
+        """Pieces that end in columns lo to hi of the words: one row of single characters a column, and for each longer
+        length the words and pieces, with the edges of each column's share of them."""
+        first = max(0, lo - self.longest + 1)
+        width = hi - first
+        flat = np.frombuffer("".join([w[first:hi].ljust(width, "\0") for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        base = np.ascontiguousarray(flat.reshape(len(words), width).T).astype(np.uint64) + np.uint64(1)
+        key, n = base, len(words)
+        ones = np.full(base[lo - first :].size, self.unseen, np.int64)
+        at, piece = self._find(1, base[lo - first :].ravel())
+        ones[at] = piece
+        longer = []
+        for k in range(2, min(self.longest, width) + 1):
+            key = key[:-1] * _MULTIPLIER + base[k - 1 :]  # row i: the k characters that end in column first + k - 1 + i
+            skip = max(0, lo - first - (k - 1))
+            at, piece = self._find(k, key[skip:].ravel())
+            if len(at):
+                column = at // n + first + k - 1 + skip - lo
+                longer.append((k, at % n, piece, np.searchsorted(column, np.arange(hi - lo + 1))))
+        return ones.reshape(hi - lo, n), longer
+
+    def sweep(self, words: list[str], probs: np.ndarray, steps: list | None = None) -> np.ndarray:
+        """log P(word) over all segmentations, for words that start with the mark of a word's start.
+
+        Into steps go, for each column, shares (k, words, pieces, share): of the probability up to that column, the part
+        in which the last piece is that one; words None stands for all.
+        """
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer("".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        place = np.tile(np.arange(width), len(words))
-        ids = np.full((MAX_PIECE, len(flat)), self.none, np.int64)
-        for n, key in enumerate(_keys(flat, MAX_PIECE)):
-            known, numbers = self.by_length[n]
-            if len(known):
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                ids[n] = np.where((known[at] == key) & (place >= n), numbers[at], self.none)
-        ids[0] = np.where(ids[0] == self.none, self.unseen, ids[0])
-        return ids.reshape(MAX_PIECE, len(words), width), lengths
-
-    def forward(self, ids: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """alpha[t, w, language]: probability of the first t characters over all segmentations."""
-        _, n, width = ids.shape
-        alpha = np.zeros((width + 1, n, probs.shape[1]))
-        alpha[0] = 1
-        for t in range(1, width + 1):
-            for k in range(min(t, MAX_PIECE)):
-                alpha[t] += alpha[t - k - 1] * probs[ids[k, :, t - 1]]
-        return alpha
-
-    def long_word(self, word: str, probs: np.ndarray) -> np.ndarray:
-        """Log-probability of one long word, rescaled as it goes, so any length stays in range."""
-        out, scale = [np.ones(probs.shape[1])], np.zeros(probs.shape[1])
-        for at in range(0, len(word), 4096):  # bounded tables for words of any length
-            lo = max(0, at - MAX_PIECE)
-            part = word[lo : at + 4096]
-            ids, _ = self.table([part], len(part))
-            for t in range(at - lo, len(part)):
-                a = sum(out[-k - 1] * probs[ids[k, 0, t]] for k in range(min(len(out), MAX_PIECE, t + 1)))
-                top = a.copy()
-                scale += np.log(top)
-                out = [*(o / top for o in out[-MAX_PIECE + 1 :]), np.ones_like(top)]
-        return scale
+        width = int(lengths.max())
+        scale, out = np.zeros((len(words), probs.shape[1])), np.empty((len(words), probs.shape[1]))
+        past = [np.ones_like(scale)]  # probabilities up to the last columns
+        ends = set(lengths.tolist())
+        for lo in range(0, width, STRETCH):
+            ones, longer = self.table(words, lo, min(lo + STRETCH, width))
+            for t in range(len(ones)):
+                single = past[-1] * probs[ones[t]]
+                now, parts = single.copy(), []
+                for k, of, piece, edges in longer:
+                    i, j = edges[t], edges[t + 1]
+                    if j > i and k <= len(past):
+                        mass = past[-k][of[i:j]] * probs[piece[i:j]]
+                        now[of[i:j]] += mass
+                        parts.append((k, of[i:j], piece[i:j], mass))
+                if steps is not None:
+                    steps.append([(1, None, ones[t], single / now), *((k, of, piece, mass / now[of]) for k, of, piece, mass in parts)])
+                place = lo + t + 1
+                if place in ends:
+                    which = lengths == place
+                    out[which] = np.log(now[which]) + scale[which]
+                past.append(now)
+                if place % RESCALE == 0 and place < width:
+                    scale += np.log(now)
+                    past = [x / now for x in past[-self.longest :]]
+                elif len(past) > 2 * self.longest:
+                    past = past[-self.longest :]
+        return out
 
     def log_likelihood(self, words: list[str], probs: np.ndarray) -> np.ndarray:
-        """log P(word | language) for each word, with the mark of a word's start before it."""
+        """log P(word | language) for each word."""
         marked = [START + w for w in words]
         out = np.empty((len(words), probs.shape[1]))
-        for which, width in self._buckets(marked):
-            if width is None:
-                for i in which:
-                    out[i] = self.long_word(marked[i], probs)
-            else:
-                ids, lengths = self.table([marked[i] for i in which], width)
-                alpha = self.forward(ids, probs)
-                out[which] = np.log(alpha[lengths, np.arange(len(which))])
+        for which in self._buckets(marked, probs.shape[1]):
+            out[which] = self.sweep([marked[i] for i in which], probs)
         return out
 
     def expected(self, words: list[str], weights: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """Expected piece counts, (pieces + 2) x languages, of weighted words; very long words teach nothing."""
+        """Expected piece counts, (pieces + 2) x languages, of weighted words."""
         out = np.zeros_like(probs)
-        marked = [START + w for w in words]
-        for which, width in self._buckets(marked):
-            if width is None:
-                continue
-            ids, lengths = self.table([marked[i] for i in which], width)
-            alpha = self.forward(ids, probs)
-            n = len(which)
-            beta = np.zeros_like(alpha)
-            beta[lengths, np.arange(n)] = 1
-            for t in range(width - 1, -1, -1):
-                for k in range(min(width - t, MAX_PIECE)):
-                    beta[t] += np.where((t + k + 1 <= lengths)[:, None], probs[ids[k, :, t + k]] * beta[t + k + 1], 0)
-            per = weights[which] / beta[0]
-            for t in range(1, width + 1):
-                for k in range(min(t, MAX_PIECE)):
-                    piece = ids[k, :, t - 1]
-                    mass = alpha[t - k - 1] * probs[piece] * beta[t] * per
-                    for lang in range(probs.shape[1]):
-                        out[:, lang] += np.bincount(piece, mass[:, lang], len(out))
+        marked, own = [], []
+        for i, w in enumerate(words):
+            whole = START + w
+            for at in range(0, len(whole), STRETCH):
+                marked.append(whole[at : at + STRETCH])
+                own.append(i)
+        weights = weights[own]
+        for which in self._buckets(marked, probs.shape[1]):
+            some = [marked[i] for i in which]
+            lengths = np.fromiter(map(len, some), np.int64, len(some))
+            steps: list = []
+            self.sweep(some, probs, steps)
+            reach = np.zeros((len(steps) + 1, len(some), probs.shape[1]))  # expected times that a piece ends there
+            reach[lengths, np.arange(len(some))] = weights[which]
+            pieces, masses = [], []
+            for t in range(len(steps) - 1, -1, -1):
+                for k, of, piece, share in steps[t]:
+                    mass = share * (reach[t + 1] if of is None else reach[t + 1][of])
+                    if of is None:
+                        reach[t] += mass
+                    else:
+                        reach[t + 1 - k][of] += mass
+                    pieces.append(piece)
+                    masses.append(mass)
+            piece, mass = np.concatenate(pieces), np.concatenate(masses)
+            for lang in range(probs.shape[1]):
+                out[:, lang] += np.bincount(piece, mass[:, lang], len(out))
         return out
 
     @staticmethod
-    def _buckets(words: list[str]):
-        """Words of similar lengths together, at most 20,000 at a time; width None for long words."""
+    def _buckets(words: list[str], languages: int):
+        """Words of similar lengths together, as many as CELLS allows."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        lo = 0
-        for width in (4, 6, 8, 10, 12, 14, 17, 20, 26, 33, LONG_WORD):
-            which = np.flatnonzero((lengths > lo) & (lengths <= width))
-            for i in range(0, len(which), 20_000):
-                yield which[i : i + 20_000], width
-            lo = width
-        which = np.flatnonzero(lengths > LONG_WORD)
-        if len(which):
-            yield which, None
+        by = np.argsort(lengths, kind="stable")
+        at = 0
+        while at < len(by):
+            # up to a quarter longer than the first, and no more cells than allowed
+            end = int(np.searchsorted(lengths[by], int(lengths[by[at]]) * 5 // 4 + 1, "right"))
+            most = max(1, CELLS // (languages * min(int(lengths[by[end - 1]]), STRETCH)))
+            end = min(end, at + most)
+            yield by[at:end]
+            at = end
 
 
 _pieces: dict = {}
@@ -185,46 +221,57 @@ class Model:
 def _smoothed(counts: np.ndarray, strength: float = 0.05) -> np.ndarray:
     n = len(counts) - 2
     out = np.zeros_like(counts)
-    out[:n] = (counts[:n] + strength) / (counts[:n].sum(0) + strength * n)
+    out[:n] = np.maximum((counts[:n] + strength) / (counts[:n].sum(0) + strength * n), UNSEEN)
     out[n + 1] = UNSEEN
     return out
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str | None = None, sample_rows: int = 20_000, rounds: int = 2) -> Model | None:
-    """Fit on labelled rows: at most about sample_rows of them, chosen by hash; all if there are fewer."""
+def sampled(rows: DataFrame, counts: list, language_rows: int) -> DataFrame:
+    """Of rows(text, lang), for each language of counts(lang, n, texts) at most language_rows different texts.
+
+    texts is about how many different ones there are. A share of them by hash is taken, a half too many, and cut to
+    the least hashes, so that no window holds more than that.
+    """
+    shares = [(r["lang"], min(1.0, 1.5 * language_rows / max(1, r["texts"]))) for r in counts]
+    bounded = rows.sparkSession.createDataFrame(shares, "lang string, share double")
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    drawn = hashed.join(F.broadcast(bounded), "lang").where(F.shiftrightunsigned("h", 11) / float(1 << 53) < F.col("share"))
+    different = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    return different.withColumn("rank", rank).where(F.col("rank") <= language_rows).select("text", "lang")
+
+
+def train(
+    df: DataFrame, text_col: str = "text", lang_col: str = "lang", path: str | None = None, language_rows: int = 5_000, languages: int = 200, rounds: int = 2
+) -> Model | None:
+    """Fit on labelled rows within the bounds of the module's text; None where there are none."""
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    n = rows.count()
-    if not n:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+    known = counts.orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not known:
         return None
-    if n > sample_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
 
     def tally(batches):
-        from collections import Counter
-
         for batch in batches:
-            counts: dict[str, Counter] = {}
-            docs: Counter = Counter()
+            found: dict[str, Counter] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.setdefault(lang, Counter()).update(text.lower().split())
-                docs[lang] += 1
-            langs = [l for l, c in counts.items() for _ in c] + list(docs)
-            words = [w for c in counts.values() for w in c] + [None] * len(docs)
+                found.setdefault(lang, Counter()).update(text.lower().split())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array([x for c in counts.values() for x in c.values()] + list(docs.values()), pa.int64())],
+                [
+                    pa.array([l for l, c in found.items() for _ in c], pa.string()),
+                    pa.array([w for c in found.values() for w in c], pa.string()),
+                    pa.array([x for c in found.values() for x in c.values()], pa.int64()),
+                ],
                 names=["lang", "word", "n"],
             )
 
-    # a null word's count is the language's documents
-    words = staged(rows.mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langwords")
-    docs = {r["lang"]: r["n"] for r in words.where("word IS NULL").select("lang", "n").collect()}
-    languages = sorted(docs)
-    if not languages:
-        return None
-    prior = np.log(np.array([docs[l] for l in languages], float) / sum(docs.values()))
-    number = {l: i for i, l in enumerate(languages)}
+    words = staged(sampled(rows, known, language_rows).mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langwords")
+    names = sorted(r["lang"] for r in known)
+    n = {r["lang"]: r["n"] for r in known}
+    prior = np.log(np.array([n[l] for l in names], float) / sum(n.values()))
+    number = {l: i for i, l in enumerate(names)}
     size = len(vocabulary(path)) + 2
-    probs = np.full((size, len(languages)), 1.0 / size)
+    probs = np.full((size, len(names)), 1.0 / size)
     probs[-2], probs[-1] = 0, UNSEEN
     for _ in range(rounds):
         current = probs
@@ -233,7 +280,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", path: s
             finder = pieces(path)
             total = np.zeros_like(current)
             for batch in batches:
-                weights = np.zeros((batch.num_rows, len(languages)))
+                weights = np.zeros((batch.num_rows, len(names)))
                 weights[np.arange(batch.num_rows), [number[l] for l in batch.column(0).to_pylist()]] = batch.column(2).to_numpy(zero_copy_only=False)
                 total += finder.expected(batch.column(1).to_pylist(), weights, current)
             piece, lang = np.nonzero(total)
@@ -242,12 +289,12 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", path: s
             )
 
         # at most pieces x languages rows come to the driver
-        found = words.where("word IS NOT NULL").repartition(12).mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
-        counts = np.zeros_like(probs)
-        counts[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
-        probs = _smoothed(counts)
+        found = words.repartition("word").mapInArrow(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        counted = np.zeros_like(probs)
+        counted[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
+        probs = _smoothed(counted)
     unstage(words)
-    return Model(languages, prior, probs, path)
+    return Model(names, prior, probs, path)
 
 
 class Scorer:
@@ -269,13 +316,14 @@ class Scorer:
     def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [t.lower().split() if t and _LETTER.search(t) else None for t in texts]
         known = self.known
-        fresh = list({w for words in split if words for w in words if w not in known})
-        if len(known) + len(fresh) > CACHE and known:
+        distinct = set().union(*(words for words in split if words))
+        fresh = distinct.difference(known)
+        if (len(known) + len(fresh)) * len(self.model.languages) > KEPT_CELLS and known:
             known.clear()
             self.rows = np.zeros((0, self.rows.shape[1]))
-            fresh = list({w for words in split if words for w in words})
+            fresh = distinct
         if fresh:
-            self.learn(fresh)
+            self.learn(list(fresh))
         out = []
         for words in split:
             if not words:
@@ -300,8 +348,8 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 250):
+                part = batch.slice(lo, 250)
                 found = scorer.classify(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=names

@@ -463,42 +463,82 @@ def test_quality_references_of_small_languages(spark):
 # 8
 
 
-def test_forward_sums_all_segmentations():
+def segmentations(word, order, probs):
+    """(pieces, probability) of every segmentation, piece by piece."""
+    if not word:
+        yield (), np.ones(probs.shape[1])
+    for n in range(1, len(word) + 1):
+        i = order.get(word[:n], len(order) + 1 if n == 1 else None)
+        if i is not None:
+            for rest, p in segmentations(word[n:], order, probs):
+                yield (i, *rest), p * probs[i]
+
+
+def test_forward_and_expected_counts_equal_all_segmentations():
     finder = langid.pieces(None)
     r = np.random.default_rng(1)
     probs = langid._smoothed(r.random((len(finder.names) + 2, 3)))
     order = {p: i for i, p in enumerate(finder.names)}
-
-    def total(word):
-        if not word:
-            return np.ones(3)
-        out = np.zeros(3)
-        for n in range(1, min(len(word), langid.MAX_PIECE) + 1):
-            p = word[:n]
-            if p in order:
-                out = out + probs[order[p]] * total(word[n:])
-            elif n == 1:
-                out = out + langid.UNSEEN * total(word[1:])
-        return out
-
-    words = ["the", "straße", "xq", "a", "日本", "nation.", "12.5"]
-    got = finder.log_likelihood(words, probs)
-    for w, row in zip(words, got):
-        assert np.allclose(row, np.log(total(langid.START + w)))
-    long = "nationale" * 20
-    ids, _ = finder.table([langid.START + long], len(long) + 1)
-    alpha = finder.forward(ids * 1, probs * 1)
-    assert np.allclose(finder.log_likelihood([long], probs)[0], np.log(alpha[-1, 0]))
-    assert np.isfinite(finder.log_likelihood(["ab" * 6000], probs)).all()
-
-
-def test_expected_counts_sum_to_posterior_mass():
+    words = ["the", "straße", "xq", "a", "日本", "nation.", "12.5", "international"]
+    weights = r.random((len(words), 3))
+    counts = np.zeros_like(probs)
+    for w, row, weight in zip(words, finder.log_likelihood(words, probs), weights):
+        every = list(segmentations(langid.START + w, order, probs))
+        total = sum(p for _, p in every)
+        assert np.allclose(row, np.log(total))
+        for spelled, p in every:
+            for i in spelled:
+                counts[i] += weight * p / total
+    assert np.allclose(finder.expected(words, weights, probs), counts)
+    assert finder.longest == max(map(len, finder.names)) > 6
+
+
+def test_long_words_stay_in_range(monkeypatch):
     finder = langid.pieces(None)
-    probs = langid._smoothed(np.ones((len(finder.names) + 2, 2)))
-    words = ["nation", "other"]
-    counts = finder.expected(words, np.array([[2.0, 1.0], [1.0, 3.0]]), probs)
+    r = np.random.default_rng(2)
+    probs = langid._smoothed(r.random((len(finder.names) + 2, 2)) * 1e9)
+    without = ["ሀ" * 39, "ሀ" * 5000, "日" * 9000, "nationale" * 2000]
+    whole = finder.log_likelihood(without, probs)
+    assert np.isfinite(whole).all() and np.allclose(whole[0] - np.log(probs[order_of(finder, langid.START)]), 39 * math.log(langid.UNSEEN))
+    counts = finder.expected(without, np.ones((4, 2)), probs)
     spelled = np.array([len(p) for p in finder.names] + [0, 1])
-    assert np.allclose(spelled @ counts, [2 * 7 + 6, 7 + 3 * 6])
+    assert np.isfinite(counts).all() and np.allclose(spelled @ counts, sum(len(w) + 1 for w in without))
+    monkeypatch.setattr(langid, "STRETCH", 50)
+    monkeypatch.setattr(langid, "RESCALE", 7)
+    assert np.allclose(finder.log_likelihood(without, probs), whole)
+
+
+def order_of(finder, piece):
+    return finder.names.index(piece)
+
+
+def test_language_sample_is_bounded_per_language_and_ignores_copies(spark):
+    rows = [(prose(30, i), "aa") for i in range(900)] + [("one text again and again", "aa")] * 5_000 + [(prose(30, 5_000 + i), "rare") for i in range(3)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    counts = df.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts")).collect()
+    got = Counter(r["lang"] for r in langid.sampled(df, counts, 200).collect())
+    assert got == {"aa": 200, "rare": 3}
+    huge = [(c["lang"], c["n"], 10**14) for c in counts]  # a share of 1e-11 draws nothing here but is no zero threshold
+    assert langid.sampled(df, [dict(zip(("lang", "n", "texts"), x)) for x in huge], 200).count() <= 1
+    model = langid.train(df, language_rows=200, languages=1)
+    assert model.languages == ["aa"] and langid.train(df, language_rows=200).languages == ["aa", "rare"]
+
+
+def test_language_id_of_words_without_pieces(spark):
+    rows = [(i, "ሀሁሂ" * 13 + " the and", "am" if i % 2 else "en") for i in range(40)] + [(100, "ሰ" * 39, "am"), (101, "the cat and the dog", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.train(df)).collect()
+    assert len(got) == 42 and all(r["lang_pred"] in ("am", "en") and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_scores_equal_brute_force(spark, docs):
+    model = langid.train(docs)
+    finder = langid.pieces(None)
+    for r in langid.predict(docs, model).collect():
+        if r["lang_pred"] != "und":
+            words = r["text"].lower().split()
+            post = model.prior + sum(finder.log_likelihood([w], model.probs)[0] for w in words)
+            assert r["lang_pred"] == model.languages[int(post.argmax())] and math.isclose(r["score"], 1 / np.exp(post - post.max()).sum(), rel_tol=1e-6)
 
 
 def test_language_id(spark, docs, none):
