@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
-Beside the base counts, each document's character-class histogram and its histogram over the common words of
-its language are compared to references of that language by Jensen-Shannon distance (base 2, 0 to 1). A text
+Beside the base counts, each document's character-class histogram, in which every character is counted once, and its
+histogram over the most common words of its language, of any length, are compared to references of that language by
+Jensen-Shannon distance (base 2, 0 to 1). A text
 without common words lies at a distance that the reference fixes by its share of other words; a text as far as
 BARE of that distance is rejected, so that word salad and texts in another language do not pass, unless chance takes a clean
 text of its length that far (few common words in the reference) and it has FEW of their expected number. The
@@ -22,14 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillet.llm.common import SPACE_CLASS, SPACES, staged, unstage
+from quillet.llm.common import SPACE_CLASS, staged, unstage
 
 #: Fixed values of the base rules.
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = r"[#*$%&|<>]"
-CLASSES = ("letter", "upper", "digit", "space", "punctuation", "wide")
+CLASSES = ("letter", "upper", "digit", "punctuation", "wide letter", "space", "other")
 ANY = ""
 #: Part of the distance of a text without common words that a text may have.
 BARE = 0.95
@@ -40,18 +41,27 @@ FEW = 0.25
 
 
 def words_of(text: Column) -> Column:
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS + "+"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
 
 
-def _class_counts(text: Column, chars: Column, word_chars: Column) -> Column:
-    """Counts of CLASSES; wide is what UTF-8 takes beyond a byte per character, letter is the rest."""
-    upper, digit = F.regexp_count(text, F.lit("[A-Z]")), F.regexp_count(text, F.lit("[0-9]"))
-    punctuation = F.regexp_count(text, F.lit(r"[!-/:-@\[-`{-~]"))
-    wide = F.octet_length(text) - chars
-    space = chars - word_chars
-    letter = F.greatest(F.lit(0), chars - upper - digit - punctuation - space)
-    return F.array(*[x.cast("double") for x in (letter, upper, digit, space, punctuation, wide)])
+#: What is taken out of a text without white space, class by class; what is left at the end is "other".
+_TAKEN = ("[a-z]+", "[A-Z]+", "[0-9]+", r"[!-/:-@\[-`{-~]+", r"[\p{L}\p{M}]+")
+
+
+def _class_counts(chars: Column, word_chars: Column, lefts: Column) -> Column:
+    """Counts of CLASSES from the characters that are left after each of _TAKEN."""
+    taken = [F.get(lefts, F.lit(i)) - F.get(lefts, F.lit(i + 1)) for i in range(len(_TAKEN))]
+    return F.array(*[x.cast("double") for x in (*taken, chars - word_chars, F.get(lefts, F.lit(len(_TAKEN))))])
+
+
+def _with_classes(rows: DataFrame, joined: str) -> DataFrame:
+    """rows and __lefts, one projection a step, so that no step is done twice."""
+    for i, pattern in enumerate(_TAKEN):
+        source = joined if i == 0 else "__left"
+        before = F.array(F.char_length(joined)) if i == 0 else F.col("__lefts")
+        rows = rows.withColumn("__next", F.regexp_replace(source, pattern, ""))
+        rows = rows.withColumn("__lefts", F.concat(before, F.array(F.char_length("__next")))).withColumn("__left", F.col("__next")).drop("__next")
+    return rows.drop("__left")
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -82,72 +92,71 @@ def _read(df: DataFrame, id_col: str | None, text_col: str, lang_col: str) -> Da
     return df.select(*kept, F.coalesce(F.col(lang_col), F.lit(ANY)).alias("__lang"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
 
-def measures(read: DataFrame, id_col: str, common_chars: int, *kept: str) -> DataFrame:
-    """id, the base counts, class counts, the common words found (lower case, repeats kept) and the columns kept.
+def measures(read: DataFrame, id_col: str, common: int, *kept: str) -> DataFrame:
+    """id, the base counts, class counts, the number of each common word, and the columns kept.
 
-    __list of read holds the common words of the row's language.
+    __keys of read holds the hashes of the at most `common` common words of the row's language.
     """
     text = F.col("__text")
     split = read.select("*", words_of(text).alias("__words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"))
     n = F.size("__words")
-    windows = F.when(
-        n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("__words"), i, WINDOW)))
-    ).otherwise(F.array().cast("array<bigint>"))
     counted = split.select(
         id_col,
         *kept,
-        "__text",
+        "__keys",
+        F.char_length(text).alias("__chars"),
         n.cast("long").alias("n_words"),
-        F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.array_join("__words", "").alias("__joined"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        windows.alias("__windows"),
-        F.filter("__words", lambda w: (F.char_length(w) <= common_chars) & F.array_contains(F.col("__list"), F.lower(w))).alias("__found"),
+        F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
+        F.when(F.size("__keys") > 0, F.transform("__words", lambda w: F.xxhash64(F.lower(w)))).alias("__low"),
     )
+    h = lambda i: F.get("__hashes", i)
+    windows = F.when(
+        F.col("n_words") >= WINDOW,
+        F.transform(F.slice("__hashes", F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1)), lambda x, i: F.xxhash64(x, *[h(i + k) for k in range(1, WINDOW)])),
+    ).otherwise(F.array().cast("array<bigint>"))
+    ready = _with_classes(counted.withColumn("__windows", windows), "__joined")
+    # compiled removals of each key, which find a word faster than a lambda that looks each word up
+    hits = F.array(*[F.size("__low") - F.size(F.array_remove("__low", F.get("__keys", F.lit(k)))) for k in range(common)])
     repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    return counted.select(
+    word_chars = F.char_length("__joined")
+    return ready.select(
         id_col,
         *kept,
         "n_words",
-        "word_chars",
+        word_chars.cast("long").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         F.when(repeats, _repeat_words(F.col("__windows"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
-        _class_counts(text, F.char_length(text), F.col("word_chars")).alias("__classes"),
-        F.transform("__found", lambda w: F.lower(w)).alias("__low"),
+        _class_counts(F.col("__chars"), word_chars, F.col("__lefts")).alias("__classes"),
+        F.slice(hits, F.lit(1), F.size("__keys")).alias("__hits"),
     )
 
 
-def references(df: DataFrame, text_col: str, lang_col: str, common: int, common_chars: int, least_words: int) -> DataFrame:
-    """__lang, class shares, common words, their shares and the share of all others, per language with enough text.
+def references(df: DataFrame, text_col: str, lang_col: str, common: int, least_words: int) -> DataFrame:
+    """__lang, class shares, hashes of the common words, their shares and the share of all others, per language with enough text.
 
-    One scan counts short words and, under names that no word has, words and character classes. A language has a
+    One scan counts all words and, under names that no word has, words and character classes. A language has a
     reference from least_words words on, whatever its part of the table; nothing comes to the driver.
     """
     text = F.col("__text")
-    split = _read(df, None, text_col, lang_col).where("__text <> '' AND __lang <> ''").select("*", words_of(F.lower(text)).alias("words"))
+    split = _read(df, None, text_col, lang_col).where("__text <> '' AND __lang <> ''").select("__lang", F.char_length(text).alias("__chars"), words_of(F.lower(text)).alias("words"), F.regexp_replace(text, SPACE_CLASS + "+", "").alias("__joined"))
+    joined = _with_classes(split, "__joined")
     entry = lambda w, n: F.struct(w.alias("word"), n.alias("n"))
-    one = F.lit(1.0)
-    classes = _class_counts(text, F.char_length(text), F.char_length(F.array_join("words", "")))
-    totals = split.select("*", classes.alias("c")).select(
-        "__lang",
-        F.inline(F.concat(
-            F.transform(F.filter("words", lambda w: F.char_length(w) <= common_chars), lambda w: entry(w, one)),
-            F.array(entry(F.lit(" words"), F.size("words").cast("double")), *[entry(F.lit(f" {k}"), F.get("c", F.lit(i))) for i, k in enumerate(CLASSES)]),
-        )),
-    )
-    counts = staged(totals.groupBy("__lang", "word").agg(F.sum("n").alias("n")), "counts")
-    of = lambda name: F.max(F.when(F.col("word") == f" {name}", F.col("n")))
-    sums = counts.where("word LIKE ' %'").groupBy("__lang").agg(of("words").alias("words"), F.array(*[of(k) for k in CLASSES]).alias("c"))
+    classes = joined.select("__lang", "words", _class_counts(F.col("__chars"), F.char_length("__joined"), F.col("__lefts")).alias("c"))
+    sums = classes.groupBy("__lang").agg(F.sum(F.size("words")).cast("double").alias("words"), F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(len(CLASSES))]).alias("c"))
+    counts = staged(split.select("__lang", F.explode("words").alias("word")).groupBy("__lang", "word").agg(F.count(F.lit(1)).alias("n")), "counts")
     rank = F.row_number().over(W.partitionBy("__lang").orderBy(F.desc("n"), "word"))
-    top = counts.where("word NOT LIKE ' %'").withColumn("r", rank).where(f"r <= {common}")
+    top = counts.withColumn("r", rank).where(f"r <= {common}")
     tops = top.groupBy("__lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
     shares = F.coalesce(F.transform("top", lambda x: x["n"] / F.col("words")), F.array().cast("array<double>"))
     rest = 1 - F.aggregate("__shares", F.lit(0.0), lambda a, x: a + x)
     refs = sums.where(F.col("words") >= least_words).join(tops, "__lang", "left").withColumn("__shares", shares).select(
         "__lang",
         _shares(F.col("c")).alias("__class_ref"),
-        F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("__list"),
+        F.transform(F.coalesce(F.col("top.word"), F.array().cast("array<string>")), lambda w: F.xxhash64(w)).alias("__keys"),
         F.concat("__shares", F.array(F.greatest(F.lit(0.0), rest))).alias("__word_ref"),
     )
     found = staged(refs, "references")
@@ -192,7 +201,6 @@ def judge(
     text_col: str = "text",
     lang_col: str = "lang",
     common: int = 24,
-    common_chars: int = 4,
     min_words: int = 60,
     max_class_distance: float = 0.3,
     max_word_distance: float = 0.7,
@@ -200,16 +208,13 @@ def judge(
 ) -> DataFrame:
     """id, base counts, base_failed, kept, class_distance and word_distance (null where not judged by them)."""
     # the text of min_docs documents of the least length that is judged
-    refs = references(df, text_col, lang_col, common, common_chars, min_docs * min_words)
+    refs = references(df, text_col, lang_col, common, min_docs * min_words)
     read = _read(df, id_col, text_col, lang_col).join(refs, "__lang", "left")
-    rows = measures(read, id_col, common_chars, "__list", "__class_ref", "__word_ref")
+    rows = measures(read, id_col, common, "__class_ref", "__word_ref")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    hist = rows.select(
-        "*",
-        F.concat(
-            F.transform("__list", lambda c: (F.size("__low") - F.size(F.array_remove(F.col("__low"), c))).cast("double")),
-            F.array((F.col("n_words") - F.size("__low")).cast("double")),
-        ).alias("__hist"),
+    n_common = F.aggregate(F.col("__hits"), F.lit(0), lambda a, x: a + x)
+    hist = rows.withColumn("__n_common", n_common).withColumn(
+        "__hist", F.concat(F.transform("__hits", lambda x: x.cast("double")), F.array((F.col("n_words") - F.col("__n_common")).cast("double")))
     )
     long = (F.col("n_words") >= min_words) & F.col("__class_ref").isNotNull()
     far = hist.select(
@@ -219,9 +224,9 @@ def judge(
         F.when(long, jensen_shannon(_shares(F.col("__classes")), F.col("__class_ref"))).alias("class_distance"),
         F.when(long, jensen_shannon(_shares(F.col("__hist")), F.col("__word_ref"))).alias("word_distance"),
         "__word_ref",
-        F.size("__low").alias("__common"),
+        "__n_common",
     )
-    lacks = lacks_words(F.col("word_distance"), F.col("__word_ref"), F.col("n_words"), F.col("__common"))
+    lacks = lacks_words(F.col("word_distance"), F.col("__word_ref"), F.col("n_words"), F.col("__n_common"))
     fits = F.col("class_distance").isNull() | ((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance) & ~lacks)
     return far.select(id_col, *_BASE, "base_failed", (~F.col("base_failed") & fits).alias("kept"), "class_distance", "word_distance")
 

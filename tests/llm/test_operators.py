@@ -426,9 +426,83 @@ def test_quality(docs, none):
     assert quality.judge(none).count() == 0
 
 
+def shares(counts):
+    return [c / sum(counts) if sum(counts) else 0.0 for c in counts]
+
+
+def divergence(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m) if a > 0)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def class_counts(text):
+    import unicodedata
+
+    counts = [0] * 7
+    for c in text:
+        if SPACE.fullmatch(c):
+            counts[5] += 1
+        elif c.isascii() and c.isalnum():
+            counts[0 if c.islower() else 1 if c.isupper() else 2] += 1
+        elif "!" <= c <= "~":
+            counts[3] += 1
+        else:
+            counts[4 if unicodedata.category(c)[0] in "LM" else 6] += 1
+    return counts
+
+
+def judged(rows, common=24, min_words=60, min_docs=50):
+    """(base_failed, kept, class_distance, word_distance) of each row (id, text, lang), by the defaults of judge()."""
+    texts_of = defaultdict(list)
+    for _, t, lang in rows:
+        if t and lang:
+            texts_of[lang].append(t)
+    words = lambda t: [w for w in SPACE.split(t) if w]
+    refs = {}
+    for lang, every in texts_of.items():
+        counts = Counter(w for t in every for w in words(t.lower()))
+        n = sum(counts.values())
+        if n >= min_docs * min_words:
+            top = sorted(counts, key=lambda w: (-counts[w], w.encode()))[:common]
+            of = [counts[w] / n for w in top]
+            refs[lang] = top, shares([sum(x) for x in zip(*map(class_counts, every))]), [*of, max(0.0, 1 - sum(of))]
+    for i, t, lang in rows:
+        n, failed = len(words(t or "")), base_quality(t or "")[5]
+        if n < min_words or lang not in refs:
+            yield i, (failed, not failed, None, None)
+            continue
+        top, class_ref, word_ref = refs[lang]
+        low = Counter(w.lower() for w in words(t))
+        hist = [low[w] for w in top]
+        far = divergence(shares(class_counts(t)), class_ref), divergence(shares([*hist, n - sum(hist)]), word_ref)
+        bare = divergence([0.0] * len(top) + [1.0], word_ref)
+        chance = len(top) / (8 * math.log(2) * n)
+        lacks = far[1] > quality.BARE * bare and (sum(hist) < quality.FEW * (1 - word_ref[-1]) * n or far[1] ** 2 > quality.NOISE * chance)
+        yield i, (failed, not failed and far[0] <= 0.3 and far[1] <= 0.7 and not lacks, *far)
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    r = random.Random(8)
+    greek = str.maketrans("abcdefghilmnorstu", "αβγδεφγηιλμνορστυ")
+    rows = [(i, prose(r.randint(5, 150), i).capitalize(), "en") for i in range(120)]
+    rows += [(1000 + i, prose(r.randint(30, 200), i).translate(greek) + " – « 12 »", "el") for i in range(60)]
+    rows += [(2000 + i, t, l) for i, (_, t, l) in enumerate(ROWS)]
+    rows += [(3000, "0123 456 " * 80, "en"), (3001, " ".join(f"zq{i}x" for i in range(300)), "en"), (3002, prose(100, 1).translate(greek), "en"), (3003, "e\u0301 日本 🙂 ½ " * 30 + prose(90, 2), "en")]
+    expected = dict(judged(rows))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        failed, kept, *far = expected[r["doc_id"]]
+        assert (r["base_failed"], r["kept"]) == (failed, kept), r
+        for a, b in zip(far, (r["class_distance"], r["word_distance"])):
+            assert (a is None) == (b is None) and (a is None or math.isclose(a * a, b * b, abs_tol=1e-12)), (r, far)
+    assert {True, False} == {k for _, k, *_ in expected.values()} and not expected[3001][1]
+
+
 def test_quality_divergence(spark):
     rows = [(i, prose(200, i), "en") for i in range(200)] + [(900, " ".join("0123456789"[i % 10] * (3 + i % 7) + str(i) for i in range(300)), "en")]
-    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), common_chars=9))
+    got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
     assert not got[900][0]["kept"] and sum(not got[i][0]["kept"] for i in range(200)) == 0
     p, q = [0.5, 0.5, 0.0], [0.1, 0.4, 0.5]
     m = [(a + b) / 2 for a, b in zip(p, q)]
