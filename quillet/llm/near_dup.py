@@ -12,11 +12,13 @@ same for any length of shingle list; the threshold grows where a coordinate stay
 Documents with equal shingle sequences are one node. Nodes that share a band of the signature share a bucket.
 In each bucket every member is compared with a centre, the member that shares most buckets with others, as a text
 that others were edited from does. Where members are still in different classes after that, those outside the
-bucket's largest class are its query set and are compared with the bucket's members in blocks, best agreement
-first, each pair in the first bucket that it shares; only links that join classes leave a block. So every pair
-that shares a bucket is compared or already connected, and no bucket's pairs are emitted. Compared pairs are
-settled by the share of agreeing coordinates where it is far from the threshold, and by the exact weighted Jaccard
-similarity of the whole texts between. Classes are connected components, found by joins alone.
+bucket's largest class are its query set and are compared with the bucket's members in blocks, each pair in the
+first bucket that it shares. Blocks are read twice: first with signatures alone, which settle the pairs whose share of
+agreeing coordinates is far from the threshold and name the members that are left with an unsettled one; then, for
+these alone, with whole texts, in blocks of bounded bytes, best agreement first, by exact weighted Jaccard similarity.
+Only links that join classes leave a block. So every pair that shares a bucket is compared or already connected, and
+no bucket's pairs are emitted. Classes are connected components, found by joins alone. A node's text is found by the
+hash of a row's id and text, so null and repeated ids lose none.
 
 Defined results: words are compared in lower case; a text of under five words is one shingle of all its words;
 a null text or one without words is a class of its own with all other such texts; the class id is the least id
@@ -30,7 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ COORDS = BANDS * ROWS
 SURELY, HARDLY = 0.95, 0.65
 #: Members, and askers, of a bucket in one block of the second comparison.
 BLOCK = 2048
+#: Bytes of texts on either side of a block.
+BLOCK_BYTES = 24_000_000
 #: Shingle sets that a worker keeps while it compares.
 KEPT_SETS = 4096
 
@@ -193,7 +197,7 @@ def share_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, node (digest of the lower-case word sequence), sig (low byte of each coordinate), bands."""
+    """id, key of the row, node (digest of the lower-case word sequence), sig (low byte of each coordinate), bands."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -215,14 +219,20 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(nodes, pa.binary()),
                         pa.array([low[i].tobytes() for i in at], pa.binary()),
                         pa.array([keys[i] if len(sets[i][0]) else keys[i][:0] for i in at], pa.list_(pa.int64())),
                     ],
-                    names=["id", "node", "sig", "bands"],
+                    names=["id", "key", "node", "sig", "bands"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {id_type}, node binary, sig binary, bands array<bigint>")
+    return df.select(id_col, text_col, _key(id_col, text_col).alias("key")).mapInArrow(run, f"id {id_type}, key long, node binary, sig binary, bands array<bigint>")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    """A row's key, by which its text is found again; only rows of one text and id share one."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
 
 def _agreement(pairs: DataFrame) -> DataFrame:
@@ -271,14 +281,14 @@ def _exact(pairs: DataFrame) -> DataFrame:
 
 
 def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, text of wanted nodes: the text of the node's least id whose words make up the node."""
+    """node, text of wanted nodes: the text of the row with the node's least key."""
 
     def run(batches):
         for batch in batches:
             keep = [node_of(t) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    found = wanted.join(nodes, "node").join(texts, "id").select("node", "text").mapInArrow(run, "node binary, text string")
+    found = wanted.join(nodes, "node").join(texts, "key").select("node", "text").mapInArrow(run, "node binary, text string")
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
@@ -305,9 +315,9 @@ def components(edges: DataFrame, round_label: str) -> DataFrame:
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id, class_size, kept."""
     rows = staged(signatures(df, id_col, text_col), "darts")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = df.select(_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     # one row for each different word sequence; equal rows are reduced before the shuffle
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"))
+    nodes = rows.groupBy("node").agg(F.min("key").alias("key"))
     banded = rows.select("node", F.explode("bands").alias("band")).distinct()
     # aggregates are written before they are joined back: then Spark splits a hot key or broadcasts a small table
     shared = staged(banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
@@ -348,56 +358,121 @@ def _star(pairs: DataFrame, marks: DataFrame, nodes: DataFrame, texts: DataFrame
     return found
 
 
+def _cells(asked: DataFrame) -> DataFrame:
+    """band, row, column, asks, node, label: a grid of member blocks and query blocks for each band.
+
+    asked: band, node, label, member, asks, and of its band the blocks of either side (rows, columns). No cell holds
+    more than a block of either, however large the bucket.
+    """
+    row, column = F.pmod(F.xxhash64("node"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("columns")).cast("int")
+    cell = lambda r, c, asks: F.struct(r.alias("row"), c.alias("column"), F.lit(asks).alias("asks"))
+    none = F.array().cast("array<struct<row:int,column:int,asks:boolean>>")
+    as_member = F.when(F.col("member"), F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: cell(row, c, False))).otherwise(none)
+    as_query = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: cell(r, column, True))).otherwise(none)
+    return asked.select("band", "node", "label", F.explode(F.concat(as_member, as_query)).alias("x")).select("band", "node", "label", "x.*")
+
+
+def _blocks(n: Column, size: Column | None = None) -> Column:
+    blocks = F.ceil(n / BLOCK)
+    return F.greatest(F.lit(1), blocks if size is None else F.greatest(blocks, F.ceil(size / BLOCK_BYTES))).cast("int")
+
+
+class _Cell:
+    """One cell's members and askers, and which of them are in one class by now."""
+
+    def __init__(self, table: pa.Table):
+        self.table = order = table.sort_by("node")
+        self.node = order["node"].to_pylist()
+        self.sig = np.frombuffer(b"".join(order["sig"].to_pylist()), np.uint8).reshape(-1, COORDS)
+        self.bands = np.array(order["bands"].to_pylist(), np.int64)
+        self.before = np.arange(BANDS) < int(np.argmax(self.bands[0] == order["band"][0].as_py()))
+        asks = np.array(order["asks"].to_pylist(), bool)
+        self.members, self.askers = np.flatnonzero(~asks), np.flatnonzero(asks)
+        number: dict = {}
+        self.own = np.array([number.setdefault(x, len(number)) for x in order["label"].to_pylist()])
+        self.root = np.arange(len(number))
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def joins(self, q: int, u: int) -> bool:
+        """Puts the classes of q and u together; false if they were."""
+        x, y = self.find(self.own[q]), self.find(self.own[u])
+        self.root[x] = y
+        return x != y
+
+    def pairs(self, q: int, least: float, most: float) -> list[tuple[float, int]]:
+        """share and member, best first, of q's pairs with a share in [least, most) that no earlier bucket has."""
+        m = self.members
+        share = share_of(self.sig[m], self.sig[q])
+        # pairs that share an earlier bucket are that bucket's
+        near = (self.own[m] != self.own[q]) & (share >= least) & (share < most) & ~((self.bands[m] == self.bands[q])[:, self.before].any(1))
+        todo = np.flatnonzero(near)
+        todo = todo[np.argsort(-share[todo], kind="stable")]
+        return list(zip(share[todo].tolist(), m[todo].tolist()))
+
+
+def _by_signatures(table: pa.Table) -> pa.Table:
+    """Links a, b of pairs that signatures settle; and, with b null, each node a that is in an unsettled pair."""
+    cell, out = _Cell(table), []
+    for q in cell.askers.tolist():
+        for _, u in cell.pairs(q, SURELY, 2.0):
+            if cell.joins(q, u):
+                out.append((cell.node[q], cell.node[u], False, False))
+    asking, asked = set(), set()
+    for q in cell.askers.tolist():
+        own = cell.find(cell.own[q])
+        left = [u for _, u in cell.pairs(q, HARDLY, SURELY) if cell.find(cell.own[u]) != own]
+        if left:
+            asking.add(q)
+            asked.update(left)
+    out += [(cell.node[i], None, i in asking, i in asked) for i in asking | asked]
+    a, b, asks, member = zip(*out) if out else ((), (), (), ())
+    band = pa.array([table["band"][0].as_py()] * len(out), pa.int64())
+    return pa.table([band, pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(asks, pa.bool_()), pa.array(member, pa.bool_())], names=["band", "a", "b", "asks", "member"])
+
+
+def _by_texts(table: pa.Table) -> pa.Table:
+    """Links a, b of the unsettled pairs that are similar."""
+    cell, sets, a, b = _Cell(table), _Sets(), [], []
+    text = cell.table["text"].to_pylist()
+    for q in cell.askers.tolist():
+        for share, u in cell.pairs(q, HARDLY, SURELY):
+            if cell.find(cell.own[q]) != cell.find(cell.own[u]) and _similar(share, text[q], text[u], sets):
+                cell.joins(q, u)
+                a.append(cell.node[q])
+                b.append(cell.node[u])
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
 def _within(rest: DataFrame, labels: DataFrame, marks: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Links between classes inside buckets (centres left out) whose members are of several classes."""
     placed = staged(rest.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "rest")
     sizes = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     top = F.max(F.struct("n", "label"))
-    mixed = sizes.groupBy("band").agg(top["label"].alias("largest"), F.sum("n").alias("members"), (F.sum("n") - top["n"]).alias("asking"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    some = staged(placed.join(staged(mixed, "bands"), "band").select("band", "node", "label", "largest", "members", "asking"), "mixed")
+    mixed = sizes.groupBy("band").agg(
+        top["label"].alias("largest"), _blocks(F.sum("n")).alias("rows"), _blocks(F.sum("n") - top["n"]).alias("columns"), F.count(F.lit(1)).alias("labels")
+    ).where("labels > 1")
+    asked = placed.join(staged(mixed, "bands"), "band").select("band", "node", "label", F.lit(True).alias("member"), (F.col("label") != F.col("largest")).alias("asks"), "rows", "columns")
+    some = staged(asked, "mixed")
     unstage(placed)
     if some.isEmpty():
         return None
-    wanted = some.select("node").distinct()
-    bodies = marks.join(wanted, "node").join(_texts_of(wanted, nodes, texts), "node", "left")
-    # a grid of member blocks and query blocks: no cell holds more than a block of either, however large the bucket
-    rows, columns = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "asking"))
-    row, column = F.pmod(F.xxhash64("node"), rows).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), columns).cast("int")
-    cell = lambda r, c, asks: F.struct(r.alias("row"), c.alias("column"), F.lit(asks).alias("asks"))
-    as_member = F.transform(F.sequence(F.lit(0), columns - 1), lambda c: cell(row, c, False))
-    as_query = F.transform(F.sequence(F.lit(0), rows - 1), lambda r: cell(r, column, True))
-    spread = some.select("band", "node", "label", F.explode(F.when(F.col("label") != F.col("largest"), F.concat(as_member, as_query)).otherwise(as_member)).alias("x")).select("band", "node", "label", "x.*")
-
-    def compare(table: pa.Table) -> pa.Table:
-        order = table.sort_by("node")
-        node, label, text = (order[c].to_pylist() for c in ("node", "label", "text"))
-        sig = np.frombuffer(b"".join(order["sig"].to_pylist()), np.uint8).reshape(-1, COORDS)
-        bands = np.array(order["bands"].to_pylist(), np.int64)
-        before = np.arange(BANDS) < int(np.argmax(bands[0] == order["band"][0].as_py()))
-        asks = np.array(order["asks"].to_pylist(), bool)
-        members = np.flatnonzero(~asks)
-        number = {x: i for i, x in enumerate(dict.fromkeys(label))}
-        root = np.arange(len(number))
-        own = np.array([number[x] for x in label])
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        sets, a, b = _Sets(), [], []
-        for q in np.flatnonzero(asks):
-            share = share_of(sig[members], sig[q])
-            # pairs that share an earlier bucket are that bucket's
-            near = (own[members] != own[q]) & (share >= HARDLY) & ~((bands[members] == bands[q])[:, before].any(1))
-            todo = np.flatnonzero(near)
-            for k in todo[np.argsort(-share[todo], kind="stable")].tolist():
-                u = members[k]
-                x, y = find(own[q]), find(own[u])
-                if x != y and _similar(float(share[k]), text[q], text[u], sets):
-                    root[x] = y
-                    a.append(node[q])
-                    b.append(node[u])
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return staged(spread.join(bodies, "node").groupBy("band", "row", "column").applyInArrow(compare, "a binary, b binary"), "within")
+    cells = _cells(some).join(marks, "node").groupBy("band", "row", "column")
+    signed = staged(cells.applyInArrow(_by_signatures, "band long, a binary, b binary, asks boolean, member boolean"), "signed")
+    links = signed.where("b IS NOT NULL").select("a", "b")
+    open_ = signed.where("b IS NULL").groupBy("band", F.col("a").alias("node")).agg(F.max("asks").alias("asks"), F.max("member").alias("member"))
+    left = staged(open_.join(some.select("band", "node", "label"), ["band", "node"]), "unsettled")
+    unstage(some)
+    if left.isEmpty():
+        return links
+    wanted = left.select("node").distinct()
+    bodies = staged(marks.join(wanted, "node").join(_texts_of(wanted, nodes, texts), "node", "left"), "bodies")
+    sized = left.join(bodies.select("node", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")), "node")
+    of = lambda side: _blocks(F.count_if(side), F.sum(F.when(F.col(side), F.col("bytes")).otherwise(0)))
+    grid = staged(sized.groupBy("band").agg(of("member").alias("rows"), of("asks").alias("columns")), "grid")
+    cells = _cells(left.join(grid, "band")).join(bodies, "node").groupBy("band", "row", "column")
+    return links.unionByName(staged(cells.applyInArrow(_by_texts, "a binary, b binary"), "within"))

@@ -343,10 +343,12 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 3])
-def test_near_dedup_equals_brute_force(spark, none, monkeypatch, block):
+@pytest.mark.parametrize("block,size", [(2048, 24_000_000), (3, 24_000_000), (2048, 3_000)])
+def test_near_dedup_equals_brute_force(spark, none, monkeypatch, block, size):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", size)
     rows = near_rows()
+    rows += [(None, t) for _, t in rows if t and len(t) > 400][::7] + rows[-3:]  # null and repeated ids
     got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     parent = list(range(len(rows)))
 
