@@ -18,11 +18,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         made = spark.sparkContext.getCheckpointDir()
         if not made:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillet-"))
             made = spark.sparkContext.getCheckpointDir()
         folder = made
