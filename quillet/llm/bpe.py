@@ -1,11 +1,13 @@
 """Byte-level BPE by overlapping chunk encoding.
 
-Texts longer than chunk_chars are cut into overlapping chunks that are pre-tokenised and encoded in parallel
-tasks. Pre-tokenisation has no memory to its left, so where two neighbouring chunks share a boundary they
+Texts longer than chunk_chars are cut into overlapping chunks that are pre-tokenised in parallel tasks; the stitched
+pre-tokens are dealt out again in runs that are encoded in parallel tasks, and one task per text digests the runs in
+order. Pre-tokenisation has no memory to its left, so where two neighbouring chunks share a boundary they
 agree from there on: stitching keeps the left chunk up to the first shared boundary and the right one after
 it. Boundaries next to a chunk's cut end are not trusted; where an overlap holds no shared boundary (a run
-longer than the overlap) the texts are joined and pre-tokenised on from the last sure boundary, so results are
-exact for any chunk size. Each pre-token is encoded once per worker and kept; decoding concatenates the bytes
+longer than the overlap) the texts are joined and pre-tokenised on from the last sure boundary, each time over at
+least twice as much, so results are exact for any chunk size and even a text without boundaries is read a bounded
+number of times. Each pre-token is encoded once per worker and kept; decoding concatenates the bytes
 of the ids.
 
 Defined results: null counts as empty (no ids, digests of nothing); repeated rows and repeated or null ids
@@ -61,12 +63,16 @@ class Codec:
             self.cache[token] = got
         return got
 
-    def digest(self, tokens) -> tuple[int, str, str]:
-        """Number of ids, digest of the decimal ids, digest of the decoded bytes."""
+    def encoded(self, tokens) -> tuple[int, bytes, bytes]:
+        """Number of ids, decimal ids joined by a space, decoded bytes."""
         cache, piece = self.cache, self.piece
         found = [cache.get(t) or piece(t) for t in tokens]
-        ids = b" ".join([f[1] for f in found])
-        return sum([f[0] for f in found]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join([f[2] for f in found])).hexdigest()
+        return sum([f[0] for f in found]), b" ".join([f[1] for f in found]), b"".join([f[2] for f in found])
+
+    def digest(self, tokens) -> tuple[int, str, str]:
+        """Number of ids, digest of the decimal ids, digest of the decoded bytes."""
+        n, ids, raw = self.encoded(tokens)
+        return n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest()
 
     def ends(self, text: str, start: int = 0, last: bool = True) -> list[int]:
         """Pre-token ends, offset by start; without those that the cut end of a chunk may have moved."""
@@ -83,11 +89,12 @@ class Codec:
     def stitch(self, chunks: list[tuple[int, str, list[int]]], total: int) -> list[int]:
         """All pre-token ends of a text from (start, chunk, ends) in order; the last chunk reaches the text's end."""
         sure: list[int] = []
-        at = 0  # the last sure boundary
+        at, tried = 0, 0  # the last sure boundary, and characters read on from it without finding another
         for i, (start, text, ends) in enumerate(chunks):
-            end = start + len(text)
+            end, last = start + len(text), i == len(chunks) - 1
             if i == 0:
-                sure, at = list(ends), ends[-1] if ends else 0
+                sure = list(ends)
+                at = sure[-1] if sure else 0
                 continue
             known = set(ends) | {start}
             k = len(sure)  # the first shared boundary at or after this chunk's start
@@ -99,14 +106,17 @@ class Codec:
                 cut = sure[shared]
                 del sure[shared + 1 :]
                 sure += [e for e in ends if e > cut]
-            else:  # no resynchronisation in the overlap: go on from the last sure boundary over the joined text
+                at, tried = sure[-1] if sure else 0, 0
+            elif last or end - at >= 2 * tried:
+                # no resynchronisation in the overlap: go on from the last sure boundary over the joined text
                 joined = "".join(
                     t[max(0, at - s) : (chunks[j + 1][0] - s if j < i else len(t))]
                     for j, (s, t, _) in enumerate(chunks[: i + 1])
                     if (chunks[j + 1][0] if j < i else end) > at
                 )
-                sure += self.ends(joined, at, end == total)
-            at = sure[-1] if sure else 0
+                found = self.ends(joined, at, end == total)
+                sure += found
+                at, tried = (found[-1], 0) if found else (at, end - at)
         return sure
 
 
@@ -151,14 +161,42 @@ def encode(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.binary())], names=["rid", id_col, "total", "start", "chunk", "ends"])
 
     def join(table: pa.Table) -> pa.Table:
-        c = codec(ranks_path)
+        """Runs of whole pre-tokens, of about a chunk each, with the pre-tokens' ends in the run."""
         parts = sorted(zip(table["start"].to_pylist(), table["chunk"].to_pylist(), table["ends"].to_pylist()))
-        total = table["total"][0].as_py()
         chunks = [(s, t, np.frombuffer(e, "<i8").tolist()) for s, t, e in parts]
         text = "".join(t[: (chunks[i + 1][0] - s if i + 1 < len(chunks) else len(t))] for i, (s, t, _) in enumerate(chunks))
-        ends = c.stitch(chunks, total)
-        tokens = (text[a:b] for a, b in zip([0, *ends], ends))
-        return pa.Table.from_batches([rows(table[id_col].combine_chunks()[:1], [c.digest(tokens)])])
+        ends = np.array(codec(ranks_path).stitch(chunks, table["total"][0].as_py()), "<i8")
+        runs, at, first = [], 0, 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, at + chunk_chars, "right")))
+            stop = int(ends[last - 1])
+            runs.append((text[at:stop], (ends[first:last] - at).tobytes()))
+            at, first = stop, last
+        n = len(runs)
+        return pa.table(
+            [table["rid"].combine_chunks()[:1].take(pa.array([0] * n, pa.int64())), table[id_col].combine_chunks()[:1].take(pa.array([0] * n, pa.int64())), pa.array(range(n), pa.int32()),
+             pa.array([t for t, _ in runs], pa.string()), pa.array([e for _, e in runs], pa.binary())],
+            names=["rid", id_col, "run", "text", "ends"],
+        )
+
+    def encoded(batches):
+        c = codec(ranks_path)
+        for batch in batches:
+            found = []
+            for text, ends in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                ends = np.frombuffer(ends, "<i8").tolist()
+                found.append(c.encoded([text[a:b] for a, b in zip([0, *ends], ends)]))
+            n, ids, raw = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(raw, pa.binary())], names=["rid", id_col, "run", "n", "ids", "raw"])
+
+    def finish(table: pa.Table) -> pa.Table:
+        table = table.sort_by("run")
+        a, b = hashlib.sha256(), hashlib.sha256()
+        for i, (ids, raw) in enumerate(zip(table["ids"], table["raw"])):
+            a.update((b" " if i else b"") + ids.as_py())
+            b.update(raw.as_py())
+        n = sum(table["n"].to_pylist())
+        return pa.Table.from_batches([rows(table[id_col].combine_chunks()[:1], [(n, a.hexdigest(), b.hexdigest())])])
 
     src = df.select(F.col(id_col), F.col(text_col).alias("__text"))
     n = F.coalesce(F.char_length("__text"), F.lit(0))
@@ -172,6 +210,10 @@ def encode(
         .repartition("rid", "start")
         .mapInArrow(cut, f"rid long, `{id_col}` {id_type}, total long, start long, chunk string, ends binary")
         .groupBy("rid")
-        .applyInArrow(join, out)
+        .applyInArrow(join, f"rid long, `{id_col}` {id_type}, run int, text string, ends binary")
+        .repartition("rid", "run")
+        .mapInArrow(encoded, f"rid long, `{id_col}` {id_type}, run int, n long, ids binary, raw binary")
+        .groupBy("rid")
+        .applyInArrow(finish, out)
     )
     return short.unionByName(long)
