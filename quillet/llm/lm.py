@@ -7,10 +7,14 @@ weighs log10((c(vw) + mu P(w)) / (c(v) + mu)), the failure arc of v weighs log10
 root's arc w weighs log10 P(w), P being the add-0.1 unigram estimate; so a text's arcs, read once from left to
 right, sum to the log-probability of a proper distribution.
 
-Counts are exact and cover all training rows. The model is never broadcast: rows are dealt by a hash into
-groups of bounded bytes, each group sends its distinct n-grams (64-bit keys, sorted blocks) to key buckets,
+Counts cover all training rows and are exact but for collisions of 64-bit keys, of which a corpus of 1e9 different
+n-grams has 0.03. The model is never broadcast: rows are dealt by a hash of the row and its place in its input split,
+so that repeated rows part, into groups of bounded bytes; each group sends its distinct n-grams (64-bit keys, sorted blocks) to key buckets,
 each bucket adds up the counts and answers every group with the counts it asked for, and the group walks its
-part of the automaton. N-grams are counted within a group before they are sent.
+part of the automaton. N-grams are counted within a group before they are sent. A block is sent only where a group
+has keys for a bucket, so there are at most as many blocks as groups times buckets and never more than different
+keys of groups; on large inputs group_bytes should be what a core can hold at about 20 times, as blocks get fewer with
+its square.
 
 Defined results: a null text counts as empty, one end token; rows with null ids are scored like any other
 (their crc32 is that of the empty text); repeated rows get equal results; with no training rows all counts are
@@ -160,7 +164,7 @@ def score(
     groups = max(shuffle_partitions(spark), -(-text_bytes(df, text_col) // group_bytes))
     rows = (
         df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), crc_of_id(F.col(id_col)).alias("__crc"))
-        .select("id", "text", F.expr(held_out).alias("held_out"), F.pmod(F.xxhash64("id", "__crc", "text"), F.lit(groups)).cast("int").alias("part"))
+        .select("id", "text", F.expr(held_out).alias("held_out"), F.pmod(F.xxhash64("id", "__crc", "text", F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("part"))
     )
     total, distinct, starts = totals(rows.select((~F.col("held_out")).alias("train"), "text"), groups)
     automaton = Automaton(total, distinct, starts, mu)

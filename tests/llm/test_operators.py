@@ -230,7 +230,7 @@ def fewest(lengths, capacity):
 
 
 def test_sharding(spark, docs, none):
-    got = sharding.assign(docs, buckets=4).collect()
+    got = sharding.assign(docs, group_rows=1).collect()
     assert len(got) == len(ROWS)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in texts())
     slots = defaultdict(list)
@@ -241,6 +241,37 @@ def test_sharding(spark, docs, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_shards_equal_brute_force(spark, docs):
+    import struct
+
+    import xxhash
+
+    def shard(key, weights):
+        best = []
+        for s, w in enumerate(weights):
+            seed = 42 if key is None else xxhash.xxh64_intdigest(str(key).encode(), 42)
+            bits = xxhash.xxh64_intdigest(struct.pack("<i", s), seed) >> 11
+            best.append((-w / math.log((bits + 0.5) / 2**53), -s))
+        return -max(best)[1]
+
+    for weights in ([1.0] * 40, [1.0, 3.0, 0.5]):
+        for r in sharding.assign(docs, weights=weights).collect():
+            assert r["shard"] == shard(r["doc_id"], weights) and r["grown_shard"] == shard(r["doc_id"], [*weights, 1.0])
+    narrow = sharding.assign(docs.withColumn("doc_id", F.col("doc_id").cast("int")))
+    assert sorted(map(str, narrow.select("doc_id", "shard").collect())) == sorted(map(str, sharding.assign(docs).select("doc_id", "shard").collect()))
+
+
+def test_one_row_many_times_is_ranked_in_many_groups(spark, monkeypatch):
+    rows = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("t").alias("text"))
+    seen = []
+    whole = sharding.staged
+    monkeypatch.setattr(sharding, "staged", lambda df, label: seen.append(whole(df, label)) or seen[-1])
+    got = sharding.assign(rows, weights=(1.0,), group_rows=5_000)
+    assert got.agg(F.count_distinct("slot"), F.min("slot"), F.max("slot"), F.count_distinct("shard")).first()[:] == (200_000, 0, 199_999, 1)
+    largest = seen[0].groupBy(F.pmod(F.xxhash64("__rid"), F.lit(40))).count().agg(F.max("count")).first()[0]
+    assert largest < 6_000
+
+
 def test_sharding_weights_and_growth(spark):
     keys = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     n = {r["shard"]: r["n"] for r in sharding.assign(keys, weights=(1.0, 2.0, 1.0)).groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -658,6 +689,17 @@ def test_bpe(docs, none, library):
     assert bpe.encode(none).count() == 0
 
 
+def test_text_without_boundaries_is_read_few_times(library, monkeypatch):
+    c = bpe.Codec()
+    t = "x" * 4000
+    chunks = [(s, t[s : s + 40]) for s in range(0, 3980, 20)]
+    read = []
+    ends = c.ends
+    monkeypatch.setattr(c, "ends", lambda text, *a: read.append(len(text)) or ends(text, *a))
+    assert c.stitch([(s, x, ends(x, s, s + len(x) == len(t))) for s, x in chunks], len(t)) == [4000]
+    assert sum(read) < 5 * len(t)
+
+
 def test_stitching_is_exact(library):
     c = bpe.codec(None)
     r = random.Random(6)
