@@ -1,8 +1,9 @@
 """Licence scan by canonical digest.
 
-A whole text is brought to a canonical form (ASCII lower case, copyright lines gone, equivalent spellings made
-one, punctuation and white space reduced) and its SHA-256 is hash-joined to the digests of known licences. The
-canonical form is one chain of SQL expressions, so texts and known licences go through the same code.
+A whole text is brought to a canonical form (ASCII lower case, SPDX and copyright lines and usual title lines gone,
+punctuation and white space reduced, equivalent spellings made one with all their inflections) and its SHA-256 is
+hash-joined to the digests of known licences. The canonical form is one chain of SQL expressions; the known digests are
+a file of the package, one row each, and are broadcast.
 
 Defined results: a null or empty text, and one of copyright lines alone, matches nothing; repeated rows each
 get a result; a table of licences may hold several texts for a licence, and of several licences with one
@@ -19,47 +20,42 @@ from pyspark.sql import functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Spellings that licence matching guidelines hold equal, as words or phrases.
+#: Words that make up a licence's title line.
+_TITLE = "mit|expat|isc|zlib|libpng|bsd|0bsd|unlicense|boost|gnu|x11"
+_TITLE_MORE = _TITLE + "|software|zero|two|three|four|clause|new|revised|simplified|modified|original|free|or|style|version|v|licen[cs]e"
+
+#: Steps of the canonical form: patterns that both Java and RE2 read alike, and what replaces their matches (group 1 as {1}).
+_STEPS = (
+    (r"(^|\n)[^a-z0-9\n]*spdx-license-identifier[^\n]*", "\n"),
+    (r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|[0-9]{4}|year|yyyy)|\(c\) |©)[^\n]*", "\n"),  # copyright lines
+    (r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*", "\n"),
+    (rf"(^|\n)[^a-z0-9\n]*(the )?({_TITLE})([^a-z\n]+({_TITLE_MORE}))*[^a-z\n]*(\([a-z0-9 .-]*\))?[^a-z0-9\n]*(\n|$)", "\n"),  # title lines
+    (r"[^a-z0-9]+", " "),  # punctuation and white space
+    (r"\b(authori|capitali|categori|emphasi|initiali|maximi|optimi|organi|reali|recogni|utili|analy)s(e|ed|es|er|ers|ing|ation|ations)\b", "{1}z{2}"),
+    (r"\b(cancel|label|model|signal)l(ed|ing|er|ers)\b", "{1}{2}"),
+    (r"\b(cent|calib)re(s?)\b", "{1}er{2}"),
+    (r"\b(program)me(s?)\b", "{1}{2}"),
+    (r"\bwill?full?(y?)\b", "wilful{1}"),
+)
+
+#: Spellings that licence matching guidelines hold equal, as parts of words, so that plurals and derived words follow.
 EQUIVALENT = (
-    ("acknowledgment", "acknowledgement"),
+    ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
-    ("analyse", "analyze"),
     ("artefact", "artifact"),
-    ("authorisation", "authorization"),
-    ("authorised", "authorized"),
-    ("calibre", "caliber"),
-    ("cancelled", "canceled"),
     ("catalogue", "catalog"),
-    ("centre", "center"),
     ("copyright holder", "copyright owner"),
-    ("emphasised", "emphasized"),
     ("favour", "favor"),
-    ("favourite", "favorite"),
-    ("fulfil", "fulfill"),
-    ("fulfilment", "fulfillment"),
-    ("initialise", "initialize"),
+    ("fulfill", "fulfil"),
     ("judgement", "judgment"),
-    ("labelling", "labeling"),
     ("labour", "labor"),
-    ("licence", "license"),
-    ("maximise", "maximize"),
-    ("modelled", "modeled"),
-    ("modelling", "modeling"),
-    ("noncommercial", "non commercial"),
+    ("licenc", "licens"),
     ("offence", "offense"),
-    ("optimise", "optimize"),
-    ("organisation", "organization"),
-    ("organise", "organize"),
-    ("percent", "per cent"),
     ("practise", "practice"),
-    ("programme", "program"),
-    ("realise", "realize"),
-    ("recognise", "recognize"),
-    ("signalling", "signaling"),
-    ("sublicence", "sublicense"),
-    ("utilisation", "utilization"),
     ("whilst", "while"),
-    ("wilful", "willful"),
+    (" non commercial", " noncommercial"),
+    (" per cent", " percent"),
+    (" sub licens", " sublicens"),
 )
 
 #: Whole texts of known licences.
@@ -96,71 +92,63 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
-#: Steps of the canonical form: patterns that both Java and RE2 read alike, and what replaces their matches.
-_STEPS = (
-    (r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|[0-9]{4}|year|yyyy)|\(c\) |©)[^\n]*", r"\n"),  # copyright lines
-    (r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*", r"\n"),
-    (r"(^|\n)[^a-z0-9\n]*(spdx[^\n]*|the )?(mit|isc|zlib|bsd)[^\n]{0,24} licen[cs]e[^a-z\n]*", r"\n"),  # title lines
-    (r"[^a-z0-9]+", " "),  # punctuation and white space
-)
+
+def _java(put: str) -> str:
+    return put.replace("{1}", "$1").replace("{2}", "$2")
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text column; null stays null."""
     c = F.translate(text, _UPPER, _UPPER.lower())
     for found, put in _STEPS:
-        c = F.regexp_replace(c, found, put.replace(r"\n", "\n"))
-    c = F.concat(F.lit(" "), F.trim(c), F.lit(" "))
+        c = F.regexp_replace(c, found, _java(put))
+    c = F.concat(F.lit(" "), F.trim(c))
     for a, b in EQUIVALENT:
-        c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
+        c = F.replace(c, F.lit(a), F.lit(b))
     return F.trim(c)
 
 
-def known(spark, licences: dict[str, str] | None = None) -> DataFrame:
-    """canonical_sha256 and licence of the known texts, one row per digest."""
-    rows = sorted((licences or LICENCES).items())
-    table = spark.createDataFrame(rows, "licence string, body string")
-    digests = table.select("licence", F.sha2(canonical(F.col("body")).cast("binary"), 256).alias("canonical_sha256"))
-    return digests.groupBy("canonical_sha256").agg(F.min("licence").alias("licence"))
+#: licence and canonical_sha256 of whole texts of known licences, LICENCES among them.
+DIGESTS = Path(__file__).with_name("licence_digests.tsv")
 
 
-#: licence and canonical_sha256 of whole texts of more licences, and of LICENCES under titles that the steps leave in.
-DIGESTS = Path(__file__).with_name("licence_digests.tsv")
+def digest_rows() -> list[tuple[str, str]]:
+    """(licence, canonical_sha256), one for each digest."""
+    return [tuple(line.split("\t")) for line in DIGESTS.read_text(encoding="utf-8").splitlines()]
 
 
-def shipped(spark) -> DataFrame:
-    """canonical_sha256 and licence of DIGESTS; none of them is one of LICENCES under known()."""
-    rows = [tuple(line.split("\t")) for line in DIGESTS.read_text(encoding="utf-8").splitlines()]
-    return spark.createDataFrame(rows, "licence string, canonical_sha256 string").select("canonical_sha256", "licence")
+def known(spark, licences: dict[str, str] | None = None) -> DataFrame:
+    """canonical_sha256 and licence, one row per digest: of the given texts, or of DIGESTS."""
+    if licences is None:
+        return spark.createDataFrame(digest_rows(), "licence string, canonical_sha256 string").select("canonical_sha256", "licence")
+    table = spark.createDataFrame(sorted(licences.items()), "licence string, body string")
+    digests = table.select("licence", F.sha2(canonical(F.col("body")).cast("binary"), 256).alias("canonical_sha256"))
+    return digests.groupBy("canonical_sha256").agg(F.min("licence").alias("licence"))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences: dict[str, str] | None = None) -> DataFrame:
     """One row per input row: id, canonical_sha256, licence (null if none), matched."""
     form = canonical(F.coalesce(F.col(text_col), F.lit("")))
     rows = df.select(F.col(id_col), F.sha2(form.cast("binary"), 256).alias("canonical_sha256"), (F.length(form) > 0).alias("__has"))
-    names = known(df.sparkSession, licences)
-    names = (names if licences else names.unionByName(shipped(df.sparkSession))).withColumnRenamed("canonical_sha256", "__digest")
-    return rows.join(names, (rows["canonical_sha256"] == names["__digest"]) & rows["__has"], "left").select(
+    names = known(df.sparkSession, licences).withColumnRenamed("canonical_sha256", "__digest")
+    # names: a row a known text, from a file of the package or a dict of the caller
+    return rows.join(F.broadcast(names), (rows["canonical_sha256"] == names["__digest"]) & rows["__has"], "left").select(
         id_col, "canonical_sha256", "licence", F.col("licence").isNotNull().alias("matched")
     )
 
 
 def scan_sql() -> str:
-    """The scan for LICENCES alone as DuckDB SQL over documents; DIGESTS are not in it."""
-
-    def form(x: str) -> str:
-        x = f"translate({x}, '{_UPPER}', '{_UPPER.lower()}')"
-        for found, put in _STEPS:
-            x = f"regexp_replace({x}, '{found}', {'chr(10)' if put != ' ' else repr(put)}, 'g')"
-        x = f"concat(' ', trim({x}), ' ')"
-        for a, b in EQUIVALENT:
-            x = f"replace({x}, ' {a} ', ' {b} ')"
-        return f"trim({x})"
-
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(LICENCES.items()))
+    """The scan as DuckDB SQL over documents, with the digests of the package's file as literals."""
+    x = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
+    for found, put in _STEPS:
+        put = "chr(10)" if put == "\n" else "'" + put.replace("{1}", r"\1").replace("{2}", r"\2") + "'"
+        x = f"regexp_replace({x}, '{found}', {put}, 'g')"
+    x = f"concat(' ', trim({x}))"
+    for a, b in EQUIVALENT:
+        x = f"replace({x}, '{a}', '{b}')"
+    values = ", ".join(f"('{licence}', '{digest}')" for licence, digest in digest_rows())
     return f"""
-        WITH l(licence, body) AS (VALUES {values}),
-        k AS (SELECT sha256({form('body')}) AS digest, min(licence) AS licence FROM l GROUP BY 1),
-        d AS (SELECT doc_id, {form("coalesce(text, '')")} AS form FROM documents)
+        WITH k(licence, digest) AS (VALUES {values}),
+        d AS (SELECT doc_id, trim({x}) AS form FROM documents)
         SELECT doc_id, sha256(form) AS canonical_sha256, licence, licence IS NOT NULL AS matched
         FROM d LEFT JOIN k ON sha256(form) = digest AND form <> ''"""

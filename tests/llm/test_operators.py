@@ -93,7 +93,50 @@ def test_licences(spark):
     assert sorted((r["doc_id"], r["licence"] or "") for r in got) == [
         (1, "MIT"), (2, "MIT"), (3, ""), (4, ""), (5, ""), (6, ""), (7, "ISC"), (8, "BSD-3-Clause"), (8, "Zlib"),
     ]
-    assert licences.known(spark).count() == len(licences.LICENCES)
+    assert licences.known(spark, licences.LICENCES).join(licences.known(spark), ["canonical_sha256", "licence"]).count() == len(licences.LICENCES)
+    plan = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def canonical(text):
+    """The canonical form line by line and word by word."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    lines = []
+    for line in low.split("\n"):
+        bare = re.sub(r"^[^a-z0-9©(]*", "", line)
+        if re.match(r"spdx-license-identifier|copyright[^a-z0-9]*(c\)|©|[0-9]{4}|year|yyyy)|\(c\) |©", bare):
+            continue
+        lines.append(re.sub(r"^[^a-z0-9]*all rights reserved[^a-z0-9]*", "", line))
+    titles = {"mit license", "the mit license mit", "isc license isc", "bsd 3 clause new or revised license", "bsd 2 clause simplified license", "the zlib libpng license", "the unlicense", "zlib license"}
+    words = [w for x in lines if " ".join(re.findall("[a-z0-9]+", x)) not in titles for w in re.findall("[a-z0-9]+", x)]
+    swaps = {"licence": "license", "licences": "licenses", "sublicence": "sublicense", "acknowledgement": "acknowledgment", "organisations": "organizations", "organisation": "organization", "programmes": "programs", "centre": "center", "labelling": "labeling", "authorised": "authorized", "favour": "favor", "whilst": "while", "willful": "wilful"}
+    return " " + " ".join(swaps.get(w, w) for w in words)
+
+
+def test_canonical_form_equals_a_plain_one(spark, docs, none):
+    samples = [
+        "MIT License\n\nCopyright (c) 2020 A\nAll rights reserved.\nPermission granted", "/* SPDX-License-Identifier: MIT */\n// The Licence licence licences sublicence", "The MIT and BSD licenses differ here",
+        "see the MIT license\nfor organisations, programmes and the centre", 'BSD 3-Clause "New" or "Revised" License\nlabelling labelling authorised favour whilst willful', "ISC License (ISC)\n\n(c) 1999 X\n© 2000 Y\ntext", "x" * 300_000 + " licence", "", "\n\n",
+    ]
+    rows = [(i, t) for i, t in enumerate(samples)]
+    got = {r["doc_id"]: r["form"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", licences.canonical(F.col("text")).alias("form")).collect()}
+    for i, t in rows:
+        assert got[i] == canonical(t).strip(), t
+    assert got[2] == "the mit and bsd licenses differ here"
+    scanned = licences.scan(docs)
+    assert scanned.count() == len(ROWS) and scanned.columns == ["doc_id", "canonical_sha256", "licence", "matched"] and licences.scan(none).count() == 0
+
+
+def test_licence_oracle_on_planted_texts(spark):
+    import duckdb
+
+    mit, zlib_ = licences.LICENCES["MIT"], licences.LICENCES["Zlib"]
+    rows = [(1, "The MIT License (MIT)\n\nCopyright (c) 2021 B\n\n" + mit.replace("copyright holders", "COPYRIGHT OWNERS")), (2, "SPDX-License-Identifier: Zlib\n" + zlib_.replace("acknowledgment", "acknowledgement")), (3, mit + " plus"), (4, None), (5, "licence " * 50)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = [tuple(r) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(con.sql(licences.scan_sql()).fetchall()) == sorted(got) and [r[2] for r in sorted(got)] == ["MIT", "Zlib", None, None, None]
 
 
 def test_licences_whole_texts_and_titles(spark):
