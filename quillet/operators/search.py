@@ -1,19 +1,23 @@
 """Conjunctive full-text search: matching, field-weighted relevance, capped pages, rerank.
 
-The relevance is BM25 per field times the field's weight. Everything up to the page is one distributed plan;
-only windows of at most offset + fetch rows, both bounded by request validation, are ranked in one task.
+The relevance is BM25 per field times the field's weight. Requests are answered from a stored index: postings in ranges
+of terms, which a filter prunes, with all that scoring needs in each posting. Only windows of at most offset + fetch
+rows, both bounded by request validation, are ranked in one task and looked up in the table of documents.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillet.functions import fixed, text
+from quillet.functions import dates, fixed, text
 
 K1, B = 1.2, 0.75
 
@@ -36,6 +40,12 @@ def fetch_size(semantic: bool, limit: int, offset: int) -> int:
     return min(wanted, max(fixed.SEMANTIC_WINDOW - offset, 0)) if semantic else wanted
 
 
+def offset_error(semantic: bool, limit: int, bound: int) -> str:
+    """What is wrong with an offset; a semantic request is told its limit and the window that both must fit."""
+    said = f"offset must be from 0 to {bound}"
+    return f"{said} with limit {limit}, as semantic results come from a window of {fixed.SEMANTIC_WINDOW}" if semantic else said
+
+
 def parse_request(params: dict[str, str]) -> SearchRequest | str:
     """A request, or what is wrong with it. The offset's bound needs mode and limit, so it comes last."""
     q = params.get("q", "").strip()
@@ -62,7 +72,7 @@ def parse_request(params: dict[str, str]) -> SearchRequest | str:
     bound = max_offset(mode == "semantic", limit)
     offset = number("offset", 0, 0, bound)
     if offset is None:
-        return f"offset must be from 0 to {bound}"
+        return offset_error(mode == "semantic", limit, bound)
     terms = tuple(dict.fromkeys(t for t in "".join(c if c.isalnum() else " " for c in q.lower()).split()))
     return SearchRequest(terms, limit, offset, origin, mode == "semantic")
 
@@ -80,9 +90,16 @@ def articles(documents: DataFrame) -> DataFrame:
         text.truncate_words(t, 40).alias("summary"),
         t.alias("content"),
         F.col("lang").alias("topics"),
+        published_text(F.col("doc_id")).alias("published"),
     )
 
 
+def published_text(doc_id: Column) -> Column:
+    """A time as a feed would write it: an hour for each id, some of them unreadable or missing."""
+    at = F.date_format(F.timestamp_seconds(1_700_000_000 + doc_id * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.when(F.pmod(doc_id, F.lit(11)) == 0, "some day").when(F.pmod(doc_id, F.lit(7)) != 0, at)
+
+
 def by_origin(rows: DataFrame, origin: str) -> DataFrame:
     """A row without an origin came from a feed."""
     if origin == "sitemap":
@@ -134,32 +151,46 @@ def matches(rows: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     return grouped.select("id", "url", "source_id", "origin", "score")
 
 
-def lengths(rows: DataFrame) -> DataFrame:
-    """id, field and number of tokens: what relevance needs beside the postings."""
-    return field_tokens(rows).select("id", "field", F.size("tokens").alias("len"))
+class Index:
+    """A stored index: postings, documents and, per field, documents and mean length."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.postings, self.documents = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents")
+        self.stats = spark.read.parquet(f"{path}/stats")
+
+    def matches(self, terms: tuple[str, ...]) -> DataFrame:
+        """id, source_id, origin and relevance as in matches(): only the terms' postings are read."""
+        hits = self.postings.where(F.col("term").isin(*terms))
+        df = hits.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+        # a row a term and field: as many as the query's terms times five
+        weights = df.join(F.broadcast(self.stats), "field")
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = F.create_map(*[x for name, w in fixed.FIELD_WEIGHTS.items() for x in (F.lit(name), F.lit(w))])[F.col("field")]
+        part = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+        scored = hits.join(F.broadcast(weights), ["term", "field"])
+        has = [F.max((F.col("term") == t).cast("int")).alias(f"has{i}") for i, t in enumerate(terms)]
+        grouped = scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.first("source_id").alias("source_id"), F.first("origin").alias("origin"), *has)
+        for i in range(len(terms)):
+            grouped = grouped.where(F.col(f"has{i}") == 1)
+        return grouped.select("id", "source_id", "origin", "score")
+
+    def found(self, request: SearchRequest) -> DataFrame:
+        return by_origin(self.matches(request.terms), request.origin)
+
+    def shown(self, window: DataFrame) -> DataFrame:
+        """A window's rows with what a result shows; an unreadable time is unknown."""
+        rows = self.documents.drop("source_id", "origin").join(F.broadcast(window), "id")  # window: bounded by the request's validation
+        return rows.withColumn("published_at", dates.parse_time(F.col("published"))).drop("published")
 
 
 def write_index(rows: DataFrame, path: str) -> None:
-    """Postings in ranges of terms, sorted, so that a term's filter skips all other row groups; and lengths."""
-    postings(rows).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths(rows).write.mode("overwrite").parquet(f"{path}/lengths")
-
-
-def matches_indexed(index: DataFrame, sizes: DataFrame, terms: tuple[str, ...]) -> DataFrame:
-    """id and relevance as in matches(), from stored postings and lengths: only the terms' postings are read."""
-    hits = index.where(F.col("term").isin(*terms))
-    df = hits.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
-    stats = sizes.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    # a row a term and field: as many as the query's terms times five
-    weights = df.join(F.broadcast(stats), "field")
-    weight = F.create_map(*[x for name, w in fixed.FIELD_WEIGHTS.items() for x in (F.lit(name), F.lit(w))])[F.col("field")]
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = hits.join(F.broadcast(weights), ["term", "field"]).join(sizes, ["id", "field"])
-    grouped = scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), *[F.max((F.col("term") == t).cast("int")).alias(f"has{i}") for i, t in enumerate(terms)])
-    for i in range(len(terms)):
-        grouped = grouped.where(F.col(f"has{i}") == 1)
-    return grouped.select("id", "score")
+    """Postings in ranges of terms, sorted, so that a term's filter skips all other row groups; documents sorted by id."""
+    tokens = field_tokens(rows).withColumn("len", F.size("tokens"))
+    exploded = tokens.select("id", "source_id", "origin", "field", "len", F.explode("tokens").alias("term"))
+    counted = exploded.groupBy("term", "field", "id", "source_id", "origin", "len").agg(F.count(F.lit(1)).alias("tf"))
+    counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    rows.drop("content").repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/documents")
+    tokens.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def top(scored: DataFrame, n: int, offset: int = 0) -> DataFrame:
@@ -189,24 +220,83 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def rerank(candidates: DataFrame, vectors: DataFrame, query_id: int) -> DataFrame:
-    """The semantic window's rows by cosine to the query's vector; rows without a vector keep their order at the end."""
+def query_vector(candidates: DataFrame, vectors: DataFrame, best: int = 10) -> list[float] | None:
+    """Where no encoder is at hand: the mean vector of the best keyword rows, unit vectors each. None if none has one."""
+    top_rows = candidates.orderBy(F.desc("score"), "id").limit(best)
+    near = vectors.join(F.broadcast(top_rows.select(F.col("id").alias("vec_id"))), "vec_id").select("embedding").collect()  # at most `best` rows
+    units = [[x / n for x in r["embedding"]] for r in near if (n := math.sqrt(sum(x * x for x in r["embedding"]))) > 0]
+    return [sum(x) / len(units) for x in zip(*units)] if units else None
+
+
+def rerank(candidates: DataFrame, vectors: DataFrame, target: list[float]) -> DataFrame:
+    """The semantic window's rows with their cosine to the query's vector, null for rows without one."""
     some = candidates.orderBy(F.desc("score"), "id").limit(fixed.SEMANTIC_WINDOW)
-    target = vectors.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("target"))
-    near = some.join(vectors, some["id"] == vectors["vec_id"], "left").join(F.broadcast(target), F.lit(True), "left")  # target: one row by key
-    return near.select("id", "url", "source_id", "score", F.round(cosine(F.col("embedding"), F.col("target")), 6).alias("similarity"))
+    # the window is bounded, so the table of vectors is scanned once and not shuffled
+    near = vectors.join(F.broadcast(some.select("id")), vectors["vec_id"] == F.col("id")).select("id", "embedding")
+    goal = F.array(*[F.lit(float(x)) for x in target])
+    return some.join(near, "id", "left").select(*some.columns, F.round(cosine(F.col("embedding"), goal), 6).alias("similarity"))
 
 
-def search(documents: DataFrame, request: SearchRequest, vectors: DataFrame | None = None, query_id: int | None = None) -> DataFrame:
-    """The page of a request. A semantic request falls back to keyword order if it can't be reranked."""
-    found = by_origin(matches(articles(documents), request.terms), request.origin)
-    if request.semantic and vectors is not None:
+def within_budget(spark: SparkSession, seconds: float, work: Callable):
+    """work(), whose Spark jobs are cancelled and which fails with TimeoutError once the seconds are over."""
+    group, done, failed = f"quillet-{uuid.uuid4().hex}", [], []
+
+    def run():
+        spark.sparkContext.setJobGroup(group, "within budget", interruptOnCancel=True)
         try:
-            found = rerank(found, vectors, query_id).withColumn("score", F.coalesce("similarity", F.lit(-2.0))).drop("similarity")
-        except Exception:  # the keyword order is the answer that is always there
-            pass
+            done.append(work())
+        except Exception as e:  # told to the caller's thread
+            failed.append(e)
+
+    thread = InheritableThread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        spark.sparkContext.cancelJobGroup(group)
+        raise TimeoutError(f"no answer in {seconds} seconds")
+    if failed:
+        raise failed[0]
+    return done[0]
+
+
+#: Fixed value: seconds that a ranking may take before the keyword order is given instead.
+RERANK_SECONDS = 5.0
+
+
+def reranked(candidates: DataFrame, ranking: Callable[[DataFrame], DataFrame], seconds: float = RERANK_SECONDS) -> tuple[DataFrame, bool]:
+    """The semantic window in the order of its similarity, rows without one last in keyword order; and whether it was ranked.
+
+    ranking adds `similarity`. It is executed here, within its own time; if it fails or hangs the keyword order stands.
+    """
+    spark = candidates.sparkSession
+    try:
+        rows = within_budget(spark, seconds, lambda: ranking(candidates).select("id", "similarity").collect())  # SEMANTIC_WINDOW rows at most
+    except Exception:
+        return candidates, False
+    order = spark.createDataFrame([(r["id"], r["similarity"]) for r in rows], f"id {candidates.schema['id'].dataType.simpleString()}, similarity double")
+    some = candidates.orderBy(F.desc("score"), "id").limit(fixed.SEMANTIC_WINDOW)
+    # keyword scores are over 0, so a missing similarity sorts below any, by its keyword score
+    place = F.coalesce(F.col("similarity") + 3, 1 - 1 / (1 + F.col("score")))
+    return some.join(F.broadcast(order), "id", "left").withColumn("score", place).drop("similarity"), True
+
+
+def search(
+    index: Index, request: SearchRequest, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, seconds: float = RERANK_SECONDS
+) -> DataFrame:
+    """The page of a request. A semantic request falls back to keyword order if it can't be reranked in time."""
+    found = index.found(request)
+    if request.semantic and vectors is not None:
+        found, _ = reranked(found, semantic_ranking(request, vectors, encode), seconds)
     window = top(found, fetch_size(request.semantic, request.limit, request.offset), request.offset)
-    return select_page(window, request.limit)
+    return select_page(index.shown(window), request.limit)
+
+
+def semantic_ranking(request: SearchRequest, vectors: DataFrame, encode: Callable[[str], list[float]] | None = None) -> Callable[[DataFrame], DataFrame]:
+    def rank(candidates: DataFrame) -> DataFrame:
+        target = encode(" ".join(request.terms)) if encode else query_vector(candidates, vectors)
+        return rerank(candidates, vectors, target) if target else candidates.limit(fixed.SEMANTIC_WINDOW).withColumn("similarity", F.lit(None).cast("double"))
+
+    return rank
 
 
 def loop_page(rows: list[tuple[int, str, str | None]], limit: int, cap: int = fixed.PER_SOURCE_CAP) -> tuple[list[int], int]:

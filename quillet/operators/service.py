@@ -8,6 +8,7 @@ import time
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillet.functions import fixed, text
@@ -40,18 +41,26 @@ def per_minute(rate: float, burst: float) -> Bucket:
     return Bucket(rate / 60, burst)
 
 
+#: Fixed value: results that an answer holds at most.
+MAX_RESULTS = 50
+
+
 class Service:
-    """Caller limit, service limit, validation, rerank budget or downgrade, search, one log line."""
+    """Caller limit, service limit, validation, rerank budget or downgrade, search, one log line.
 
-    def __init__(self, documents: DataFrame, vectors: DataFrame | None = None, limits=None):
-        self.documents, self.vectors, self.log = documents, vectors, []
+    index answers the requests; vectors and encode (a query's text to its vector) serve semantic ones.
+    """
+
+    def __init__(self, index: search.Index, vectors: DataFrame | None = None, limits=None, encode=None, seconds: float = search.RERANK_SECONDS):
+        self.index, self.vectors, self.encode, self.seconds, self.log = index, vectors, encode, seconds, []
         lim = limits or fixed.LIMITS
         self.caller, self.all = per_minute(*lim["caller"]), per_minute(*lim["service"])
         self.semantic, self.semantic_all = per_minute(*lim["semantic_caller"]), per_minute(*lim["semantic_service"])
+        self.refusals, self.refused = per_minute(*lim["log"]), 0
 
     def ready(self) -> bool:
         try:
-            self.documents.limit(1).count()
+            self.index.documents.limit(1).count()
             return True
         except Exception:
             return False
@@ -60,29 +69,108 @@ class Service:
         ok = self.ready()
         return (200 if ok else 503), {"Cache-Control": "no-store"}, json.dumps({"status": "ok" if ok else "unavailable"})
 
+    def _refuse(self, scope: str, caller: str, bucket: Bucket, wait: float, now: float) -> tuple[int, dict, str]:
+        """429 with the wait; refusals are counted always and logged within their own budget."""
+        self.refused += 1
+        if self.refusals.allow("", now)[0]:
+            self.log.append({"refused": scope, "caller": caller, "wait": round(wait, 3), "refusals": self.refused})
+        seconds = str(math.floor(wait) + 1)
+        headers = {"Retry-After": seconds, "RateLimit-Limit": str(int(bucket.burst)), "RateLimit-Remaining": "0", "RateLimit-Reset": seconds}
+        return 429, headers, json.dumps({"error": "too many requests"})
+
     def handle(self, params: dict[str, str], caller: str, now: float | None = None) -> tuple[int, dict, str]:
         """Status, headers and JSON body. Limits come before validation; only valid requests spend rerank budget."""
         now = time.time() if now is None else now
-        for bucket, key in ((self.caller, caller), (self.all, "")):
+        for scope, bucket, key in (("caller", self.caller, caller), ("service", self.all, "")):
             ok, wait = bucket.allow(key, now)
             if not ok:
-                return 429, {"Retry-After": str(math.floor(wait) + 1)}, json.dumps({"error": "too many requests"})
+                return self._refuse(scope, caller, bucket, wait, now)
         request = search.parse_request(params)
         if isinstance(request, str):
             return 400, {}, json.dumps({"error": request})
+        asked = "semantic" if request.semantic else "keyword"
         if request.semantic and not (self.semantic.allow(caller, now)[0] and self.semantic_all.allow("", now)[0]):
             request = replace(request, semantic=False)
-        found = search.by_origin(search.matches(search.articles(self.documents), request.terms), request.origin)
-        total = found.count()
+        found = self.index.found(request)
+        total, ranked = found.count(), False
         if request.semantic and self.vectors is not None:
-            found = search.rerank(found, self.vectors, 0).withColumn("score", F.coalesce("similarity", F.lit(-2.0)))
+            found, ranked = search.reranked(found, search.semantic_ranking(request, self.vectors, self.encode), self.seconds)
         fetch = search.fetch_size(request.semantic, request.limit, request.offset)
-        window = search.top(found, fetch, request.offset)
-        page = search.select_page(window, request.limit)
-        rows = [json.loads(x) for x in page.select(F.to_json(F.struct("id", "url", "source_id", "score"))).toPandas().iloc[:, 0]]
-        bounds = search.page_bounds(window, page, request.limit, request.offset, fetch, F.lit(total)).first()
-        self.log.append({"query": params["q"][:128], "mode": "semantic" if request.semantic else "keyword", "results": len(rows), "total": total})
-        return 200, {"Cache-Control": "public, max-age=60"}, json.dumps({"results": rows, "total": total, "nextOffset": bounds["next_offset"]})
+        window = self.index.shown(search.top(found, fetch, request.offset))
+        # at most offset + fetch rows, both bounded by validation, so the page is cut here
+        rows = [json.loads(x[0]) for x in window.orderBy("rank").select(F.to_json(F.struct("rank", "id", "url", "title", "author", "origin", "summary", "topics", "published_at", "source_id", "score"))).collect()]
+        kept, read = search.loop_page([(r["rank"], r["url"], r.get("source_id")) for r in rows], request.limit)
+        ends = len(rows) < fetch and read == len(rows)
+        nxt = max(request.offset + read, total) if ends else request.offset + read
+        shown = [{k: v for k, v in r.items() if k not in ("rank", "source_id")} for r in rows if r["rank"] in set(kept)]
+        self.log.append({"query": logged(params["q"]), "caller": caller, "mode": "semantic" if ranked else "keyword", "asked": asked, "results": len(shown), "total": total})
+        return 200, {"Cache-Control": "public, max-age=60"}, json.dumps({"results": shown, "total": total, "nextOffset": nxt})
+
+
+def logged(query: str) -> str:
+    """A query as it may stand in a log: control characters are blanks, and only its start is kept."""
+    flat = "".join(" " if ord(c) < 32 or 127 <= ord(c) < 160 else c for c in query)
+    return flat[:128] + "…" if len(flat) > 128 else flat
+
+
+def retry_after(wait: Column) -> Column:
+    """Whole seconds after which a refused request may come again."""
+    return (F.floor(wait) + 1).cast("int")
+
+
+def answer(rows: DataFrame, key: str, body: Column) -> DataFrame:
+    """key and the JSON of each row."""
+    return rows.select(key, F.to_json(body).alias("body"))
+
+
+def response_bounds(offset: Column, rows: Column, total: Column, next_offset: Column, size: Column) -> tuple[Column, Column]:
+    """Total and next offset of an untrusted answer, raised to what its own rows prove."""
+    return F.greatest(total, offset + rows), F.greatest(next_offset, offset + size)
+
+
+def sanitised_response(rows: DataFrame, key: str, order: str, body: str, most: int = MAX_RESULTS) -> DataFrame:
+    """key, order and the struct r of each answer's good results: the first of each URL, `most` at the most."""
+    good = rows.select(key, order, sanitised(F.col(body)).alias("r")).where("r IS NOT NULL")
+    first = good.withColumn("__un", F.row_number().over(W.partitionBy(key, "r.url").orderBy(order))).where("__un = 1").drop("__un")
+    return first.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(order))).where(F.col("__n") <= most).drop("__n")
+
+
+# The client's side.
+
+
+def request_params(query: str, limit: int = fixed.DEFAULT_LIMIT, offset: int = 0, origin: str = "", mode: str = "keyword") -> dict[str, str]:
+    """What a client sends: the query clamped, the offset within its bound, and only what differs from the defaults."""
+    limit = min(max(limit, 1), fixed.MAX_LIMIT)
+    offset = min(max(offset, 0), search.max_offset(mode == "semantic", limit))
+    given = {"q": query.strip()[: fixed.MAX_QUERY_CHARS], "limit": limit, "offset": offset, "origin": origin, "mode": mode}
+    default = {"limit": fixed.DEFAULT_LIMIT, "offset": 0, "origin": "", "mode": "keyword"}
+    return {k: str(v) for k, v in given.items() if k not in default or v != default[k]}
+
+
+def has_more(next_offset: int, total: int, bound: int) -> bool:
+    return next_offset < total and next_offset <= bound
+
+
+def load_more(ask, offset: int, visible, bound: int, pages: int = 20, seconds: float = 3.0, clock=time.monotonic) -> tuple[list, int]:
+    """Pages from offset on until one holds a visible row: its rows and the next offset.
+
+    ask(offset) gives (status, results, total, next offset). At most so many pages and seconds; a refusal ends it silently.
+    """
+    began, rows = clock(), []
+    for _ in range(pages):
+        status, results, total, nxt = ask(offset)
+        if status == 429:
+            break
+        rows += results
+        offset = nxt
+        if any(map(visible, results)) or not has_more(nxt, total, bound) or clock() - began > seconds:
+            break
+    return rows, offset
+
+
+def bookmark(rows: DataFrame, saved_at: Column | None = None) -> DataFrame:
+    """Results as bookmarks: what a bookmark keeps, and when it was saved."""
+    return rows.select("url", "title", "author", "origin", "summary", "topics", "published_at", (saved_at if saved_at is not None else F.current_timestamp()).alias("saved_at"))
 
 
 def caller_key(forwarded: Column, remote: Column) -> Column:
@@ -109,6 +197,6 @@ def sanitised(body: Column) -> Column:
         F.struct(
             r["url"].alias("url"), F.coalesce(text.trimmed_text(r["title"], 300), r["url"]).alias("title"), text.trimmed_text(r["author"], 120).alias("author"),
             text.trimmed_text(r["summary"], 2000).alias("summary"), topics.alias("topics"), F.when(r["origin"].isin("feed", "sitemap"), r["origin"]).alias("origin"),
-            F.coalesce(F.nanvl(r["score"], F.lit(0.0)), F.lit(0.0)).alias("score"),
+            F.when(F.abs(r["score"]) < float("inf"), r["score"]).otherwise(0.0).alias("score"),
         ),
     )

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quillet.functions import fixed
 from quillet.operators import filters, limits, search
+from quillet.operators import service
 from quillet.plans.literals import frame, values
+from quillet.sources import storage
 
 QUERIES, ORACLES = {}, {}
 
@@ -33,7 +35,8 @@ WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{20
 _WORDS = f"list_filter(string_split(trim(regexp_replace(t, '{WS}+', ' ', 'g')), ' '), lambda w: w <> '')"
 _TOKENS = lambda x: f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 ARTICLES = f"""a AS (SELECT doc_id AS id, md5(t) AS url, source AS source_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'feed' ELSE 'sitemap' END AS origin, source AS author,
-    array_to_string({_WORDS}[1:8], ' ') AS title, array_to_string({_WORDS}[1:40], ' ') AS summary, t AS content, lang AS topics
+    array_to_string({_WORDS}[1:8], ' ') AS title, array_to_string({_WORDS}[1:40], ' ') AS summary, t AS content, lang AS topics,
+    CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN epoch_ms((1700000000 + doc_id * 3600) * 1000) END AS published_at
     FROM (SELECT *, coalesce(text, '') AS t FROM documents))"""
 FIELDS = "f AS (" + " UNION ALL ".join(f"SELECT id, '{n}' AS field, {w} AS weight, {_TOKENS(n)} AS tokens FROM a" for n, w in fixed.FIELD_WEIGHTS.items()) + ")"
 
@@ -52,8 +55,19 @@ def matched(*terms: str) -> str:
 TERMS = ("the", "and")
 
 
+def index_of(spark, d) -> search.Index:
+    """The stored index of a table of documents, written once a session and again when the files change."""
+
+    def build(path: str) -> search.Index:
+        folder = storage.new_path(spark, "index")
+        search.write_index(search.articles(spark.read.parquet(path)), folder)
+        return search.Index(spark, folder)
+
+    return storage.made_once(spark, "index", f"{d}/documents.parquet", build)
+
+
 def found(spark, d, terms=TERMS):
-    return search.matches(search.articles(docs(spark, d)), terms)
+    return index_of(spark, d).matches(terms)
 
 
 _RANKED = "r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM m)"
@@ -64,7 +78,7 @@ _PAGE = """u AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY rank) AS
 @query(f"WITH {matched(*TERMS)}, {_RANKED}, w AS (SELECT * FROM r WHERE rank <= 60), {_PAGE} SELECT id, url, source_id, score, rank FROM p")
 def search_flagship(spark, d):
     request = search.parse_request({"q": " ".join(TERMS)})
-    return search.search(docs(spark, d), request).select("id", "url", "source_id", "score", F.col("rank").cast("long"))
+    return search.search(index_of(spark, d), request).select("id", "url", "source_id", "score", F.col("rank").cast("long"))
 
 
 @query(f"WITH {matched(*TERMS)} SELECT count(*) AS total FROM m")
@@ -79,7 +93,20 @@ def search_topk_offset(spark, d):
 
 @query(f"WITH {matched('of')}, {_RANKED}, w AS (SELECT * FROM r WHERE rank > 20 AND rank <= 80), {_PAGE} SELECT id, source_id, rank FROM p")
 def search_page_capped(spark, d):
-    return search.select_page(search.top(found(spark, d, ("of",)), 60, 20), 20).select("id", "source_id", F.col("rank").cast("long"))
+    request = search.SearchRequest(("of",), limit=20, offset=20)
+    return search.search(index_of(spark, d), request).select("id", "source_id", F.col("rank").cast("long"))
+
+
+@query(f"WITH {matched(*TERMS)}, {_RANKED}, w AS (SELECT * FROM r WHERE rank <= 60), {_PAGE} SELECT p.id, p.url, a.title, a.author, a.origin, a.summary, a.topics, a.published_at, p.score FROM p JOIN a USING (id)")
+def search_results(spark, d):
+    page = search.search(index_of(spark, d), search.parse_request({"q": " ".join(TERMS)}))
+    return page.select("id", "url", "title", "author", "origin", "summary", "topics", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "score")
+
+
+@query(f"WITH {matched(*TERMS)} SELECT id, score FROM m")
+def search_scan(spark, d):
+    """The same matches without an index, by one scan of the texts."""
+    return search.matches(search.articles(docs(spark, d)), TERMS).select("id", "score")
 
 
 @query(
@@ -88,7 +115,7 @@ def search_page_capped(spark, d):
 )
 def search_page_next_offset(spark, d):
     scored = found(spark, d, ("of",))
-    window = search.top(scored, 60, 20)
+    window = index_of(spark, d).shown(search.top(scored, 60, 20))
     total = scored.count()
     return search.page_bounds(window, search.select_page(window, 20), 20, 20, 60, F.lit(total)).select(*[F.col(c).cast("long").alias(c) for c in ("shown", "read", "next_offset")])
 
@@ -111,15 +138,46 @@ def search_origin_sitemap(spark, d):
 _COS = "list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(t.embedding::DOUBLE[], t.embedding::DOUBLE[]))"
 
 
-@query(f"WITH {matched('the')}, c AS (SELECT * FROM m ORDER BY score DESC, id LIMIT 50) SELECT c.id, round({_COS}, 6) AS similarity FROM c LEFT JOIN embeddings e ON e.vec_id = c.id LEFT JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) t ON TRUE".replace("c AS (SELECT * FROM m", "cc AS (SELECT * FROM m").replace("FROM c LEFT", "FROM cc AS c LEFT"))
+_WINDOW = "cc AS (SELECT * FROM m ORDER BY score DESC, id LIMIT 50)"
+_GOAL = "SELECT embedding FROM embeddings WHERE vec_id = 7"
+
+
+def vectors(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+def encoder(spark, d):
+    """A stand-in encoder for the tests' queries: the vector of row 7."""
+    return lambda query: [float(x) for x in vectors(spark, d).where("vec_id = 7").first()["embedding"]]
+
+
+@query(f"WITH {matched('the')}, {_WINDOW} SELECT e0.id, round({_COS}, 6) AS similarity FROM cc e0 LEFT JOIN embeddings e ON e.vec_id = e0.id LEFT JOIN ({_GOAL}) t ON TRUE")
 def search_rerank_top50(spark, d):
-    return search.rerank(found(spark, d, ("the",)), spark.read.parquet(f"{d}/embeddings.parquet"), 7).select("id", "similarity")
+    return search.rerank(found(spark, d, ("the",)), vectors(spark, d), encoder(spark, d)("the")).select("id", "similarity")
+
+
+_BEST = f"""bb AS (SELECT e.embedding::DOUBLE[] AS v, sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS n FROM (SELECT id FROM m ORDER BY score DESC, id LIMIT 10) x JOIN embeddings e ON e.vec_id = x.id),
+    mm AS (SELECT list(c ORDER BY i) AS goal FROM (SELECT i, avg(v[i] / n) AS c FROM bb, unnest(range(1, len(v) + 1)) AS u(i) GROUP BY i)),
+    kk AS (SELECT cc.id, cc.score, CASE WHEN e.embedding IS NOT NULL THEN round(list_dot_product(e.embedding::DOUBLE[], goal) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(goal, goal)), 6) END AS similarity FROM cc CROSS JOIN mm LEFT JOIN embeddings e ON e.vec_id = cc.id)"""
+
+
+@query(f"WITH {matched('the')}, {_WINDOW}, {_BEST} SELECT id, row_number() OVER (ORDER BY similarity DESC NULLS LAST, score DESC, id) AS place FROM kk")
+def search_semantic(spark, d):
+    """Reranked by a vector that depends on the query: the mean of its best rows."""
+    request = search.SearchRequest(("the",), semantic=True)
+    order, ranked = search.reranked(index_of(spark, d).found(request), search.semantic_ranking(request, vectors(spark, d)), 600.0)
+    assert ranked
+    return search.top(order, 50).select("id", F.col("rank").cast("long").alias("place"))
 
 
 @query(f"WITH {matched('the')} SELECT id, score FROM m ORDER BY score DESC, id LIMIT 20")
 def search_rerank_fallback(spark, d):
-    request = search.SearchRequest(("the",), semantic=False)
-    return search.top(found(spark, d, request.terms), request.limit).select("id", "score")
+    """A ranking that fails while it runs: the answer is the keyword order."""
+    request = search.SearchRequest(("the",), semantic=True)
+    broken = vectors(spark, d).withColumn("embedding", F.when(F.col("vec_id") >= 0, F.raise_error(F.lit("no ranking"))).cast("array<float>"))
+    order, ranked = search.reranked(index_of(spark, d).found(request), lambda c: search.rerank(c, broken, [1.0]))
+    assert not ranked
+    return search.top(order, request.limit).select("id", "score")
 
 
 @query(f"WITH {ARTICLES}, {FIELDS} SELECT term, field, id, count(*) AS tf FROM (SELECT id, field, unnest(tokens) AS term FROM f) GROUP BY ALL")
@@ -141,8 +199,7 @@ def term_df(spark, d):
 
 @query(f"WITH {matched(*TERMS)} SELECT id, score FROM m")
 def search_indexed(spark, d):
-    rows = search.articles(docs(spark, d))
-    return search.matches_indexed(search.postings(rows), search.lengths(rows), TERMS)
+    return found(spark, d).select("id", "score")
 
 
 REQUESTS = [
@@ -157,18 +214,8 @@ REQUESTS = [
     WHEN origin NOT IN ('', 'feed', 'sitemap') THEN 'origin' WHEN off IS NULL OR off < 0 OR off > CASE mode WHEN 'semantic' THEN greatest(50 - lim, 0) ELSE 1000 END THEN 'offset' ELSE '' END AS problem FROM n"""
 )
 def request_validation(spark, d):
-    t = frame(spark, "id int, q string, lim string, off string, origin string, mode string", REQUESTS)
-    mode = F.when(F.col("mode") == "", "keyword").otherwise(F.col("mode"))
-    limit = F.when(F.col("lim") == "", fixed.DEFAULT_LIMIT).otherwise(F.col("lim").try_cast("int"))
-    offset = F.when(F.col("off") == "", 0).otherwise(F.col("off").try_cast("int"))
-    bound = F.when(mode == "semantic", F.greatest(fixed.SEMANTIC_WINDOW - limit, F.lit(0))).otherwise(fixed.MAX_OFFSET_KEYWORD)
-    n = F.char_length(F.trim("q"))
-    problem = (
-        F.when((n == 0) | (n > fixed.MAX_QUERY_CHARS), "q").when(limit.isNull() | ~limit.between(1, fixed.MAX_LIMIT), "limit")
-        .when(~mode.isin("keyword", "semantic"), "mode").when(~F.col("origin").isin("", "feed", "sitemap"), "origin")
-        .when(offset.isNull() | ~offset.between(0, bound), "offset").otherwise("")
-    )
-    return t.select("id", problem.alias("problem"))
+    told = [(r[0], search.parse_request(dict(zip(("q", "limit", "offset", "origin", "mode"), r[1:])))) for r in REQUESTS]
+    return frame(spark, "id int, problem string", [(i, x.split()[0] if isinstance(x, str) else "") for i, x in told])
 
 
 BOUNDS = [(m, l, o) for m in (False, True) for l in (1, 20, 50) for o in (0, 30, 49)]
@@ -252,9 +299,9 @@ def history_trim(spark, d):
     return filters.trim_history(events(spark, d), "event_type", "ts", 600, 500).select("event_id")
 
 
-@query("SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 50")
+@query("SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events WHERE event_type = 'purchase'")
 def bookmarks_newest(spark, d):
-    return events(spark, d).where("event_type = 'purchase'").orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "user_id", "ts")
+    return filters.newest_first(events(spark, d).where("event_type = 'purchase'"), "user_id", "ts", "event_id").select("event_id", "user_id", "ts", F.col("place").cast("long"))
 
 
 @query(
@@ -293,13 +340,37 @@ def limiter_service(spark, d):
     return judged.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("allowed").cast("int")).cast("int").alias("allowed"))
 
 
-@query()
+def _judged(rate: float, burst: int, source: str, key: str = "user_id") -> str:
+    """event_id, key, ts, allowed and wait_s of every row of source, folded in order of time."""
+    t = f"least({burst}.0, a.tokens + (x.last - a.last) / 1e6 * {rate!r})"
+    return (
+        f"SELECT {key}, unnest(ids) AS event_id, unnest(f.states) AS s FROM (SELECT {key}, ids, list_reduce(list_transform(us, lambda u: {{'tokens': 0.0::DOUBLE, 'last': u::DOUBLE, 'states': []::DOUBLE[]}}), "
+        f"lambda a, x: {{'tokens': CASE WHEN {t} >= 1 THEN {t} - 1 ELSE {t} END, 'last': x.last, 'states': list_append(a.states, {t})}}, {{'tokens': {burst}.0::DOUBLE, 'last': us[1]::DOUBLE, 'states': []::DOUBLE[]}}) AS f "
+        f"FROM (SELECT {key}, list(epoch_us(ts) ORDER BY ts, event_id) AS us, list(event_id ORDER BY ts, event_id) AS ids FROM {source} GROUP BY {key}))"
+    )
+
+
+_TWO = f"""WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), own AS ({_judged(0.001, 3, 'v')}), passed AS (SELECT v.event_id, v.ts, 0 AS one FROM own JOIN v USING (event_id) WHERE s >= 1),
+    com AS ({_judged(0.01, 5, 'passed', 'one')})"""
+
+
+@query(f"{_TWO} SELECT v.event_id, CASE WHEN com.s >= 1 THEN 'semantic' ELSE 'keyword' END AS mode FROM v LEFT JOIN com USING (event_id)")
 def limiter_semantic_downgrade(spark, d):
     views = events(spark, d).where("event_type = 'view'")
     judged = limits.two_level(views, "user_id", (0.06, 3), (0.6, 5))
     return judged.select("event_id", F.when(F.col("allowed"), "semantic").otherwise("keyword").alias("mode"))
 
 
-@query()
+LOG_RATE = 2e-05
+_REFUSED = f"j AS ({_judged(LOG_RATE, 2, 'events')}), refused AS (SELECT e.event_id, e.user_id, e.ts, j.s, 0 AS one FROM j JOIN events e USING (event_id) WHERE j.s < 1)"
+
+
+@query(f"WITH {_REFUSED}, n AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS refused_so_far FROM refused), l AS ({_judged(0.0005, 3, 'refused', 'one')}) SELECT event_id, user_id, refused_so_far FROM l JOIN n USING (event_id) WHERE l.s >= 1")
 def throttle_log(spark, d):
-    return limits.throttle_log(limits.buckets(events(spark, d), "user_id", RATE, BURST), 0.005, 3)
+    return limits.throttle_log(limits.buckets(events(spark, d), "user_id", LOG_RATE, 2), 0.0005, 3)
+
+
+@query(f"WITH {_REFUSED} SELECT event_id, false AS allowed, (floor(round((1 - s) / {LOG_RATE!r}, 3)) + 1)::INT AS retry_after FROM refused")
+def throttle_response(spark, d):
+    judged = limits.buckets(events(spark, d), "user_id", LOG_RATE, 2)
+    return judged.where("NOT allowed").select("event_id", "allowed", service.retry_after(F.round("wait_s", 3)).alias("retry_after"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillet.functions import fixed
-from quillet.operators import corpus, crawl, service
+from quillet.operators import corpus, crawl, filters, service
 from quillet.plans.literals import frame, values
 
 QUERIES, ORACLES = {}, {}
@@ -122,20 +122,21 @@ ANSWERS = [(1, 0, 20, 5, 3, 20), (2, 40, 20, 100, 50, 20), (3, 0, 0, -1, -5, 20)
 @query(f"WITH {values('t', 'id, off, rows_n, total, nxt, size', ANSWERS)} SELECT id, greatest(total, off + rows_n) AS total, greatest(nxt, off + size) AS next_offset FROM t")
 def response_sanitiser(spark, d):
     t = frame(spark, "id int, off int, rows_n int, total int, nxt int, size int", ANSWERS)
-    return t.select("id", F.greatest(F.col("total"), F.col("off") + F.col("rows_n")).alias("total"), F.greatest(F.col("nxt"), F.col("off") + F.col("size")).alias("next_offset"))
+    total, nxt = service.response_bounds(*map(F.col, ("off", "rows_n", "total", "nxt", "size")))
+    return t.select("id", total.alias("total"), nxt.alias("next_offset"))
 
 
-@query("SELECT event_id, allowed, retry_after FROM (SELECT event_id, FALSE AS allowed, 0 AS retry_after FROM events) WHERE FALSE")
-def throttle_response(spark, d):
-    from quillet.operators import limits
-
-    judged = limits.buckets(spark.read.parquet(f"{d}/events.parquet"), "user_id", 1000.0, 1000)
-    return judged.where("NOT allowed").select("event_id", "allowed", (F.floor("wait_s") + 1).cast("int").alias("retry_after"))
+@query("SELECT url, n FROM (SELECT 'https://a.org/' || source AS url, min(doc_id) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1 ORDER BY n LIMIT 10)")
+def response_rows(spark, d):
+    """Of one answer that holds a result for each document, some without a web address: the first of each URL, ten at most."""
+    scheme = F.when(F.pmod("doc_id", F.lit(3)) == 0, "ftp://a.org/").otherwise("https://a.org/")
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.lit(1).alias("answer"), F.col("doc_id").alias("n"), F.to_json(F.struct(F.concat(scheme, "source").alias("url"))).alias("body"))
+    return service.sanitised_response(rows, "answer", "n", "body", most=10).select("r.url", "n")
 
 
 @query("SELECT doc_id, json_object('id', doc_id, 'source', source, 'lang', lang) AS body FROM documents")
 def json_response(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "source", "lang")).alias("body"))
+    return service.answer(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", F.struct(F.col("doc_id").alias("id"), "source", "lang"))
 
 
 @query("SELECT event_id, props IS NOT NULL AND json_valid(props) AS readable FROM events")
@@ -143,12 +144,26 @@ def json_decode(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "map<string,string>").isNotNull().alias("readable"))
 
 
-@query(f"SELECT days, days > 0 AS active FROM (VALUES {', '.join(f'({x})' for x in fixed.PERIOD_DAYS)}) AS t(days)")
+SETTINGS_OF_FILTERS = [
+    (1, {}, False, False), (2, {"days": 30}, True, True), (3, {"first": "2024-01-01"}, True, True), (4, {"last": "2024-01-01"}, True, True), (5, {"tags": ("go",)}, True, False), (6, {"bookmarked": True}, True, False),
+    (7, {"visited": True}, True, False), (8, {"days": 0, "tags": ()}, False, False), *[(10 + i, {"days": n}, n > 0, n > 0) for i, n in enumerate(fixed.PERIOD_DAYS)],
+]
+
+
+@query(f"WITH {values('t', 'id, active, dated', [(i, a, t) for i, _, a, t in SETTINGS_OF_FILTERS])} SELECT * FROM t")
 def filter_active(spark, d):
-    return frame(spark, "days int", [(x,) for x in fixed.PERIOD_DAYS]).select("days", (F.col("days") > 0).alias("active"))
+    chosen = [(i, filters.Filters(**given)) for i, given, _, _ in SETTINGS_OF_FILTERS]
+    return frame(spark, "id int, active boolean, dated boolean", [(i, f.active(), f.dated()) for i, f in chosen])
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09' AND event_type IN ('click', 'view') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+def filters_together(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").withColumns({"published_at": F.col("ts").cast("timestamp"), "topics": F.array("event_type")})
+    chosen = filters.Filters(tags=("click", "view"), first="2024-01-03", last="2024-01-08", bookmarked=True)
+    return filters.chosen(e, chosen, "2024-02-01", bookmarks=e.where("event_type = 'purchase'"), bookmark_key="user_id").select("event_id")
 
 
-@query("SELECT doc_id, ntile(8) OVER (ORDER BY doc_id) AS chunk FROM documents WHERE source = 'src1'")
+@query("SELECT doc_id, ntile(8) OVER (PARTITION BY source ORDER BY doc_id) AS chunk FROM documents")
 def chunking(spark, d):
-    rows = spark.read.parquet(f"{d}/documents.parquet").where("source = 'src1'")
+    rows = spark.read.parquet(f"{d}/documents.parquet")
     return corpus.ntiles(rows, "source", "doc_id", 8).select("doc_id", F.col("tile").alias("chunk"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillet.operators import corpus
+from quillet.sources.storage import shared_folder
 
 
 def limited(requests: DataFrame, key: str, per_second: float, burst: float, late: str = "1 day") -> DataFrame:
@@ -56,22 +57,13 @@ def stream_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)
 
 
-def shared(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="quillet-")
-    return folder
-
-
 def run_limiter(spark: SparkSession, path: str, per_second: float, burst: float) -> DataFrame:
-    return _run(limited(stream_of(spark, path), "user_id", per_second, burst), "limiter", shared(spark))
+    return _run(limited(stream_of(spark, path), "user_id", per_second, burst), "limiter", shared_folder(spark))
 
 
 def run_discovery(spark: SparkSession, path: str, row_of, key: str = "id") -> DataFrame:
     """Micro-batches of articles, merged by id into a store that each batch rewrites; a replayed batch changes nothing."""
-    base = f"{shared(spark)}/quillet-discover-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/quillet-discover-{uuid.uuid4().hex}"
     current: list[str] = []
 
     def merge(batch: DataFrame, number: int) -> None:

@@ -57,12 +57,30 @@ def test_requests():
         assert isinstance(search.parse_request(bad), str)
 
 
-def test_search_falls_back(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    path = f"file://{tmp_path_factory.mktemp('index')}"
+    search.write_index(search.articles(spark.read.parquet(f"{DATA}/documents.parquet")), path)
+    return search.Index(spark, path)
+
+
+def test_search_falls_back(spark, index):
+    import time
+
     request = search.SearchRequest(("the",), semantic=True)
     vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    assert search.search(docs, request, vectors, 7).count() > 0
-    assert search.search(docs, request, vectors.drop("embedding"), 7).count() > 0
+    ids = lambda df: [r["id"] for r in df.orderBy("rank").collect()]
+    plain = ids(search.search(index, search.SearchRequest(("the",))))
+    assert ids(search.search(index, request, vectors)) != plain
+    assert ids(search.search(index, request, vectors.drop("embedding"))) == plain  # fails when it is analysed
+    broken = vectors.withColumn("embedding", F.when(F.col("vec_id") >= 0, F.raise_error(F.lit("x"))).cast("array<float>"))
+    assert ids(search.search(index, request, broken)) == plain  # fails when it runs
+    slow = F.udf(lambda v: time.sleep(60) or v, "array<float>")
+    began = time.time()
+    assert ids(search.search(index, request, vectors.withColumn("embedding", slow("embedding")), seconds=2.0)) == plain  # hangs
+    assert time.time() - began < 30
+    near = search.search(index, request, vectors, encode=lambda q: list(vectors.where("vec_id = 7").first()["embedding"]))
+    assert 7 not in ids(near) or ids(near)[0] == 7
 
 
 def loop_bucket(times, rate, burst):
@@ -220,23 +238,72 @@ def test_multi_tenant_roots(spark):
     assert {r["site"] for r in got} == {"https://medium.com/@a/", "https://x.org/", "https://y.org/~t/", "https://www.note.com/"}
 
 
-def test_service(spark):
+def test_service(spark, index):
+    import json
+
     from quillet.operators.service import Bucket, Service
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    s = Service(docs, limits={"caller": (60, 2), "service": (600, 300), "semantic_caller": (10, 1), "semantic_service": (60, 15)})
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    limits_ = {"caller": (60, 4), "service": (600, 300), "semantic_caller": (10, 1), "semantic_service": (60, 15), "log": (6, 1)}
+    s = Service(index, vectors, limits_, seconds=60.0)
     status, headers, body = s.handle({"q": "the"}, "a", now=0.0)
-    assert status == 200 and '"results"' in body and "max-age" in headers["Cache-Control"]
+    got = json.loads(body)
+    assert status == 200 and len(got["results"]) == 20 and "max-age" in headers["Cache-Control"] and got["nextOffset"] >= 20 and {"url", "title", "score"} <= set(got["results"][0])
     assert s.handle({"q": ""}, "a", now=0.0)[0] == 400
-    status, headers, _ = s.handle({"q": "the"}, "a", now=0.0)
-    assert status == 429 and headers["Retry-After"] == "2"
-    assert s.health()[0] == 200 and len(s.log) == 1
+    semantic = json.loads(s.handle({"q": "the", "mode": "semantic"}, "a", now=0.0)[2])
+    again = json.loads(s.handle({"q": "the", "mode": "semantic"}, "a", now=0.0)[2])  # its budget is spent
+    assert semantic["results"] != got["results"] and again["results"] == got["results"]
+    assert [(x["asked"], x["mode"]) for x in s.log] == [("keyword", "keyword"), ("semantic", "semantic"), ("semantic", "keyword")]
+    for _ in range(2):
+        status, headers, _ = s.handle({"q": "the"}, "a", now=0.0)
+        assert status == 429 and headers["Retry-After"] == "2" and headers["RateLimit-Limit"] == "4"
+    assert s.refused == 2 and [x["refusals"] for x in s.log if "refused" in x] == [1]
+    assert s.health()[0] == 200
     b = Bucket(1.0, 2)
     assert [b.allow("k", 0.0)[0] for _ in range(3)] == [True, True, False] and b.allow("k", 1.0)[0]
     b.sweep(10_000.0)
     assert not b.state
 
 
+def test_client_side(spark):
+    from quillet.operators import service
+
+    assert service.request_params(" go " + "x" * 600, offset=5000) == {"q": ("go " + "x" * 600)[:512], "offset": "1000"}
+    assert service.request_params("go", limit=30, offset=40, mode="semantic") == {"q": "go", "limit": "30", "offset": "20", "mode": "semantic"}
+    assert service.has_more(20, 21, 1000) and not service.has_more(20, 20, 1000) and not service.has_more(1001, 2000, 1000)
+    pages = {0: (200, [1, 3], 9, 2), 2: (200, [5], 9, 3), 3: (200, [6, 8], 9, 5), 5: (429, [], 9, 5)}
+    asked = []
+    ask = lambda offset: asked.append(offset) or pages[offset]
+    assert service.load_more(ask, 0, lambda x: x % 2 == 0, 1000) == ([1, 3, 5, 6, 8], 5) and asked == [0, 2, 3]
+    assert service.load_more(ask, 5, bool, 1000) == ([], 5)
+    assert service.load_more(ask, 0, lambda x: False, 1000, pages=2)[1] == 3
+    ticks = iter(range(0, 100, 2))
+    assert service.load_more(ask, 0, lambda x: False, 1000, clock=lambda: next(ticks))[1] == 3
+    rows = spark.createDataFrame([(1, i, b) for i, b in enumerate(['{"url":"https://a.org/1","score":1e999}', '{"url":"https://a.org/1","title":"again"}', "no", '{"url":"https://b.org/","score":-2.5}'])], "k int, n int, body string")
+    got = service.sanitised_response(rows, "k", "n", "body").orderBy("n").select("r.url", "r.score").collect()
+    assert [tuple(r) for r in got] == [("https://a.org/1", 0.0), ("https://b.org/", -2.5)]
+    assert service.bookmark(spark.createDataFrame([("u", "t", "a", "feed", "s", ["x"], None)], "url string, title string, author string, origin string, summary string, topics array<string>, published_at timestamp")).first()["saved_at"] is not None
+
+
+def test_offset_errors_name_the_window():
+    assert "30" in search.parse_request({"q": "a", "mode": "semantic", "limit": "20", "offset": "31"}) and "50" in search.parse_request({"q": "a", "mode": "semantic", "limit": "20", "offset": "31"})
+    assert search.parse_request({"q": "a", "offset": "1001"}) == "offset must be from 0 to 1000"
+
+
+def test_reload_on_change(spark, tmp_path):
+    from quillet.sources import storage
+
+    (tmp_path / "list").mkdir()
+    (tmp_path / "list/a.yml").write_text("one")
+    held = storage.Reloaded(spark, f"file://{tmp_path}/list", lambda p: src.text_value(spark, p + "/a.yml"))
+    assert held.get() == held.get() == "one" and held.loads == 1
+    (tmp_path / "list/a.yml").write_text("another")
+    assert held.get() == "another" and held.loads == 2
+    storage.write_value(spark, f"file://{tmp_path}/cursor", "s9")
+    storage.write_value(spark, f"file://{tmp_path}/cursor", "s10")
+    assert storage.read_value(spark, f"file://{tmp_path}/cursor") == "s10" and storage.read_value(spark, f"file://{tmp_path}/none") == ""
+
+
 def test_overrides_and_yaml(spark):
     from quillet.operators import build_run
 
@@ -250,15 +317,13 @@ def test_overrides_and_yaml(spark):
     assert [r["id"] for r in src.allowlist(spark, out).orderBy("pos").collect()] == ["b", "a"]
 
 
-def test_stored_index(spark, tmp_path):
-    rows = search.articles(spark.read.parquet(f"{DATA}/documents.parquet"))
-    search.write_index(rows, f"file://{tmp_path}/index")
-    index, sizes = (spark.read.parquet(f"file://{tmp_path}/index/{x}") for x in ("postings", "lengths"))
-    got = search.matches_indexed(index, sizes, ("the", "of"))
+def test_stored_index(spark, index):
+    got = index.matches(("the", "of"))
     assert "PushedFilters: [In(term" in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
-    want = {r["id"]: r["score"] for r in search.matches(rows, ("the", "of")).collect()}
-    found = {r["id"]: r["score"] for r in got.collect()}
-    assert set(found) == set(want) and all(abs(found[k] - want[k]) < 2e-6 for k in want)
+    rows = search.articles(spark.read.parquet(f"{DATA}/documents.parquet"))
+    want = {r["id"]: (r["score"], r["source_id"], r["origin"]) for r in search.matches(rows, ("the", "of")).collect()}
+    found = {r["id"]: (r["score"], r["source_id"], r["origin"]) for r in got.collect()}
+    assert set(found) == set(want) and all(abs(found[k][0] - want[k][0]) < 2e-6 and found[k][1:] == want[k][1:] for k in want)
 
 
 def test_chunks_of_every_source_equal_ntile(spark):
