@@ -203,6 +203,43 @@ def public_suffix_plus_one(h: Column, long_suffixes=LONG_SUFFIXES) -> Column:
     return F.when(F.size(labels) >= keep, F.array_join(F.slice(labels, -keep, keep), ".")).otherwise(h)
 
 
+_rules: dict[str, tuple[frozenset, frozenset, frozenset]] = {}
+
+
+def suffix_rules(spark) -> tuple[frozenset, frozenset, frozenset]:
+    """The public suffix list that ships with Spark: suffixes, suffixes of which any name below is one, and exceptions."""
+    app = spark.sparkContext.applicationId
+    if app not in _rules:
+        lists = spark._jvm.com.google.thirdparty.publicsuffix.PublicSuffixPatterns
+        # one string a list crosses the gateway
+        _rules[app] = tuple(frozenset(getattr(lists, name).keySet().toString().strip("[]").split(", ")) - {""} for name in ("EXACT", "UNDER", "EXCLUDED"))
+    return _rules[app]
+
+
+def registered_name(h: Column, rules: tuple[frozenset, frozenset, frozenset]) -> Column:
+    """The public suffix of a host and one label before it, by rules as suffix_rules() gives them; a host that is itself a
+    suffix, or none, stays as it is."""
+    exact, under, excluded = rules
+
+    def one(host: str | None) -> str | None:
+        if not host:
+            return host
+        labels = host.split(".")
+        for i in range(len(labels)):
+            name, parent = ".".join(labels[i:]), ".".join(labels[i + 1 :])
+            if name in excluded:
+                return name
+            if name in exact or parent in under:
+                return ".".join(labels[i - 1 :]) if i else host
+        return ".".join(labels[-2:])
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    return run(h)
+
+
 def is_article_url(url: Column, site: Column) -> Column:
     p = path(url)
     low = F.transform(segments(p), lambda s: F.lower(s))

@@ -92,24 +92,42 @@ def feed_coverage(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("feed").isNotNull()).alias("with_feed"))
 
 
-def build(lines: DataFrame, probes: DataFrame, known_feeds: DataFrame, feeds: DataFrame, previous: DataFrame, overrides: DataFrame) -> Build:
-    """Harvest, check, merge redirects, ids, drop platform roots, overrides, validate, audit.
-
-    previous: site, id of the last build, whose ids stay with their sites.
+def scored_feeds(found: DataFrame, facts: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
+    """site, feed_url, feed_title, feed_tags, inconclusive: of each site's working feed (site, url, inconclusive) its title,
+    and the tags that its text and categories earn (facts as feed_facts() gives them)."""
+    earned = builder.tag_scores(facts.where("ok"), vocabulary, "text", "url", "categories")
+    rank = F.struct((-F.col("score")).alias("s"), F.array_position(F.array(*map(F.lit, vocabulary)), F.col("tag")).alias("at"), "tag")
+    tags = earned.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(rank)), lambda x: x["tag"]).alias("feed_tags"))  # six at most
+    named = facts.where("ok").select("url", F.col("title").alias("feed_title")).join(tags, "url", "left")
+    return found.join(named, "url", "left").select("site", F.col("url").alias("feed_url"), "feed_title", F.coalesce("feed_tags", F.array().cast("array<string>")).alias("feed_tags"), "inconclusive")
+
+
+def build(
+    lines: DataFrame, probes: DataFrame, known_feeds: DataFrame, feeds: DataFrame, previous: DataFrame, overrides: DataFrame, retries: DataFrame | None = None, files: DataFrame | None = None,
+) -> Build:
+    """Harvest, check, second try of sites that never answered, merge redirects, ids, drop platform roots, overrides, validate, audit.
+
+    previous: site, id of the last build, whose ids stay with their sites. files: whole list files beside the lines.
     """
-    found = builder.harvest(lines)
-    rows = found.select("site", "name", F.lit(None).cast("string").alias("feed"), builder.fallback_tags(F.col("origin")).alias("tags"), F.array("origin").alias("origins"), "ord")
-    candidates = builder.merge_candidates(rows)
-    checked = crawl.check_candidates(candidates.select("site", "name", F.array().cast("array<string>").alias("tags"), F.col("tags").alias("fallback_tags")), probes, known_feeds, feeds)
-    good = checked.where("error IS NULL").withColumn("ord", F.lit(0)).withColumn("origins", F.array().cast("array<string>"))
-    merged = builder.merge_candidates(good.withColumn("ord", F.row_number().over(W.partitionBy("site").orderBy("name", "feed"))))
+    found = builder.harvest(lines).withColumn("feed", F.lit(None).cast("string"))
+    if files is not None:
+        found = found.unionByName(builder.harvest_files(files))
+    candidates = builder.merge_candidates(builder.candidate_rows(found))
+    if retries is not None:
+        probes = crawl.second_try(probes, retries)
+    given = candidates.select("site", "name", F.array().cast("array<string>").alias("tags"), F.col("tags").alias("fallback_tags"), "ord", "origins")
+    checked = crawl.check_candidates(given, probes, known_feeds, feeds)
+    merged = builder.merge_candidates(checked.where("error IS NULL"))
     pinned = merged.join(previous.select("site", F.col("id").alias("old")), "site", "left").withColumn("base", urls.source_id_base(F.col("site")))
     fresh = builder.unique_ids(pinned.where("old IS NULL"), "base", ["name", "site"], "id", previous.select("id"))
     kept = pinned.where("old IS NOT NULL").withColumn("id", F.col("old"))
     named = fresh.unionByName(kept).select("id", "name", "site", "feed", "tags")
     entries = builder.apply_overrides(builder.drop_platform_roots(named).select("site", "name", "feed", "tags"), overrides)
     ids = named.select(F.col("site").alias("__s"), "id")
-    full = entries.join(ids, entries["site"] == ids["__s"], "left").select(F.coalesce("id", urls.source_id_base(F.col("site"))).alias("id"), "name", "site", "feed", "tags")
+    joined = entries.join(ids, entries["site"] == ids["__s"], "left").select("id", "name", "site", "feed", "tags", urls.source_id_base(F.col("site")).alias("base"))
+    # entries that only an override knows get ids beside all that are in use
+    added = builder.unique_ids(joined.where("id IS NULL").drop("id"), "base", ["name", "site"], "id", previous.select("id").unionByName(named.select("id")))
+    full = joined.where("id IS NOT NULL").drop("base").unionByName(added.drop("base"))
     provenance = F.array(*map(F.lit, fixed.PROVENANCE_TAGS))
     split = full.withColumn("kind", F.array_intersect(provenance, "tags")).withColumn("tags", F.array_except("tags", provenance))
     states = candidates.join(probes.select("site", "status_code", "error"), "site", "left")

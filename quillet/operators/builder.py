@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillet.functions import fixed, text, urls
+from quillet.sources import documents as src
 
 
 def unique_ids(rows: DataFrame, base: str, order: list[str], out: str, reserved: DataFrame | None = None) -> DataFrame:
@@ -24,28 +27,86 @@ def unique_ids(rows: DataFrame, base: str, order: list[str], out: str, reserved:
 
 
 def merge_candidates(rows: DataFrame) -> DataFrame:
-    """One row a site: the first name and feed that are there, in arrival order, and all tags and origins."""
+    """One row a site: the first name and feed that are there, in arrival order, all tags and origins, and the first `ord`."""
     first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("ord")))
     together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    return rows.groupBy("site").agg(first("name").alias("name"), first("feed").alias("feed"), together("tags").alias("tags"), together("origins").alias("origins"))
+    return rows.groupBy("site").agg(first("name").alias("name"), first("feed").alias("feed"), together("tags").alias("tags"), together("origins").alias("origins"), F.min("ord").alias("ord"))
 
 
-def harvest(lines: DataFrame) -> DataFrame:
-    """Candidates of list lines (path, origin, line_no, line): named markdown links, then bare URLs."""
+#: Ways in which a file names a site, in the order in which their names count.
+OUTLINE, ANCHOR, NAMED, BARE = range(4)
+
+
+def _order(kind, line, k) -> Column:
+    """Arrival order: file by file, outlines and anchors before lines, line by line."""
+    return F.struct("path", F.when(kind < NAMED, kind).otherwise(NAMED).alias("part"), line.cast("long").alias("line"), kind.alias("kind"), k.cast("long").alias("k"))
+
+
+def _line_links(lines: DataFrame) -> DataFrame:
+    """path, origin, name, url, feed, ord of entry lines (path, origin, line_no, line): named markdown links, then bare URLs."""
     entry = F.col("line").rlike(r"^\s*(?:[-*+]\s|[0-9]+[.)]\s|\||https?://)") | urls.extension(F.col("path")).isin(*fixed.STRUCTURED_EXTENSIONS)
     rows = lines.where(entry)
     link = r"\[([^\]]{1,160})\]\((https?://[^\s)]+)\)"
-    named = rows.select("origin", "line_no", F.posexplode(F.arrays_zip(F.regexp_extract_all("line", F.lit(link), F.lit(1)).alias("name"), F.regexp_extract_all("line", F.lit(link), F.lit(2)).alias("url"))).alias("k", "x")).select(
-        "origin", "line_no", F.lit(0).alias("kind"), "k", text.clean_name(F.col("x.name")).alias("name"), F.col("x.url").alias("url")
+    pairs = F.arrays_zip(F.regexp_extract_all("line", F.lit(link), F.lit(1)).alias("name"), F.regexp_extract_all("line", F.lit(link), F.lit(2)).alias("url"))
+    none = F.lit(None).cast("string")
+    named = rows.select("path", "origin", "line_no", F.posexplode(pairs).alias("k", "x")).select(
+        "path", "origin", text.clean_name(F.col("x.name")).alias("name"), F.col("x.url").alias("url"), none.alias("feed"), _order(F.lit(NAMED), F.col("line_no"), F.col("k")).alias("ord")
     )
-    bare = rows.select("origin", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(r"(https?://[^\s<>\"'`\]\)\}]+)"), F.lit(1))).alias("k", "url")).select(
-        "origin", "line_no", F.lit(1).alias("kind"), "k", F.lit(None).cast("string").alias("name"), "url"
+    bare = rows.select("path", "origin", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(r"(https?://[^\s<>\"'`\]\)\}]+)"), F.lit(1))).alias("k", "url")).select(
+        "path", "origin", none.alias("name"), "url", none.alias("feed"), _order(F.lit(BARE), F.col("line_no"), F.col("k")).alias("ord")
     )
-    every = named.unionByName(bare).withColumn("clean", urls.clean_url(F.col("url"))).where("clean IS NOT NULL")
+    return named.unionByName(bare)
+
+
+def anchors(files: DataFrame) -> DataFrame:
+    """path, origin, name, url, feed, ord of the links of HTML files (path, origin, content).
+
+    A link's text is a name only where the link is a site itself, not one of its pages.
+    """
+    tag = r"(?is)<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)[^>]*>(.*?)</a>"
+    pairs = F.arrays_zip(F.regexp_extract_all("content", F.lit(tag), F.lit(1)).alias("url"), F.regexp_extract_all("content", F.lit(tag), F.lit(2)).alias("said"))
+    rows = files.where(urls.extension(F.col("path")).isin(".html", ".htm")).select("path", "origin", F.posexplode(pairs).alias("k", "x")).where(urls.is_http(F.col("x.url")))
+    clean = urls.clean_url(F.col("x.url"))
+    root = F.regexp_replace(clean, "/+$", "") == F.regexp_replace(urls.canonical_site(clean), "/+$", "")
+    name = F.when(root, text.clean_name(text.clean_short(F.col("x.said"))))
+    return rows.select("path", "origin", name.alias("name"), F.col("x.url").alias("url"), F.lit(None).cast("string").alias("feed"), _order(F.lit(ANCHOR), F.lit(0), F.col("k")).alias("ord"))
+
+
+def _outline_links(files: DataFrame) -> DataFrame:
+    found = src.outlines(files.where(urls.extension(F.col("path")).isin(".opml", ".xml")).select("*", F.struct("path", "origin").alias("file")), "file", "content")
+    rows = found.select("file.path", "file.origin", text.clean_name(F.col("name")).alias("name"), F.coalesce("site", "feed").alias("url"), "feed", "pos").where("url IS NOT NULL")
+    return rows.select("path", "origin", "name", "url", "feed", _order(F.lit(OUTLINE), F.lit(0), F.col("pos")).alias("ord"))
+
+
+def _sites(links: DataFrame) -> DataFrame:
+    """site, name, feed, ord, origin of links that may be sites and are not the list's own domain."""
+    every = links.withColumn("clean", urls.clean_url(F.col("url"))).where("clean IS NOT NULL")
     own = urls.registrable_domain(urls.host(F.col("origin")))
-    return every.where(urls.registrable_domain(urls.host(F.col("clean"))) != own).select(
-        urls.canonical_site(F.col("clean")).alias("site"), "name", (F.col("line_no") * 1000 + F.col("kind") * 500 + F.col("k")).alias("ord"), "origin"
-    )
+    return every.where(urls.registrable_domain(urls.host(F.col("clean"))) != own).select(urls.canonical_site(F.col("clean")).alias("site"), "name", "feed", "ord", "origin")
+
+
+def harvest(lines: DataFrame) -> DataFrame:
+    """Candidates of list lines (path, origin, line_no, line)."""
+    return _sites(_line_links(lines)).drop("feed")
+
+
+def harvest_files(files: DataFrame) -> DataFrame:
+    """Candidates of whole list files (path, origin, content): outlines, then anchors of HTML files, then entry lines."""
+    lines = files.select("path", "origin", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    outlined = urls.extension(F.col("path")).isin(".opml")
+    return _sites(_outline_links(files).unionByName(anchors(files)).unionByName(_line_links(lines.where(~outlined))))
+
+
+def harvest_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Candidates of fetched pages: each page is a file of its own domain."""
+    return harvest_files(pages.select(src.page_path(F.col(url_col)).alias("path"), F.col(url_col).alias("origin"), F.coalesce(html_col, F.lit("")).alias("content")))
+
+
+def candidate_rows(found: DataFrame) -> DataFrame:
+    """Harvested rows as candidates, with the tags that their lists' names give."""
+    feed = F.col("feed") if "feed" in found.columns else F.lit(None).cast("string")
+    tags = F.array_union(provenance_tags(F.col("origin")), fallback_tags(F.col("origin")))
+    return found.select("site", "name", feed.alias("feed"), tags.alias("tags"), F.array("origin").alias("origins"), "ord")
 
 
 def drop_platform_roots(entries: DataFrame) -> DataFrame:
@@ -76,6 +137,14 @@ def unmatched_overrides(entries: DataFrame, overrides: DataFrame) -> DataFrame:
     return o.join(keys, "__key", "left_anti").where(F.col("name").isNull() | F.col("tags").isNull()).select("site")
 
 
+def checked_entries(entries: DataFrame) -> DataFrame:
+    """The entries, unless one of them breaks a rule: then an error that names the first few."""
+    found = violations(entries).orderBy("site", "problem").limit(5).collect()
+    if found:
+        raise ValueError("; ".join(f"{r['site']}: {r['problem']}" for r in found))
+    return entries
+
+
 def violations(entries: DataFrame) -> DataFrame:
     """site and problem of every entry that breaks a rule."""
     per = lambda c: F.count(F.lit(1)).over(W.partitionBy(c))
@@ -106,7 +175,7 @@ def tag_scores(rows: DataFrame, vocabulary: dict[str, list[str]], text_col: str,
     """Tags that a text earns: distinct keywords, and two points for a category that names the tag; the best six."""
     found, low = [], F.lower(F.col(text_col))
     for i, (tag, words) in enumerate(vocabulary.items()):
-        hits = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\b(" + "|".join(words) + r")\b"), F.lit(1))))
+        hits = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\b(" + "|".join(map(re.escape, words)) + r")\b"), F.lit(1))))
         aliases = F.array(*[F.lit(a) for a in sorted({tag, *(w.replace(" ", "-") for w in words)})])
         own = F.when(F.arrays_overlap(F.transform(F.col(categories_col), text.kebab), aliases), fixed.CATEGORY_SCORE).otherwise(0) if categories_col else F.lit(0)
         found.append(F.struct((-(hits + own)).alias("minus"), F.lit(i).alias("at"), F.lit(tag).alias("tag")))
@@ -114,6 +183,26 @@ def tag_scores(rows: DataFrame, vocabulary: dict[str, list[str]], text_col: str,
     return rows.select(id_col, F.inline(ranked)).select(id_col, "tag", (-F.col("minus")).alias("score"))
 
 
+def load_vocabulary(yaml_text: str) -> dict[str, list[str]]:
+    """tag -> keywords in lower case, in the file's order; a tag without keywords, or one given twice, is an error."""
+    import yaml
+
+    entries = yaml.safe_load(yaml_text) or []
+    pairs = entries.items() if isinstance(entries, dict) else [(e.get("tag"), e.get("keywords")) for e in entries]
+    found: dict[str, list[str]] = {}
+    for tag, words in pairs:
+        words = [str(w).strip().lower() for w in words or [] if str(w).strip()]
+        if not tag or not words or tag in found:
+            raise ValueError(f"tag {tag!r} needs keywords and may be given once")
+        found[tag] = words
+    return found
+
+
+def tag_order(vocabulary: dict[str, list[str]], fallback: tuple[str, ...] = ("tech",)) -> list[str]:
+    """Subjects, then tags of provenance, then those given where nothing else is known."""
+    return list(dict.fromkeys([*vocabulary, *fixed.PROVENANCE_TAGS, *fallback]))
+
+
 def ordered_tags(tags, order: list[str]):
     """Known tags in vocabulary order, others by name, six at most."""
     slugs = F.array_distinct(F.filter(F.transform(tags, text.kebab), lambda t: t != ""))

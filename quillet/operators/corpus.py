@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import dates, fixed, text, urls
 from quillet.operators import html
+from quillet.sources import documents as src
 
 
 def unseen(links: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
@@ -49,10 +50,13 @@ def item_articles(items: DataFrame, pages: DataFrame | None, most: int) -> DataF
 
 
 def page_articles(pages: DataFrame, last_year: int, min_words: int = fixed.PAGE_MIN_WORDS) -> DataFrame:
-    """Whole pages (page_id, url, html) as articles; none from pages that are short, untitled or not to be indexed."""
-    got = html.extract(pages, "page_id", "html").join(pages.select("page_id", "url"), "page_id")
+    """Whole pages (page_id, url, html; perhaps source_id and tags of their source) as articles; none from pages that are
+    short, untitled or not to be indexed. Their topics are the source's tags; a page without a source belongs to its host."""
+    own = [c for c in ("source_id", "tags") if c in pages.columns]
+    got = html.extract(pages, "page_id", "html").join(pages.select("page_id", "url", *own), "page_id")
     rows = got.where(~F.col("noindex") & (F.col("n_words") >= min_words) & (F.trim("title") != ""))
-    source = urls.host_label(F.col("url"))
+    source = F.col("source_id") if "source_id" in own else urls.host_label(F.col("url"))
+    topics = text.article_topics(F.col("tags"), F.array().cast("array<string>")) if "tags" in own else F.array().cast("array<string>")
     return rows.select(
         text.article_id(source, F.col("url")).alias("id"),
         "url",
@@ -61,10 +65,53 @@ def page_articles(pages: DataFrame, last_year: int, min_words: int = fixed.PAGE_
         F.lit("sitemap").alias("origin"),
         "summary",
         text.truncate_words(F.col("main_text"), fixed.CONTENT_WORDS).alias("content"),
+        topics.alias("topics"),
         F.coalesce(dates.parse_time(F.col("published")), urls.date_in_path(urls.path(F.col("url")), last_year).cast("timestamp")).alias("published_at"),
     )
 
 
+def index_rows(articles: DataFrame) -> DataFrame:
+    """Articles as rows of the index: when they were fetched stays out, and the time is text or missing."""
+    at = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return articles.drop("fetched_at").withColumn("published_at", at)
+
+
+def feed_bodies(feeds: DataFrame, rules: DataFrame, most_bytes: int = 4_000_000) -> DataFrame:
+    """Fetched feeds (source_id, url, body) that robots rules allow, cut to a bound; a forbidden one has no body."""
+    rows = feeds.withColumns({"host": urls.host(F.col("url")), "path": urls.path(F.col("url"))})
+    may = src.robots_allowed(rows, rules, ["source_id", "url"])
+    kept = F.when(F.octet_length("body") <= most_bytes, F.col("body")).otherwise(F.decode(F.substring(F.col("body").cast("binary"), 1, most_bytes), "UTF-8"))
+    return feeds.join(may, ["source_id", "url"]).select("source_id", "url", F.when(F.col("allowed"), kept).alias("body"), (~F.col("allowed")).alias("disallowed"))
+
+
+def feed_crawl(feeds: DataFrame, rules: DataFrame, sources: DataFrame, pages: DataFrame | None, most: int) -> DataFrame:
+    """Feeds as articles: robots rules, size bound, parsing, short bodies from their pages. sources: source_id, source_name, tags."""
+    bodies = feed_bodies(feeds, rules).where("body IS NOT NULL")
+    items = src.feed_items(bodies.withColumn("feed", F.struct("source_id", "url")), "feed", "body")
+    named = items.select("feed.source_id", F.col("feed.url").alias("base"), *[c for c in items.columns if c != "feed"]).join(sources, "source_id")
+    return item_articles(named, pages, most)
+
+
+def sitemap_links_wanted(maps: DataFrame, rules: DataFrame, stored: DataFrame, most: int) -> DataFrame:
+    """source_id, site, tags, url, id of the newest links of sitemaps (source_id, site, tags, xml) that are articles, that robots
+    rules allow and whose article is not stored yet."""
+    source = F.struct("source_id", "site", "tags")
+    links = src.sitemap_links(maps.withColumn("source", source), "source", "xml").where("kind = 'url'")
+    rows = links.select("source.source_id", "source.site", "source.tags", F.col("loc").alias("url"), "lastmod", "pos").where(urls.is_article_url(F.col("url"), F.col("site")))
+    newest = src.newest_links(rows, "source_id", most)
+    keyed = newest.withColumns({"id": text.article_id(F.col("source_id"), F.col("url")), "host": urls.host(F.col("url")), "path": urls.path(F.col("url"))})
+    fresh = unseen(keyed, stored)
+    may = src.robots_allowed(fresh, rules, ["source_id", "url"]).where("allowed")
+    return fresh.join(may.select("source_id", "url"), ["source_id", "url"], "left_semi").select("source_id", "site", "tags", "url", "id")
+
+
+def sitemap_crawl(maps: DataFrame, rules: DataFrame, stored: DataFrame, pages: DataFrame, last_year: int, most: int, min_words: int = fixed.PAGE_MIN_WORDS) -> DataFrame:
+    """Articles of the pages (url, html) behind the wanted links of sitemaps; a page that was not fetched gives none."""
+    wanted = sitemap_links_wanted(maps, rules, stored, most)
+    fetched = wanted.join(pages.select("url", "html"), "url").withColumnRenamed("id", "page_id")
+    return page_articles(fetched, last_year, min_words)
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: str = "id", always: tuple[str, ...] = ("url", "title", "source_id")) -> DataFrame:
     """Merge by key: a field that comes empty keeps its stored value, except those that are always sent."""
     s, n = stored.alias("s"), new.alias("n")

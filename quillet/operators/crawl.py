@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import ipaddress
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillet.functions import fixed, text, urls
+from quillet.functions import text, urls
+from quillet.functions.addresses import is_public
+from quillet.sources import documents as src
 
 #: Guessed sitemap places, in order.
 SITEMAP_PATHS = ("sitemap.xml", "sitemap_index.xml", "wp-sitemap.xml", "sitemap-index.xml")
@@ -56,13 +57,56 @@ def check_candidates(candidates: DataFrame, probes: DataFrame, known_feeds: Data
         F.coalesce("feed_url", F.when(F.coalesce("inconclusive", F.lit(True)), F.col("known"))).alias("feed"),
         F.when(F.size(F.coalesce("feed_tags", F.array().cast("array<string>"))) > 0, F.col("feed_tags")).otherwise(F.col("fallback_tags")).alias("tags"),
         problem.alias("error"),
+        *[c for c in ("ord", "origins") if c in candidates.columns],
+    )
+
+
+def second_try(first: DataFrame, again: DataFrame) -> DataFrame:
+    """Probes in which a site that never answered has the answer of a slower second try, if that has one."""
+    silent = F.col("status_code").isNull()
+    better = again.where(~silent).join(first.where(silent).select("site"), "site", "left_semi")
+    return first.join(better.select("site"), "site", "left_anti").unionByName(better.select(first.columns))
+
+
+def page_metadata(body: Column) -> Column:
+    """site_name, description (400 characters at most) and title (the name in it) of a page's head."""
+    head = F.substring_index(F.coalesce(body, F.lit("")), "</head", 1)
+    metas = F.transform(F.regexp_extract_all(head, F.lit(r"(?is)(<meta\s[^>]*>)"), F.lit(1)), tag_attributes)
+    key = lambda m: F.lower(F.coalesce(m["property"], m["name"]))
+    of = lambda k: F.get(F.filter(metas, lambda m: (key(m) == k) & (F.trim(F.coalesce(m["content"], F.lit(""))) != "")), F.lit(0))["content"]
+    title = text.normalise_space(text.decode_basic_entities(F.regexp_extract(head, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return F.struct(
+        text.clean_name(F.coalesce(of("og:site_name"), of("application-name"))).alias("site_name"),
+        text.trimmed_text(F.coalesce(of("description"), of("og:description")), 400).alias("description"),
+        head_name(title).alias("title"),
     )
 
 
-def by_domain(fetches: DataFrame, url_col: str = "url") -> DataFrame:
-    """Fetches of one registrable domain in one partition, in order: a worker that goes through it is polite."""
-    rows = fetches.withColumn("domain", urls.public_suffix_plus_one(urls.host(F.col(url_col))))
-    return rows.repartition("domain").sortWithinPartitions("domain", url_col)
+def feed_facts(probes: DataFrame, id_col: str = "url", entries: int = 15, summary_chars: int = 500) -> DataFrame:
+    """What a feed's probe shows: id, ok, title, text of its first entries, categories, number of entries, error.
+
+    probes: id, status, body, error. A feed has an answer under 400, a feed's root element near its start, and a title or
+    entries. Transport errors stay errors.
+    """
+    rows = probes.withColumn("root", F.left(F.coalesce("body", F.lit("")), F.lit(2000)).rlike(r"(?i)<(rss|feed|rdf:rdf)[\s>]") & (F.coalesce("status", F.lit(0)) < 400))
+    items = src.feed_items(rows.where("root"), id_col, "body")
+    some = items.withColumn("n", F.row_number().over(W.partitionBy(id_col).orderBy("pos")))
+    said = F.concat_ws(" ", "title", F.left(F.coalesce("summary", F.lit("")), F.lit(summary_chars)))
+    # a feed has few entries, and only the first of them bring text
+    read = some.groupBy(id_col).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= entries, F.struct("n", said.alias("x"))))), lambda e: e["x"]), " ").alias("text"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("n") <= entries, F.col("categories")))))).alias("categories"), F.count(F.lit(1)).alias("entries"),
+    )
+    named = rows.join(read, id_col, "left").withColumn("title", F.when(F.col("root"), src.feed_title(F.col("body"))))
+    ok = F.col("root") & (F.col("entries").isNotNull() | F.col("title").isNotNull())
+    error = F.when(~ok, F.coalesce("error", F.when(F.coalesce("status", F.lit(0)) >= 400, F.concat(F.lit("http "), F.col("status").cast("string"))).otherwise("not a feed")))
+    return named.select(id_col, ok.alias("ok"), "title", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), F.coalesce("entries", F.lit(0)).cast("long").alias("entries"), error.alias("error"))
+
+
+def by_domain(fetches: DataFrame, url_col: str = "url", slots: int = 2) -> DataFrame:
+    """Fetches of one registrable domain in at most `slots` partitions, in order: workers that go through them are polite."""
+    rows = fetches.withColumn("domain", urls.registered_name(urls.host(F.col(url_col)), urls.suffix_rules(fetches.sparkSession)))
+    return rows.repartition("domain", F.pmod(F.xxhash64(url_col), F.lit(slots))).sortWithinPartitions("domain", url_col)
 
 
 def is_public_ip(c: Column) -> Column:
@@ -70,17 +114,7 @@ def is_public_ip(c: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def run(s: pd.Series) -> pd.Series:
-        shared = ipaddress.ip_network("100.64.0.0/10")
-
-        def one(value):
-            try:
-                ip = ipaddress.ip_address(value)
-            except ValueError:
-                return False
-            ip = getattr(ip, "ipv4_mapped", None) or ip
-            return not (ip.is_loopback or ip.is_unspecified or ip.is_private or ip.is_link_local or ip.is_multicast or (ip.version == 4 and ip in shared))
-
-        return s.map(one)
+        return s.map(is_public).astype(bool)
 
     return run(c)
 

@@ -1,10 +1,20 @@
-"""The resumable pass over a source list: cursor, circular slice, summary."""
+"""The resumable pass over a source list: cursor, circular slice, crawl, summary, store.
+
+A pass keeps all it needs below one folder: the articles, one Parquet folder a pass, and the cursor, which is written
+last and only after a pass in which some source worked. A pass that dies before is repeated by the next one, and since
+a store is read by key, newest pass first, articles written twice count once. A store of many passes is compacted into
+one by the same rule."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillet.sources import storage
+
 
 def resume_position(sources: DataFrame, last: str | None) -> int:
     """The place after the last source done; from the start if it is unknown. sources: id, pos from 0."""
@@ -35,3 +45,84 @@ def summary(results: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(kind == "timeout", F.lit(False))).alias("timed_out"),
     )
     return s.withColumn("advance", ~((F.col("failed") > 0) & (F.col("failed") == F.col("sources"))))
+
+
+def merged(parts: DataFrame, key: str = "id", always: tuple[str, ...] = ("url", "title", "source_id"), at: str = "pass") -> DataFrame:
+    """Rows of several passes by key: a field's newest value that is not empty, or the newest of those that are always sent."""
+
+    def newest(c: str):
+        kind = parts.schema[c].dataType.simpleString()
+        value = F.col(c) if c in always else F.nullif(F.col(c), F.lit("")) if kind == "string" else F.when(F.size(c) > 0, F.col(c)) if kind.startswith("array") else F.col(c)
+        return F.max_by(value, F.col(at) if c in always else F.when(value.isNotNull(), F.col(at))).alias(c)
+
+    fields = [c for c in parts.columns if c not in (key, at)]
+    return parts.groupBy(key).agg(*[newest(c) for c in fields]).select(*[c for c in parts.columns if c != at])
+
+
+class Store:
+    """Articles below a folder, one part a pass; parts are only added, and read together."""
+
+    def __init__(self, spark: SparkSession, folder: str, empty: DataFrame):
+        self.spark, self.folder, self.empty = spark, folder, empty
+
+    def _parts(self) -> DataFrame:
+        return storage.read_or(self.spark, f"{self.folder}/articles", self.empty.withColumn("pass", F.lit(0).cast("long")))
+
+    def passes(self) -> list[int]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/articles")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(int(x.getPath().getName()[5:]) for x in fs.listStatus(path) if x.getPath().getName().startswith("pass=")) if fs.exists(path) else []
+
+    def articles(self) -> DataFrame:
+        return merged(self._parts())
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        """The rows as one pass; written again, a pass replaces itself."""
+        rows.select(*self.empty.columns).write.mode("overwrite").parquet(f"{self.folder}/articles/pass={number}")
+
+    def compact(self, least: int = 50) -> bool:
+        """Parts of `least` passes and more become one, under the number of the last, once it is written."""
+        done = self.passes()
+        if len(done) < least:
+            return False
+        target = f"{self.folder}/articles/pass={done[-1]}"
+        fresh = f"{self.folder}/compacted-{done[-1]}"
+        self.articles().write.mode("overwrite").parquet(fresh)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(fresh).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.delete(path(target), True)
+        fs.rename(path(fresh), path(target))
+        for n in done[:-1]:
+            fs.delete(path(f"{self.folder}/articles/pass={n}"), True)
+        return True
+
+
+@dataclass(frozen=True)
+class Pass:
+    number: int
+    start: int
+    last: str | None
+    sources: int
+    articles: int
+    failed: int
+    timed_out: int
+    advanced: bool
+
+
+def run_pass(store: Store, sources: DataFrame, size: int, crawl: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> Pass:
+    """One pass over the next `size` sources (id, pos). crawl(slice) gives articles, and per source id, n and error.
+
+    A source's error is its own; if all sources of the slice failed, nothing is stored and the cursor stays.
+    """
+    spark = store.spark
+    last = storage.read_value(spark, f"{store.folder}/cursor") or None
+    start = resume_position(sources, last)
+    some = circular_slice(sources, start, size)
+    articles, results = crawl(some)
+    s = summary(results).first()
+    number = (store.passes() or [0])[-1] + 1
+    end = some.agg(F.max_by("id", "turn").alias("id")).first()["id"]
+    if s["advance"] and s["sources"]:
+        store.add(articles, number)
+        storage.write_value(spark, f"{store.folder}/cursor", end)
+    return Pass(number, start, end, s["sources"], s["articles"], s["failed"], s["timed_out"], bool(s["advance"] and s["sources"]))

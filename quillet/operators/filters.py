@@ -74,6 +74,12 @@ def only_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.join(known.select(key), key, "left_semi")
 
 
+def lookup(keys: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Each different key that was asked for, once, and whether it is known: one join answers all who ask together."""
+    marked = known.select(key).distinct().withColumn("known", F.lit(True))
+    return keys.select(key).distinct().join(marked, key, "left").select(key, F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def not_loaded(rows: DataFrame, loaded: DataFrame, key: str = "url") -> DataFrame:
     """Loaded rows, then incoming ones whose key is not loaded yet."""
     return loaded.unionByName(rows.join(loaded.select(key), key, "left_anti"))

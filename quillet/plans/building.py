@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import fixed, text
 from quillet.operators import builder, discover
-from quillet.plans.literals import frame, values
+from quillet.plans.literals import frame, judged_sql, values
 from quillet.sources import documents as src
 from quillet.streaming import jobs
 
@@ -206,7 +206,7 @@ def failure_kinds(spark, d):
 # Streams.
 
 
-@query()
+@query(f"SELECT user_id, event_id, s >= 1 AS allowed FROM ({judged_sql(0.001, 3, 'events')})")
 def limiter_stream(spark, d):
     return jobs.run_limiter(spark, f"{d}/events.parquet", 0.001, 3)
 
@@ -231,9 +231,9 @@ def extra_join_aggregate(spark, d):
     return c.join(n, c["c_nationkey"] == n["n_nationkey"]).groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def extra_anti_join(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderstatus = 'P'")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 
@@ -290,9 +290,9 @@ def extra_intersect(spark, d):
     return o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")).intersect(o.where("o_orderstatus = 'O'").select("o_custkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def extra_except(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").select("o_custkey"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOURS THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM e) SELECT user_id, sid::BIGINT AS sid, count(*) AS n, min(ts) AS first_ts FROM s GROUP BY user_id, sid")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillet.plans import building, parsing, runs, scalar, searching, serving
+from quillet.plans import building, crawling, parsing, runs, scalar, searching, serving
 
 FLAGSHIP = "search_flagship"
-MODULES = (scalar, searching, parsing, building, serving, runs)
+MODULES = (scalar, searching, parsing, building, serving, runs, crawling)
 
 
 def queries() -> dict:

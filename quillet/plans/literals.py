@@ -30,3 +30,13 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
 
 def in_list(items) -> str:
     return "(" + ", ".join(literal(x) for x in items) + ")"
+
+
+def judged_sql(rate: float, burst: int, source: str, key: str = "user_id") -> str:
+    """key, event_id and s of every row of source: the tokens that its key's bucket holds when the row comes; it passes from 1 on."""
+    t = f"least({burst}.0, a.tokens + (x.last - a.last) / 1e6 * {rate!r})"
+    return (
+        f"SELECT {key}, unnest(ids) AS event_id, unnest(f.states) AS s FROM (SELECT {key}, ids, list_reduce(list_transform(us, lambda u: {{'tokens': 0.0::DOUBLE, 'last': u::DOUBLE, 'states': []::DOUBLE[]}}), "
+        f"lambda a, x: {{'tokens': CASE WHEN {t} >= 1 THEN {t} - 1 ELSE {t} END, 'last': x.last, 'states': list_append(a.states, {t})}}, {{'tokens': {burst}.0::DOUBLE, 'last': us[1]::DOUBLE, 'states': []::DOUBLE[]}}) AS f "
+        f"FROM (SELECT {key}, list(epoch_us(ts) ORDER BY ts, event_id) AS us, list(event_id ORDER BY ts, event_id) AS ids FROM {source} GROUP BY {key}))"
+    )

@@ -51,14 +51,14 @@ PROBES = [
 OVERRIDES = [("https://ann.org", "Ann", None, ["personal-blogs", "rust"])]
 
 
-def _build(spark):
+def _build(spark, overrides=OVERRIDES):
     return build_run.build(
         frame(spark, "path string, origin string, line_no int, line string", LINES),
         frame(spark, "site string, status_code int, content_type string, final_url string, page_title string, site_name string, error string", PROBES),
         frame(spark, "key string, feed string", [("bob.net", "https://bob.net/feed")]),
         frame(spark, "site string, feed_url string, feed_title string, feed_tags array<string>, inconclusive boolean", [("https://ann.org/", "https://ann.org/rss", "Ann writes", ["go"], False)]),
         frame(spark, "site string, id string", [("https://www.bob.net/", "old-bob"), ("https://other.org/", "ann")]),
-        frame(spark, "site string, name string, feed string, tags array<string>", OVERRIDES),
+        frame(spark, "site string, name string, feed string, tags array<string>", overrides),
     )
 
 
@@ -67,9 +67,15 @@ def source_build(spark, d):
     return _build(spark).entries.select("id", "name", "site", "feed", F.array_join("kind", ",").alias("kind"), F.array_join("tags", ",").alias("tags"))
 
 
-@query("SELECT NULL::VARCHAR AS site, NULL::VARCHAR AS problem WHERE FALSE")
+@query("SELECT * FROM (VALUES ('https://ann.org/', 'tag form'), ('not a site', 'site form')) AS t(site, problem)")
 def source_build_problems(spark, d):
-    return _build(spark).problems
+    return _build(spark, [("https://ann.org", "Ann", None, ["Bad Tag"]), ("not a site", "New", None, ["go"])]).problems
+
+
+@query("SELECT * FROM (VALUES ('ann-2'), ('ann-3'), ('old-bob'), ('medium-joe')) AS t(id)")
+def source_build_ids(spark, d):
+    """An entry that only an override knows gets an id beside those in use."""
+    return _build(spark, [("https://ann.net/", "Other Ann", None, ["go"])]).entries.select("id")
 
 
 @query("SELECT * FROM (VALUES ('https://ann.org/', 'yes'), ('http://bob.net/', 'yes'), ('https://dead.org/', 'no'), ('https://medium.com/@joe/', 'yes'), ('https://medium.com/', 'yes')) AS t(site, reachable)")

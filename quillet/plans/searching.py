@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillet.functions import fixed
 from quillet.operators import filters, limits, search
 from quillet.operators import service
-from quillet.plans.literals import frame, values
+from quillet.plans.literals import frame, judged_sql, values
 from quillet.sources import storage
 
 QUERIES, ORACLES = {}, {}
@@ -340,18 +340,8 @@ def limiter_service(spark, d):
     return judged.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("allowed").cast("int")).cast("int").alias("allowed"))
 
 
-def _judged(rate: float, burst: int, source: str, key: str = "user_id") -> str:
-    """event_id, key, ts, allowed and wait_s of every row of source, folded in order of time."""
-    t = f"least({burst}.0, a.tokens + (x.last - a.last) / 1e6 * {rate!r})"
-    return (
-        f"SELECT {key}, unnest(ids) AS event_id, unnest(f.states) AS s FROM (SELECT {key}, ids, list_reduce(list_transform(us, lambda u: {{'tokens': 0.0::DOUBLE, 'last': u::DOUBLE, 'states': []::DOUBLE[]}}), "
-        f"lambda a, x: {{'tokens': CASE WHEN {t} >= 1 THEN {t} - 1 ELSE {t} END, 'last': x.last, 'states': list_append(a.states, {t})}}, {{'tokens': {burst}.0::DOUBLE, 'last': us[1]::DOUBLE, 'states': []::DOUBLE[]}}) AS f "
-        f"FROM (SELECT {key}, list(epoch_us(ts) ORDER BY ts, event_id) AS us, list(event_id ORDER BY ts, event_id) AS ids FROM {source} GROUP BY {key}))"
-    )
-
-
-_TWO = f"""WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), own AS ({_judged(0.001, 3, 'v')}), passed AS (SELECT v.event_id, v.ts, 0 AS one FROM own JOIN v USING (event_id) WHERE s >= 1),
-    com AS ({_judged(0.01, 5, 'passed', 'one')})"""
+_TWO = f"""WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), own AS ({judged_sql(0.001, 3, 'v')}), passed AS (SELECT v.event_id, v.ts, 0 AS one FROM own JOIN v USING (event_id) WHERE s >= 1),
+    com AS ({judged_sql(0.01, 5, 'passed', 'one')})"""
 
 
 @query(f"{_TWO} SELECT v.event_id, CASE WHEN com.s >= 1 THEN 'semantic' ELSE 'keyword' END AS mode FROM v LEFT JOIN com USING (event_id)")
@@ -362,10 +352,10 @@ def limiter_semantic_downgrade(spark, d):
 
 
 LOG_RATE = 2e-05
-_REFUSED = f"j AS ({_judged(LOG_RATE, 2, 'events')}), refused AS (SELECT e.event_id, e.user_id, e.ts, j.s, 0 AS one FROM j JOIN events e USING (event_id) WHERE j.s < 1)"
+_REFUSED = f"j AS ({judged_sql(LOG_RATE, 2, 'events')}), refused AS (SELECT e.event_id, e.user_id, e.ts, j.s, 0 AS one FROM j JOIN events e USING (event_id) WHERE j.s < 1)"
 
 
-@query(f"WITH {_REFUSED}, n AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS refused_so_far FROM refused), l AS ({_judged(0.0005, 3, 'refused', 'one')}) SELECT event_id, user_id, refused_so_far FROM l JOIN n USING (event_id) WHERE l.s >= 1")
+@query(f"WITH {_REFUSED}, n AS (SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id) AS refused_so_far FROM refused), l AS ({judged_sql(0.0005, 3, 'refused', 'one')}) SELECT event_id, user_id, refused_so_far FROM l JOIN n USING (event_id) WHERE l.s >= 1")
 def throttle_log(spark, d):
     return limits.throttle_log(limits.buckets(events(spark, d), "user_id", LOG_RATE, 2), 0.0005, 3)
 

@@ -49,6 +49,12 @@ def feed_items(rows: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     return items.unionByName(entries)
 
 
+def feed_title(xml: Column) -> Column:
+    """The title of a feed as a whole."""
+    read = F.from_xml(_tame(xml), "channel struct<title:string>, title string", _XML)
+    return F.nullif(text.clean_short(F.coalesce(read["channel"]["title"], read["title"])), F.lit(""))
+
+
 def sitemap_links(rows: DataFrame, id_col: str, xml_col: str, most: int = 20_000) -> DataFrame:
     """One row a location: kind (url or sitemap), loc, lastmod; nothing from what is no sitemap."""
     kind = "array<struct<loc:string,lastmod:string>>"
@@ -110,8 +116,10 @@ def robots_allowed(rows: DataFrame, rules: DataFrame, key: list[str], host_col:
 
 def outlines(rows: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     """Feed, site and name of every outline element, whatever its nesting."""
-    tags = F.regexp_extract_all(F.col(xml_col), F.lit(r"(?s)<outline\s([^>]*)>"), F.lit(1))
-    attr = lambda *names: F.coalesce(*[F.nullif(F.regexp_extract("t", rf"(?i)(?:^|\s){n}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit("")) for n in names])
+    quoted = r"\"[^\"]*\"|'[^']*'"
+    tags = F.regexp_extract_all(F.col(xml_col), F.lit(rf"(?s)<outline\s((?:[^>\"']|{quoted})*)>"), F.lit(1))
+    value = lambda n: F.regexp_replace(F.regexp_extract("t", rf"(?i)(?:^|\s){n}\s*=\s*({quoted})", 1), "^[\"']|[\"']$", "")
+    attr = lambda *names: F.coalesce(*[F.nullif(text.decode_basic_entities(value(n)), F.lit("")) for n in names])
     return rows.select(id_col, F.posexplode(tags).alias("pos", "t")).select(
         id_col, "pos", attr("xmlurl", "feed", "rss").alias("feed"), attr("htmlurl", "url", "site").alias("site"), attr("title", "text", "name").alias("name")
     )
@@ -153,6 +161,34 @@ def text_value(spark: SparkSession, path: str) -> str:
     return rows[0]["value"].strip() if rows else ""
 
 
+def page_path(url: Column) -> Column:
+    """A path by which a page's format is told: one without an extension is HTML."""
+    p = F.regexp_replace(url, "[?#].*$", "")
+    return F.when(urls.extension(urls.path(p)) == "", F.concat(F.regexp_replace(p, "/+$", ""), F.lit(".html"))).otherwise(p)
+
+
+def list_files(spark: SparkSession, folder: str, origin: str, most_bytes: int = 2_000_000, most_files: int = 400) -> DataFrame:
+    """path, origin and content of the list files below a repository's folder, the first by path if there are many."""
+    named = files(spark, folder, contents=False).where(is_list_file(F.col("path"), F.col("length"), most_bytes)).orderBy("path").limit(most_files)
+    # the limit bounds the list of names; only their files are read
+    wanted = F.broadcast(named.select("path"))
+    return files(spark, folder).join(wanted, "path", "left_semi").select("path", F.lit(origin).alias("origin"), F.col("content").cast("string").alias("content"))
+
+
+def previous_build(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of an earlier list: site and id, and site key and feed, which a new build keeps."""
+    feeds = entries.where("feed IS NOT NULL").groupBy(urls.site_key(F.col("site")).alias("key")).agg(F.min("feed").alias("feed"))
+    return entries.select("site", "id"), feeds
+
+
+def entry_rows(entries: DataFrame) -> DataFrame:
+    """Entries with the declared fields in their order, empty ones null, numbered by name and site."""
+    bare = lambda c: F.when(F.size(c) > 0, F.col(c)) if entries.schema[c].dataType.typeName() == "array" else F.nullif(F.col(c), F.lit(""))
+    fields = [bare(c).alias(c) for c in ("id", "name", "site", "feed", "kind", "tags")]
+    # a source list is small by its nature, so one task may number it
+    return entries.select(*fields).withColumn("place", F.row_number().over(W.orderBy(F.lower("name"), "site")))
+
+
 SOURCE_SCHEMA = "id string, name string, site string, feed string, kind array<string>, tags array<string>, pos int"
 
 

@@ -6,10 +6,11 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillet.operators import corpus
+from quillet.operators import discover
 from quillet.sources.storage import shared_folder
 
 
@@ -61,21 +62,39 @@ def run_limiter(spark: SparkSession, path: str, per_second: float, burst: float)
     return _run(limited(stream_of(spark, path), "user_id", per_second, burst), "limiter", shared_folder(spark))
 
 
-def run_discovery(spark: SparkSession, path: str, row_of, key: str = "id") -> DataFrame:
-    """Micro-batches of articles, merged by id into a store that each batch rewrites; a replayed batch changes nothing."""
-    base = f"{shared_folder(spark)}/quillet-discover-{uuid.uuid4().hex}"
-    current: list[str] = []
+def run_discovery(spark: SparkSession, path: str, row_of, key: str = "id", folder: str | None = None) -> DataFrame:
+    """Micro-batches of articles, each added to a store under its number; a replayed batch replaces itself.
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = row_of(batch).dropDuplicates([key])
-        merged = corpus.upsert(spark.read.parquet(current[-1]), new, key) if current else new
-        target = f"{base}/store-{number}"
-        merged.write.mode("overwrite").parquet(target)
-        current.append(target)
+    With a folder of its own a stream that was stopped goes on where it was, and its store keeps what it had.
+    """
+    base = folder or f"{shared_folder(spark)}/quillet-discover-{uuid.uuid4().hex}"
+    stream = stream_of(spark, path)
+    store = discover.Store(spark, f"{base}/store", spark.createDataFrame([], row_of(spark.createDataFrame([], stream.schema)).schema))
+
+    def add(batch: DataFrame, number: int) -> None:
+        store.add(row_of(batch).dropDuplicates([key]), number)
 
-    q = stream_of(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(current[-1])
+    store.compact()
+    return store.articles()
+
+
+def run_windows(spark: SparkSession, path: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Counts of the windows that the watermark has closed."""
+    return _run(windowed_counts(stream_of(spark, path), width, late), "windows", shared_folder(spark))
+
+
+def on_timer(stream: DataFrame, each, folder: str, every: str = "1 hour"):
+    """Starts a pass over what is new at every interval; a late trigger is told by the query's progress, not skipped."""
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(processingTime=every).start()
+
+
+def last_of_bursts(rows: DataFrame, key: str, ts: str, tie: str, gap: str) -> DataFrame:
+    """The last row of each burst: of rows of a key that follow one another within the gap, only the newest counts."""
+    w = W.partitionBy(key).orderBy(ts, tie)
+    nxt = F.lead(ts).over(w)
+    return rows.withColumn("__next", nxt).where(F.col("__next").isNull() | (F.col("__next") > F.col(ts) + F.expr(f"INTERVAL {gap}"))).drop("__next")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -290,6 +290,186 @@ def test_offset_errors_name_the_window():
     assert search.parse_request({"q": "a", "offset": "1001"}) == "offset must be from 0 to 1000"
 
 
+class _Site:
+    """A local web server for GETs; answers are by path."""
+
+    def __enter__(self):
+        import http.server
+        import threading
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                if self.path.startswith("/to"):
+                    self.send_response(302)
+                    self.send_header("Location", "/ok" if self.path == "/to" else "/toloop")
+                    self.end_headers()
+                    return
+                self.send_response(200 if self.path in ("/ok", "/big", "/robots.txt") else 404)
+                self.send_header("Content-Type", "text/html; charset=utf-8")
+                self.end_headers()
+                self.wfile.write({"/big": b"x" * 100_000, "/robots.txt": b"User-agent: *\nDisallow: /p"}.get(self.path, b"<html><head><title>caf\xc3\xa9</title></HEAD><body>" + b"y" * 50_000))
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        return f"http://127.0.0.1:{self.server.server_address[1]}"
+
+    def __exit__(self, *args):
+        self.server.shutdown()
+        self.server.server_close()
+
+
+def test_fetching(spark):
+    import functools
+
+    from quillet.sources import fetch
+
+    get = functools.partial(fetch.http_get, open_world=True)
+    with _Site() as site:
+        wanted = spark.createDataFrame([(site + p,) for p in ("/ok", "/ok", "/big", "/to", "/toloop", "/none")] + [("ftp://a.org/",), ("http://127.0.0.1:1/",), (None,)], "url string")
+        got = {r["url"]: r for r in fetch.fetch(wanted, limit=70_000, get=get).collect()}
+        assert len(got) == 7
+        assert got[site + "/ok"]["status"] == 200 and "café" in got[site + "/ok"]["body"] and got[site + "/ok"]["error"] is None
+        assert len(got[site + "/big"]["body"]) == 70_000 and got[site + "/to"]["final_url"] == site + "/ok"
+        assert got[site + "/none"]["status"] == 404 and got[site + "/none"]["error"] == "http 404" and got[site + "/toloop"]["error"]
+        assert "not http" in got["ftp://a.org/"]["error"] and got["http://127.0.0.1:1/"]["status"] is None
+        assert "not a public" in fetch.fetch(wanted.where(F.col("url").endswith("/ok"))).first()["error"]
+        head = fetch.site_probe(spark.createDataFrame([(site + "/ok",)], "site string"), get=get).first()
+        assert head["body"].lower().count("</head") == 1 and len(head["body"]) < 20_000
+        robots = fetch.robots_bodies(spark.createDataFrame([(site + "/a",), (site + "/b",), ("http://127.0.0.1:1/c",)], "url string"), get=get).collect()
+        assert sorted(r["body"] for r in robots) == ["", "User-agent: *\nDisallow: /p"]
+        spark.dataSource.register(fetch.FetchSource)
+        rows = spark.read.format("quillet_fetch").option("urls", f"{site}/ok\n{site}/none").option("limit", "10").option("open_world", "true").load().collect()
+        assert {r["url"][len(site):]: (r["status"], r["body"]) for r in rows} == {"/ok": (200, "<html><hea"), "/none": (404, None)}
+
+
+def test_polite_partitions(spark):
+    from quillet.operators import crawl
+
+    rows = spark.createDataFrame([(f"https://s{i % 5}.blog{i % 3}.co.uk/{i}",) for i in range(60)], "url string")
+    placed = crawl.by_domain(rows).withColumn("part", F.spark_partition_id()).groupBy("domain").agg(F.count_distinct("part").alias("parts")).collect()
+    assert {r["domain"] for r in placed} == {f"blog{i}.co.uk" for i in range(3)} and all(r["parts"] <= 2 for r in placed)
+
+
+def test_passes_resume(spark, tmp_path):
+    sources = spark.createDataFrame([(f"s{i}", i) for i in range(5)], "id string, pos int")
+    empty = spark.createDataFrame([], "id string, url string, title string, source_id string, author string")
+    asked, down = [], set()
+
+    def crawl(some):
+        ids = [r["id"] for r in some.orderBy("turn").collect()]
+        asked.append(ids)
+        good = [i for i in ids if i not in down]
+        articles = spark.createDataFrame([(f"{i}-{len(asked)}", "u", f"t{len(asked)}", i, "") for i in good] + [("both", "u", f"t{len(asked)}", "x", "Ann" if len(asked) == 1 else "")] * bool(good), empty.schema)
+        return articles, spark.createDataFrame([(i, 1 if i in good else 0, None if i in good else "timeout") for i in ids], "id string, n int, error string")
+
+    def again():  # a process that starts anew knows only the folder
+        return discover.run_pass(discover.Store(spark, f"file://{tmp_path}/run", empty), sources, 2, crawl)
+
+    assert again().last == "s1" and again().last == "s3"
+    down.update({"s4", "s0"})
+    failed = again()
+    assert not failed.advanced and failed.timed_out == 2 and failed.start == 4
+    down.remove("s0")
+    assert again().last == "s0" and asked == [["s0", "s1"], ["s2", "s3"], ["s4", "s0"], ["s4", "s0"]]
+
+    def dies(some):
+        crawl(some)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        discover.run_pass(discover.Store(spark, f"file://{tmp_path}/run", empty), sources, 2, dies)
+    assert again().start == 1
+    store = discover.Store(spark, f"file://{tmp_path}/run", empty)
+    rows = {r["id"]: (r["title"], r["author"]) for r in store.articles().collect()}
+    assert rows["both"] == ("t6", "Ann") and len(rows) == 8
+    assert store.compact(2) and store.passes() == [4] and {r["id"]: (r["title"], r["author"]) for r in store.articles().collect()} == rows
+
+
+def test_stopped_stream_goes_on(spark, tmp_path):
+    schema = "id int, author string, title string"
+    spark.createDataFrame([(1, "a", "x")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    keep = lambda b: b.select("id", F.lit("u").alias("url"), "title", F.lit("s").alias("source_id"), "author")
+    run = lambda: {r["id"]: (r["title"], r["author"]) for r in jobs.run_discovery(spark, f"file://{tmp_path}/in", keep, folder=f"file://{tmp_path}/work").collect()}
+    assert run() == {1: ("x", "a")}
+    spark.createDataFrame([(1, "", "y"), (2, "b", "z")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == {1: ("y", "a"), 2: ("z", "b")} == run()
+
+
+def test_sitemap_crawl_equals_its_parts(spark):
+    from quillet.plans import crawling
+
+    maps, rules, stored, pages = crawling._maps(spark, DATA)
+    wanted = {r["url"] for r in corpus.sitemap_links_wanted(maps, rules, stored, 1_000_000).collect()}
+    whole = {r["url"]: r for r in corpus.page_articles(pages, 2027, min_words=20).collect()}
+    got = crawling.sitemap_crawl(spark, DATA).collect()
+    assert {r["url"] for r in got} == wanted & set(whole) and got
+    assert all(r["topics"] == ["tech"] and (r["title"], r["content"]) == (whole[r["url"]]["title"], whole[r["url"]]["content"]) for r in got)
+    newest = corpus.sitemap_links_wanted(maps, rules, stored, 2).groupBy("source_id").count().agg(F.max("count")).first()[0]
+    assert newest <= 2
+
+
+def test_list_files(spark, tmp_path):
+    for name, body in {"README.md": "- https://ann.org/", "LICENSE.md": "- https://no.org/", ".github/list.md": "- https://no.org/", "deep/feeds.opml": "<outline xmlUrl='https://bob.net/feed'/>", "pic.png": "x"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    files = src.list_files(spark, f"file://{tmp_path}", "https://lists.org/engineering")
+    found = builder.merge_candidates(builder.candidate_rows(builder.harvest_files(files))).collect()
+    assert {r["site"]: (r["feed"], r["tags"]) for r in found} == {"https://ann.org/": (None, ["software-engineering"]), "https://bob.net/": ("https://bob.net/feed", ["software-engineering"])}
+    assert src.list_files(spark, f"file://{tmp_path}", "o", most_files=1).count() == 1
+
+
+def test_arrival_order_and_origins_last_through_redirects(spark):
+    from quillet.operators import build_run
+
+    lines = [("b.md", "https://l1.org/x", 1, "- [Second](https://old.org/)"), ("a.md", "https://l2.org/x", 900, "- [First](https://new.org/)")]
+    probes = [("https://old.org/", 200, "text/html", "https://new.org/", None, None, None), ("https://new.org/", 200, "text/html", "https://new.org/", None, None, None)]
+    none = lambda schema: spark.createDataFrame([], schema)
+    built = build_run.build(
+        spark.createDataFrame(lines, "path string, origin string, line_no int, line string"),
+        spark.createDataFrame(probes, "site string, status_code int, content_type string, final_url string, page_title string, site_name string, error string"),
+        none("key string, feed string"), none("site string, feed_url string, feed_title string, feed_tags array<string>, inconclusive boolean"), none("site string, id string"), none("site string, name string, feed string, tags array<string>"),
+    )
+    assert [(r["site"], r["name"]) for r in built.entries.collect()] == [("https://new.org/", "First")]
+    assert builder.checked_entries(built.entries).count() == 1
+    with pytest.raises(ValueError, match="id repeated"):
+        builder.checked_entries(built.entries.unionByName(built.entries))
+
+
+def test_vocabulary(spark):
+    words = builder.load_vocabulary("c: ['C++', 'node.js']\nrust: [Rust]\n")
+    assert words == {"c": ["c++", "node.js"], "rust": ["rust"]} and builder.tag_order(words)[:2] == ["c", "rust"] and builder.tag_order(words)[-1] == "tech"
+    rows = spark.createDataFrame([(1, "node.js and node.js, nodexjs; rust", ["rust"])], "id int, t string, cats array<string>")
+    assert [(r["tag"], r["score"]) for r in builder.tag_scores(rows, words, "t", "id", "cats").collect()] == [("rust", 3)]
+    for bad in ("a: []\n", "- {tag: a, keywords: [x]}\n- {tag: a, keywords: [y]}\n"):
+        with pytest.raises(ValueError):
+            builder.load_vocabulary(bad)
+
+
+def test_wiring():
+    from quillet.operators import wiring
+
+    def broken(settings):
+        return wiring.number(settings, "BATCH", 200)
+
+    made = wiring.wire({"BATCH": "many"}, {"search": lambda s: "running", "discovery": broken})
+    assert made.parts == {"search": "running"} and "BATCH" in made.problems["discovery"]
+    assert wiring.wire({}, {"discovery": broken}).parts == {"discovery": 200}
+    with pytest.raises(ValueError):
+        wiring.wire({"BATCH": "0"}, {"search": broken})
+
+
+def test_index_rows_and_feed_bound(spark):
+    rows = spark.createDataFrame([("a", None)], "id string, fetched_at timestamp").withColumn("published_at", F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    assert corpus.index_rows(rows).first().asDict() == {"id": "a", "published_at": "2024-01-02T03:04:05Z"}
+    feeds = spark.createDataFrame([("s", "https://a.org/f", "x" * 50), ("s", "https://a.org/no", "y"), ("s", "https://b.org/", "z")], "source_id string, url string, body string")
+    rules = spark.createDataFrame([("a.org", "/no", False)], "host string, pattern string, allow boolean")
+    got = {r["url"]: (r["body"], r["disallowed"]) for r in corpus.feed_bodies(feeds, rules, 10).collect()}
+    assert got == {"https://a.org/f": ("x" * 10, False), "https://a.org/no": (None, True), "https://b.org/": ("z", False)}
+
+
 def test_reload_on_change(spark, tmp_path):
     from quillet.sources import storage
 
