@@ -92,3 +92,24 @@ HISTORY_CAP, HISTORY_KEEP, BOOKMARK_CAP = 250_000, 200_000, 5_000
 PERIOD_DAYS = (0, 30, 365, 1825)
 MAX_TAGS, MIN_TAG_SCORE, CATEGORY_SCORE = 6, 2, 2
 PROVENANCE_TAGS = ("personal-blogs", "company-blogs", "independent-web", "small-web")
+
+# Words of a list's address and the tags they give. All words of a group of a fallback rule's second form must occur.
+PROVENANCE_RULES = (
+    ("personal-blogs", ("personal", "smallweb", "indieweb", "blogscroll")),
+    ("company-blogs", ("company", "companies")),
+    ("independent-web", ("independent", "smallweb", "indieweb", "blogscroll")),
+    ("small-web", ("independent", "smallweb", "indieweb", "blogscroll")),
+)
+FALLBACK_RULES = (
+    ("software-engineering", ("engineering", "software", "programming", "developer", "dev", "devblogs")),
+    ("ai", ("ml", "ai", "llm", "llms", "deeplearning")),
+    ("machine-learning", ("ml", "ai", "llm", "llms", "deeplearning")),
+    ("web-development", ("frontend", "webdev")),
+    ("security", ("security",)),
+    ("python", ("python",)),
+    ("data-science", (("data", "science"),)),
+    ("astronomy", ("astronomy", "astro")),
+    ("physics", ("physics",)),
+    ("science", ("science",)),
+)
+FALLBACK_TAG = "tech"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -198,7 +200,7 @@ def load_vocabulary(yaml_text: str) -> dict[str, list[str]]:
     return found
 
 
-def tag_order(vocabulary: dict[str, list[str]], fallback: tuple[str, ...] = ("tech",)) -> list[str]:
+def tag_order(vocabulary: dict[str, list[str]], fallback: tuple[str, ...] = (fixed.FALLBACK_TAG,)) -> list[str]:
     """Subjects, then tags of provenance, then those given where nothing else is known."""
     return list(dict.fromkeys([*vocabulary, *fixed.PROVENANCE_TAGS, *fallback]))
 
@@ -210,30 +212,25 @@ def ordered_tags(tags, order: list[str]):
     return F.slice(F.concat(known, F.array_sort(F.array_except(slugs, known))), 1, fixed.MAX_TAGS)
 
 
-def provenance_tags(seed):
+def _by_rules(seed: Column, rules) -> Column:
+    """The tags of the rules of which a word, or all words of a group, are in the seed's address."""
     t = text.seed_tokens(seed)
-    has = lambda *words: F.arrays_overlap(t, F.array(*map(F.lit, words)))
-    return F.array_compact(F.array(
-        F.when(has("personal", "smallweb", "indieweb", "blogscroll"), "personal-blogs"),
-        F.when(has("company", "companies"), "company-blogs"),
-        F.when(has("independent", "smallweb", "indieweb", "blogscroll"), "independent-web"),
-        F.when(has("independent", "smallweb", "indieweb", "blogscroll"), "small-web"),
-    ))
+    has = lambda w: F.array_contains(t, w) if isinstance(w, str) else F.size(F.array_except(F.array(*map(F.lit, w)), t)) == 0
+    met = lambda words: functools.reduce(operator.or_, map(has, words))
+    return F.array_compact(F.array(*[F.when(met(words), tag) for tag, words in rules]))
 
 
-def fallback_tags(seed):
-    t = text.seed_tokens(seed)
-    has = lambda *words: F.arrays_overlap(t, F.array(*map(F.lit, words)))
-    found = F.array_compact(F.array(
-        F.when(has("engineering", "software", "programming", "developer", "dev", "devblogs"), "software-engineering"),
-        F.when(has("ml", "ai", "llm", "llms", "deeplearning"), "ai"),
-        F.when(has("ml", "ai", "llm", "llms", "deeplearning"), "machine-learning"),
-        F.when(has("frontend", "webdev"), "web-development"),
-        F.when(has("security"), "security"),
-        F.when(has("python"), "python"),
-        F.when(has("data") & has("science"), "data-science"),
-        F.when(has("astronomy", "astro"), "astronomy"),
-        F.when(has("physics"), "physics"),
-        F.when(has("science"), "science"),
-    ))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("tech")))
+def provenance_tags(seed: Column) -> Column:
+    return _by_rules(seed, fixed.PROVENANCE_RULES)
+
+
+def fallback_tags(seed: Column) -> Column:
+    found = _by_rules(seed, fixed.FALLBACK_RULES)
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fixed.FALLBACK_TAG)))
+
+
+def repository_tags(seeds: Column) -> Column:
+    """The tags of all seeds that lead to a repository; the last resort only where no seed says more."""
+    united = lambda rules: F.array_distinct(F.flatten(F.transform(seeds, lambda s: _by_rules(s, rules))))
+    found = united(fixed.FALLBACK_RULES)
+    return F.array_union(united(fixed.PROVENANCE_RULES), F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fixed.FALLBACK_TAG))))

@@ -126,12 +126,19 @@ def feed_union(spark, d):
     return _items(spark, FEEDS)
 
 
-@query()
+_ARTICLES = [
+    ("src-1", "https://a.org/1", "First & best", "Ann", "Short text", "Long body", "linux,rust,web-dev", "2024-03-05 17:20:30"), ("src-1", "https://a.org/2", "Second", "bob@a.org", "Only & this", "Only & this", "linux", None),
+    ("src-2", "https://b.org/1", "Atom one", "Cy", "Sum", "Sum", "linux,go-lang,ai", "2024-03-05 10:20:30"), ("src-2", "https://b.org/2", "Atom two", "A blog", None, "Body", "linux", "2024-01-01 00:00:00"),
+]
+
+
+@query(f"WITH {values('t', 'source_id, url, title, author, summary, content, topics, published_at', _ARTICLES)} SELECT source_id || '-' || left(sha256(url), 16) AS id, url, title, author, source_id, 'feed' AS origin, summary, content, topics, published_at::TIMESTAMP AS published_at FROM t")
 def feed_articles(spark, d):
     items = src.feed_items(frame(spark, "id int, xml string", FEEDS), "id", "xml").withColumns(
         {"source_id": F.concat(F.lit("src-"), F.col("id").cast("string")), "source_name": F.lit("A blog"), "tags": F.array(F.lit("linux")), "base": F.lit("https://a.org/feed")}
     )
-    return corpus.item_articles(items, None, 10)
+    got = corpus.item_articles(items, None, 10)
+    return got.withColumns({"topics": F.array_join("topics", ","), "published_at": F.col("published_at").cast("timestamp_ntz")})
 
 
 MAPS = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillet.operators import build_run
+from quillet.operators import build_run, builder
 from quillet.plans.literals import frame
 from quillet.sources import documents as src
 
@@ -31,6 +31,15 @@ def seed_expansion(spark, d):
     return build_run.expand_seeds(seeds, frame(spark, "topic string, repository string, stars int", REPOS), 2).withColumn("seeds", F.array_join("seeds", " "))
 
 
+UNITED = [("a/b", ["https://github.com/a/personal-ml", "https://github.com/topics/company-blogs"]), ("c/d", ["https://x.org/z", "https://x.org/security"]), ("e/f", ["https://x.org/z"])]
+
+
+@query("SELECT * FROM (VALUES ('a/b', 'personal-blogs company-blogs ai machine-learning'), ('c/d', 'security'), ('e/f', 'tech')) AS t(repository, tags)")
+def seed_tags(spark, d):
+    t = frame(spark, "repository string, seeds array<string>", UNITED)
+    return t.select("repository", F.array_join(builder.repository_tags(F.col("seeds")), " ").alias("tags"))
+
+
 LISTED = [(1, ["https://a.org/x?utm_source=q", "https://a.org/x", "https://github.com/a", "https://b.org/skip", "https://c.org/."], ["https://b.org/skip"])]
 
 

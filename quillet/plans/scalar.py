@@ -213,12 +213,35 @@ def url_public_suffix(spark, d):
 _VP = f"array_to_string(list_sort(list_transform(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '{fixed.VISIT_TRACKING}')), lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END)), '&')"
 
 
-@query(PAGES + f"SELECT page_id, CASE WHEN host <> '' THEN regexp_replace(loc, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN {_VP} <> '' THEN '?' || {_VP} ELSE '' END ELSE lower(trim(url)) END AS page FROM {V}")
+_CANONICAL = PAGES + f"SELECT page_id, CASE WHEN host <> '' THEN regexp_replace(loc, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN {_VP} <> '' THEN '?' || {_VP} ELSE '' END ELSE lower(trim(url)) END AS page FROM {V}"
+
+
+@query(_CANONICAL)
 def url_visit_canonical(spark, d):
     return pages(spark, d).select("page_id", urls.visit_canonical(F.col("url")).alias("page"))
 
 
-@query()
+# the hash as a fold over characters, in wide whole numbers that are cut to 32 bits
+_U = lambda x: f"{x}::UHUGEINT"
+_FOLD = (
+    f"list_reduce(list_transform(range(1, len(page) + 1), lambda i: {{'a': {_U('ord(page[i])')}, 'b': {_U('0')}}}), lambda x, u: {{'a': (xor(x.a, u.a) * 2654435761) % 4294967296, 'b': (xor(x.b, u.a) * 1597334677) % 4294967296}}, "
+    f"{{'a': {_U('3735928559')}, 'b': {_U('1103547991')}}})"
+)
+_STEPS = (("a", "a", 16, 2246822507, None), ("a", "b", 13, 3266489909, "a"), ("b", "b", 16, 2246822507, None), ("b", "a", 13, 3266489909, "b"))
+
+
+def _mixed() -> str:
+    """CTEs h0 to h4: the four closing steps, each of which changes one half."""
+    out = f"h0 AS (SELECT page_id, r.a AS a, r.b AS b FROM (SELECT page_id, {_FOLD} AS r FROM c))"
+    for i, (target, source, shift, factor, onto) in enumerate(_STEPS):
+        value = f"(xor({source}, {source} // {2**shift}) * {factor}) % 4294967296"
+        value = f"xor({onto}, {value})" if onto else value
+        other = "b" if target == "a" else "a"
+        out += f", h{i + 1} AS (SELECT page_id, {value} AS {target}, {other} FROM h{i})"
+    return out
+
+
+@query(f"WITH c AS ({_CANONICAL}), {_mixed()} SELECT page_id, (4294967296 * (b % 2097152) + a)::BIGINT AS visit_key FROM h4")
 def url_cyrb53(spark, d):
     return pages(spark, d).select("page_id", urls.visit_key(F.col("url")).alias("visit_key"))
 
