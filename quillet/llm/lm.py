@@ -11,10 +11,10 @@ Counts cover all training rows and are exact but for collisions of 64-bit keys,
 n-grams has 0.03. The model is never broadcast: rows are dealt by a hash of the row and its place in its input split,
 so that repeated rows part, into groups of bounded bytes; each group sends its distinct n-grams (64-bit keys, sorted blocks) to key buckets,
 each bucket adds up the counts and answers every group with the counts it asked for, and the group walks its
-part of the automaton. N-grams are counted within a group before they are sent. A block is sent only where a group
-has keys for a bucket, so there are at most as many blocks as groups times buckets and never more than different
-keys of groups; on large inputs group_bytes should be what a core can hold at about 20 times, as blocks get fewer with
-its square.
+part of the automaton. A group is read in slices, so beside its texts it holds its tokens and its distinct n-grams, and
+n-grams are counted within it before they are sent. Groups and buckets are as many as each other, and a group's bytes
+grow with the root of the input (group_count), so that a block, of one group for one bucket, still holds tens of keys
+at 100 TB and the number of blocks stays far under the number of keys.
 
 Defined results: a null text counts as empty, one end token; rows with null ids are scored like any other
 (their crc32 is that of the empty text); repeated rows get equal results; with no training rows all counts are
@@ -32,7 +32,10 @@ from quillet.llm.common import crc_of_id, shuffle_partitions, staged, text_bytes
 
 ADD = 0.1
 MU = 4.0
-GROUP_BYTES = 16_000_000
+#: Bytes of texts in a group: at least, at most, and the factor of the input under the root between them.
+GROUP_BYTES, MOST_BYTES, ROOT = 16_000_000, 256_000_000, 650
+#: Characters of texts that are turned into keys at once.
+SLICE_CHARS = 2_000_000
 #: Keys of the end token and of the state before a text's first token: no word's hash seed gives them.
 END, BEGIN = np.uint64(0xE5D0000000000001), np.uint64(0xBE61000000000002)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -45,6 +48,12 @@ def pair_keys(states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def group_count(total_bytes: int, least: int, group_bytes: int | None = None) -> int:
+    """Groups, and buckets, for texts of so many bytes; `least` keeps all cores busy."""
+    size = group_bytes or min(MOST_BYTES, max(GROUP_BYTES, int((total_bytes * ROOT) ** 0.5)))
+    return max(least, -(-total_bytes // size), 1)
+
+
 def token_keys(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all tokens, each text closed by END, and the number of tokens of each text."""
     from itertools import repeat
@@ -71,11 +80,42 @@ def states_before(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return states
 
 
-def _group_keys(texts: list[str | None]):
-    """Token keys, state keys, text lengths, the group's sorted distinct unigram and bigram keys."""
-    tokens, lengths = token_keys(texts)
-    states = states_before(tokens, lengths)
-    return tokens, states, lengths, pair_keys(states, tokens)
+class Tally:
+    """Sorted distinct keys and their counts, added in parts; parts are merged when they outgrow what is merged."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.parts: list = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > 1_000_000 + len(self.keys):
+            self.merge()
+
+    def merge(self) -> "Tally":
+        if self.parts:
+            keys = np.concatenate([self.keys, *(k for k, _ in self.parts)])
+            counts = np.concatenate([self.counts, *(c for _, c in self.parts)])
+            by = np.argsort(keys, kind="stable")
+            keys, counts = keys[by], counts[by]
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+            self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+            self.parts, self.waiting = [], 0
+        return self
+
+
+def slices(texts: list[str | None], most: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring texts of about `most` characters; a longer text is a range of its own."""
+    out, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if size and size + n > most:
+            out.append((lo, i))
+            lo, size = i, 0
+        size += n
+    return [*out, (lo, len(texts))] if texts else out
 
 
 class Automaton:
@@ -150,32 +190,43 @@ def totals(df: DataFrame, buckets: int) -> tuple[int, int, int]:
     return int(r["n"] or 0), int(r["v"] or 0), int(r["ends"] or 0)
 
 
+def dealt(df: DataFrame, id_col: str, text_col: str, held_out: str, groups: int) -> DataFrame:
+    """id, text, held_out and the group of each row; equal rows are dealt apart by their places."""
+    return (
+        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), crc_of_id(F.col(id_col)).alias("__crc"))
+        .select("id", "text", F.expr(held_out).alias("held_out"), F.pmod(F.xxhash64("id", "__crc", "text", F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("part"))
+    )
+
+
 def score(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     held_out: str = "pmod(__crc, 10) = 0",
     mu: float = MU,
-    group_bytes: int = GROUP_BYTES,
+    group_bytes: int | None = None,
+    slice_chars: int = SLICE_CHARS,
 ) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
-    groups = max(shuffle_partitions(spark), -(-text_bytes(df, text_col) // group_bytes))
-    rows = (
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), crc_of_id(F.col(id_col)).alias("__crc"))
-        .select("id", "text", F.expr(held_out).alias("held_out"), F.pmod(F.xxhash64("id", "__crc", "text", F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("part"))
-    )
+    groups = group_count(text_bytes(df, text_col), shuffle_partitions(spark), group_bytes)
+    rows = dealt(df, id_col, text_col, held_out, groups)
     total, distinct, starts = totals(rows.select((~F.col("held_out")).alias("train"), "text"), groups)
     automaton = Automaton(total, distinct, starts, mu)
 
     def ask(table: pa.Table) -> pa.Table:
-        tokens, _, lengths, pairs = _group_keys(table["text"].to_pylist())
-        train = np.repeat(~np.array(table["held_out"].to_pylist(), bool), lengths)
-        part = table["part"][0].as_py()
+        texts, held = table["text"].to_pylist(), np.array(table["held_out"].to_pylist(), bool)
+        part, tallies = table["part"][0].as_py(), (Tally(), Tally())
+        for lo, hi in slices(texts, slice_chars):
+            tokens, lengths = token_keys(texts[lo:hi])
+            train = np.repeat(~held[lo:hi], lengths)
+            for tally, keys in zip(tallies, (tokens, pair_keys(states_before(tokens, lengths), tokens))):
+                tally.add(*_tallied(keys, train))
         out = []
-        for kind, keys in ((1, tokens), (2, pairs)):
-            out += [(b, part, kind, k.tobytes(), _narrow(c)) for b, k, c in _blocks(*_tallied(keys, train), groups)]
+        for kind, tally in enumerate(tallies, 1):
+            tally.merge()
+            out += [(b, part, kind, k.tobytes(), _narrow(c)) for b, k, c in _blocks(tally.keys, tally.counts, groups)]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "part", "kind", "keys", "counts"])
 
     def add_up(table: pa.Table) -> pa.Table:
@@ -191,33 +242,40 @@ def score(
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def walk(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        tokens, states, lengths, pairs = _group_keys(texts["text"].to_pylist())
         replies = {(k, b): t for k, b, t in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["totals"].to_pylist())}
-
-        def asked(kind: int, keys: np.ndarray) -> np.ndarray:
-            """The total of each key: answers lie bucket by bucket, in each in the order of the keys."""
-            known, at = np.unique(keys, return_inverse=True)
+        bodies, runs, tallies = texts["text"].to_pylist(), [], (Tally(), Tally())
+        for lo, hi in slices(bodies, slice_chars):
+            tokens, lengths = token_keys(bodies[lo:hi])
+            runs.append((tokens, lengths))
+            for tally, keys in zip(tallies, (tokens, pair_keys(states_before(tokens, lengths), tokens))):
+                distinct = np.unique(keys)
+                tally.add(distinct, np.zeros(len(distinct), np.int64))
+        del bodies
+
+        def totals_of(kind: int, known: np.ndarray) -> np.ndarray:
+            """The total of each known key: answers lie bucket by bucket, in each in the order of the keys."""
             bucket = (known % np.uint64(groups)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             some, n = np.unique(bucket, return_counts=True)
             of = np.zeros(len(known), np.int64)
             of[by] = np.concatenate([_wide(replies[kind, b], k) for b, k in zip(some.tolist(), n.tolist())])
-            return of[at]
-
-        both = asked(2, pairs)
-        del pairs, states
-        c = asked(1, tokens)
-        del tokens
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        starts_at = np.cumsum(lengths) - lengths
-        before[starts_at] = automaton.starts
-        steps = automaton.weights(before, both, c)
-        base = np.log10(automaton.root(c))
-        known_n, base_sum, step_sum = (np.add.reduceat(x, starts_at) for x in ((c > 0).astype(np.int64), base, steps))
-        return pa.table(
-            [texts["id"], texts["held_out"], pa.array(lengths), pa.array(known_n), pa.array(base_sum), pa.array(step_sum)], names=names
-        )
+            return of
+
+        known = [t.merge().keys for t in tallies]
+        found = [totals_of(kind, keys) for kind, keys in enumerate(known, 1)]
+        columns = []
+        for tokens, lengths in runs:
+            keys, at = np.unique(tokens, return_inverse=True)
+            c = found[0][np.searchsorted(known[0], keys)][at]
+            keys, at = np.unique(pair_keys(states_before(tokens, lengths), tokens), return_inverse=True)
+            both = found[1][np.searchsorted(known[1], keys)][at]
+            before = np.empty_like(c)
+            before[1:] = c[:-1]
+            starts_at = np.cumsum(lengths) - lengths
+            before[starts_at] = automaton.starts
+            steps, base = automaton.weights(before, both, c), np.log10(automaton.root(c))
+            columns.append((lengths, *(np.add.reduceat(x, starts_at) for x in ((c > 0).astype(np.int64), base, steps))))
+        return pa.table([texts["id"], texts["held_out"], *(pa.array(np.concatenate(x)) for x in zip(*columns))], names=names)
 
     answers = (
         rows.groupBy("part").applyInArrow(ask, "bucket int, part int, kind int, keys binary, counts binary")

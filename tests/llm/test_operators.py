@@ -173,6 +173,12 @@ def test_exact_dedup(spark, first, widen):
     assert Counter(tuple(r) for r in got) == expected
 
 
+def test_exact_dedup_of_an_empty_table_and_of_clashing_columns(docs, none):
+    assert exact_dedup.dedup(none).count() == 0
+    got = exact_dedup.dedup(docs).collect()
+    assert len(got) == len(ROWS) and sum(r["kept"] for r in got) == len({SPACE.sub("", t) for _, t in texts()})
+
+
 # 3
 
 
@@ -449,6 +455,32 @@ def test_near_dedup_equals_brute_force(spark, none, monkeypatch, block, size):
     assert near_dup.classes(none).count() == 0
 
 
+def test_near_dedup_of_clashing_columns(docs):
+    got = near_dup.classes(docs)
+    assert got.columns == ["doc_id", "class_id", "class_size", "kept"] and got.count() == len(ROWS)
+
+
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, label string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    rows = [(i, t, l or "en", "s", len(t or ""), "clash", "clash") for i, t, l in ROWS]
+    spark.createDataFrame(rows, schema).coalesce(2).write.parquet(f"{tmp_path}/rows/documents.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/rows/documents.parquet")
+    for k, (name, f) in enumerate(corpus_pipeline.STAGES[:3]):
+        f(spark, kept, "").write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        assert kept.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+    left = kept.collect()
+    # of the two rows without ids one stays, as do one of the repeated rows and the long texts
+    assert sum(r["doc_id"] is None for r in left) == 1 and sum(r["doc_id"] == 13 for r in left) == 1 and {11, 18} <= {r["doc_id"] for r in left}
+    got = corpus_pipeline.run(spark, f"{tmp_path}/rows").collect()
+    assert {r["doc_id"] for r in got} == {r["doc_id"] for r in left} and sum(r["doc_id"] is None for r in got) == 1
+    assert max(r["piece"] for r in got if r["doc_id"] == 11) > 0
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
@@ -771,7 +803,7 @@ def test_lm(spark, docs, none):
     n, v = sum(c.values()), len(c)
     pairs = Counter(p for _, t in train for p in zip(["<s>", *tokens(t)], tokens(t)))
     states = c | Counter({"<s>": len(train)})
-    got = by_id(lm.score(docs, group_bytes=5_000))
+    got = by_id(lm.score(docs, group_bytes=5_000, slice_chars=3_000))
     for i, t in rows:
         words = tokens(t)
         p = [(c[w] + 0.1) / (n + 0.1 * (v + 1)) for w in words]
@@ -785,3 +817,32 @@ def test_lm(spark, docs, none):
         ), i
     assert sum(map(len, got.values())) == len(ROWS)
     assert lm.score(none).count() == 0
+
+
+def test_groups_and_blocks_of_large_inputs():
+    """Blocks are groups times buckets; each holds many keys (0.6 a token of six bytes) whatever the input."""
+    for total in (10**9, 10**11, 10**12, 10**13, 10**14):
+        groups = lm.group_count(total, 200)
+        assert 0.6 * total / 6 / groups**2 > 50 and total / groups <= lm.MOST_BYTES
+    assert lm.group_count(0, 4) == 4 and lm.group_count(100, 1, 30) == 4
+
+
+def test_tally_merges_parts():
+    r = np.random.default_rng(3)
+    tally, every = lm.Tally(), Counter()
+    for _ in range(5):
+        keys, counts = np.unique(r.integers(0, 50, 40).astype(np.uint64), return_counts=True)
+        tally.add(keys, counts.astype(np.int64))
+        every.update(dict(zip(keys.tolist(), counts.tolist())))
+        if r.random() < 0.5:
+            tally.merge()
+    tally.merge()
+    assert dict(zip(tally.keys.tolist(), tally.counts.tolist())) == every and (np.diff(tally.keys.astype(np.int64)) > 0).all()
+    assert len(lm.Tally().merge().keys) == 0 and lm.slices(["ab", None, "abc", "x" * 9, "d"], 4) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
+def test_lm_deals_one_row_among_all_groups(spark):
+    rows = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    sizes = [r["count"] for r in lm.dealt(rows, "doc_id", "text", "false", 20).groupBy("part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 11_000
+    assert lm.score(rows, group_bytes=100_000).distinct().count() == 1
