@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import SPACE_CLASS, staged
+from quillet.llm.common import SPACE_CLASS, staged, unstage
 
 FIRST_BYTES = 32
 #: Each level's digit is this many times longer than the one before.
@@ -49,6 +49,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_b
         ),
         "radix1",
     )
+    unstage(shared)
     settled = [
         first.where(F.col("gid").isNull()).select(
             "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
@@ -76,6 +77,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_b
             ),
             f"radix{level}",
         )
+        unstage(groups)
         settled.append(
             split.where("settled").select(
                 "id", "keep_id", F.col("n").cast("long").alias("group_size"), (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256"
