@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), keeps all columns of documents and works on all that its predecessor
 kept; run() writes each stage's rows to the shared folder and rereads them. The last stage returns the packed
-pieces.
+pieces. docs must be a table read from files, as run() gives it: the two deduplication stages tell repeated rows and
+rows with null ids apart by their places in the files.
+
+Defined results: a null, empty or letterless text goes in the first stage; null and repeated ids are rows of their own;
+columns beside doc_id, text, lang and n_chars pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
