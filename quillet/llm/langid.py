@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillet.llm.common import crc_of_id, staged, unstage
+from quillet.llm.common import crc_of_id, give_back, staged, unstage
 
 UNDETERMINED = "und"
 START = "▁"
@@ -37,9 +37,9 @@ START = "▁"
 UNSEEN = 1e-8
 #: Columns between two rescalings (UNSEEN to that power is far from underflow), characters that a table holds of each
 #: word, and word x character x language cells that are worked on at once.
-RESCALE, STRETCH, CELLS = 24, 4096, 2_000_000
+RESCALE, STRETCH, CELLS = 24, 4096, 600_000
 #: Word x language likelihoods that a worker keeps.
-KEPT_CELLS = 1_600_000
+KEPT_CELLS = 1_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIER, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -252,18 +252,21 @@ def train(
         return None
 
     def tally(batches):
-        for batch in batches:
-            found: dict[str, Counter] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.setdefault(lang, Counter()).update(text.lower().split())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([l for l, c in found.items() for _ in c], pa.string()),
-                    pa.array([w for c in found.values() for w in c], pa.string()),
-                    pa.array([x for c in found.values() for x in c.values()], pa.int64()),
-                ],
-                names=["lang", "word", "n"],
-            )
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                found: dict[str, Counter] = {}
+                for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    found.setdefault(lang, Counter()).update(text.lower().split())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([l for l, c in found.items() for _ in c], pa.string()),
+                        pa.array([w for c in found.values() for w in c], pa.string()),
+                        pa.array([x for c in found.values() for x in c.values()], pa.int64()),
+                    ],
+                    names=["lang", "word", "n"],
+                )
+        give_back()
 
     words = staged(sampled(rows, known, language_rows).mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langwords")
     names = sorted(r["lang"] for r in known)
@@ -284,6 +287,7 @@ def train(
                 weights[np.arange(batch.num_rows), [number[l] for l in batch.column(0).to_pylist()]] = batch.column(2).to_numpy(zero_copy_only=False)
                 total += finder.expected(batch.column(1).to_pylist(), weights, current)
             piece, lang = np.nonzero(total)
+            give_back()
             yield pa.RecordBatch.from_arrays(
                 [pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])], names=["piece", "lang", "n"]
             )
@@ -354,6 +358,8 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=names
                 )
+        del scorer
+        give_back()
 
     return df.mapInArrow(run, schema)
 

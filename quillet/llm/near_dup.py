@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillet.llm.common import staged, unstage
+from quillet.llm.common import give_back, staged, unstage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -47,9 +47,9 @@ SURELY, HARDLY = 0.95, 0.65
 #: Members, and askers, of a bucket in one block of the second comparison.
 BLOCK = 2048
 #: Bytes of texts on either side of a block.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 12_000_000
 #: Shingle sets that a worker keeps while it compares.
-KEPT_SETS = 4096
+KEPT_SETS = 2048
 
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -74,7 +74,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words, kept per worker."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         import xxhash
 
         self.digest, self.limit, self.known = xxhash.xxh64_intdigest, limit, {}
@@ -226,6 +226,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ],
                     names=["id", "key", "node", "sig", "bands"],
                 )
+        del words
+        give_back()
 
     return df.select(id_col, text_col, _key(id_col, text_col).alias("key")).mapInArrow(run, f"id {id_type}, key long, node binary, sig binary, bands array<bigint>")
 
@@ -273,9 +275,13 @@ def _exact(pairs: DataFrame) -> DataFrame:
 
     def run(batches):
         sets = _Sets()
-        for batch in batches:
-            keep = [_similar(s, x, y, sets) for s, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                keep = [_similar(s, x, y, sets) for s, x, y in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        del sets
+        give_back()
 
     return pairs.select("a", "b", "share", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
@@ -284,9 +290,11 @@ def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFram
     """node, text of wanted nodes: the text of the row with the node's least key."""
 
     def run(batches):
-        for batch in batches:
-            keep = [node_of(t) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                keep = [node_of(t) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     found = wanted.join(nodes, "node").join(texts, "key").select("node", "text").mapInArrow(run, "node binary, text string")
     return found.groupBy("node").agg(F.first("text").alias("text"))

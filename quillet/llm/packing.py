@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillet.llm.common import shuffle_partitions, staged, unstage
+from quillet.llm.common import give_back, shuffle_partitions, staged, unstage
 
 #: Pre-tokens, and words in other scripts, whose ids a worker keeps.
-KEPT_TOKENS, KEPT_WORDS = 700_000, 150_000
+KEPT_TOKENS, KEPT_WORDS = 400_000, 100_000
 #: Characters of texts that are split before their pre-tokens are looked up together.
 RUN_CHARS = 16_000
 #: A round must remove this part of the open sequences to be kept.
@@ -161,6 +161,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, path: str |
                     [batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=[id_col, "piece", "start", "length", "ids_crc32"],
                 )
+        give_back()
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long")
 
