@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import fixed, text, urls
 from quillet.operators import builder, crawl
+from quillet.sources import storage
 
 
 @dataclass
@@ -112,16 +113,16 @@ def build(
     found = builder.harvest(lines).withColumn("feed", F.lit(None).cast("string"))
     if files is not None:
         found = found.unionByName(builder.harvest_files(files))
-    candidates = builder.merge_candidates(builder.candidate_rows(found))
+    candidates = storage.staged(builder.merge_candidates(builder.candidate_rows(found)), "candidates")
     if retries is not None:
         probes = crawl.second_try(probes, retries)
     given = candidates.select("site", "name", F.array().cast("array<string>").alias("tags"), F.col("tags").alias("fallback_tags"), "ord", "origins")
     checked = crawl.check_candidates(given, probes, known_feeds, feeds)
-    merged = builder.merge_candidates(checked.where("error IS NULL"))
+    merged = storage.staged(builder.merge_candidates(checked.where("error IS NULL")), "checked")
     pinned = merged.join(previous.select("site", F.col("id").alias("old")), "site", "left").withColumn("base", urls.source_id_base(F.col("site")))
     fresh = builder.unique_ids(pinned.where("old IS NULL"), "base", ["name", "site"], "id", previous.select("id"))
     kept = pinned.where("old IS NOT NULL").withColumn("id", F.col("old"))
-    named = fresh.unionByName(kept).select("id", "name", "site", "feed", "tags")
+    named = storage.staged(fresh.unionByName(kept).select("id", "name", "site", "feed", "tags"), "named")
     entries = builder.apply_overrides(builder.drop_platform_roots(named).select("site", "name", "feed", "tags"), overrides)
     ids = named.select(F.col("site").alias("__s"), "id")
     joined = entries.join(ids, entries["site"] == ids["__s"], "left").select("id", "name", "site", "feed", "tags", urls.source_id_base(F.col("site")).alias("base"))
@@ -129,6 +130,6 @@ def build(
     added = builder.unique_ids(joined.where("id IS NULL").drop("id"), "base", ["name", "site"], "id", previous.select("id").unionByName(named.select("id")))
     full = joined.where("id IS NOT NULL").drop("base").unionByName(added.drop("base"))
     provenance = F.array(*map(F.lit, fixed.PROVENANCE_TAGS))
-    split = full.withColumn("kind", F.array_intersect(provenance, "tags")).withColumn("tags", F.array_except("tags", provenance))
+    split = storage.staged(full, "entries").withColumn("kind", F.array_intersect(provenance, "tags")).withColumn("tags", F.array_except("tags", provenance))
     states = candidates.join(probes.select("site", "status_code", "error"), "site", "left")
     return Build(split, builder.violations(split), builder.audit(states, probes), builder.unmatched_overrides(named, overrides))

@@ -29,6 +29,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/quillet-{label}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written in the shared folder and read back: what several plans use is made once, and survives lost executors."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def signature(spark: SparkSession, path: str) -> tuple[int, int]:
     """Number and digest of the names, times and sizes of the files below a path; contents are not read."""
     listed = src.files(spark, path, contents=False)
