@@ -152,22 +152,24 @@ def matches(rows: DataFrame, terms: tuple[str, ...]) -> DataFrame:
 
 
 class Index:
-    """A stored index: postings, documents and, per field, documents and mean length."""
+    """A stored index: postings, document frequencies, documents and, per field, documents and mean length."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.postings, self.documents = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents")
-        self.stats = spark.read.parquet(f"{path}/stats")
+        self.spark = spark
+        self.postings, self.terms, self.documents = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "documents"))
+        self.stats = {r["field"]: (r["n"], r["mean"]) for r in spark.read.parquet(f"{path}/stats").collect()}  # a row a field
+
+    def weights(self, terms: tuple[str, ...]) -> list[tuple]:
+        """term, field, weight times inverse document frequency, and mean length: as many as the query's terms times five."""
+        rows = self.terms.where(F.col("term").isin(*terms)).collect()
+        of = lambda n, df: math.log(1 + (n - df + 0.5) / (df + 0.5))
+        return [(r["term"], r["field"], fixed.FIELD_WEIGHTS[r["field"]] * of(self.stats[r["field"]][0], r["df"]), self.stats[r["field"]][1]) for r in rows]
 
     def matches(self, terms: tuple[str, ...]) -> DataFrame:
-        """id, source_id, origin and relevance as in matches(): only the terms' postings are read."""
-        hits = self.postings.where(F.col("term").isin(*terms))
-        df = hits.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
-        # a row a term and field: as many as the query's terms times five
-        weights = df.join(F.broadcast(self.stats), "field")
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = F.create_map(*[x for name, w in fixed.FIELD_WEIGHTS.items() for x in (F.lit(name), F.lit(w))])[F.col("field")]
-        part = weight * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-        scored = hits.join(F.broadcast(weights), ["term", "field"])
+        """id, source_id, origin and relevance as in matches(): only the terms' postings are read, once."""
+        weights = self.spark.createDataFrame(self.weights(terms), "term string, field string, w double, mean double")
+        scored = self.postings.where(F.col("term").isin(*terms)).join(F.broadcast(weights), ["term", "field"])
+        part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
         has = [F.max((F.col("term") == t).cast("int")).alias(f"has{i}") for i, t in enumerate(terms)]
         grouped = scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.first("source_id").alias("source_id"), F.first("origin").alias("origin"), *has)
         for i in range(len(terms)):
@@ -189,6 +191,10 @@ def write_index(rows: DataFrame, path: str) -> None:
     exploded = tokens.select("id", "source_id", "origin", "field", "len", F.explode("tokens").alias("term"))
     counted = exploded.groupBy("term", "field", "id", "source_id", "origin", "len").agg(F.count(F.lit(1)).alias("tf"))
     counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    stored = rows.sparkSession.read.parquet(f"{path}/postings")
+    # a document has one posting for each term and field; a term's postings lie together, so this is reduced before it is shuffled
+    frequencies = stored.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    frequencies.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     rows.drop("content").repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/documents")
     tokens.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
 
