@@ -398,6 +398,28 @@ def test_stopped_stream_goes_on(spark, tmp_path):
     assert run() == {1: ("y", "a"), 2: ("z", "b")} == run()
 
 
+def test_timer_and_idle_buckets(spark, tmp_path):
+    schema = "event_id long, user_id string, ts timestamp"
+    rows = lambda *x: spark.createDataFrame(x, "event_id long, user_id string, at string").select("event_id", "user_id", F.to_timestamp("at").alias("ts"))
+    rows((1, "a", "2024-01-01 00:00:00"), (2, "b", "2024-01-01 00:00:01")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = []
+    q = jobs.on_timer(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"), lambda batch, n: seen.append(batch.count()), f"file://{tmp_path}/timer", every="1 second")
+    q.processAllAvailable()
+    q.stop()
+    assert sum(seen) == 2
+    # buckets that are full again long before the watermark are dropped
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    q = jobs.limited(source, "user_id", 1.0, 2, late="1 second").writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/state").start()
+    q.processAllAvailable()
+    held = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    for k, day in ((3, "02"), (4, "03"), (5, "04")):
+        rows((k, "c", f"2024-01-{day} 00:00:00")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q.processAllAvailable()
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    assert held == 2 and left == 1
+
+
 def test_sitemap_crawl_equals_its_parts(spark):
     from quillet.plans import crawling
 
