@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import text, urls
 from quillet.operators import build_run, builder, corpus, crawl, discover, filters
+from quillet.plans import parsing
 from quillet.plans.literals import frame, values
 from quillet.sources import documents as src
 from quillet.sources import storage
@@ -155,11 +156,12 @@ def sitemap_crawl_links(spark, d):
     return corpus.sitemap_links_wanted(maps, rules, stored, 1_000_000).select("url").distinct()
 
 
-@query()
+@query(f"WITH {parsing.EXTRACTED}, {_WANTED} SELECT x.url, array_to_string(title[1:40], ' ') AS title, md5(array_to_string(words[1:1000], ' ')) AS content, 'tech' AS topics, 'sitemap' AS origin FROM x JOIN w USING (page_id) WHERE len(words) >= 20 AND len(title) > 0")
 def sitemap_crawl(spark, d):
-    """Articles from sitemaps: robots rules, stored ids, pages; tests hold it against the parts."""
+    """Articles from sitemaps: robots rules, stored ids, pages."""
     maps, rules, stored, pages = _maps(spark, d)
-    return corpus.sitemap_crawl(maps, rules, stored, pages, 2027, 1_000_000, min_words=20)
+    got = corpus.sitemap_crawl(maps, rules, stored, pages, 2027, 1_000_000, min_words=20)
+    return got.select("url", "title", F.md5(F.col("content").cast("binary")).alias("content"), F.array_join("topics", ",").alias("topics"), "origin")
 
 
 FEED_SOURCES = [("s1", "https://a.org/feed", f"<rss><channel>{''.join(f'<item><title>Post {i}</title><link>https://a.org/{i}</link><description>words of post {i}</description></item>' for i in range(5))}</channel></rss>"), ("s2", "https://b.org/private/feed", "<rss><channel><item><title>No</title><link>https://b.org/1</link></item></channel></rss>")]

