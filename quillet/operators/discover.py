@@ -81,18 +81,15 @@ class Store:
         rows.select(*self.empty.columns).write.mode("overwrite").parquet(f"{self.folder}/articles/pass={number}")
 
     def compact(self, least: int = 50) -> bool:
-        """Parts of `least` passes and more become one, under the number of the last, once it is written."""
+        """The parts of `least` passes and more become one, under the next number; they go once it is written, and read beside
+        it they change nothing."""
         done = self.passes()
         if len(done) < least:
             return False
-        target = f"{self.folder}/articles/pass={done[-1]}"
-        fresh = f"{self.folder}/compacted-{done[-1]}"
-        self.articles().write.mode("overwrite").parquet(fresh)
+        self.add(self.articles(), done[-1] + 1)
         path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(fresh).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path(target), True)
-        fs.rename(path(fresh), path(target))
-        for n in done[:-1]:
+        fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for n in done:
             fs.delete(path(f"{self.folder}/articles/pass={n}"), True)
         return True
 

@@ -72,7 +72,7 @@ def run_discovery(spark: SparkSession, path: str, row_of, key: str = "id", folde
     store = discover.Store(spark, f"{base}/store", spark.createDataFrame([], row_of(spark.createDataFrame([], stream.schema)).schema))
 
     def add(batch: DataFrame, number: int) -> None:
-        store.add(row_of(batch).dropDuplicates([key]), number)
+        store.add(row_of(batch).dropDuplicates([key]), 2 * number)  # a compaction takes the odd number behind the last
 
     q = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -385,7 +385,7 @@ def test_passes_resume(spark, tmp_path):
     store = discover.Store(spark, f"file://{tmp_path}/run", empty)
     rows = {r["id"]: (r["title"], r["author"]) for r in store.articles().collect()}
     assert rows["both"] == ("t6", "Ann") and len(rows) == 8
-    assert store.compact(2) and store.passes() == [4] and {r["id"]: (r["title"], r["author"]) for r in store.articles().collect()} == rows
+    assert store.compact(2) and store.passes() == [5] and {r["id"]: (r["title"], r["author"]) for r in store.articles().collect()} == rows
 
 
 def test_stopped_stream_goes_on(spark, tmp_path):
@@ -396,6 +396,10 @@ def test_stopped_stream_goes_on(spark, tmp_path):
     assert run() == {1: ("x", "a")}
     spark.createDataFrame([(1, "", "y"), (2, "b", "z")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == {1: ("y", "a"), 2: ("z", "b")} == run()
+    store = discover.Store(spark, f"file://{tmp_path}/work/store", spark.createDataFrame([], "id int, url string, title string, source_id string, author string"))
+    assert store.compact(2) and store.passes() == [3] and run() == {1: ("y", "a"), 2: ("z", "b")}
+    spark.createDataFrame([(3, "c", "w")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == {1: ("y", "a"), 2: ("z", "b"), 3: ("w", "c")} and store.passes() == [3, 4]
 
 
 def test_timer_and_idle_buckets(spark, tmp_path):
