@@ -108,7 +108,8 @@ def canonical(text: Column) -> Column:
     return F.trim(c)
 
 
-#: licence and canonical_sha256 of whole texts of known licences, LICENCES among them.
+#: licence and canonical_sha256 of whole texts of known licences, LICENCES and those of /usr/share/common-licenses among them;
+#: made by known() from the texts, and to be made again when the canonical form changes.
 DIGESTS = Path(__file__).with_name("licence_digests.tsv")
 
 
