@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillet.llm import bpe, exact_dedup, langid, licences, lm, near_dup, packing, pii, quality, sharding
+from quillet.llm import bpe, conversations, exact_dedup, langid, licences, lm, near_dup, packing, pii, quality, sharding
 from quillet.llm.common import documents
 
 
@@ -53,6 +53,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.report(conversations.rows_of(conversations.damaged(rows)), rows.select("conv_id"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,7 +71,8 @@ QUERIES = {
         op8_language_id,
         op9_byte_bpe,
         op10_lm_score,
+        op11_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL = {"op1_license_scan": licences.scan_sql(), "op2_exact_dedup": exact_dedup.DEDUP_SQL}
+ORACLE_SQL = {"op1_license_scan": licences.scan_sql(), "op2_exact_dedup": exact_dedup.DEDUP_SQL, "op11_conversation_repair": conversations.report_sql()}
