@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillet.llm import bpe, conversations, exact_dedup, langid, licences, lm, near_dup, packing, pii, quality, ranked, sharding
+from quillet.llm import bpe, classifier, conversations, exact_dedup, langid, licences, lm, near_dup, packing, pii, quality, ranked, sharding
 from quillet.llm.common import documents
 
 
@@ -58,6 +58,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(conversations.rows_of(conversations.damaged(rows)), rows.select("conv_id"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -76,6 +80,7 @@ QUERIES = {
         op9_byte_bpe,
         op10_lm_score,
         op11_conversation_repair,
+        op12_quality_classifier,
         op13_ranked_search,
     )
 } | {"pipeline": corpus_pipeline.run}
