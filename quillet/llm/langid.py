@@ -20,7 +20,6 @@ language columns are read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -40,10 +39,14 @@ UNSEEN = 1e-8
 RESCALE, STRETCH, CELLS = 24, 4096, 600_000
 #: Word x language likelihoods that a worker keeps.
 KEPT_CELLS = 1_000_000
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIER, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter: number signs such as a half or a Roman four are none."""
+    return any(c.isalpha() for c in text)
+
+
 def vocabulary(path: str | None = None) -> list[str]:
     import public_tokenizers
     import sentencepiece
@@ -318,7 +321,7 @@ class Scorer:
         self.rows[first:need] = self.finder.log_likelihood(words, self.model.probs)
 
     def classify(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [t.lower().split() if t and _LETTER.search(t) else None for t in texts]
+        split = [t.lower().split() if t and has_letter(t) else None for t in texts]
         known = self.known
         distinct = set().union(*(words for words in split if words))
         fresh = distinct.difference(known)

@@ -24,12 +24,29 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TITLE = "mit|expat|isc|zlib|libpng|bsd|0bsd|unlicense|boost|gnu|x11"
 _TITLE_MORE = _TITLE + "|software|zero|two|three|four|clause|new|revised|simplified|modified|original|free|or|style|version|v|licen[cs]e"
 
+def _words(said: str) -> str:
+    """The words with any punctuation and line breaks between them."""
+    return said.replace(" ", "[^a-z0-9]+")
+
+
+#: Holders whose notices stand in licence texts themselves, with their address, and names to be filled in. Such
+#: a notice is known from its first word to its last, wherever lines break; any other one ends with its line.
+_HOLDERS = _words(
+    "free software foundation( inc)?( 51 franklin st(reet)? fifth floor boston ma 02110 1301( usa)?)?( https? (www )?fsf org)?|name of (the )?(author|copyright owner)|your name"
+)
+
 #: Steps of the canonical form: patterns that both Java and RE2 read alike, and what replaces their matches (group 1 as {1}).
+#: "(c)" also numbers clauses: it begins a notice only before a year, or before a name and a year.
 _STEPS = (
     (r"(^|\n)[^a-z0-9\n]*spdx-license-identifier[^\n]*", "\n"),
-    (r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|[0-9]{4}|year|yyyy)|\(c\) |©)[^\n]*", "\n"),  # copyright lines
-    (r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*", "\n"),
-    (rf"(^|\n)[^a-z0-9\n]*(the )?({_TITLE})([^a-z\n]+({_TITLE_MORE}))*[^a-z\n]*(\([a-z0-9 .-]*\))?[^a-z0-9\n]*(\n|$)", "\n"),  # title lines
+    (r"copyright[^a-z0-9]*(c[^a-z0-9]+)?(([0-9]{4}|19yy|yyyy|year)[^a-z0-9]+){1,40}(" + _HOLDERS + ")", " "),
+    (_words("all rights reserved"), " "),
+    (
+        r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c\)|©|[0-9]{4}|year|yyyy)|(\(c\)|©)[^a-z0-9\n]*(copyright[^a-z0-9\n]*)?([0-9]{4}|year|yyyy)"
+        r"|(\(c\)|©)[^0-9\n]{1,60}(19|20)[0-9]{2})[^\n]*",
+        "\n",
+    ),  # copyright lines
+    (rf"(^|\n)[^a-z0-9\n]*(the )?({_TITLE})([^a-z\n]+({_TITLE_MORE})){{0,20}}[^a-z\n]*(\([a-z0-9 .-]*\))?[^a-z0-9\n]*(\n|$)", "\n"),  # title lines
     (r"[^a-z0-9]+", " "),  # punctuation and white space
     (r"\b(authori|capitali|categori|emphasi|initiali|maximi|optimi|organi|reali|recogni|utili|analy)s(e|ed|es|er|ers|ing|ation|ations)\b", "{1}z{2}"),
     (r"\b(cancel|label|model|signal)l(ed|ing|er|ers)\b", "{1}{2}"),
