@@ -1,13 +1,14 @@
 """Conjunctive full-text search: matching, field-weighted relevance, capped pages, rerank.
 
-The relevance is BM25 per field times the field's weight. Requests are answered from a stored index: postings in ranges
-of terms, which a filter prunes, with all that scoring needs in each posting. Only windows of at most offset + fetch
-rows, both bounded by request validation, are ranked in one task and looked up in the table of documents.
+The relevance is BM25 per field times the field's weight. Requests are answered from a stored index (operators.index).
+Only windows of at most offset + fetch rows, both bounded by request validation, are ranked in one task and looked up in
+the table of documents.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -17,9 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillet.functions import dates, fixed, text
-
-K1, B = 1.2, 0.75
+from quillet.functions import fixed, text
+from quillet.operators.index import K1, B, Index
 
 
 @dataclass(frozen=True)
@@ -58,7 +58,8 @@ def parse_request(params: dict[str, str]) -> SearchRequest | str:
         raw = params.get(name, "")
         if raw == "":
             return default
-        return int(raw) if raw.lstrip("-").isdigit() and low <= int(raw) <= high else None
+        whole = re.fullmatch("[+-]?0*([0-9]{1,18})", raw, re.ASCII)
+        return int(raw) if whole and low <= int(raw) <= high else None
 
     limit = number("limit", fixed.DEFAULT_LIMIT, 1, fixed.MAX_LIMIT)
     if limit is None:
@@ -77,36 +78,6 @@ def parse_request(params: dict[str, str]) -> SearchRequest | str:
     return SearchRequest(terms, limit, offset, origin, mode == "semantic")
 
 
-def articles(documents: DataFrame) -> DataFrame:
-    """documents as index documents: equal texts share a URL."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select(
-        F.col("doc_id").alias("id"),
-        F.md5(t.cast("binary")).alias("url"),
-        F.col("source").alias("source_id"),
-        F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit(None)).when(F.pmod("doc_id", F.lit(3)) == 1, "feed").otherwise("sitemap").alias("origin"),
-        F.col("source").alias("author"),
-        text.truncate_words(t, 8).alias("title"),
-        text.truncate_words(t, 40).alias("summary"),
-        t.alias("content"),
-        F.col("lang").alias("topics"),
-        published_text(F.col("doc_id")).alias("published"),
-    )
-
-
-def published_text(doc_id: Column) -> Column:
-    """A time as a feed would write it: an hour for each id, some of them unreadable or missing."""
-    at = F.date_format(F.timestamp_seconds(1_700_000_000 + doc_id * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return F.when(F.pmod(doc_id, F.lit(11)) == 0, "some day").when(F.pmod(doc_id, F.lit(7)) != 0, at)
-
-
-def by_origin(rows: DataFrame, origin: str) -> DataFrame:
-    """A row without an origin came from a feed."""
-    if origin == "sitemap":
-        return rows.where(F.col("origin") == "sitemap")
-    return rows.where((F.col("origin") == "feed") | F.col("origin").isNull()) if origin == "feed" else rows
-
-
 def field_tokens(rows: DataFrame) -> DataFrame:
     """One row for each document and searchable field: its tokens and its weight."""
     fields = F.array(*[
@@ -151,54 +122,6 @@ def matches(rows: DataFrame, terms: tuple[str, ...]) -> DataFrame:
     return grouped.select("id", "url", "source_id", "origin", "score")
 
 
-class Index:
-    """A stored index: postings, document frequencies, documents and, per field, documents and mean length."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.postings, self.terms, self.documents = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "documents"))
-        self.stats = {r["field"]: (r["n"], r["mean"]) for r in spark.read.parquet(f"{path}/stats").collect()}  # a row a field
-
-    def weights(self, terms: tuple[str, ...]) -> list[tuple]:
-        """term, field, weight times inverse document frequency, and mean length: as many as the query's terms times five."""
-        rows = self.terms.where(F.col("term").isin(*terms)).collect()
-        of = lambda n, df: math.log(1 + (n - df + 0.5) / (df + 0.5))
-        return [(r["term"], r["field"], fixed.FIELD_WEIGHTS[r["field"]] * of(self.stats[r["field"]][0], r["df"]), self.stats[r["field"]][1]) for r in rows]
-
-    def matches(self, terms: tuple[str, ...]) -> DataFrame:
-        """id, source_id, origin and relevance as in matches(): only the terms' postings are read, once."""
-        weights = self.spark.createDataFrame(self.weights(terms), "term string, field string, w double, mean double")
-        scored = self.postings.where(F.col("term").isin(*terms)).join(F.broadcast(weights), ["term", "field"])
-        part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-        has = [F.max((F.col("term") == t).cast("int")).alias(f"has{i}") for i, t in enumerate(terms)]
-        grouped = scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.first("source_id").alias("source_id"), F.first("origin").alias("origin"), *has)
-        for i in range(len(terms)):
-            grouped = grouped.where(F.col(f"has{i}") == 1)
-        return grouped.select("id", "source_id", "origin", "score")
-
-    def found(self, request: SearchRequest) -> DataFrame:
-        return by_origin(self.matches(request.terms), request.origin)
-
-    def shown(self, window: DataFrame) -> DataFrame:
-        """A window's rows with what a result shows; an unreadable time is unknown."""
-        rows = self.documents.drop("source_id", "origin").join(F.broadcast(window), "id")  # window: bounded by the request's validation
-        return rows.withColumn("published_at", dates.parse_time(F.col("published"))).drop("published")
-
-
-def write_index(rows: DataFrame, path: str) -> None:
-    """Postings in ranges of terms, sorted, so that a term's filter skips all other row groups; documents sorted by id."""
-    tokens = field_tokens(rows).withColumn("len", F.size("tokens"))
-    exploded = tokens.select("id", "source_id", "origin", "field", "len", F.explode("tokens").alias("term"))
-    counted = exploded.groupBy("term", "field", "id", "source_id", "origin", "len").agg(F.count(F.lit(1)).alias("tf"))
-    counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = rows.sparkSession.read.parquet(f"{path}/postings")
-    # a document has one posting for each term and field; a term's postings lie together, so this is reduced before it is shuffled
-    frequencies = stored.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
-    frequencies.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    rows.drop("content").repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/documents")
-    tokens.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
-
-
 def top(scored: DataFrame, n: int, offset: int = 0) -> DataFrame:
     """Rows offset + 1 to offset + n by relevance, then id; `rank` counts from 1 over all."""
     some = scored.orderBy(F.desc("score"), "id").limit(offset + n)
@@ -290,13 +213,20 @@ def search(
     index: Index, request: SearchRequest, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, seconds: float = RERANK_SECONDS
 ) -> DataFrame:
     """The page of a request. A semantic request falls back to keyword order if it can't be reranked in time."""
-    found = index.found(request)
-    if request.semantic and vectors is not None:
-        found, _ = reranked(found, semantic_ranking(request, vectors, encode), seconds)
+    found, _ = ranked_window(index, request, vectors, encode, seconds)
     window = top(found, fetch_size(request.semantic, request.limit, request.offset), request.offset)
     return select_page(index.shown(window), request.limit)
 
 
+def ranked_window(
+    index: Index, request: SearchRequest, vectors: DataFrame | None = None, encode: Callable[[str], list[float]] | None = None, seconds: float = RERANK_SECONDS
+) -> tuple[DataFrame, bool]:
+    """The best rows, as many as the request's window ends at, and whether they were reranked."""
+    if request.semantic and vectors is not None:
+        return reranked(index.top(request.terms, fixed.SEMANTIC_WINDOW, request.origin), semantic_ranking(request, vectors, encode), seconds)
+    return index.top(request.terms, request.offset + fetch_size(request.semantic, request.limit, request.offset), request.origin), False
+
+
 def semantic_ranking(request: SearchRequest, vectors: DataFrame, encode: Callable[[str], list[float]] | None = None) -> Callable[[DataFrame], DataFrame]:
     def rank(candidates: DataFrame) -> DataFrame:
         target = encode(" ".join(request.terms)) if encode else query_vector(candidates, vectors)

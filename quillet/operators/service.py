@@ -91,10 +91,8 @@ class Service:
         asked = "semantic" if request.semantic else "keyword"
         if request.semantic and not (self.semantic.allow(caller, now)[0] and self.semantic_all.allow("", now)[0]):
             request = replace(request, semantic=False)
-        found = self.index.found(request)
-        total, ranked = found.count(), False
-        if request.semantic and self.vectors is not None:
-            found, ranked = search.reranked(found, search.semantic_ranking(request, self.vectors, self.encode), self.seconds)
+        total = self.index.found(request).count()
+        found, ranked = search.ranked_window(self.index, request, self.vectors, self.encode, self.seconds)
         fetch = search.fetch_size(request.semantic, request.limit, request.offset)
         window = self.index.shown(search.top(found, fetch, request.offset))
         # at most offset + fetch rows, both bounded by validation, so the page is cut here

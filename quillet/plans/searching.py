@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillet.functions import fixed
-from quillet.operators import filters, limits, search
+from quillet.functions import fixed, text
+from quillet.operators import filters, index, limits, search
 from quillet.operators import service
 from quillet.plans.literals import frame, judged_sql, values
 from quillet.sources import storage
@@ -31,6 +31,18 @@ def events(spark, d):
     return spark.read.parquet(f"{d}/events.parquet")
 
 
+def articles(documents):
+    """documents as index documents: equal texts share a URL; origins and times, some unreadable or missing, come from the id."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    at = F.date_format(F.timestamp_seconds(1_700_000_000 + F.col("doc_id") * 3600), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return documents.select(
+        F.col("doc_id").alias("id"), F.md5(t.cast("binary")).alias("url"), F.col("source").alias("source_id"),
+        F.when(F.pmod("doc_id", F.lit(3)) == 0, F.lit(None)).when(F.pmod("doc_id", F.lit(3)) == 1, "feed").otherwise("sitemap").alias("origin"),
+        F.col("source").alias("author"), text.truncate_words(t, 8).alias("title"), text.truncate_words(t, 40).alias("summary"), t.alias("content"), F.col("lang").alias("topics"),
+        F.when(F.pmod("doc_id", F.lit(11)) == 0, "some day").when(F.pmod("doc_id", F.lit(7)) != 0, at).alias("published"),
+    )
+
+
 WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _WORDS = f"list_filter(string_split(trim(regexp_replace(t, '{WS}+', ' ', 'g')), ' '), lambda w: w <> '')"
 _TOKENS = lambda x: f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
@@ -55,13 +67,13 @@ def matched(*terms: str) -> str:
 TERMS = ("the", "and")
 
 
-def index_of(spark, d) -> search.Index:
+def index_of(spark, d) -> index.Index:
     """The stored index of a table of documents, written once a session and again when the files change."""
 
-    def build(path: str) -> search.Index:
+    def build(path: str) -> index.Index:
         folder = storage.new_path(spark, "index")
-        search.write_index(search.articles(spark.read.parquet(path)), folder)
-        return search.Index(spark, folder)
+        index.add(articles(spark.read.parquet(path)), folder)
+        return index.Index(spark, folder)
 
     return storage.made_once(spark, "index", f"{d}/documents.parquet", build)
 
@@ -88,7 +100,7 @@ def search_total(spark, d):
 
 @query(f"WITH {matched('la', 'de')}, {_RANKED} SELECT id, score, rank FROM r WHERE rank > 40 AND rank <= 60")
 def search_topk_offset(spark, d):
-    return search.top(found(spark, d, ("la", "de")), 20, 40).select("id", "score", F.col("rank").cast("long"))
+    return search.top(index_of(spark, d).top(("la", "de"), 60), 20, 40).select("id", "score", F.col("rank").cast("long"))
 
 
 @query(f"WITH {matched('of')}, {_RANKED}, w AS (SELECT * FROM r WHERE rank > 20 AND rank <= 80), {_PAGE} SELECT id, source_id, rank FROM p")
@@ -106,7 +118,7 @@ def search_results(spark, d):
 @query(f"WITH {matched(*TERMS)} SELECT id, score FROM m")
 def search_scan(spark, d):
     """The same matches without an index, by one scan of the texts."""
-    return search.matches(search.articles(docs(spark, d)), TERMS).select("id", "score")
+    return search.matches(articles(docs(spark, d)), TERMS).select("id", "score")
 
 
 @query(
@@ -114,9 +126,8 @@ def search_scan(spark, d):
     "y AS (SELECT *, CASE WHEN shown >= 20 THEN last - 20 ELSE seen END AS read FROM z) SELECT shown, read, CASE WHEN seen < 60 AND read = seen THEN greatest(20 + read, total) ELSE 20 + read END AS next_offset FROM y"
 )
 def search_page_next_offset(spark, d):
-    scored = found(spark, d, ("of",))
-    window = index_of(spark, d).shown(search.top(scored, 60, 20))
-    total = scored.count()
+    window = index_of(spark, d).shown(search.top(index_of(spark, d).top(("of",), 80), 60, 20))
+    total = found(spark, d, ("of",)).count()
     return search.page_bounds(window, search.select_page(window, 20), 20, 20, 60, F.lit(total)).select(*[F.col(c).cast("long").alias(c) for c in ("shown", "read", "next_offset")])
 
 
@@ -127,12 +138,12 @@ def search_url_dedupe(spark, d):
 
 @query(f"WITH {matched('die')} SELECT id, score FROM m WHERE origin = 'feed' OR origin IS NULL")
 def search_origin_feed_or_null(spark, d):
-    return search.by_origin(found(spark, d, ("die",)), "feed").select("id", "score")
+    return index_of(spark, d).matches(("die",), "feed").select("id", "score")
 
 
 @query(f"WITH {matched('die')} SELECT id, score FROM m WHERE origin = 'sitemap'")
 def search_origin_sitemap(spark, d):
-    return search.by_origin(found(spark, d, ("die",)), "sitemap").select("id", "score")
+    return index_of(spark, d).matches(("die",), "sitemap").select("id", "score")
 
 
 _COS = "list_dot_product(e.embedding::DOUBLE[], t.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(t.embedding::DOUBLE[], t.embedding::DOUBLE[]))"
@@ -153,7 +164,7 @@ def encoder(spark, d):
 
 @query(f"WITH {matched('the')}, {_WINDOW} SELECT e0.id, round({_COS}, 6) AS similarity FROM cc e0 LEFT JOIN embeddings e ON e.vec_id = e0.id LEFT JOIN ({_GOAL}) t ON TRUE")
 def search_rerank_top50(spark, d):
-    return search.rerank(found(spark, d, ("the",)), vectors(spark, d), encoder(spark, d)("the")).select("id", "similarity")
+    return search.rerank(index_of(spark, d).top(("the",), fixed.SEMANTIC_WINDOW), vectors(spark, d), encoder(spark, d)("the")).select("id", "similarity")
 
 
 _BEST = f"""bb AS (SELECT e.embedding::DOUBLE[] AS v, sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS n FROM (SELECT id FROM m ORDER BY score DESC, id LIMIT 10) x JOIN embeddings e ON e.vec_id = x.id),
@@ -165,7 +176,7 @@ _BEST = f"""bb AS (SELECT e.embedding::DOUBLE[] AS v, sqrt(list_dot_product(e.em
 def search_semantic(spark, d):
     """Reranked by a vector that depends on the query: the mean of its best rows."""
     request = search.SearchRequest(("the",), semantic=True)
-    order, ranked = search.reranked(index_of(spark, d).found(request), search.semantic_ranking(request, vectors(spark, d)), 600.0)
+    order, ranked = search.reranked(index_of(spark, d).top(("the",), fixed.SEMANTIC_WINDOW), search.semantic_ranking(request, vectors(spark, d)), 600.0)
     assert ranked
     return search.top(order, 50).select("id", F.col("rank").cast("long").alias("place"))
 
@@ -175,26 +186,29 @@ def search_rerank_fallback(spark, d):
     """A ranking that fails while it runs: the answer is the keyword order."""
     request = search.SearchRequest(("the",), semantic=True)
     broken = vectors(spark, d).withColumn("embedding", F.when(F.col("vec_id") >= 0, F.raise_error(F.lit("no ranking"))).cast("array<float>"))
-    order, ranked = search.reranked(index_of(spark, d).found(request), lambda c: search.rerank(c, broken, [1.0]))
+    order, ranked = search.reranked(index_of(spark, d).top(("the",), fixed.SEMANTIC_WINDOW), lambda c: search.rerank(c, broken, [1.0]))
     assert not ranked
     return search.top(order, request.limit).select("id", "score")
 
 
 @query(f"WITH {ARTICLES}, {FIELDS} SELECT term, field, id, count(*) AS tf FROM (SELECT id, field, unnest(tokens) AS term FROM f) GROUP BY ALL")
 def postings_index(spark, d):
-    return search.postings(search.articles(docs(spark, d)))
+    """The stored postings, a row a term, document and field."""
+    entries = index_of(spark, d).postings.select("term", F.inline("entries"))
+    of = F.filter(F.arrays_zip(F.array(*map(F.lit, index.FIELDS)).alias("field"), F.col("tfs").alias("tf")), lambda x: x["tf"] > 0)
+    return entries.select("term", "id", F.inline(of)).select("term", F.col("field").alias("field"), "id", F.col("tf").cast("long").alias("tf"))
 
 
 @query(f"WITH {ARTICLES}, {FIELDS} SELECT field, count(*) AS n, sum(len(tokens))::BIGINT AS tokens, round(avg(len(tokens)), 6) AS mean FROM f GROUP BY field")
 def doc_lengths(spark, d):
     n = F.size("tokens")
-    return search.field_tokens(search.articles(docs(spark, d))).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("tokens"), F.round(F.avg(n), 6).alias("mean"))
+    return search.field_tokens(articles(docs(spark, d))).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum(n).alias("tokens"), F.round(F.avg(n), 6).alias("mean"))
 
 
 @query(f"WITH {ARTICLES}, {FIELDS} SELECT term, field, count(DISTINCT id) AS df FROM (SELECT id, field, unnest(tokens) AS term FROM f) GROUP BY ALL")
 def term_df(spark, d):
-    # an id has one posting for each term and field, so a plain count is the document frequency
-    return search.postings(search.articles(docs(spark, d))).groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    of = F.filter(F.arrays_zip(F.array(*map(F.lit, index.FIELDS)).alias("field"), F.col("holding").alias("df")), lambda x: x["df"] > 0)
+    return index_of(spark, d).frequencies().select("term", F.inline(of))
 
 
 @query(f"WITH {matched(*TERMS)} SELECT id, score FROM m")
@@ -202,6 +216,41 @@ def search_indexed(spark, d):
     return found(spark, d).select("id", "score")
 
 
+# Every tenth document is written anew with words of its successor, every thirteenth is deleted.
+_CHANGED = "(SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 3 THEN coalesce(d.text, '') || ' the and ' || coalesce(n.text, '') ELSE d.text END AS text, d.lang, d.source FROM documents d LEFT JOIN documents n ON n.doc_id = d.doc_id + 1 WHERE d.doc_id % 13 <> 5)"
+
+
+def updated_index(spark, d) -> index.Index:
+    """An index made of two halves, a change and a deletion, and then merged: four commits."""
+
+    def build(path: str) -> index.Index:
+        folder, rows = storage.new_path(spark, "updated"), spark.read.parquet(path)
+        index.add(articles(rows.where("doc_id % 2 = 0")), folder)
+        index.add(articles(rows.where("doc_id % 2 = 1")), folder)
+        after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("more"))
+        changed = rows.where("doc_id % 10 = 3 AND doc_id % 13 <> 5").join(after, "doc_id", "left")
+        longer = F.concat(F.coalesce("text", F.lit("")), F.lit(" the and "), F.coalesce("more", F.lit("")))
+        index.add(articles(changed.withColumn("text", longer).drop("more")), folder, rows.where("doc_id % 13 = 5").select(F.col("doc_id").alias("id")))
+        index.add(articles(changed.withColumn("text", longer).drop("more").where("doc_id % 20 = 3")), folder)
+        return index.Index(spark, folder)
+
+    return storage.made_once(spark, "updated", f"{d}/documents.parquet", build)
+
+
+@query(f"WITH {matched(*TERMS).replace('FROM documents', f'FROM {_CHANGED}')} SELECT id, score FROM m")
+def index_updated(spark, d):
+    """Relevance from an index that was added to: the same as of one made at once of what the table has become."""
+    return updated_index(spark, d).matches(TERMS).select("id", "score")
+
+
+@query(f"WITH {matched(*TERMS).replace('FROM documents', f'FROM {_CHANGED}')} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM m ORDER BY rank LIMIT 60")
+def index_updated_top(spark, d):
+    """The best rows of the same index after a merge of its segments, from prefixes of the postings."""
+    made = updated_index(spark, d)
+    index.merge(spark, made.path, 2)
+    return search.top(index.Index(spark, made.path).top(TERMS, 60), 60).select("id", "score", F.col("rank").cast("long"))
+
+
 REQUESTS = [
     (1, "go", "", "", "", ""), (2, "", "", "", "", ""), (3, "x" * 513, "", "", "", ""), (4, "go", "51", "", "", ""), (5, "go", "50", "1000", "", ""), (6, "go", "20", "1001", "", ""),
     (7, "go", "20", "30", "", "semantic"), (8, "go", "20", "31", "", "semantic"), (9, "go", "", "", "feed", ""), (10, "go", "", "", "rss", ""), (11, "go", "", "", "", "vector"), (12, "go", "abc", "", "", ""), (13, "語" * 512, "", "-1", "", ""),

@@ -72,6 +72,46 @@ def made_once(spark: SparkSession, label: str, path: str, load: Callable):
     return _made[key].get()
 
 
+def commit(spark: SparkSession, folder: str, number: int, payload: str) -> bool:
+    """Make the payload the folder's record of that number; False if there is one already, whoever wrote it.
+
+    The record is written whole under another name and renamed only where none is: a reader finds it whole or not at all,
+    and of two writers one is told. A crash before the rename leaves nothing but a name that no reader looks at.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, fresh = hadoop.Path(f"{folder}/{number:012d}.record"), hadoop.Path(f"{folder}/_{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    fs.mkdirs(target.getParent())
+    if fs.exists(target):
+        return False
+    out = fs.create(fresh)
+    out.write(bytearray(payload, "utf-8"))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        hadoop.FileContext.getFileContext(fs.makeQualified(target).toUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(target), options)
+    except Exception:
+        fs.delete(fresh, False)
+        if fs.exists(target):
+            return False
+        raise
+    return True
+
+
+def newest(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """Number and payload of the folder's last record; 0 and None where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0, None
+    names = [x.getPath().getName() for x in fs.listStatus(path)]
+    numbers = [int(n.removesuffix(".record")) for n in names if n.endswith(".record") and not n.startswith((".", "_"))]
+    if not numbers:
+        return 0, None
+    return max(numbers), src.text_value(spark, f"{folder}/{max(numbers):012d}.record")
+
+
 def write_value(spark: SparkSession, path: str, value: str) -> None:
     """A one-line text in place of what the path held: the line is written beside it first, so a reader finds old or new."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path

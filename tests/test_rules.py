@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillet.functions import dates, text, urls
 from quillet.operators import builder, corpus, discover, filters, html, limits, search
+from quillet.operators import index as stored
+from quillet.plans import searching
 from quillet.sources import documents as src
 from quillet.streaming import jobs
 
@@ -60,8 +62,8 @@ def test_requests():
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
     path = f"file://{tmp_path_factory.mktemp('index')}"
-    search.write_index(search.articles(spark.read.parquet(f"{DATA}/documents.parquet")), path)
-    return search.Index(spark, path)
+    stored.add(searching.articles(spark.read.parquet(f"{DATA}/documents.parquet")), path)
+    return stored.Index(spark, path)
 
 
 def test_search_falls_back(spark, index):
@@ -525,8 +527,8 @@ def test_overrides_and_yaml(spark):
 
 def test_stored_index(spark, index):
     got = index.matches(("the", "of"))
-    assert "PushedFilters: [In(term" in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
-    rows = search.articles(spark.read.parquet(f"{DATA}/documents.parquet"))
+    assert "EqualTo(term" in got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    rows = searching.articles(spark.read.parquet(f"{DATA}/documents.parquet"))
     want = {r["id"]: (r["score"], r["source_id"], r["origin"]) for r in search.matches(rows, ("the", "of")).collect()}
     found = {r["id"]: (r["score"], r["source_id"], r["origin"]) for r in got.collect()}
     assert set(found) == set(want) and all(abs(found[k][0] - want[k][0]) < 2e-6 and found[k][1:] == want[k][1:] for k in want)
