@@ -88,6 +88,7 @@ FIELD_WEIGHTS = {"title": 4.0, "author": 3.0, "summary": 2.0, "content": 1.0, "t
 PER_SOURCE_CAP, OVERFETCH, SEMANTIC_WINDOW = 3, 3, 50
 MAX_LIMIT, DEFAULT_LIMIT, MAX_OFFSET_KEYWORD, MAX_QUERY_CHARS = 50, 20, 1000, 512
 LIMITS = {"caller": (60, 30), "service": (600, 300), "semantic_caller": (10, 5), "semantic_service": (1, 15), "log": (6, 3)}
+SITEMAP_MAPS, SITEMAP_ENTRIES = 4, 20_000
 HISTORY_CAP, HISTORY_KEEP, BOOKMARK_CAP = 250_000, 200_000, 5_000
 PERIOD_DAYS = (0, 30, 365, 1825)
 MAX_TAGS, MIN_TAG_SCORE, CATEGORY_SCORE = 6, 2, 2

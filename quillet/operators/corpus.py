@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from quillet.functions import dates, fixed, text, urls
 from quillet.operators import html
 from quillet.sources import documents as src
+from quillet.sources import storage
 
 
 def unseen(links: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
@@ -92,22 +95,88 @@ def feed_crawl(feeds: DataFrame, rules: DataFrame, sources: DataFrame, pages: Da
     return item_articles(named, pages, most)
 
 
-def sitemap_links_wanted(maps: DataFrame, rules: DataFrame, stored: DataFrame, most: int) -> DataFrame:
-    """source_id, site, tags, url, id of the newest links of sitemaps (source_id, site, tags, xml) that are articles, that robots
-    rules allow and whose article is not stored yet."""
-    source = F.struct("source_id", "site", "tags")
-    links = src.sitemap_links(maps.withColumn("source", source), "source", "xml").where("kind = 'url'")
-    rows = links.select("source.source_id", "source.site", "source.tags", F.col("loc").alias("url"), "lastmod", "pos").where(urls.is_article_url(F.col("url"), F.col("site")))
-    newest = src.newest_links(rows, "source_id", most)
+def sitemap_entries(
+    maps: DataFrame, rules: DataFrame, fetch: Callable[[DataFrame], DataFrame] | None, levels: int = 1, most_maps: int = fixed.SITEMAP_MAPS, most_entries: int = fixed.SITEMAP_ENTRIES
+) -> DataFrame:
+    """source_id, loc, lastmod, pos of the pages that the sources' maps (source_id, url, xml) name, indexes followed.
+
+    A map that names no page but other maps is an index. Its maps are a frontier: resolved, allowed by robots rules, newest
+    first, they are fetched (fetch: url to url and xml, null where there is none) until a source has read `most_maps`
+    that answered, or `most_entries` pages. A round asks for as many as a source may still read, and for eight times as
+    many as the round before where maps fail, so that rounds are few; what was fetched beyond the budget is not used. An
+    index among the fetched maps is followed to the next level, within the same budget of its source.
+    """
+    spark = maps.sparkSession
+    document = F.struct("source_id", F.coalesce("url", F.lit("")).alias("url"), F.col("order"))
+    top = maps.select("source_id", "url", "xml", F.array(F.lit(0).cast("long")).alias("order"))
+    links = storage.staged(src.sitemap_links(top.withColumn("doc", document), "doc", "xml"), "maplinks")
+    entries = [links.where("kind = 'url'").select("doc.source_id", "doc.order", "loc", "lastmod", "pos")]
+    used = spark.createDataFrame([], maps.select("source_id").schema.add("maps", "long").add("pages", "long"))
+    for _ in range(levels if fetch else 0):
+        plain = links.where("kind = 'url'").select("doc").distinct()
+        below = links.where("kind = 'sitemap'").join(plain, "doc", "left_anti")
+        newest = src.link_time(F.col("lastmod"))
+        at = below.select("doc.source_id", "doc.order", urls.resolve(F.col("doc.url"), F.col("loc")).alias("url"), newest.alias("at"), "pos").where(urls.is_http(F.col("url")))
+        may = src.robots_allowed(at.withColumns({"host": urls.host(F.col("url")), "path": urls.path(F.col("url"))}), rules, ["source_id", "url"]).where("allowed")
+        ranked = at.join(may.select("source_id", "url"), ["source_id", "url"], "left_semi").withColumn(
+            "place", F.row_number().over(W.partitionBy("source_id").orderBy("order", F.col("at").desc_nulls_last(), "pos"))
+        )
+        frontier = storage.staged(ranked, "frontier")
+        read, tried, ask = None, 0, most_maps
+        while True:
+            done = used if read is None else _budget(read, used, most_maps, most_entries)
+            open_ = frontier.where(F.col("place") > tried).join(done, "source_id", "left")
+            room = (F.coalesce("maps", F.lit(0)) < most_maps) & (F.coalesce("pages", F.lit(0)) < most_entries)
+            wanted = open_.where(room & (F.col("place") <= tried + ask)).drop("maps", "pages")
+            if not wanted.take(1):
+                break
+            bodies = fetch(wanted.select("url").distinct()).where("xml IS NOT NULL")
+            got = wanted.join(bodies.select("url", "xml"), "url")
+            found = src.sitemap_links(got.withColumn("doc", F.struct("source_id", "url", F.concat("order", F.array(F.col("place").cast("long"))).alias("order"))), "doc", "xml")
+            counts = got.join(
+                found.groupBy("doc.source_id", "doc.url").agg(F.count_if(F.col("kind") == "url").alias("n")), ["source_id", "url"]
+            ).select("source_id", "url", "place", "n", "xml", "order")
+            more = storage.staged(counts, "fetched")
+            read = more if read is None else read.unionByName(more)
+            tried, ask = tried + ask, ask * 8
+        if read is None:
+            break
+        chosen = src.chosen_maps(read, used, most_maps, most_entries)
+        used = storage.staged(_budget(read, used, most_maps, most_entries), "used")
+        deeper = chosen.select(F.struct("source_id", "url", F.concat("order", F.array(F.col("place").cast("long"))).alias("order")).alias("doc"), "xml")
+        links = storage.staged(src.sitemap_links(deeper, "doc", "xml"), "maplinks")
+        entries.append(links.where("kind = 'url'").select("doc.source_id", "doc.order", "loc", "lastmod", "pos"))
+    rows = entries[0]
+    for more in entries[1:]:
+        rows = rows.unionByName(more)
+    place = F.row_number().over(W.partitionBy("source_id").orderBy("order", "pos"))  # a source has no more rows than its budgets allow
+    return rows.select("source_id", "loc", "lastmod", place.alias("pos"))
+
+
+def _budget(read: DataFrame, used: DataFrame, most_maps: int, most_entries: int) -> DataFrame:
+    """source_id, maps and pages that a source has used with the maps that were read."""
+    spent = src.chosen_maps(read, used, most_maps, most_entries).groupBy("source_id").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("p"))
+    both = spent.join(used, "source_id", "full_outer")
+    return both.select("source_id", *[(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).alias(b) for a, b in (("m", "maps"), ("p", "pages"))])
+
+
+def sitemap_links_wanted(maps: DataFrame, rules: DataFrame, stored: DataFrame, most: int, fetch: Callable[[DataFrame], DataFrame] | None = None, **budgets: int) -> DataFrame:
+    """source_id, site, tags, url, id of the newest links of sitemaps (source_id, site, tags, xml, perhaps url) that are
+    articles, that robots rules allow and whose article is not stored yet. fetch reads the maps that an index names."""
+    own = maps if "url" in maps.columns else maps.withColumn("url", F.concat("site", F.lit("sitemap.xml")))
+    links = sitemap_entries(own.select("source_id", "url", "xml"), rules, fetch, **budgets)
+    sites = own.select("source_id", "site", "tags").dropDuplicates(["source_id"])
+    rows = links.join(sites, "source_id").select("source_id", "site", "tags", F.col("loc").alias("url"), "lastmod", "pos").where(urls.is_article_url(F.col("url"), F.col("site")))
+    newest = src.newest_links(rows.groupBy("source_id", "site", "tags", "url").agg(F.min_by("lastmod", "pos").alias("lastmod"), F.min("pos").alias("pos")), "source_id", most)
     keyed = newest.withColumns({"id": text.article_id(F.col("source_id"), F.col("url")), "host": urls.host(F.col("url")), "path": urls.path(F.col("url"))})
     fresh = unseen(keyed, stored)
     may = src.robots_allowed(fresh, rules, ["source_id", "url"]).where("allowed")
     return fresh.join(may.select("source_id", "url"), ["source_id", "url"], "left_semi").select("source_id", "site", "tags", "url", "id")
 
 
-def sitemap_crawl(maps: DataFrame, rules: DataFrame, stored: DataFrame, pages: DataFrame, last_year: int, most: int, min_words: int = fixed.PAGE_MIN_WORDS) -> DataFrame:
+def sitemap_crawl(maps: DataFrame, rules: DataFrame, stored: DataFrame, pages: DataFrame, last_year: int, most: int, min_words: int = fixed.PAGE_MIN_WORDS, fetch: Callable[[DataFrame], DataFrame] | None = None, **budgets: int) -> DataFrame:
     """Articles of the pages (url, html) behind the wanted links of sitemaps; a page that was not fetched gives none."""
-    wanted = sitemap_links_wanted(maps, rules, stored, most)
+    wanted = sitemap_links_wanted(maps, rules, stored, most, fetch, **budgets)
     fetched = wanted.join(pages.select("url", "html"), "url").withColumnRenamed("id", "page_id")
     return page_articles(fetched, last_year, min_words)
 
@@ -147,13 +216,14 @@ def crawl_route(outcomes: DataFrame) -> DataFrame:
 def ntiles(rows: DataFrame, key: str, order: str, tiles: int, block: int = 50_000) -> DataFrame:
     """key, order and the row's tile as ntile() numbers them per key, by a whole-number order column.
 
-    Rows are numbered inside ranges of the order's values, of about `block` rows where values are spread evenly, and
-    the sizes of the ranges before are added, so that a key's rows need not meet in one task.
+    Rows are numbered inside ranges of the order's values, of about `block` rows each by quantiles of the column, and the
+    sizes of the ranges before are added, so that a key's rows need not meet in one task.
     """
-    span = rows.agg(F.min(order).cast("double").alias("lo"), F.max(order).cast("double").alias("hi"), F.count("*").alias("all"))
-    width = F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo")) / F.greatest(F.lit(1.0), F.col("all") / block))
-    at = F.floor((F.col(order).cast("double") - F.col("lo")) / F.col("width"))
-    ranged = rows.select(key, order).crossJoin(F.broadcast(span.select("lo", width.alias("width")))).select(key, order, at.alias("__at"))
+    n = rows.count()
+    # cuts: a number for each block of rows; approximate ones are as good, as sizes are counted afterwards
+    cuts = rows.select(F.percentile_approx(order, [i / (-(-n // block)) for i in range(1, -(-n // block))], 10_000)).first()[0] if n > block else []
+    at = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda a, cut: a + (F.col(order) > cut).cast("int")) if cuts else F.lit(0)
+    ranged = rows.select(key, order, at.alias("__at"))
     sizes = ranged.groupBy(key, "__at").agg(F.count("*").alias("n"))
     of_key = W.partitionBy("k").orderBy("at")
     before = F.sum("n").over(of_key) - F.col("n")

@@ -1,12 +1,14 @@
 """The resumable pass over a source list: cursor, circular slice, crawl, summary, store.
 
-A pass keeps all it needs below one folder: the articles, one Parquet folder a pass, and the cursor, which is written
-last and only after a pass in which some source worked. A pass that dies before is repeated by the next one, and since
-a store is read by key, newest pass first, articles written twice count once. A store of many passes is compacted into
-one by the same rule."""
+A pass keeps all it needs below one folder: the articles, one Parquet folder a pass, and records, of which the newest names
+the folders that count and the cursor. It is made whole or not at all, after a pass in which some source worked, so that
+a pass that dies is repeated by the next one and neither cursor nor article is lost or taken twice. A store is read by
+key, newest pass first; one of many passes is compacted into one by the same rule."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -60,37 +62,67 @@ def merged(parts: DataFrame, key: str = "id", always: tuple[str, ...] = ("url",
 
 
 class Store:
-    """Articles below a folder, one part a pass; parts are only added, and read together."""
+    """Articles below a folder, one part a pass. The newest record (storage.commit) names the parts and the cursor together:
+    a part counts from its record on and never before, so a pass that dies between any two steps changes nothing."""
 
     def __init__(self, spark: SparkSession, folder: str, empty: DataFrame):
         self.spark, self.folder, self.empty = spark, folder, empty
 
-    def _parts(self) -> DataFrame:
-        return storage.read_or(self.spark, f"{self.folder}/articles", self.empty.withColumn("pass", F.lit(0).cast("long")))
+    def state(self) -> tuple[int, dict]:
+        """Number of the newest record, and its parts (pass to folder) and cursor."""
+        number, payload = storage.newest(self.spark, f"{self.folder}/records")
+        return number, json.loads(payload) if payload else {"parts": {}, "cursor": None}
+
+    def cursor(self) -> str | None:
+        return self.state()[1]["cursor"]
 
     def passes(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/articles")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(int(x.getPath().getName()[5:]) for x in fs.listStatus(path) if x.getPath().getName().startswith("pass=")) if fs.exists(path) else []
+        return sorted(map(int, self.state()[1]["parts"]))
+
+    def _parts(self) -> DataFrame:
+        folders = self.state()[1]["parts"].values()
+        empty = self.empty.withColumn("pass", F.lit(0).cast("long"))
+        return self.spark.read.schema(empty.schema).parquet(*[f"{self.folder}/{x}" for x in folders]) if folders else empty
 
     def articles(self) -> DataFrame:
         return merged(self._parts())
 
+    def write(self, rows: DataFrame, number: int) -> str:
+        """The rows as a part of that pass, which no record names yet."""
+        name = f"parts/{number}-{uuid.uuid4().hex}"
+        rows.select(*self.empty.columns, F.lit(number).cast("long").alias("pass")).write.parquet(f"{self.folder}/{name}")
+        return name
+
     def add(self, rows: DataFrame, number: int) -> None:
-        """The rows as one pass; written again, a pass replaces itself."""
-        rows.select(*self.empty.columns).write.mode("overwrite").parquet(f"{self.folder}/articles/pass={number}")
+        """The rows as one pass; added again, a pass replaces itself."""
+        name = self.write(rows, number)
+        while True:
+            record, state = self.state()
+            if storage.commit(self.spark, f"{self.folder}/records", record + 1, json.dumps(state | {"parts": state["parts"] | {str(number): name}})):
+                return
+
+    def advance(self, name: str, number: int, before: str | None, after: str) -> bool:
+        """Take a pass's part and its cursor in one record; not if another pass has moved the cursor meanwhile."""
+        while True:
+            record, state = self.state()
+            if state["cursor"] != before:
+                return False
+            if storage.commit(self.spark, f"{self.folder}/records", record + 1, json.dumps({"parts": state["parts"] | {str(number): name}, "cursor": after})):
+                return True
 
     def compact(self, least: int = 50) -> bool:
-        """The parts of `least` passes and more become one, under the next number; they go once it is written, and read beside
-        it they change nothing."""
-        done = self.passes()
+        """The parts of `least` passes and more become one, under the next number; their files go once a record says so."""
+        record, state = self.state()
+        done = sorted(map(int, state["parts"]))
         if len(done) < least:
             return False
-        self.add(self.articles(), done[-1] + 1)
+        name = self.write(self.articles(), done[-1] + 1)
+        if not storage.commit(self.spark, f"{self.folder}/records", record + 1, json.dumps(state | {"parts": {str(done[-1] + 1): name}})):
+            return False
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for n in done:
-            fs.delete(path(f"{self.folder}/articles/pass={n}"), True)
+        for old in state["parts"].values():
+            fs.delete(path(f"{self.folder}/{old}"), True)
         return True
 
 
@@ -111,15 +143,12 @@ def run_pass(store: Store, sources: DataFrame, size: int, crawl: Callable[[DataF
 
     A source's error is its own; if all sources of the slice failed, nothing is stored and the cursor stays.
     """
-    spark = store.spark
-    last = storage.read_value(spark, f"{store.folder}/cursor") or None
+    last = store.cursor()
     start = resume_position(sources, last)
     some = circular_slice(sources, start, size)
     articles, results = crawl(some)
     s = summary(results).first()
     number = (store.passes() or [0])[-1] + 1
     end = some.agg(F.max_by("id", "turn").alias("id")).first()["id"]
-    if s["advance"] and s["sources"]:
-        store.add(articles, number)
-        storage.write_value(spark, f"{store.folder}/cursor", end)
-    return Pass(number, start, end, s["sources"], s["articles"], s["failed"], s["timed_out"], bool(s["advance"] and s["sources"]))
+    moved = bool(s["advance"] and s["sources"]) and store.advance(store.write(articles, number), number, last, end)
+    return Pass(number, start, end, s["sources"], s["articles"], s["failed"], s["timed_out"], moved)

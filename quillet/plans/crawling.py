@@ -164,6 +164,34 @@ def sitemap_crawl(spark, d):
     return got.select("url", "title", F.md5(F.col("content").cast("binary")).alias("content"), F.array_join("topics", ",").alias("topics"), "origin")
 
 
+# Two levels: a host's map is an index of six maps by page_id % 6, the greater the newer, of which number 4 does not answer. A
+# host may read three maps, and none more once it has 12 pages.
+_TWO_LEVELS = f"""k AS (SELECT {_HOST} AS host, page_id % 6 AS part, count(*) AS n FROM pages WHERE url IS NOT NULL AND page_id % 6 <> 4 GROUP BY ALL),
+    c AS (SELECT host, part FROM (SELECT *, row_number() OVER o AS r, coalesce(sum(n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k WINDOW o AS (PARTITION BY host ORDER BY part DESC)) WHERE r <= 3 AND before < 12)"""
+
+
+def _indexes(spark, d):
+    p = table(spark, d, "pages").where("url IS NOT NULL").withColumns({"host": urls.host(F.col("url")), "part": F.col("page_id") % 6})
+    name = F.translate(F.col("part").cast("string"), "012345", "abcdef")
+    loc = lambda c: F.concat(F.lit("<loc>"), F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("</loc>"))
+    child = F.concat(F.lit("https://"), "host", F.lit("/map-"), name, F.lit(".xml"))
+    listed = F.concat(F.lit("<url>"), loc(F.col("url")), F.lit("</url>"))
+    bodies = p.groupBy("host", "part").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(listed), ""), F.lit("</urlset>")).alias("xml"))
+    entry = F.concat(F.lit("<sitemap>"), F.concat(F.lit("<loc>/map-"), name, F.lit(".xml</loc>")), F.lit("<lastmod>2024-01-0"), (F.col("part") + 1).cast("string"), F.lit("</lastmod></sitemap>"))
+    index = bodies.groupBy("host").agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(entry), ""), F.lit("</sitemapindex>")).alias("xml"))
+    answers = bodies.where("part <> 4").select(child.alias("url"), "xml")
+    return index, lambda wanted: wanted.join(answers, "url")
+
+
+@query(f"WITH {_WANTED}, {_TWO_LEVELS} SELECT url FROM w JOIN c ON w.host = c.host AND w.page_id % 6 = c.part")
+def sitemap_index_links(spark, d):
+    """The wanted links behind indexes of sitemaps, within the budgets of maps and pages."""
+    maps, rules, stored, _ = _maps(spark, d)
+    index, fetch = _indexes(spark, d)
+    named = maps.drop("xml").join(index.withColumnRenamed("host", "source_id"), "source_id")
+    return corpus.sitemap_links_wanted(named, rules, stored, 1_000_000, fetch, most_maps=3, most_entries=12).select("url").distinct()
+
+
 FEED_SOURCES = [("s1", "https://a.org/feed", f"<rss><channel>{''.join(f'<item><title>Post {i}</title><link>https://a.org/{i}</link><description>words of post {i}</description></item>' for i in range(5))}</channel></rss>"), ("s2", "https://b.org/private/feed", "<rss><channel><item><title>No</title><link>https://b.org/1</link></item></channel></rss>")]
 
 

@@ -67,17 +67,31 @@ def sitemap_links(rows: DataFrame, id_col: str, xml_col: str, most: int = 20_000
 def newest_links(links: DataFrame, per: str, keep: int) -> DataFrame:
     """The newest links of each sitemap, undated ones last, document order where dates tie."""
     order = W.partitionBy(per).orderBy(F.col("at").desc_nulls_last(), "pos")
-    dated = links.withColumn("at", F.coalesce(F.try_to_timestamp("lastmod", F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp("lastmod", F.lit("yyyy-MM-dd"))))
+    dated = links.withColumn("at", link_time(F.col("lastmod")))
     return dated.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
-def chosen_children(children: DataFrame, per: str, most: int = 4, entries: int = 20_000) -> DataFrame:
-    """Of fetched child maps the newest four, stopping once enough entries were read. Columns: at, pos, n."""
+def link_time(lastmod: Column) -> Column:
+    return F.coalesce(F.try_to_timestamp(lastmod, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp(lastmod, F.lit("yyyy-MM-dd")))
+
+
+def chosen_children(children: DataFrame, per: str, most: int = fixed.SITEMAP_MAPS, entries: int = fixed.SITEMAP_ENTRIES) -> DataFrame:
+    """Of fetched child maps the newest, stopping once enough entries were read. Columns: at, pos, n."""
     order = W.partitionBy(per).orderBy(F.col("at").desc_nulls_last(), "pos")
     before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return children.where("n IS NOT NULL").select("*", F.row_number().over(order).alias("rank"), before.alias("before")).where((F.col("rank") <= most) & (F.col("before") < entries))
 
 
+def chosen_maps(read: DataFrame, used: DataFrame, most: int, entries: int) -> DataFrame:
+    """Of maps that answered (source_id, place, n) those within the budgets that `used` (source_id, maps, pages) leaves."""
+    order = W.partitionBy("source_id").orderBy("place")
+    sums = read.join(used, "source_id", "left").select(
+        "*", (F.coalesce("maps", F.lit(0)) + F.row_number().over(order)).alias("rank"),
+        (F.coalesce("pages", F.lit(0)) + F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("before"),
+    )
+    return sums.where((F.col("rank") <= most) & (F.col("before") < entries)).select(*read.columns)
+
+
 def robots_lines(rows: DataFrame, host_col: str, body_col: str) -> DataFrame:
     """Directives with the number of their group; consecutive user-agent lines open one group."""
     lines = rows.select(host_col, F.posexplode(F.split(F.regexp_replace(body_col, "\r", "\n"), "\n")).alias("pos", "line"))

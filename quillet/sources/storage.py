@@ -110,31 +110,3 @@ def newest(spark: SparkSession, folder: str) -> tuple[int, str | None]:
     if not numbers:
         return 0, None
     return max(numbers), src.text_value(spark, f"{folder}/{max(numbers):012d}.record")
-
-
-def write_value(spark: SparkSession, path: str, value: str) -> None:
-    """A one-line text in place of what the path held: the line is written beside it first, so a reader finds old or new."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    target, fresh = fs_path(path), fs_path(f"{path}.{uuid.uuid4().hex}")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(fresh)
-    out.write(bytearray(value, "utf-8"))
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(fresh, target)
-
-
-def read_value(spark: SparkSession, path: str) -> str:
-    """The text, trimmed; empty where there is none."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return ""
-    return src.text_value(spark, path)
-
-
-def read_or(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
-    """The Parquet table at a path, or an empty one where there is none yet."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.schema(empty.schema).parquet(path) if found else empty

@@ -390,6 +390,97 @@ def test_passes_resume(spark, tmp_path):
     assert store.compact(2) and store.passes() == [5] and {r["id"]: (r["title"], r["author"]) for r in store.articles().collect()} == rows
 
 
+def test_a_pass_killed_at_any_step_loses_nothing(spark, tmp_path, monkeypatch):
+    """Killed before and after the part is written, before the record is there, and after it."""
+    from quillet.sources import storage
+
+    sources = spark.createDataFrame([(f"s{i}", i) for i in range(4)], "id string, pos int")
+    empty = spark.createDataFrame([], "id string, url string, title string, source_id string, author string")
+
+    def crawl(some):
+        ids = [r["id"] for r in some.collect()]
+        return spark.createDataFrame([(f"of {i}", "u", "t", i, "") for i in ids], empty.schema), spark.createDataFrame([(i, 1, None) for i in ids], "id string, n int, error string")
+
+    store = discover.Store(spark, f"file://{tmp_path}/run", empty)
+    commit, write = storage.commit, discover.Store.write
+
+    class Killed(BaseException):
+        pass
+
+    def at(step):
+        def killed(*args):
+            if step == "after the record":
+                commit(*args)
+            elif step == "half a record":
+                (tmp_path / "run/records").mkdir(parents=True, exist_ok=True)
+                (tmp_path / "run/records/_half").write_text('{"parts"')
+            raise Killed
+
+        def no_part(*args):
+            raise Killed
+
+        if step == "before the part":
+            monkeypatch.setattr(discover.Store, "write", no_part)
+        else:
+            monkeypatch.setattr(storage, "commit", killed)
+        with pytest.raises(Killed):
+            discover.run_pass(store, sources, 1, crawl)
+        monkeypatch.setattr(storage, "commit", commit)
+        monkeypatch.setattr(discover.Store, "write", write)
+
+    held = lambda: (store.cursor(), sorted(r["id"] for r in store.articles().collect()))
+    discover.run_pass(store, sources, 1, crawl)
+    assert held() == ("s0", ["of s0"])
+    for step in ("before the part", "before the record", "half a record"):
+        at(step)
+        assert held() == ("s0", ["of s0"])
+    at("after the record")
+    assert held() == ("s1", ["of s0", "of s1"])
+    discover.run_pass(store, sources, 1, crawl)
+    assert held() == ("s2", ["of s0", "of s1", "of s2"])
+    # two passes at once: the second to finish finds the cursor moved and leaves all as it is
+    slow = lambda some: (discover.run_pass(store, sources, 1, crawl), crawl(some))[1]
+    assert not discover.run_pass(store, sources, 1, slow).advanced
+    assert held() == ("s3", ["of s0", "of s1", "of s2", "of s3"])
+
+
+def test_sitemap_indexes_within_budgets(spark):
+    def listed(kind, *locs):
+        inner = "".join(f"<{'url' if kind == 'urlset' else 'sitemap'}><loc>{loc}</loc>{f'<lastmod>{day}</lastmod>' if day else ''}</{'url' if kind == 'urlset' else 'sitemap'}>" for loc, day in locs)
+        return f"<{kind}>{inner}</{kind}>"
+
+    # b's newest child fails, its next is an index itself, robots rules forbid one; a is a plain map that also names a map
+    bodies = {f"https://b.org/c{i}.xml": listed("urlset", *[(f"https://b.org/{i}/{j}", None) for j in range(3)]) for i in range(6)}
+    bodies |= {"https://b.org/deep.xml": listed("sitemapindex", ("https://b.org/c5.xml", None)), "https://b.org/broken.xml": None, "https://b.org/page.xml": "<html><body>no map</body></html>"}
+    tops = [
+        ("a", "https://a.org/sitemap.xml", "<urlset><url><loc>https://a.org/x</loc></url></urlset>"),
+        ("b", "https://b.org/sitemap.xml", listed("sitemapindex", ("c0.xml", "2024-01-01"), ("/c1.xml", "2024-01-02"), ("broken.xml", "2024-02-01"), ("deep.xml", "2024-01-09"), ("private.xml", "2024-03-01"), ("c2.xml", None), ("c3.xml", "2024-01-03"), ("page.xml", "2024-01-04"))),
+        ("c", "https://c.org/sitemap.xml", listed("sitemapindex", *[(f"https://c.org/none{i}.xml", None) for i in range(40)])),
+    ]
+    maps = spark.createDataFrame(tops, "source_id string, url string, xml string")
+    rules = spark.createDataFrame([("b.org", "/private", False)], "host string, pattern string, allow boolean")
+    asked = []
+
+    def fetch(wanted):
+        urls_ = [r["url"] for r in wanted.collect()]
+        asked.append(urls_)
+        return spark.createDataFrame([(u, bodies.get(u)) for u in urls_], "url string, xml string")
+
+    def found(**budgets):
+        asked.clear()
+        got = {}
+        for r in corpus.sitemap_entries(maps, rules, fetch, **budgets).orderBy("source_id", "pos").collect():
+            got.setdefault(r["source_id"], []).append(r["loc"])
+        return got
+
+    of = lambda *parts: [f"https://b.org/{i}/{j}" for i in parts for j in range(3)]
+    assert found() == {"a": ["https://a.org/x"], "b": of(3, 1, 0)}  # deep, c3, c1 and c0 answered: deep counts and is not followed
+    assert "https://b.org/private.xml" not in sum(asked, []) and len(asked) <= 4 and len(sum(asked, [])) == len(set(sum(asked, [])))
+    assert found(most_maps=2) == {"a": ["https://a.org/x"], "b": of(3)}
+    assert found(most_entries=3)["b"] == of(3) and found(most_maps=5, levels=2)["b"] == of(3, 1, 0, 2) and found(most_maps=9, levels=2)["b"] == of(5, 3, 1, 0, 2)  # what an index names stands in its place
+    assert set(found(levels=0)) == {"a"} and corpus.sitemap_entries(maps, rules, None).count() == 1
+
+
 def test_stopped_stream_goes_on(spark, tmp_path):
     schema = "id int, author string, title string"
     spark.createDataFrame([(1, "a", "x")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
@@ -507,9 +598,6 @@ def test_reload_on_change(spark, tmp_path):
     assert held.get() == held.get() == "one" and held.loads == 1
     (tmp_path / "list/a.yml").write_text("another")
     assert held.get() == "another" and held.loads == 2
-    storage.write_value(spark, f"file://{tmp_path}/cursor", "s9")
-    storage.write_value(spark, f"file://{tmp_path}/cursor", "s10")
-    assert storage.read_value(spark, f"file://{tmp_path}/cursor") == "s10" and storage.read_value(spark, f"file://{tmp_path}/none") == ""
 
 
 def test_overrides_and_yaml(spark):
