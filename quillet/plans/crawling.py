@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillet.functions import text, urls
 from quillet.operators import build_run, builder, corpus, crawl, discover, filters
 from quillet.plans import parsing
-from quillet.plans.literals import frame, values
+from quillet.plans.literals import each, each_result, each_values
 from quillet.sources import documents as src
 from quillet.sources import storage
 from quillet.streaming import jobs
@@ -38,65 +38,65 @@ HEADS = [
 ]
 
 
-@query("SELECT * FROM (VALUES (1, 'Ann Writes', 'Notes', 'Post'), (2, 'The App', NULL, 'Bee'), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL)) AS t(id, site_name, description, title)")
+@query(each_result("SELECT * FROM (VALUES (1, 'Ann Writes', 'Notes', 'Post'), (2, 'The App', NULL, 'Bee'), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL)) AS t(id, site_name, description, title)"))
 def head_metadata(spark, d):
-    return frame(spark, "id int, html string", HEADS).select("id", crawl.page_metadata(F.col("html")).alias("m")).select("id", "m.site_name", "m.description", "m.title")
+    return each(spark, d, "id int, html string", HEADS).select("id", crawl.page_metadata(F.col("html")).alias("m")).select("id", "m.site_name", "m.description", "m.title")
 
 
 _ITEMS = "".join(f"<item><title>T{i}</title><description>rust {i}</description><category>Rust</category></item>" for i in range(20))
 FEED_PROBES = [
-    ("u1", 200, f"<rss><channel><title>Blog</title>{_ITEMS}</channel></rss>", None), ("u2", 200, "<html><body>page</body></html>", None), ("u3", 404, "<rss></rss>", None),
-    ("u4", None, None, "timed out"), ("u5", 200, "<feed><title>Quiet</title></feed>", None), ("u6", 200, "<rss><channel></channel></rss>", None),
+    ("u1.org", 200, f"<rss><channel><title>Blog</title>{_ITEMS}</channel></rss>", None), ("u2.org", 200, "<html><body>page</body></html>", None), ("u3.org", 404, "<rss></rss>", None),
+    ("u4.org", None, None, "timed out"), ("u5.org", 200, "<feed><title>Quiet</title></feed>", None), ("u6.org", 200, "<rss><channel></channel></rss>", None),
 ]
 _FIRST15 = " ".join(f"T{i} rust {i}" for i in range(15))
 
 
-@query(f"SELECT * FROM (VALUES ('u1', TRUE, 'Blog', '{_FIRST15}', 'Rust', 20, NULL), ('u2', FALSE, NULL, '', '', 0, 'not a feed'), ('u3', FALSE, NULL, '', '', 0, 'http 404'), ('u4', FALSE, NULL, '', '', 0, 'timed out'), ('u5', TRUE, 'Quiet', '', '', 0, NULL), ('u6', FALSE, NULL, '', '', 0, 'not a feed')) AS t(url, ok, title, text, categories, entries, error)")
+@query(each_result(f"SELECT * FROM (VALUES ('u1.org', TRUE, 'Blog', '{_FIRST15}', 'Rust', 20, NULL), ('u2.org', FALSE, NULL, '', '', 0, 'not a feed'), ('u3.org', FALSE, NULL, '', '', 0, 'http 404'), ('u4.org', FALSE, NULL, '', '', 0, 'timed out'), ('u5.org', TRUE, 'Quiet', '', '', 0, NULL), ('u6.org', FALSE, NULL, '', '', 0, 'not a feed')) AS t(url, ok, title, text, categories, entries, error)"))
 def feed_probe(spark, d):
-    got = crawl.feed_facts(frame(spark, "url string, status int, body string, error string", FEED_PROBES))
+    got = crawl.feed_facts(each(spark, d, "url string, status int, body string, error string", FEED_PROBES))
     return got.withColumns({"categories": F.array_join("categories", ","), "entries": F.col("entries").cast("int")})
 
 
 VOCABULARY = {"rust": ["rust", "borrow checker"], "go": ["go", "goroutine"]}
 
 
-@query("SELECT * FROM (VALUES ('s1', 'u1', 'Blog', 'rust', FALSE), ('s2', NULL, NULL, '', TRUE)) AS t(site, feed_url, feed_title, feed_tags, inconclusive)")
+@query(each_result("SELECT * FROM (VALUES ('s1.org', 'u1.org', 'Blog', 'rust', FALSE), ('s2.org', NULL, NULL, '', TRUE)) AS t(site, feed_url, feed_title, feed_tags, inconclusive)"))
 def feed_tags_scored(spark, d):
-    facts = crawl.feed_facts(frame(spark, "url string, status int, body string, error string", FEED_PROBES))
-    found = frame(spark, "site string, url string, inconclusive boolean", [("s1", "u1", False), ("s2", None, True)])
+    facts = crawl.feed_facts(each(spark, d, "url string, status int, body string, error string", FEED_PROBES))
+    found = each(spark, d, "site string, url string, inconclusive boolean", [("s1.org", "u1.org", False), ("s2.org", None, True)])
     return build_run.scored_feeds(found, facts, VOCABULARY).withColumn("feed_tags", F.array_join("feed_tags", ","))
 
 
-TRIES = [("a", 200, None), ("b", None, "timed out"), ("c", None, "timed out"), ("d", 404, None)]
-AGAIN = [("a", 500, None), ("b", 200, None), ("c", None, "still nothing")]
+TRIES = [("a.org", 200, None), ("b.org", None, "timed out"), ("c.org", None, "timed out"), ("d.org", 404, None)]
+AGAIN = [("a.org", 500, None), ("b.org", 200, None), ("c.org", None, "still nothing")]
 
 
-@query("SELECT * FROM (VALUES ('a', 200, NULL), ('b', 200, NULL), ('c', NULL, 'timed out'), ('d', 404, NULL)) AS t(site, status_code, error)")
+@query(each_result("SELECT * FROM (VALUES ('a.org', 200, NULL), ('b.org', 200, NULL), ('c.org', NULL, 'timed out'), ('d.org', 404, NULL)) AS t(site, status_code, error)"))
 def second_try(spark, d):
     schema = "site string, status_code int, error string"
-    return crawl.second_try(frame(spark, schema, TRIES), frame(spark, schema, AGAIN))
+    return crawl.second_try(each(spark, d, schema, TRIES), each(spark, d, schema, AGAIN))
 
 
 HOSTS = [("a.b.example.com", "example.com"), ("x.github.io", "x.github.io"), ("www.bbc.co.uk", "bbc.co.uk"), ("deep.x.vercel.app", "x.vercel.app"), ("www.city.kawasaki.jp", "city.kawasaki.jp"), ("a.b.c.kawasaki.jp", "b.c.kawasaki.jp"), ("com", "com"), ("localhost", "localhost")]
 
 
-@query(f"WITH {values('t', 'host, name', HOSTS)} SELECT * FROM t")
+@query(f"WITH {each_values('t', 'host, name', HOSTS)} SELECT * FROM t")
 def registered_names(spark, d):
-    return frame(spark, "host string, want string", HOSTS).select("host", urls.registered_name(F.col("host"), urls.suffix_rules(spark)).alias("name"))
+    return each(spark, d, "host string, want string", HOSTS).select("host", urls.registered_name(F.col("host"), urls.suffix_rules(spark)).alias("name"))
 
 
 # Whole files and pages.
 
 FILES = [
-    ("a/feeds.opml", "https://lists.org/x", "<opml><outline text=\"A > B\" xmlUrl='https://ann.org/feed' htmlUrl='https://ann.org/'/><outline title='Bob &amp; Co' xmlUrl='https://bob.net/rss.xml'/></opml>"),
+    ("a/feeds.opml", "https://lists.org/x", "<opml><outline text=\"A > B\" xmlUrl='https://ann.org/feed' htmlUrl='https://ann.org/'/><outline title='Bob &amp; Co' xmlUrl='https://bob.org/rss.xml'/></opml>"),
     ("b/list.html", "https://lists.org/x", "<p>- <a class=x href='https://cy.org/'>Cy <b>Blog</b></a> <a href=\"https://dee.org/post/1\">A post</a> <a href='/own'>own</a>"),
     ("c/README.md", "https://lists.org/x", "# Title\n- [Ann again](https://ann.org/)\n- https://eve.org/blog/z\nprose https://hidden.org/\n"),
 ]
 
 
-@query("SELECT * FROM (VALUES ('https://ann.org/', 'A > B', 'https://ann.org/feed'), ('https://bob.net/', 'Bob & Co', 'https://bob.net/rss.xml'), ('https://cy.org/', 'Cy Blog', NULL), ('https://dee.org/', NULL, NULL), ('https://eve.org/blog/', NULL, NULL)) AS t(site, name, feed)")
+@query(each_result("SELECT * FROM (VALUES ('https://ann.org/', 'A > B', 'https://ann.org/feed'), ('https://bob.org/', 'Bob & Co', 'https://bob.org/rss.xml'), ('https://cy.org/', 'Cy Blog', NULL), ('https://dee.org/', NULL, NULL), ('https://eve.org/blog/', NULL, NULL)) AS t(site, name, feed)"))
 def harvest_files(spark, d):
-    found = builder.harvest_files(frame(spark, "path string, origin string, content string", FILES))
+    found = builder.harvest_files(each(spark, d, "path string, origin string, content string", FILES))
     return builder.merge_candidates(builder.candidate_rows(found)).select("site", "name", "feed")
 
 
@@ -108,24 +108,24 @@ def page_paths(spark, d):
 LIST_PAGE = [("https://lists.org/best", "<a href='https://ann.org/'>Ann</a><a href='https://www.lists.org/about'>own</a>"), ("https://other.org/x.html", None)]
 
 
-@query("SELECT 'https://ann.org/' AS site, 'Ann' AS name")
+@query(each_result("SELECT * FROM (VALUES ('https://ann.org/', 'Ann')) AS t(site, name)"))
 def harvest_pages(spark, d):
-    found = builder.harvest_pages(frame(spark, "url string, html string", LIST_PAGE))
+    found = builder.harvest_pages(each(spark, d, "url string, html string", LIST_PAGE))
     return builder.merge_candidates(builder.candidate_rows(found)).select("site", "name")
 
 
-ENTRIES = [("b", "beta", "https://b.org/", "", ["k"], []), ("a", "Alpha", "https://a.org/", "https://a.org/feed", [], ["x"]), ("c", "beta", "https://a.net/", None, [], ["y"])]
+ENTRIES = [("b", "beta", "https://b.org/", "", ["k"], []), ("a", "Alpha", "https://a.org/", "https://a.org/feed", [], ["x"]), ("c", "beta", "https://a{n}.net/", None, [], ["y"])]
 
 
-@query("SELECT * FROM (VALUES ('a', 'https://a.org/feed', NULL, 'x', 1), ('c', NULL, NULL, 'y', 2), ('b', NULL, 'k', NULL, 3)) AS t(id, feed, kind, tags, place)")
+@query(f"WITH {each_values('t', 'code, name, site, feed, kind, tags', [('a', 'Alpha', 'https://a.org/', 'https://a.org/feed', None, 'x'), ('c', 'beta', 'https://a{n}.net/', None, None, 'y'), ('b', 'beta', 'https://b.org/', None, 'k', None)])} SELECT code AS id, feed, kind, tags, row_number() OVER (ORDER BY lower(name), site)::INT AS place FROM t")
 def entry_order(spark, d):
-    rows = src.entry_rows(frame(spark, "id string, name string, site string, feed string, kind array<string>, tags array<string>", ENTRIES))
+    rows = src.entry_rows(each(spark, d, "id string, name string, site string, feed string, kind array<string>, tags array<string>", ENTRIES))
     return rows.select("id", "feed", F.array_join("kind", ",").alias("kind"), F.array_join("tags", ",").alias("tags"), "place")
 
 
-@query("SELECT * FROM (VALUES ('a.org', 'https://a.org/feed')) AS t(key, feed)")
+@query(each_result("SELECT * FROM (VALUES ('a.org', 'https://a.org/feed')) AS t(key, feed)"))
 def previous_feeds(spark, d):
-    rows = src.entry_rows(frame(spark, "id string, name string, site string, feed string, kind array<string>, tags array<string>", ENTRIES))
+    rows = src.entry_rows(each(spark, d, "id string, name string, site string, feed string, kind array<string>, tags array<string>", ENTRIES))
     return src.previous_build(rows)[1]
 
 
@@ -192,14 +192,14 @@ def sitemap_index_links(spark, d):
     return corpus.sitemap_links_wanted(named, rules, stored, 1_000_000, fetch, most_maps=3, most_entries=12).select("url").distinct()
 
 
-FEED_SOURCES = [("s1", "https://a.org/feed", f"<rss><channel>{''.join(f'<item><title>Post {i}</title><link>https://a.org/{i}</link><description>words of post {i}</description></item>' for i in range(5))}</channel></rss>"), ("s2", "https://b.org/private/feed", "<rss><channel><item><title>No</title><link>https://b.org/1</link></item></channel></rss>")]
+FEED_SOURCES = [("s1.org", "https://a.org/feed", f"<rss><channel>{''.join(f'<item><title>Post {i}</title><link>https://a.org/{i}</link><description>words of post {i}</description></item>' for i in range(5))}</channel></rss>"), ("s2.org", "https://b.org/private/feed", "<rss><channel><item><title>No</title><link>https://b.org/1</link></item></channel></rss>")]
 
 
-@query("SELECT * FROM (VALUES ('s1', 'https://a.org/0', 'Post 0', 'Blog s1'), ('s1', 'https://a.org/1', 'Post 1', 'Blog s1'), ('s1', 'https://a.org/2', 'Post 2', 'Blog s1')) AS t(source_id, url, title, author)")
+@query(each_result("SELECT * FROM (VALUES ('s1.org', 'https://a.org/0', 'Post 0', 'Blog s1'), ('s1.org', 'https://a.org/1', 'Post 1', 'Blog s1'), ('s1.org', 'https://a.org/2', 'Post 2', 'Blog s1')) AS t(source_id, url, title, author)"))
 def feed_crawl(spark, d):
-    rules = frame(spark, "host string, pattern string, allow boolean", [("b.org", "/private", False)])
-    sources = frame(spark, "source_id string, source_name string, tags array<string>", [("s1", "Blog s1", ["go"]), ("s2", "Blog s2", [])])
-    got = corpus.feed_crawl(frame(spark, "source_id string, url string, body string", FEED_SOURCES), rules, sources, None, 3)
+    rules = each(spark, d, "host string, pattern string, allow boolean", [("b.org", "/private", False)])
+    sources = each(spark, d, "source_id string, source_name string, tags array<string>", [("s1.org", "Blog s1", ["go"]), ("s2.org", "Blog s2", [])])
+    got = corpus.feed_crawl(each(spark, d, "source_id string, url string, body string", FEED_SOURCES), rules, sources, None, 3)
     return got.select("source_id", "url", "title", "author")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import fixed
 from quillet.operators import corpus, html
-from quillet.plans.literals import frame, values
+from quillet.plans.literals import each, each_result, each_values
 from quillet.sources import documents as src
 
 QUERIES, ORACLES = {}, {}
@@ -51,14 +51,14 @@ HEADS = [
 ]
 
 
-@query(f"WITH {values('t', 'id, html', HEADS)} SELECT id, regexp_matches(html, '(?is)<meta\\s[^>]*name=[\"'']?robots[\"'']?[^>]*noindex') AS noindex FROM t")
+@query(f"WITH {each_values('t', 'id, html', HEADS)} SELECT id, regexp_matches(html, '(?is)<meta\\s[^>]*name=[\"'']?robots[\"'']?[^>]*noindex') AS noindex FROM t")
 def html_noindex_regex(spark, d):
-    return frame(spark, "id int, html string", HEADS).select("id", html.regex_noindex(F.col("html")).alias("noindex"))
+    return each(spark, d, "id int, html string", HEADS).select("id", html.regex_noindex(F.col("html")).alias("noindex"))
 
 
-@query("SELECT * FROM (VALUES (1, '/f.xml'), (2, ''), (3, 'https://b.org/atom /two')) AS t(id, feeds)")
+@query(each_result("SELECT * FROM (VALUES (1, '/f.xml'), (2, ''), (3, 'https://b.org/atom /two')) AS t(id, feeds)"))
 def html_feed_links_regex(spark, d):
-    return frame(spark, "id int, html string", HEADS).select("id", F.array_join(html.regex_feeds(F.col("html")), " ").alias("feeds"))
+    return each(spark, d, "id int, html string", HEADS).select("id", F.array_join(html.regex_feeds(F.col("html")), " ").alias("feeds"))
 
 
 # The generated pages are regular: all prose is in paragraphs of one article, under one heading, and no page has dates, feeds or robots marks
@@ -105,9 +105,9 @@ def page_min_words(spark, d):
 ENTITIES = [("caf&eacute; &amp;amp; &#8211; &#x41;",), ("a &lt;b&gt; &nosuch; &",), (None,)]
 
 
-@query("SELECT * FROM (VALUES ('caf&eacute; &amp;amp; &#8211; &#x41;', 'café &amp; – A'), ('a &lt;b&gt; &nosuch; &', 'a <b> &nosuch; &'), (NULL, NULL)) AS t(raw, decoded)")
+@query(each_result("SELECT * FROM (VALUES ('caf&eacute; &amp;amp; &#8211; &#x41;', 'café &amp; – A'), ('a &lt;b&gt; &nosuch; &', 'a <b> &nosuch; &'), (NULL, NULL)) AS t(raw, decoded)"))
 def entity_decode(spark, d):
-    return frame(spark, "raw string", ENTITIES).select("raw", html.decode_entities(F.col("raw")).alias("decoded"))
+    return each(spark, d, "raw string", ENTITIES).select("raw", html.decode_entities(F.col("raw")).alias("decoded"))
 
 
 RSS = """<?xml version="1.0"?><rss xmlns:dc="d" xmlns:content="c"><channel><title>Blog</title>
@@ -127,36 +127,36 @@ _ATOM_ROWS = [
 _FEED_COLS = "id, title, link, author, summary, content, categories, published"
 
 
-def _items(spark, rows):
-    return src.feed_items(frame(spark, "id int, xml string", rows), "id", "xml").select(
+def _items(spark, d, rows):
+    return src.feed_items(each(spark, d, "id int, xml string", rows), "id", "xml").select(
         "id", "title", "link", "author", "summary", "content", F.array_join("categories", ",").alias("categories"), "published"
     )
 
 
-@query(f"WITH {values('t', _FEED_COLS, _RSS_ROWS)} SELECT * FROM t")
+@query(f"WITH {each_values('t', _FEED_COLS, _RSS_ROWS)} SELECT * FROM t")
 def feed_rss(spark, d):
-    return _items(spark, FEEDS[:1])
+    return _items(spark, d, FEEDS[:1])
 
 
-@query(f"WITH {values('t', _FEED_COLS, _ATOM_ROWS)} SELECT * FROM t")
+@query(f"WITH {each_values('t', _FEED_COLS, _ATOM_ROWS)} SELECT * FROM t")
 def feed_atom(spark, d):
-    return _items(spark, FEEDS[1:2])
+    return _items(spark, d, FEEDS[1:2])
 
 
-@query(f"WITH {values('t', _FEED_COLS, _RSS_ROWS + _ATOM_ROWS)} SELECT * FROM t")
+@query(f"WITH {each_values('t', _FEED_COLS, _RSS_ROWS + _ATOM_ROWS)} SELECT * FROM t")
 def feed_union(spark, d):
-    return _items(spark, FEEDS)
+    return _items(spark, d, FEEDS)
 
 
 _ARTICLES = [
-    ("src-1", "https://a.org/1", "First & best", "Ann", "Short text", "Long body", "linux,rust,web-dev", "2024-03-05 17:20:30"), ("src-1", "https://a.org/2", "Second", "bob@a.org", "Only & this", "Only & this", "linux", None),
-    ("src-2", "https://b.org/1", "Atom one", "Cy", "Sum", "Sum", "linux,go-lang,ai", "2024-03-05 10:20:30"), ("src-2", "https://b.org/2", "Atom two", "A blog", None, "Body", "linux", "2024-01-01 00:00:00"),
+    (1, "https://a.org/1", "First & best", "Ann", "Short text", "Long body", "linux,rust,web-dev", "2024-03-05 17:20:30"), (1, "https://a.org/2", "Second", "bob@a.org", "Only & this", "Only & this", "linux", None),
+    (2, "https://b.org/1", "Atom one", "Cy", "Sum", "Sum", "linux,go-lang,ai", "2024-03-05 10:20:30"), (2, "https://b.org/2", "Atom two", "A blog", None, "Body", "linux", "2024-01-01 00:00:00"),
 ]
 
 
-@query(f"WITH {values('t', 'source_id, url, title, author, summary, content, topics, published_at', _ARTICLES)} SELECT source_id || '-' || left(sha256(url), 16) AS id, url, title, author, source_id, 'feed' AS origin, summary, content, topics, published_at::TIMESTAMP AS published_at FROM t")
+@query(f"WITH {each_values('t', 'id, url, title, author, summary, content, topics, published_at', _ARTICLES)} SELECT 'src-' || id || '-' || left(sha256(url), 16) AS id, url, title, author, 'src-' || id AS source_id, 'feed' AS origin, summary, content, topics, published_at::TIMESTAMP AS published_at FROM t")
 def feed_articles(spark, d):
-    items = src.feed_items(frame(spark, "id int, xml string", FEEDS), "id", "xml").withColumns(
+    items = src.feed_items(each(spark, d, "id int, xml string", FEEDS), "id", "xml").withColumns(
         {"source_id": F.concat(F.lit("src-"), F.col("id").cast("string")), "source_name": F.lit("A blog"), "tags": F.array(F.lit("linux")), "base": F.lit("https://a.org/feed")}
     )
     got = corpus.item_articles(items, None, 10)
@@ -171,29 +171,29 @@ MAPS = [
 ]
 
 
-def _links(spark):
-    return src.sitemap_links(frame(spark, "id int, xml string", MAPS), "id", "xml")
+def _links(spark, d):
+    return src.sitemap_links(each(spark, d, "id int, xml string", MAPS), "id", "xml")
 
 
-@query("SELECT * FROM (VALUES (1, 'url', 'https://a.org/1', '2024-01-02'), (1, 'url', 'https://a.org/2', NULL), (1, 'url', 'https://a.org/3', '2024-05-01T00:00:00Z'), (1, 'url', 'https://a.org/4', '2024-01-02'), (2, 'sitemap', 'https://a.org/s1.xml', '2024-02-02')) AS t(id, kind, loc, lastmod)")
+@query(each_result("SELECT * FROM (VALUES (1, 'url', 'https://a.org/1', '2024-01-02'), (1, 'url', 'https://a.org/2', NULL), (1, 'url', 'https://a.org/3', '2024-05-01T00:00:00Z'), (1, 'url', 'https://a.org/4', '2024-01-02'), (2, 'sitemap', 'https://a.org/s1.xml', '2024-02-02')) AS t(id, kind, loc, lastmod)"))
 def sitemap_parse(spark, d):
-    return _links(spark).drop("pos")
+    return _links(spark, d).drop("pos")
 
 
-@query("SELECT * FROM (VALUES (1, 'https://a.org/3', 1), (1, 'https://a.org/1', 2), (1, 'https://a.org/4', 3)) AS t(id, loc, rank)")
+@query(each_result("SELECT * FROM (VALUES (1, 'https://a.org/3', 1), (1, 'https://a.org/1', 2), (1, 'https://a.org/4', 3)) AS t(id, loc, rank)"))
 def sitemap_newest_links(spark, d):
-    return src.newest_links(_links(spark).where("kind = 'url'"), "id", 3).select("id", "loc", "rank")
+    return src.newest_links(_links(spark, d).where("kind = 'url'"), "id", 3).select("id", "loc", "rank")
 
 
 CHILDREN = [(1, 0, "2024-01-01", 9000), (1, 1, "2024-03-01", 12000), (1, 2, "2024-02-01", 9000), (1, 3, None, 10), (1, 4, "2024-04-01", None), (2, 0, None, 5), (2, 1, None, 6), (2, 2, "2020-01-01", 7), (2, 3, None, 8), (2, 4, None, 9)]
 
 
 @query(
-    f"WITH {values('t', 'site, pos, seen, n', CHILDREN)} SELECT site, pos FROM (SELECT *, row_number() OVER w AS r, coalesce(sum(n) OVER (PARTITION BY site ORDER BY seen DESC NULLS LAST, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b "
+    f"WITH {each_values('t', 'site, pos, seen, n', CHILDREN)} SELECT site, pos FROM (SELECT *, row_number() OVER w AS r, coalesce(sum(n) OVER (PARTITION BY site ORDER BY seen DESC NULLS LAST, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b "
     "FROM t WHERE n IS NOT NULL WINDOW w AS (PARTITION BY site ORDER BY seen DESC NULLS LAST, pos)) WHERE r <= 4 AND b < 20000"
 )
 def sitemap_child_choice(spark, d):
-    return src.chosen_children(frame(spark, "site int, pos int, at string, n int", CHILDREN), "site").select("site", "pos")
+    return src.chosen_children(each(spark, d, "site int, pos int, at string, n int", CHILDREN), "site").select("site", "pos")
 
 
 @query("SELECT page_id AS id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE page_id % 3 = 0)")
@@ -210,21 +210,21 @@ ROBOTS = [
 ]
 
 
-def _lines(spark):
-    return src.robots_lines(frame(spark, "host string, body string", ROBOTS), "host", "body")
+def _lines(spark, d):
+    return src.robots_lines(each(spark, d, "host string, body string", ROBOTS), "host", "body")
 
 
 _RULES = [("a.org", "/blog/", True), ("a.org", "/blog/private", False), ("b.org", "/tmp*", False), ("b.org", "/tmp/ok$", True), ("c.org", "/", False), ("d.org", "/x", False)]
 
 
-@query(f"WITH {values('t', 'host, pattern, allow', _RULES)} SELECT * FROM t")
+@query(f"WITH {each_values('t', 'host, pattern, allow', _RULES)} SELECT * FROM t")
 def robots_parse(spark, d):
-    return src.robots_rules(_lines(spark), "host", "quillet")
+    return src.robots_rules(_lines(spark, d), "host", "quillet")
 
 
-@query("SELECT * FROM (VALUES ('a.org', 'https://a.org/map.xml')) AS t(host, sitemap)")
+@query(each_result("SELECT * FROM (VALUES ('a.org', 'https://a.org/map.xml')) AS t(host, sitemap)"))
 def robots_sitemaps(spark, d):
-    return _lines(spark).where("directive = 'sitemap'").select("host", F.col("value").alias("sitemap"))
+    return _lines(spark, d).where("directive = 'sitemap'").select("host", F.col("value").alias("sitemap"))
 
 
 MATCHES = [
@@ -233,39 +233,39 @@ MATCHES = [
 ]
 
 
-@query(f"WITH {values('t', 'pattern, path, hit', MATCHES)} SELECT * FROM t")
+@query(f"WITH {each_values('t', 'pattern, path, hit', MATCHES)} SELECT * FROM t")
 def robots_match(spark, d):
-    return frame(spark, "pattern string, path string, want boolean", MATCHES).select("pattern", "path", src.robots_match(F.col("pattern"), F.col("path")).alias("hit"))
+    return each(spark, d, "pattern string, path string, want boolean", MATCHES).select("pattern", "path", src.robots_match(F.col("pattern"), F.col("path")).alias("hit"))
 
 
 ASKED = [("a.org", "/blog/x", True), ("a.org", "/blog/private/1", False), ("a.org", "/other", True), ("b.org", "/tmp/x", False), ("b.org", "/tmp/ok", True), ("b.org", "/tmp/ok2", False), ("c.org", "/x", False), ("e.org", "/y", True)]
 
 
-@query(f"WITH {values('t', 'host, path, allowed', ASKED)} SELECT * FROM t")
+@query(f"WITH {each_values('t', 'host, path, allowed', ASKED)} SELECT * FROM t")
 def robots_allowed(spark, d):
-    rules = src.robots_rules(_lines(spark), "host", "quillet")
-    return src.robots_allowed(frame(spark, "host string, path string, want boolean", ASKED).drop("want"), rules, ["host", "path"])
+    rules = src.robots_rules(_lines(spark, d), "host", "quillet")
+    return src.robots_allowed(each(spark, d, "host string, path string, want boolean", ASKED).drop("want"), rules, ["host", "path"])
 
 
 OPML = [(1, '<opml><body><outline text="Group"><outline text="Ann" title="Ann\'s" xmlUrl="https://a.org/feed" htmlUrl="https://a.org/"/><outline name="Bob" feed="https://b.org/rss" url="https://b.org/"/></outline></body></opml>')]
 
 
-@query("SELECT * FROM (VALUES (1, NULL, NULL, 'Group'), (1, 'https://a.org/feed', 'https://a.org/', 'Ann''s'), (1, 'https://b.org/rss', 'https://b.org/', 'Bob')) AS t(id, feed, site, name)")
+@query(each_result("SELECT * FROM (VALUES (1, NULL, NULL, 'Group'), (1, 'https://a.org/feed', 'https://a.org/', 'Ann''s'), (1, 'https://b.org/rss', 'https://b.org/', 'Bob')) AS t(id, feed, site, name)"))
 def opml_outlines(spark, d):
     rows = [(i, x.replace("title=\"Ann's\"", "title='Ann`s'").replace("`", "&#39;")) for i, x in OPML]
-    got = src.outlines(frame(spark, "id int, xml string", rows), "id", "xml")
+    got = src.outlines(each(spark, d, "id int, xml string", rows), "id", "xml")
     return got.select("id", "feed", "site", F.replace("name", F.lit("&#39;"), F.lit("'")).alias("name"))
 
 
 OUTCOMES = [
-    ("s1", "feed", 0, False, 0, "parse", False), ("s1", "sitemap", 1, False, 0, "none", False), ("s1", "homepage", 2, True, 5, None, False), ("s2", "feed", 0, True, 9, None, False),
-    ("s3", "feed", 0, False, 0, "broken feed", False), ("s3", "sitemap", 1, False, 0, "broken map", False), ("s4", "feed", 0, False, 0, None, True), ("s4", "sitemap", 1, True, 8, None, False), ("s5", "sitemap", 1, False, 0, "no map", False),
+    ("s1.org", "feed", 0, False, 0, "parse", False), ("s1.org", "sitemap", 1, False, 0, "none", False), ("s1.org", "homepage", 2, True, 5, None, False), ("s2.org", "feed", 0, True, 9, None, False),
+    ("s3.org", "feed", 0, False, 0, "broken feed", False), ("s3.org", "sitemap", 1, False, 0, "broken map", False), ("s4.org", "feed", 0, False, 0, None, True), ("s4.org", "sitemap", 1, True, 8, None, False), ("s5.org", "sitemap", 1, False, 0, "no map", False),
 ]
 
 
-@query("SELECT * FROM (VALUES ('s1', 'homepage', 5, NULL), ('s2', 'feed', 9, NULL), ('s3', 'feed', 0, 'broken feed'), ('s4', 'feed', 0, NULL), ('s5', 'sitemap', 0, 'no map')) AS t(source_id, route, n, error)")
+@query(each_result("SELECT * FROM (VALUES ('s1.org', 'homepage', 5, NULL), ('s2.org', 'feed', 9, NULL), ('s3.org', 'feed', 0, 'broken feed'), ('s4.org', 'feed', 0, NULL), ('s5.org', 'sitemap', 0, 'no map')) AS t(source_id, route, n, error)"))
 def crawl_route_priority(spark, d):
-    return corpus.crawl_route(frame(spark, "source_id string, route string, ord int, ok boolean, n int, error string, disallowed boolean", OUTCOMES))
+    return corpus.crawl_route(each(spark, d, "source_id string, route string, ord int, ok boolean, n int, error string, disallowed boolean", OUTCOMES))
 
 
 _OLD = "SELECT doc_id AS id, md5(text) AS url, source AS title, lang AS author, source AS source_id FROM documents WHERE doc_id % 3 <> 0"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillet.operators import build_run, builder
-from quillet.plans.literals import frame
+from quillet.plans.literals import each, each_result
 from quillet.sources import documents as src
 
 QUERIES, ORACLES = {}, {}
@@ -21,80 +21,80 @@ def query(oracle: str | None = None):
     return add
 
 
-SEEDS = [("https://github.com/a/b",), ("https://github.com/topics/blogs",), ("https://github.com/x/y",)]
-REPOS = [("blogs", "x/y", 50), ("blogs", "p/q", 90), ("blogs", "low/r", 1)]
+SEEDS = [("https://github.com/a{n}/b",), ("https://github.com/topics/blogs{n}",), ("https://github.com/x{n}/y",)]
+REPOS = [("blogs{n}", "x{n}/y", 50), ("blogs{n}", "p{n}/q", 90), ("blogs{n}", "low{n}/r", 1)]
 
 
-@query("SELECT * FROM (VALUES ('a/b', 'https://github.com/a/b'), ('p/q', 'https://github.com/topics/blogs'), ('x/y', 'https://github.com/topics/blogs https://github.com/x/y')) AS t(repository, seeds)")
+@query(each_result("SELECT * FROM (VALUES ('a{n}/b', 'https://github.com/a{n}/b'), ('p{n}/q', 'https://github.com/topics/blogs{n}'), ('x{n}/y', 'https://github.com/topics/blogs{n} https://github.com/x{n}/y')) AS t(repository, seeds)"))
 def seed_expansion(spark, d):
-    seeds = src.seeds(frame(spark, "value string", SEEDS))
-    return build_run.expand_seeds(seeds, frame(spark, "topic string, repository string, stars int", REPOS), 2).withColumn("seeds", F.array_join("seeds", " "))
+    seeds = src.seeds(each(spark, d, "value string", SEEDS))
+    return build_run.expand_seeds(seeds, each(spark, d, "topic string, repository string, stars int", REPOS), 2).withColumn("seeds", F.array_join("seeds", " "))
 
 
 UNITED = [("a/b", ["https://github.com/a/personal-ml", "https://github.com/topics/company-blogs"]), ("c/d", ["https://x.org/z", "https://x.org/security"]), ("e/f", ["https://x.org/z"])]
 
 
-@query("SELECT * FROM (VALUES ('a/b', 'personal-blogs company-blogs ai machine-learning'), ('c/d', 'security'), ('e/f', 'tech')) AS t(repository, tags)")
+@query(each_result("SELECT * FROM (VALUES ('a/b', 'personal-blogs company-blogs ai machine-learning'), ('c/d', 'security'), ('e/f', 'tech')) AS t(repository, tags)"))
 def seed_tags(spark, d):
-    t = frame(spark, "repository string, seeds array<string>", UNITED)
+    t = each(spark, d, "repository string, seeds array<string>", UNITED)
     return t.select("repository", F.array_join(builder.repository_tags(F.col("seeds")), " ").alias("tags"))
 
 
 LISTED = [(1, ["https://a.org/x?utm_source=q", "https://a.org/x", "https://github.com/a", "https://b.org/skip", "https://c.org/."], ["https://b.org/skip"])]
 
 
-@query("SELECT 1 AS id, 'https://a.org/x https://c.org/' AS urls")
+@query(each_result("SELECT * FROM (VALUES (1, 'https://a.org/x https://c.org/')) AS t(id, urls)"))
 def url_ordered_dedupe(spark, d):
-    t = frame(spark, "id int, listed array<string>, skip array<string>", LISTED)
+    t = each(spark, d, "id int, listed array<string>, skip array<string>", LISTED)
     return t.select("id", F.array_join(build_run.clean_distinct(F.col("listed"), F.col("skip")), " ").alias("urls"))
 
 
 LINES = [
-    ("list.md", "https://lists.org/engineering", 1, "- [Ann's Notes](https://ann.org/post/1)"), ("list.md", "https://lists.org/engineering", 2, "- [Old Bob](http://bob.net/)"),
-    ("list.md", "https://lists.org/engineering", 3, "- [Dead](https://dead.org/)"), ("list.md", "https://lists.org/engineering", 4, "- https://medium.com/@joe/p and https://medium.com/"),
+    ("list.md", "https://lists.org/engineering", 1, "- [Ann's Notes](https://ann.org/post/1)"), ("list.md", "https://lists.org/engineering", 2, "- [Old Bob](http://bob.org/)"),
+    ("list.md", "https://lists.org/engineering", 3, "- [Dead](https://dead.org/)"), ("list.md", "https://lists.org/engineering", 4, "- https://medium.com/@joe{n}/p and https://medium.com/"),
 ]
 PROBES = [
-    ("https://ann.org/", 200, "text/html", "https://ann.org/", None, None, None), ("http://bob.net/", 200, "text/html", "https://www.bob.net/", "Bob", None, None), ("https://dead.org/", 404, None, None, None, None, None),
-    ("https://medium.com/@joe/", 200, "text/html", "https://medium.com/@joe/", "Joe", None, None), ("https://medium.com/", 200, "text/html", "https://medium.com/", "Medium", None, None),
+    ("https://ann.org/", 200, "text/html", "https://ann.org/", None, None, None), ("http://bob.org/", 200, "text/html", "https://www.bob.org/", "Bob", None, None), ("https://dead.org/", 404, None, None, None, None, None),
+    ("https://medium.com/@joe{n}/", 200, "text/html", "https://medium.com/@joe{n}/", "Joe", None, None), ("https://medium.com/", 200, "text/html", "https://medium.com/", "Medium", None, None),
 ]
 OVERRIDES = [("https://ann.org", "Ann", None, ["personal-blogs", "rust"])]
 
 
-def _build(spark, overrides=OVERRIDES):
+def _build(spark, d, overrides=OVERRIDES):
     return build_run.build(
-        frame(spark, "path string, origin string, line_no int, line string", LINES),
-        frame(spark, "site string, status_code int, content_type string, final_url string, page_title string, site_name string, error string", PROBES),
-        frame(spark, "key string, feed string", [("bob.net", "https://bob.net/feed")]),
-        frame(spark, "site string, feed_url string, feed_title string, feed_tags array<string>, inconclusive boolean", [("https://ann.org/", "https://ann.org/rss", "Ann writes", ["go"], False)]),
-        frame(spark, "site string, id string", [("https://www.bob.net/", "old-bob"), ("https://other.org/", "ann")]),
-        frame(spark, "site string, name string, feed string, tags array<string>", overrides),
+        each(spark, d, "path string, origin string, line_no int, line string", LINES),
+        each(spark, d, "site string, status_code int, content_type string, final_url string, page_title string, site_name string, error string", PROBES),
+        each(spark, d, "key string, feed string", [("bob.org", "https://bob.org/feed")]),
+        each(spark, d, "site string, feed_url string, feed_title string, feed_tags array<string>, inconclusive boolean", [("https://ann.org/", "https://ann.org/rss", "Ann writes", ["go"], False)]),
+        each(spark, d, "site string, id string", [("https://www.bob.org/", "old-bob{n}"), ("https://other.org/", "ann-{n}")]),
+        each(spark, d, "site string, name string, feed string, tags array<string>", overrides),
     )
 
 
-@query("SELECT * FROM (VALUES ('ann-2', 'Ann', 'https://ann.org/', 'https://ann.org/rss', 'personal-blogs', 'rust'), ('old-bob', 'Bob', 'https://www.bob.net/', 'https://bob.net/feed', '', 'software-engineering'), ('medium-joe', 'Joe', 'https://medium.com/@joe/', NULL, '', 'software-engineering')) AS t(id, name, site, feed, kind, tags)")
+@query(each_result("SELECT * FROM (VALUES ('ann-{n}-2', 'Ann', 'https://ann.org/', 'https://ann.org/rss', 'personal-blogs', 'rust'), ('old-bob{n}', 'Bob', 'https://www.bob.org/', 'https://bob.org/feed', '', 'software-engineering'), ('medium-joe{n}', 'Joe', 'https://medium.com/@joe{n}/', NULL, '', 'software-engineering')) AS t(id, name, site, feed, kind, tags)"))
 def source_build(spark, d):
-    return _build(spark).entries.select("id", "name", "site", "feed", F.array_join("kind", ",").alias("kind"), F.array_join("tags", ",").alias("tags"))
+    return _build(spark, d).entries.select("id", "name", "site", "feed", F.array_join("kind", ",").alias("kind"), F.array_join("tags", ",").alias("tags"))
 
 
-@query("SELECT * FROM (VALUES ('https://ann.org/', 'tag form'), ('not a site', 'site form')) AS t(site, problem)")
+@query(each_result("SELECT * FROM (VALUES ('https://ann.org/', 'tag form'), ('not a site {n}', 'site form')) AS t(site, problem)"))
 def source_build_problems(spark, d):
-    return _build(spark, [("https://ann.org", "Ann", None, ["Bad Tag"]), ("not a site", "New", None, ["go"])]).problems
+    return _build(spark, d, [("https://ann.org", "Ann", None, ["Bad Tag"]), ("not a site {n}", "New", None, ["go"])]).problems
 
 
-@query("SELECT * FROM (VALUES ('ann-2'), ('ann-3'), ('old-bob'), ('medium-joe')) AS t(id)")
+@query(each_result("SELECT * FROM (VALUES ('ann-{n}-2'), ('ann-{n}-3'), ('old-bob{n}'), ('medium-joe{n}')) AS t(id)"))
 def source_build_ids(spark, d):
     """An entry that only an override knows gets an id beside those in use."""
-    return _build(spark, [("https://ann.net/", "Other Ann", None, ["go"])]).entries.select("id")
+    return _build(spark, d, [("https://ann-{n}.net/", "Other Ann", None, ["go"])]).entries.select("id")
 
 
-@query("SELECT * FROM (VALUES ('https://ann.org/', 'yes'), ('http://bob.net/', 'yes'), ('https://dead.org/', 'no'), ('https://medium.com/@joe/', 'yes'), ('https://medium.com/', 'yes')) AS t(site, reachable)")
+@query("SELECT DISTINCT * FROM (" + each_result("SELECT * FROM (VALUES ('https://ann.org/', 'yes'), ('http://bob.org/', 'yes'), ('https://dead.org/', 'no'), ('https://medium.com/@joe{n}/', 'yes'), ('https://medium.com/', 'yes')) AS t(site, reachable)") + ")")
 def source_build_audit(spark, d):
-    return _build(spark).audit.select("site", "reachable")
+    return _build(spark, d).audit.select("site", "reachable").distinct()  # the platform is a candidate of every page
 
 
-@query("SELECT 3 AS entries, 2 AS with_feed")
+@query("SELECT 3 * count(*) AS entries, 2 * count(*) AS with_feed FROM pages")
 def feed_coverage(spark, d):
-    return build_run.feed_coverage(_build(spark).entries)
+    return build_run.feed_coverage(_build(spark, d).entries)
 
 
 def _purchases(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillet.functions import dates, fixed, text, urls
-from quillet.plans.literals import frame, in_list, values
+from quillet.plans.literals import each, each_values, in_list
 
 QUERIES, ORACLES = {}, {}
 
@@ -73,9 +73,9 @@ SLUGS = [
 ]
 
 
-@query(f"WITH {values('t', 'raw', SLUGS)} SELECT raw, {SLUG('raw')} AS slug FROM t")
+@query(f"WITH {each_values('t', 'raw', SLUGS)} SELECT raw, {SLUG('raw')} AS slug FROM t")
 def topic_slug(spark, d):
-    return frame(spark, "raw string", SLUGS).select("raw", text.topic_slug(F.col("raw")).alias("slug"))
+    return each(spark, d, "raw string", SLUGS).select("raw", text.topic_slug(F.col("raw")).alias("slug"))
 
 
 TOPICS = [
@@ -90,12 +90,12 @@ _ORDERED = lambda x: f"list_filter({x}, lambda v, i: v <> '' AND list_position({
 
 
 @query(
-    f"WITH {values('t', 'id, tags, cats', TOPICS)}, u AS (SELECT id, {_ORDERED('tags')} AS own, {_SLUGGED} AS slugs FROM t), "
+    f"WITH {each_values('t', 'id, tags, cats', TOPICS)}, u AS (SELECT id, {_ORDERED('tags')} AS own, {_SLUGGED} AS slugs FROM t), "
     f"v AS (SELECT id, own, list_filter({_ORDERED('slugs')}, lambda s: NOT list_contains(own, s)) AS fresh FROM u) "
     f"SELECT id, list_concat(own, fresh[1:greatest(0, least(3, 8 - len(own)))]) AS topics FROM v"
 )
 def article_topics(spark, d):
-    t = frame(spark, "id int, tags array<string>, cats array<string>", TOPICS)
+    t = each(spark, d, "id int, tags array<string>, cats array<string>", TOPICS)
     return t.select("id", text.article_topics(F.col("tags"), F.col("cats")).alias("topics"))
 
 
@@ -108,11 +108,11 @@ _NAME = f"trim(regexp_replace(regexp_replace(regexp_replace({DECODE('raw')}, '\\
 
 
 @query(
-    f"WITH {values('t', 'raw', NAMES)}, n AS (SELECT raw, {_NAME} AS name FROM t) SELECT raw, CASE WHEN NOT (name = '' OR length(name) > 80 OR lower(name) IN {in_list(fixed.GENERIC_NAMES)} "
+    f"WITH {each_values('t', 'raw', NAMES)}, n AS (SELECT raw, {_NAME} AS name FROM t) SELECT raw, CASE WHEN NOT (name = '' OR length(name) > 80 OR lower(name) IN {in_list(fixed.GENERIC_NAMES)} "
     "OR regexp_matches(name, '^\\[.*\\]$') OR contains(name, 'http://') OR contains(name, 'https://') OR starts_with(name, '!')) THEN name END AS name FROM n"
 )
 def clean_name(spark, d):
-    return frame(spark, "raw string", NAMES).select("raw", text.clean_name(F.col("raw")).alias("name"))
+    return each(spark, d, "raw string", NAMES).select("raw", text.clean_name(F.col("raw")).alias("name"))
 
 
 # URLs. `u` splits a URL as the engine does.
@@ -132,11 +132,11 @@ MORE_URLS = [
     (9, "https://dev.to/joe/42"), (10, "https://substack.com/p/xyz"), (11, "https://Site.ORG:8080/~tom/x?ref=1&z=1&a=&c"), (12, "not a url"), (13, "https://localhost/x"),
     (14, "https://host.test/"), (15, "https://ok.org/a/b/?q=1&amp;fbclid=9)."), (16, "https://note.com/123/x"), (17, "https://vendor.com/engineering/x/y"),
 ]
-MORE = f"WITH {values('src', 'page_id, url', MORE_URLS)} "
+MORE = f"WITH {each_values('src', 'page_id, url', MORE_URLS)} "
 
 
-def _more(spark):
-    return frame(spark, "page_id int, url string", MORE_URLS)
+def _more(spark, d):
+    return each(spark, d, "page_id int, url string", MORE_URLS)
 
 
 @query(PAGES + f"SELECT page_id, host, {BARE} AS label FROM {V}")
@@ -163,7 +163,7 @@ def url_canonical_site(spark, d):
 
 @query(MORE + f"SELECT page_id, {SITE} AS site FROM {V}")
 def url_canonical_site_cases(spark, d):
-    return _more(spark).select("page_id", urls.canonical_site(F.col("url")).alias("site"))
+    return _more(spark, d).select("page_id", urls.canonical_site(F.col("url")).alias("site"))
 
 
 _PAIRKEY = "lower(split_part(p, '=', 1))"
@@ -181,9 +181,9 @@ def url_clean(spark, d):
     return pages(spark, d).select("page_id", urls.clean_url(F.col("url")).alias("clean"))
 
 
-@query(f"WITH {values('raw', 'page_id, url', MORE_URLS)}, src AS (SELECT page_id, {_PRE('url')} AS url FROM raw) SELECT page_id, {_CLEANED} AS clean FROM {V}")
+@query(f"WITH {each_values('raw', 'page_id, url', MORE_URLS)}, src AS (SELECT page_id, {_PRE('url')} AS url FROM raw) SELECT page_id, {_CLEANED} AS clean FROM {V}")
 def url_clean_cases(spark, d):
-    return _more(spark).select("page_id", urls.clean_url(F.col("url")).alias("clean"))
+    return _more(spark, d).select("page_id", urls.clean_url(F.col("url")).alias("clean"))
 
 
 _LABELS = f"string_split({BARE}, '.')"
@@ -207,7 +207,7 @@ _PSK = f"(CASE WHEN regexp_matches(host, '{_tail(['.' + s for s in urls.LONG_SUF
 
 @query(MORE + f"SELECT page_id, CASE WHEN len(string_split(host, '.')) >= {_PSK} THEN array_to_string(string_split(host, '.')[-{_PSK}:], '.') ELSE host END AS domain FROM {V}")
 def url_public_suffix(spark, d):
-    return _more(spark).select("page_id", urls.public_suffix_plus_one(urls.host(F.col("url"))).alias("domain"))
+    return _more(spark, d).select("page_id", urls.public_suffix_plus_one(urls.host(F.col("url"))).alias("domain"))
 
 
 _VP = f"array_to_string(list_sort(list_transform(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '{fixed.VISIT_TRACKING}')), lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END)), '&')"
@@ -265,7 +265,7 @@ def url_feed_guesses(spark, d):
     f"SELECT page_id, sch IN ('http', 'https') AND host <> '' AND len({SEGS}) > 0 AND {EXT} NOT IN {in_list(fixed.NON_ARTICLE_EXTENSIONS)} AND NOT list_has_any(list_transform({SEGS}, lambda s: lower(s)), {list(fixed.NON_ARTICLE_SEGMENTS)}) AS is_article FROM {V}"
 )
 def url_is_article(spark, d):
-    every = pages(spark, d).select("page_id", "url").unionByName(_more(spark).select((F.col("page_id") + 100000).cast("long").alias("page_id"), "url"))
+    every = pages(spark, d).select("page_id", "url").unionByName(_more(spark, d).select((F.col("page_id") + 100000).cast("long").alias("page_id"), "url"))
     return every.select("page_id", urls.is_article_url(F.col("url"), F.col("url")).alias("is_article"))
 
 
@@ -274,23 +274,23 @@ _PD = r"(?:^|/)([0-9]{4})[/-]([0-9]{1,2})(?:[/-]([0-9]{1,2}))?(?:[/-]|$)"
 
 
 @query(
-    f"WITH {values('t', 'path', PATHS)}, p AS (SELECT path, try_cast(regexp_extract(path, '{_PD}', 1) AS INT) AS y, try_cast(regexp_extract(path, '{_PD}', 2) AS INT) AS m, "
+    f"WITH {each_values('t', 'path', PATHS)}, p AS (SELECT path, try_cast(regexp_extract(path, '{_PD}', 1) AS INT) AS y, try_cast(regexp_extract(path, '{_PD}', 2) AS INT) AS m, "
     f"CASE WHEN regexp_extract(path, '{_PD}', 3) = '' THEN 1 ELSE try_cast(regexp_extract(path, '{_PD}', 3) AS INT) END AS dd FROM t) "
     "SELECT path, CASE WHEN y BETWEEN 1990 AND 2027 AND m BETWEEN 1 AND 12 AND dd BETWEEN 1 AND 31 THEN (make_date(y, m, 1) + (dd - 1)::INT)::DATE END AS day FROM p"
 )
 def url_date_from_path(spark, d):
-    return frame(spark, "path string", PATHS).select("path", urls.date_in_path(F.col("path"), 2027).alias("day"))
+    return each(spark, d, "path string", PATHS).select("path", urls.date_in_path(F.col("path"), 2027).alias("day"))
 
 
 IPS = [("127.0.0.1",), ("8.8.8.8",), ("10.1.2.3",), ("172.16.0.1",), ("172.32.0.1",), ("192.168.1.1",), ("169.254.1.1",), ("100.64.0.1",), ("100.128.0.1",), ("224.0.0.1",), ("0.0.0.0",), ("99.1.1.1",)]
 
 
 @query(
-    f"WITH {values('t', 'ip', IPS)}, o AS (SELECT ip, list_transform(string_split(ip, '.'), lambda x: x::INT) AS o FROM t) SELECT ip, NOT (o[1] IN (0, 10, 127) OR o[1] >= 224 OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) "
+    f"WITH {each_values('t', 'ip', IPS)}, o AS (SELECT ip, list_transform(string_split(ip, '.'), lambda x: x::INT) AS o FROM t) SELECT ip, NOT (o[1] IN (0, 10, 127) OR o[1] >= 224 OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) "
     "OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 100 AND o[2] BETWEEN 64 AND 127)) AS is_public FROM o"
 )
 def url_public_ip(spark, d):
-    return frame(spark, "ip string", IPS).select("ip", urls.is_public_ipv4(F.col("ip")).alias("is_public"))
+    return each(spark, d, "ip string", IPS).select("ip", urls.is_public_ipv4(F.col("ip")).alias("is_public"))
 
 
 @query(PAGES + f"SELECT page_id, regexp_replace({BARE}, '[^A-Za-z0-9_-]', '-', 'g') || '-' || sha256(url)[1:16] AS article_id FROM {V}")
@@ -306,9 +306,9 @@ TIMES = [
 _WANT = ["2024-03-05 10:20:30", "2024-03-05 08:20:30", "2024-03-05 17:20:30", "2024-03-05 10:20:30", "2024-03-05 09:20:00", "2024-03-05 10:20:30", "2024-03-05 00:00:00", None, None, None, "2024-03-05 10:20:30"]
 
 
-@query(f"WITH {values('t', 'raw, want', [(a, b) for (a,), b in zip(TIMES, _WANT)])} SELECT raw, want AS utc FROM t")
+@query(f"WITH {each_values('t', 'raw, want', [(a, b) for (a,), b in zip(TIMES, _WANT)])} SELECT raw, want AS utc FROM t")
 def feed_time_formats(spark, d):
-    return frame(spark, "raw string", TIMES).select("raw", F.date_format(dates.parse_time(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+    return each(spark, d, "raw string", TIMES).select("raw", F.date_format(dates.parse_time(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS rfc3339, ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-11' AS inside FROM events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillet.functions import fixed, text
 from quillet.operators import filters, index, limits, search
 from quillet.operators import service
-from quillet.plans.literals import frame, judged_sql, values
+from quillet.plans.literals import judged_sql
 from quillet.sources import storage
 
 QUERIES, ORACLES = {}, {}
@@ -251,31 +251,57 @@ def index_updated_top(spark, d):
     return search.top(index.Index(spark, made.path).top(TERMS, 60), 60).select("id", "score", F.col("rank").cast("long"))
 
 
-REQUESTS = [
-    (1, "go", "", "", "", ""), (2, "", "", "", "", ""), (3, "x" * 513, "", "", "", ""), (4, "go", "51", "", "", ""), (5, "go", "50", "1000", "", ""), (6, "go", "20", "1001", "", ""),
-    (7, "go", "20", "30", "", "semantic"), (8, "go", "20", "31", "", "semantic"), (9, "go", "", "", "feed", ""), (10, "go", "", "", "rss", ""), (11, "go", "", "", "", "vector"), (12, "go", "abc", "", "", ""), (13, "語" * 512, "", "-1", "", ""),
-]
+# Requests as every document would ask them: questions without letters or too long, numbers that are none or out of bounds.
+_LETTERS = "regexp_replace(left(coalesce(text, ''), 60), '[^A-Za-z]', 'x', 'g')"
+_REQUESTS = f"""t AS (SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN ' ' WHEN 1 THEN repeat('q' || {_LETTERS}, 9) ELSE 'q' || {_LETTERS} END AS q, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '--5' ELSE (doc_id % 60 - 3)::VARCHAR END AS lim,
+    CASE doc_id % 4 WHEN 0 THEN '' ELSE ((doc_id * 37) % 1300 - 20)::VARCHAR END AS off, ['', 'feed', 'sitemap', 'rss', '', 'feed', 'sitemap', ''][doc_id % 8 + 1] AS origin, ['', 'keyword', 'semantic', 'vector', 'semantic', ''][doc_id % 6 + 1] AS mode FROM documents)"""
+
+
+def _each_request(rows, answer, schema):
+    """A row's own answer, of a small function over its columns."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            told = [answer(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, t)) for t in told], schema=arrow)
+
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    arrow = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")])
+    return rows.mapInArrow(run, schema)
 
 
 @query(
-    f"""WITH {values('t', 'id, q, lim, off, origin, mode', REQUESTS)}, n AS (SELECT id, q, origin, CASE mode WHEN '' THEN 'keyword' ELSE mode END AS mode, CASE lim WHEN '' THEN 20 ELSE try_cast(lim AS INT) END AS lim, CASE off WHEN '' THEN 0 ELSE try_cast(off AS INT) END AS off FROM t)
+    f"""WITH {_REQUESTS}, n AS (SELECT id, q, origin, CASE mode WHEN '' THEN 'keyword' ELSE mode END AS mode, CASE lim WHEN '' THEN 20 ELSE try_cast(lim AS INT) END AS lim, CASE off WHEN '' THEN 0 ELSE try_cast(off AS INT) END AS off FROM t)
     SELECT id, CASE WHEN trim(q) = '' THEN 'q' WHEN length(trim(q)) > 512 THEN 'q' WHEN lim IS NULL OR lim NOT BETWEEN 1 AND 50 THEN 'limit' WHEN mode NOT IN ('keyword', 'semantic') THEN 'mode'
     WHEN origin NOT IN ('', 'feed', 'sitemap') THEN 'origin' WHEN off IS NULL OR off < 0 OR off > CASE mode WHEN 'semantic' THEN greatest(50 - lim, 0) ELSE 1000 END THEN 'offset' ELSE '' END AS problem FROM n"""
 )
 def request_validation(spark, d):
-    told = [(r[0], search.parse_request(dict(zip(("q", "limit", "offset", "origin", "mode"), r[1:])))) for r in REQUESTS]
-    return frame(spark, "id int, problem string", [(i, x.split()[0] if isinstance(x, str) else "") for i, x in told])
+    n = F.col("doc_id")
+    q = F.concat(F.lit("q"), F.regexp_replace(F.left(F.coalesce("text", F.lit("")), F.lit(60)), "[^A-Za-z]", "x"))
+    pick = lambda of, *x: F.get(F.array(*map(F.lit, x)), (n % of).cast("int"))
+    rows = docs(spark, d).select(
+        "doc_id", F.when(n % 7 == 0, " ").when(n % 7 == 1, F.repeat(q, F.lit(9))).otherwise(q), F.when(n % 5 == 0, "").when(n % 5 == 1, "--5").otherwise((n % 60 - 3).cast("string")),
+        F.when(n % 4 == 0, "").otherwise((n * 37 % 1300 - 20).cast("string")), pick(8, "", "feed", "sitemap", "rss", "", "feed", "sitemap", ""), pick(6, "", "keyword", "semantic", "vector", "semantic", ""),
+    ).toDF("id", "q", "limit", "offset", "origin", "mode")
 
+    def told(i, *asked):
+        found = search.parse_request(dict(zip(("q", "limit", "offset", "origin", "mode"), asked)))
+        return i, found.split()[0] if isinstance(found, str) else ""
 
-BOUNDS = [(m, l, o) for m in (False, True) for l in (1, 20, 50) for o in (0, 30, 49)]
+    return _each_request(rows, told, "id long, problem string")
 
 
 @query(
-    f"WITH {values('t', 'semantic, lim, off', BOUNDS)} SELECT semantic, lim, off, CASE WHEN semantic THEN greatest(50 - lim, 0) ELSE 1000 END AS max_offset, CASE WHEN semantic THEN least(lim * 3, greatest(50 - off, 0)) ELSE lim * 3 END AS fetch FROM t"
+    "SELECT id, semantic, lim, off, CASE WHEN semantic THEN greatest(50 - lim, 0) ELSE 1000 END::INT AS max_offset, CASE WHEN semantic THEN least(lim * 3, greatest(50 - off, 0)) ELSE lim * 3 END::INT AS fetch "
+    "FROM (SELECT doc_id AS id, doc_id % 2 = 0 AS semantic, (doc_id % 50 + 1)::INT AS lim, (doc_id * 13 % 60)::INT AS off FROM documents)"
 )
 def paging_bounds(spark, d):
-    rows = [(m, l, o, search.max_offset(m, l), search.fetch_size(m, l, o)) for m, l, o in BOUNDS]
-    return frame(spark, "semantic boolean, lim int, off int, max_offset int, fetch int", rows)
+    n = F.col("doc_id")
+    rows = docs(spark, d).select(n.alias("id"), (n % 2 == 0).alias("semantic"), (n % 50 + 1).cast("int").alias("lim"), (n * 13 % 60).cast("int").alias("off"))
+    told = lambda i, m, l, o: (i, m, l, o, search.max_offset(m, l), search.fetch_size(m, l, o))
+    return _each_request(rows, told, "id long, semantic boolean, lim int, off int, max_offset int, fetch int")
 
 
 # Filters, facets and histories. Published times come from events, some without one.

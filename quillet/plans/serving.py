@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import fixed
 from quillet.operators import corpus, crawl, filters, service
-from quillet.plans.literals import frame, values
+from quillet.plans.literals import each, each_result, each_values
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,25 +24,25 @@ def query(oracle: str | None = None):
 SITES = [(1, ["https://a.org/map.xml", "https://a.org/sitemap.xml"], "https://a.org/blog/"), (2, None, "http://b.org/")]
 
 
-@query("SELECT * FROM (VALUES (1, 'https://a.org/map.xml https://a.org/sitemap.xml https://a.org/sitemap_index.xml https://a.org/wp-sitemap.xml https://a.org/sitemap-index.xml'), (2, 'http://b.org/sitemap.xml http://b.org/sitemap_index.xml http://b.org/wp-sitemap.xml http://b.org/sitemap-index.xml')) AS t(id, maps)")
+@query(each_result("SELECT * FROM (VALUES (1, 'https://a.org/map.xml https://a.org/sitemap.xml https://a.org/sitemap_index.xml https://a.org/wp-sitemap.xml https://a.org/sitemap-index.xml'), (2, 'http://b.org/sitemap.xml http://b.org/sitemap_index.xml http://b.org/wp-sitemap.xml http://b.org/sitemap-index.xml')) AS t(id, maps)"))
 def sitemap_candidates(spark, d):
-    return frame(spark, "id int, advertised array<string>, site string", SITES).select("id", F.array_join(crawl.sitemap_candidates(F.col("advertised"), F.col("site")), " ").alias("maps"))
+    return each(spark, d, "id int, advertised array<string>, site string", SITES).select("id", F.array_join(crawl.sitemap_candidates(F.col("advertised"), F.col("site")), " ").alias("maps"))
 
 
-PROBES = [("a", 0, "u0", False, "reset"), ("a", 1, "u1", True, None), ("a", 2, "u2", True, None), ("b", 0, "u0", True, None), ("b", 1, "u1", False, "timeout"), ("c", 0, "u0", False, None), ("d", 6, "u6", True, None)]
+PROBES = [("a.org", 0, "u0", False, "reset"), ("a.org", 1, "u1", True, None), ("a.org", 2, "u2", True, None), ("b.org", 0, "u0", True, None), ("b.org", 1, "u1", False, "timeout"), ("c.org", 0, "u0", False, None), ("d.org", 6, "u6", True, None)]
 
 
-@query("SELECT * FROM (VALUES ('a', 'u1', TRUE), ('b', 'u0', FALSE), ('c', NULL, FALSE)) AS t(site, url, inconclusive)")
+@query(each_result("SELECT * FROM (VALUES ('a.org', 'u1', TRUE), ('b.org', 'u0', FALSE), ('c.org', NULL, FALSE)) AS t(site, url, inconclusive)"))
 def first_working_feed(spark, d):
-    return crawl.first_that_works(frame(spark, "site string, ord int, url string, ok boolean, error string", PROBES), "site", crawl.MAX_SITEMAP_CANDIDATES)
+    return crawl.first_that_works(each(spark, d, "site string, ord int, url string, ok boolean, error string", PROBES), "site", crawl.MAX_SITEMAP_CANDIDATES)
 
 
-HOMES = [("s1", "https://s1.org/x/", ["feed", "/rss", "mailto:a", "https://o.org/f", "late"])]
+HOMES = [("s1{n}", "https://s1.org/x/", ["feed", "/rss", "mailto:a", "https://o.org/f", "late"])]
 
 
-@query("SELECT 's1' AS site, 'https://s1.org/x/feed https://s1.org/rss https://o.org/f' AS feeds")
+@query(each_result("SELECT * FROM (VALUES ('s1{n}', 'https://s1.org/x/feed https://s1.org/rss https://o.org/f')) AS t(site, feeds)"))
 def homepage_feeds(spark, d):
-    return crawl.site_feeds(frame(spark, "site string, url string, feeds array<string>", HOMES)).select("site", F.array_join("feeds", " ").alias("feeds"))
+    return crawl.site_feeds(each(spark, d, "site string, url string, feeds array<string>", HOMES)).select("site", F.array_join("feeds", " ").alias("feeds"))
 
 
 CANDIDATES = [("https://a.org/", "List name", ["x"], ["tech"]), ("https://b.org/", None, [], ["tech"]), ("https://c.org/", None, [], ["tech"]), ("https://d.org/", "Dee", [], ["tech"])]
@@ -54,12 +54,12 @@ KNOWN = [("a.org", "https://a.org/old"), ("b.org", "https://b.org/old"), ("d.org
 FOUND = [("https://a.org/", "https://a.org/feed", "The A Feed", ["rust"], False), ("https://b.org/", None, None, [], True), ("https://d.org/", None, None, [], False)]
 
 
-@query("SELECT * FROM (VALUES ('https://www.a.org/', 'The A Feed', 'https://a.org/feed', 'rust', NULL), ('https://b.org/', 'B', 'https://b.org/old', 'tech', 'http 404'), ('https://c.org/', 'C', NULL, 'tech', 'timed out'), ('https://d.org/', 'Dee Site', NULL, 'tech', 'not a page')) AS t(site, name, feed, tags, error)")
+@query(each_result("SELECT * FROM (VALUES ('https://www.a.org/', 'The A Feed', 'https://a.org/feed', 'rust', NULL), ('https://b.org/', 'B {n}', 'https://b.org/old', 'tech', 'http 404'), ('https://c.org/', 'C {n}', NULL, 'tech', 'timed out'), ('https://d.org/', 'Dee Site', NULL, 'tech', 'not a page')) AS t(site, name, feed, tags, error)"))
 def candidate_check(spark, d):
     got = crawl.check_candidates(
-        frame(spark, "site string, name string, tags array<string>, fallback_tags array<string>", CANDIDATES),
-        frame(spark, "site string, status_code int, content_type string, final_url string, page_title string, site_name string, error string", PAGES),
-        frame(spark, "key string, feed string", KNOWN), frame(spark, "site string, feed_url string, feed_title string, feed_tags array<string>, inconclusive boolean", FOUND),
+        each(spark, d, "site string, name string, tags array<string>, fallback_tags array<string>", CANDIDATES),
+        each(spark, d, "site string, status_code int, content_type string, final_url string, page_title string, site_name string, error string", PAGES),
+        each(spark, d, "key string, feed string", KNOWN), each(spark, d, "site string, feed_url string, feed_title string, feed_tags array<string>, inconclusive boolean", FOUND),
     )
     return got.withColumn("tags", F.array_join("tags", ","))
 
@@ -67,42 +67,42 @@ def candidate_check(spark, d):
 IPS = [("::1", False), ("fe80::1", False), ("fd00::1", False), ("2606:4700::1111", True), ("::ffff:10.0.0.1", False), ("100.64.1.1", False), ("9.9.9.9", True), ("nonsense", False), ("ff02::1", False)]
 
 
-@query(f"WITH {values('t', 'ip, is_public', IPS)} SELECT * FROM t")
+@query(f"WITH {each_values('t', 'ip, is_public', IPS)} SELECT * FROM t")
 def public_ip_any(spark, d):
-    return frame(spark, "ip string, want boolean", IPS).select("ip", crawl.is_public_ip(F.col("ip")).alias("is_public"))
+    return each(spark, d, "ip string, want boolean", IPS).select("ip", crawl.is_public_ip(F.col("ip")).alias("is_public"))
 
 
 TAGS = [(1, '<meta Name="description" content=\'a &amp; b\' data-x=3 name=last>'), (2, "<br>")]
 
 
-@query("SELECT * FROM (VALUES (1, 'content=a & b;data-x=3;name=last'), (2, '')) AS t(id, attrs)")
+@query(each_result("SELECT * FROM (VALUES (1, 'content=a & b;data-x=3;name=last'), (2, '')) AS t(id, attrs)"))
 def tag_attributes(spark, d):
     m = F.transform(F.array_sort(F.map_entries(crawl.tag_attributes(F.col("tag")))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return frame(spark, "id int, tag string", TAGS).select("id", F.array_join(m, ";").alias("attrs"))
+    return each(spark, d, "id int, tag string", TAGS).select("id", F.array_join(m, ";").alias("attrs"))
 
 
 TITLES = [("Home | Ann's Notes",), ("A Very Long Post Title - Short Blog",), ("Welcome",), ("One",)]
 
 
-@query("SELECT * FROM (VALUES ('Home | Ann''s Notes', 'Ann''s Notes'), ('A Very Long Post Title - Short Blog', 'Short Blog'), ('Welcome', NULL), ('One', 'One')) AS t(title, name)")
+@query(each_result("SELECT * FROM (VALUES ('Home | Ann''s Notes', 'Ann''s Notes'), ('A Very Long Post Title - Short Blog', 'Short Blog'), ('Welcome', NULL), ('One', 'One')) AS t(title, name)"))
 def head_name(spark, d):
-    return frame(spark, "title string", TITLES).select("title", crawl.head_name(F.col("title")).alias("name"))
+    return each(spark, d, "title string", TITLES).select("title", crawl.head_name(F.col("title")).alias("name"))
 
 
 CALLERS = [("1.1.1.1, 2.2.2.2:443", "9.9.9.9:1", "2.2.2.2"), ("", "9.9.9.9:1", "9.9.9.9"), (None, "[::1]:80", "::1"), ("3.3.3.3", "x", "3.3.3.3")]
 
 
-@query(f"WITH {values('t', 'xff, remote, caller', CALLERS)} SELECT * FROM t")
+@query(f"WITH {each_values('t', 'xff, remote, caller', CALLERS)} SELECT * FROM t")
 def caller_key(spark, d):
-    return frame(spark, "xff string, remote string, want string", CALLERS).select("xff", "remote", service.caller_key(F.col("xff"), F.col("remote")).alias("caller"))
+    return each(spark, d, "xff string, remote string, want string", CALLERS).select("xff", "remote", service.caller_key(F.col("xff"), F.col("remote")).alias("caller"))
 
 
 SETTINGS = [("25", 25), ("", 7), ("-1", 7), ("abc", 7), (" 3 ", 3), ("0", 7)]
 
 
-@query(f"WITH {values('t', 'raw, n', SETTINGS)} SELECT * FROM t")
+@query(f"WITH {each_values('t', 'raw, n', SETTINGS)} SELECT * FROM t")
 def positive_setting(spark, d):
-    return frame(spark, "raw string, want int", SETTINGS).select("raw", service.setting(F.col("raw"), 7).alias("n"))
+    return each(spark, d, "raw string, want int", SETTINGS).select("raw", service.setting(F.col("raw"), 7).alias("n"))
 
 
 BODIES = [
@@ -110,18 +110,18 @@ BODIES = [
 ]
 
 
-@query("SELECT * FROM (VALUES (1, 'https://a.org/1', 'T', 'x,y', 'feed', 1.5::DOUBLE), (4, 'http://b.org', 'http://b.org', '', NULL, 0.0::DOUBLE)) AS t(id, url, title, topics, origin, score)")
+@query(each_result("SELECT * FROM (VALUES (1, 'https://a.org/1', 'T', 'x,y', 'feed', 1.5::DOUBLE), (4, 'http://b.org', 'http://b.org', '', NULL, 0.0::DOUBLE)) AS t(id, url, title, topics, origin, score)"))
 def result_sanitiser(spark, d):
-    rows = frame(spark, "id int, body string", BODIES).select("id", service.sanitised(F.col("body")).alias("r")).where("r IS NOT NULL")
+    rows = each(spark, d, "id int, body string", BODIES).select("id", service.sanitised(F.col("body")).alias("r")).where("r IS NOT NULL")
     return rows.select("id", "r.url", "r.title", F.array_join("r.topics", ",").alias("topics"), "r.origin", "r.score")
 
 
 ANSWERS = [(1, 0, 20, 5, 3, 20), (2, 40, 20, 100, 50, 20), (3, 0, 0, -1, -5, 20)]
 
 
-@query(f"WITH {values('t', 'id, off, rows_n, total, nxt, size', ANSWERS)} SELECT id, greatest(total, off + rows_n) AS total, greatest(nxt, off + size) AS next_offset FROM t")
+@query(f"WITH {each_values('t', 'id, off, rows_n, total, nxt, size', ANSWERS)} SELECT id, greatest(total, off + rows_n) AS total, greatest(nxt, off + size) AS next_offset FROM t")
 def response_sanitiser(spark, d):
-    t = frame(spark, "id int, off int, rows_n int, total int, nxt int, size int", ANSWERS)
+    t = each(spark, d, "id int, off int, rows_n int, total int, nxt int, size int", ANSWERS)
     total, nxt = service.response_bounds(*map(F.col, ("off", "rows_n", "total", "nxt", "size")))
     return t.select("id", total.alias("total"), nxt.alias("next_offset"))
 
@@ -150,10 +150,10 @@ SETTINGS_OF_FILTERS = [
 ]
 
 
-@query(f"WITH {values('t', 'id, active, dated', [(i, a, t) for i, _, a, t in SETTINGS_OF_FILTERS])} SELECT * FROM t")
+@query(f"WITH {each_values('t', 'id, active, dated', [(i, a, t) for i, _, a, t in SETTINGS_OF_FILTERS])} SELECT * FROM t")
 def filter_active(spark, d):
     chosen = [(i, filters.Filters(**given)) for i, given, _, _ in SETTINGS_OF_FILTERS]
-    return frame(spark, "id int, active boolean, dated boolean", [(i, f.active(), f.dated()) for i, f in chosen])
+    return each(spark, d, "id int, active boolean, dated boolean", [(i, f.active(), f.dated()) for i, f in chosen])
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-09' AND event_type IN ('click', 'view') AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
