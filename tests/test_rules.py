@@ -636,3 +636,57 @@ def test_chunks_of_every_source_equal_ntile(spark):
         assert sorted(map(str, got.collect())) == want
     every = corpus.ntiles(spark.read.parquet(f"{DATA}/documents.parquet"), "source", "doc_id", 8)
     assert every.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def whole_bucket(times, rate, burst):
+    """One bucket request by request, in units."""
+    gain, token, full = limits.units(rate, burst)
+    tokens, last, out = full, None, []
+    for t in times:
+        tokens = min(full, tokens + (0 if last is None else (t - last) * gain))
+        last = t
+        out.append(tokens >= token)
+        tokens -= token * (tokens >= token)
+    return out
+
+
+@pytest.mark.parametrize("rate,burst", [(0.5, 3), (2.0, 20), (0.01, 1), (7.3, 4.5)])
+def test_carried_tokens_equal_the_loop(rate, burst):
+    r = random.Random(burst)
+    gain, token, full = limits.units(rate, burst)
+    for _ in range(30):
+        gaps = [r.choice([0, 1, r.randint(0, 10**5), r.randint(0, 3 * 10**6), 10**8 * (r.random() < 0.02)]) for _ in range(60)]
+        f = limits.Carried(token, full)
+        for g in gaps:
+            f.request(int(g) * gain)
+        assert len(f.at) <= len(gaps)
+        for entry in {0, full, token, token - 1, *(r.randint(0, full) for _ in range(20))}:
+            tokens = entry
+            for g in gaps:
+                tokens = min(full, tokens + int(g) * gain)
+                tokens -= token * (tokens >= token)
+            i = max(i for i, a in enumerate(f.at) if a <= entry)
+            assert tokens == f.value[i] + f.grows[i] * (entry - f.at[i])
+
+
+def test_one_hot_key_is_judged_in_many_tasks(spark):
+    """A million requests of one key, in bursts, floods and pauses, beside some small keys."""
+    n = 1_000_000
+    step = F.when(F.col("id") % 1000 < 900, F.pmod(F.xxhash64("id"), F.lit(9000))).when(F.col("id") % 50_000 == 950, 40_000_000).otherwise(F.pmod(F.xxhash64("id"), F.lit(300_000)))
+    from pyspark.sql import Window as W
+
+    times = [r["us"] for r in spark.range(n).select("id", step.alias("s")).select(F.sum("s").over(W.orderBy("id")).alias("us")).collect()]
+    import pandas as pd
+
+    hot = spark.createDataFrame(pd.DataFrame({"event_id": range(n), "user_id": "hot", "us": times}))
+    small = spark.range(300).select((F.col("id") + n).alias("event_id"), F.concat(F.lit("u"), (F.col("id") % 7).cast("string")).alias("user_id"), (F.col("id") * 100_000).alias("us"))
+    rows = hot.unionByName(small).select("event_id", "user_id", F.timestamp_micros("us").alias("ts"))
+    got = limits.buckets(rows, "user_id", 20.0, 30, number=True).select("event_id", "user_id", "allowed", "nth").toPandas()
+    assert len(got) == n + 300
+    mine = got[got.user_id == "hot"].sort_values("event_id")
+    assert mine.allowed.tolist() == whole_bucket(times, 20.0, 30) and mine.nth.tolist() == list(range(1, n + 1)) and 0 < mine.allowed.sum() < n
+    for u in range(7):
+        mine = got[got.user_id == f"u{u}"].sort_values("event_id")
+        assert mine.allowed.tolist() == whole_bucket([i * 100_000 for i in range(u, 300, 7)], 20.0, 30)
+    parts = rows.repartitionByRange("user_id", "ts", "event_id").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in parts) < 0.6 * n
