@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillet.functions import fixed, text
@@ -136,7 +136,10 @@ def visit_canonical(url: Column) -> Column:
     kept = F.filter(F.split(query(url), "&"), lambda p: (p != "") & ~F.lower(name(p)).rlike(fixed.VISIT_TRACKING))
     pairs = F.array_sort(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))))
     q = F.array_join(pairs, "&")
-    page = F.concat(F.regexp_replace(netloc(url), r"^www\.", ""), F.regexp_replace(path(url), "/+$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    # as a URL parser has it: no user, and no port that is the scheme's own
+    place = F.regexp_replace(netloc(url), "^.*@", "")
+    place = F.when(scheme(url) == "https", F.regexp_replace(place, ":(443)?$", "")).when(scheme(url) == "http", F.regexp_replace(place, ":(80)?$", "")).otherwise(place)
+    page = F.concat(F.regexp_replace(place, r"^www\.", ""), F.regexp_replace(path(url), "/+$", ""), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
     return F.when(host(url) != "", page).otherwise(F.lower(F.trim(url)))
 
 
@@ -216,28 +219,30 @@ def suffix_rules(spark) -> tuple[frozenset, frozenset, frozenset]:
     return _rules[app]
 
 
-def registered_name(h: Column, rules: tuple[frozenset, frozenset, frozenset]) -> Column:
-    """The public suffix of a host and one label before it, by rules as suffix_rules() gives them; a host that is itself a
-    suffix, or none, stays as it is."""
-    exact, under, excluded = rules
-
-    def one(host: str | None) -> str | None:
-        if not host:
-            return host
-        labels = host.split(".")
-        for i in range(len(labels)):
-            name, parent = ".".join(labels[i:]), ".".join(labels[i + 1 :])
-            if name in excluded:
-                return name
-            if name in exact or parent in under:
-                return ".".join(labels[i - 1 :]) if i else host
-        return ".".join(labels[-2:])
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(one)
-
-    return run(h)
+def with_registered_name(rows: DataFrame, host_col: Column, out: str, rules: tuple[frozenset, frozenset, frozenset] | None = None) -> DataFrame:
+    """The rows with the registered name of a host: its public suffix and one label before it, by rules as suffix_rules() gives
+    them; a host that is itself a suffix, or none, stays as it is.
+
+    The suffixes of every different host are joined to the table of rules by their hashes; of those that a rule names
+    the longest counts, an exception before the rule it is one of. Which side of a join is broadcast is left to Spark.
+    """
+    spark = rows.sparkSession
+    exact, under, excluded = rules or suffix_rules(spark)
+    listed = [(x, 0, "name") for x in excluded] + [(x, 1, "name") for x in exact] + [(x, 1, "parent") for x in under]
+    table = spark.createDataFrame(listed, "__suffix string, __kind int, __how string")
+    keyed = rows.withColumn("__host", host_col)
+    hosts = keyed.select("__host").where("__host <> ''").distinct()
+    labels = F.split("__host", r"\.")
+    tails = hosts.select("__host", labels.alias("l"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("i", "name"))
+    parent = F.when(F.col("name").contains("."), F.regexp_replace("name", r"^[^.]*\.", "")).otherwise("")
+    asked = tails.select("__host", "l", "i", F.inline(F.array(*[F.struct(c.alias("__suffix"), F.lit(how).alias("__how")) for c, how in ((F.col("name"), "name"), (parent, "parent"))])))
+    hit = asked.join(table, ["__suffix", "__how"], "left").groupBy("__host").agg(
+        F.first("l").alias("l"), F.min(F.when(F.col("__kind").isNotNull(), F.struct("i", "__kind"))).alias("best")
+    )
+    n, i = F.size("l"), F.col("best.i")
+    cut = F.when(F.col("best").isNull(), F.greatest(n - 2, F.lit(0))).when(F.col("best.__kind") == 0, i).otherwise(F.greatest(i - 1, F.lit(0)))
+    named = hit.select(F.col("__host").alias("__of"), F.array_join(F.slice("l", cut + 1, n), ".").alias(out))
+    return keyed.join(named, F.col("__host") == F.col("__of"), "left").withColumn(out, F.coalesce(out, "__host")).drop("__host", "__of")
 
 
 def is_article_url(url: Column, site: Column) -> Column:

@@ -43,18 +43,19 @@ def check_candidates(candidates: DataFrame, probes: DataFrame, known_feeds: Data
 
     candidates: site, name, tags, fallback_tags. probes: site, status_code, content_type, final_url, page_title, site_name,
     error. known_feeds: key, feed of the last build. feeds: site, feed_url, feed_title, feed_tags, inconclusive. The feed is
-    the one that worked, or the last build's where the search was inconclusive.
+    the one that worked, or the last build's where the search was inconclusive: that of the site as listed, else of the
+    site it leads to.
     """
     joined = candidates.join(probes, "site", "left").join(feeds, "site", "left")
     final = F.coalesce(urls.canonical_site(F.col("final_url")), F.col("site"))
-    rows = joined.withColumn("final", final).withColumn("__key", urls.site_key(F.col("final")))
-    k = known_feeds.select(F.col("key").alias("__key"), F.col("feed").alias("known"))
+    rows = joined.withColumn("final", final).withColumns({"__listed": urls.site_key(F.col("site")), "__moved": urls.site_key(F.col("final"))})
+    listed, moved = (known_feeds.select(F.col("key").alias(k), F.col("feed").alias(f"known{k}")) for k in ("__listed", "__moved"))
     page = F.coalesce(F.col("content_type"), F.lit("text/html")).rlike("html|xml|text/plain")
     problem = F.when(F.col("status_code").isNull(), F.coalesce("error", F.lit("no answer"))).when(F.col("status_code") >= 400, F.concat(F.lit("http "), F.col("status_code").cast("string"))).when(~page, F.lit("not a page"))
-    return rows.join(k, "__key", "left").select(
+    return rows.join(listed, "__listed", "left").join(moved, "__moved", "left").select(
         F.col("final").alias("site"),
         F.coalesce(*[text.clean_name(F.col(c)) for c in ("feed_title", "site_name", "page_title", "name")], urls.domain_name(F.col("final"))).alias("name"),
-        F.coalesce("feed_url", F.when(F.coalesce("inconclusive", F.lit(True)), F.col("known"))).alias("feed"),
+        F.coalesce("feed_url", F.when(F.coalesce("inconclusive", F.lit(True)), F.coalesce("known__listed", "known__moved"))).alias("feed"),
         F.when(F.size(F.coalesce("feed_tags", F.array().cast("array<string>"))) > 0, F.col("feed_tags")).otherwise(F.col("fallback_tags")).alias("tags"),
         problem.alias("error"),
         *[c for c in ("ord", "origins") if c in candidates.columns],
@@ -105,7 +106,7 @@ def feed_facts(probes: DataFrame, id_col: str = "url", entries: int = 15, summar
 
 def by_domain(fetches: DataFrame, url_col: str = "url", slots: int = 2) -> DataFrame:
     """Fetches of one registrable domain in at most `slots` partitions, in order: workers that go through them are polite."""
-    rows = fetches.withColumn("domain", urls.registered_name(urls.host(F.col(url_col)), urls.suffix_rules(fetches.sparkSession)))
+    rows = urls.with_registered_name(fetches, urls.host(F.col(url_col)), "domain")
     return rows.repartition("domain", F.pmod(F.xxhash64(url_col), F.lit(slots))).sortWithinPartitions("domain", url_col)
 
 

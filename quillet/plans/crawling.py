@@ -14,6 +14,7 @@ from quillet.sources import storage
 from quillet.streaming import jobs
 
 QUERIES, ORACLES = {}, {}
+_HOST = r"regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':[0-9]*$', '')"
 
 
 def query(oracle: str | None = None):
@@ -82,7 +83,14 @@ HOSTS = [("a.b.example.com", "example.com"), ("x.github.io", "x.github.io"), ("w
 
 @query(f"WITH {each_values('t', 'host, name', HOSTS)} SELECT * FROM t")
 def registered_names(spark, d):
-    return each(spark, d, "host string, want string", HOSTS).select("host", urls.registered_name(F.col("host"), urls.suffix_rules(spark)).alias("name"))
+    return each(spark, d, "host string, want string", HOSTS).transform(lambda t: urls.with_registered_name(t, F.col("host"), "name")).select("host", "name")
+
+
+@query(f"SELECT page_id, regexp_extract({_HOST}, '[^.]+[.][^.]+$') AS name FROM pages WHERE url IS NOT NULL AND {_HOST} <> ''")
+def registered_names_of_pages(spark, d):
+    """The pages' hosts end in suffixes of one label."""
+    p = table(spark, d, "pages").where("url IS NOT NULL").withColumn("host", urls.host(F.col("url"))).where("host <> ''")
+    return urls.with_registered_name(p, F.col("host"), "name").select("page_id", "name")
 
 
 # Whole files and pages.
@@ -132,7 +140,6 @@ def previous_feeds(spark, d):
 # Crawls as one pipeline, over sitemaps that list the pages of each host.
 
 ROBOTS = "User-agent: *\nDisallow: /*3\n"
-_HOST = r"regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), ':[0-9]*$', '')"
 _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 _WANTED = f"""w AS (SELECT page_id, url, html, {_HOST} AS host FROM pages WHERE {_PATH} <> '' AND {_PATH} <> '/'
     AND NOT regexp_matches({_PATH}, '^/.*3') AND page_id % 5 <> 0)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillet.functions import fixed
+from quillet.functions import fixed, urls
 from quillet.operators import corpus, html
 from quillet.plans.literals import each, each_result, each_values
 from quillet.sources import documents as src
@@ -247,6 +247,26 @@ def robots_allowed(spark, d):
     return src.robots_allowed(each(spark, d, "host string, path string, want boolean", ASKED).drop("want"), rules, ["host", "path"])
 
 
+# A thousand rules for each host of the pages, prefixes, ends and gaps, in both directions.
+_MANY = "SELECT CASE k % 4 WHEN 0 THEN '/en/' || k WHEN 1 THEN '/*/' || k || '$' WHEN 2 THEN '/*' || (k // 10) || '*.html' ELSE '/de/' || (k % 10) END AS pattern, k % 3 = 0 AS allow FROM range(1000) r(k)"
+_SPLIT = "SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL"
+
+
+@query(
+    f"WITH r AS (SELECT DISTINCT * FROM ({_MANY})), p AS ({_SPLIT}), h AS (SELECT page_id, max({{'n': length(pattern), 'a': allow}}) AS best FROM p JOIN r ON regexp_matches(path, '^' || replace(replace(pattern, '.', '[.]'), '*', '.*')) GROUP BY page_id) "
+    "SELECT p.page_id, coalesce(best.a, TRUE) AS allowed FROM p LEFT JOIN h USING (page_id)"
+)
+def robots_many_rules(spark, d):
+    p = pages(spark, d).where("url IS NOT NULL").select("page_id", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+    k = F.col("id")
+    pattern = (
+        F.when(k % 4 == 0, F.concat(F.lit("/en/"), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("/*/"), k.cast("string"), F.lit("$")))
+        .when(k % 4 == 2, F.concat(F.lit("/*"), F.floor(k / 10).cast("string"), F.lit("*.html"))).otherwise(F.concat(F.lit("/de/"), (k % 10).cast("string")))
+    )
+    rules = p.select("host").distinct().select("host", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("id")).select("host", pattern.alias("pattern"), (k % 3 == 0).alias("allow"))
+    return src.robots_allowed(p, rules, ["page_id"])
+
+
 OPML = [(1, '<opml><body><outline text="Group"><outline text="Ann" title="Ann\'s" xmlUrl="https://a.org/feed" htmlUrl="https://a.org/"/><outline name="Bob" feed="https://b.org/rss" url="https://b.org/"/></outline></body></opml>')]
 
 

@@ -213,7 +213,7 @@ def url_public_suffix(spark, d):
 _VP = f"array_to_string(list_sort(list_transform(list_filter(string_split(q, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '{fixed.VISIT_TRACKING}')), lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END)), '&')"
 
 
-_CANONICAL = PAGES + f"SELECT page_id, CASE WHEN host <> '' THEN regexp_replace(loc, '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN {_VP} <> '' THEN '?' || {_VP} ELSE '' END ELSE lower(trim(url)) END AS page FROM {V}"
+_CANONICAL = PAGES + f"SELECT page_id, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(regexp_replace(loc, '^.*@', ''), CASE sch WHEN 'https' THEN ':(443)?$' WHEN 'http' THEN ':(80)?$' ELSE '^$' END, ''), '^www\\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN {_VP} <> '' THEN '?' || {_VP} ELSE '' END ELSE lower(trim(url)) END AS page FROM {V}"
 
 
 @query(_CANONICAL)

@@ -113,19 +113,40 @@ def robots_rules(lines: DataFrame, host_col: str, agent: str) -> DataFrame:
     return rules.join(mine, [host_col, "grp"]).select(host_col, F.col("value").alias("pattern"), (F.col("directive") == "allow").alias("allow"))
 
 
+def robots_pattern(pattern: Column) -> Column:
+    """A pattern as its texts between stars, and whether a final `$` asks for the path's end."""
+    return F.struct(F.split(F.regexp_replace(pattern, r"\$$", ""), r"\*").alias("texts"), pattern.endswith("$").alias("ends"))
+
+
+def robots_hit(rule: Column, path: Column) -> Column:
+    """Whether a path matches a prepared pattern: its first text begins the path, the others follow at their first places."""
+    texts, n = rule["texts"], F.size(rule["texts"])
+    first, last = F.get(texts, F.lit(0)), F.element_at(texts, -1)
+    middle = F.slice(texts, 2, F.when(rule["ends"], F.greatest(n - 2, F.lit(0))).otherwise(n - 1))
+
+    def follow(at: Column, text_: Column) -> Column:
+        found = F.call_function("locate", text_, path, at)
+        return F.when((at == 0) | (found == 0), 0).otherwise(found + F.length(text_))
+
+    after = F.aggregate(middle, F.length(first) + 1, follow)
+    end = F.when(n == 1, path == first).otherwise((after > 0) & path.endswith(last) & (F.length(path) - F.length(last) + 1 >= after))
+    return path.startswith(first) & F.when(rule["ends"], end).otherwise(after > 0)
+
+
 def robots_match(pattern: Column, path: Column) -> Column:
     """`*` matches anything, a final `$` the end, else the pattern is a prefix."""
-    ends = pattern.endswith("$")
-    body = F.regexp_replace(pattern, r"\$$", "")
-    quoted = F.replace(F.regexp_replace(body, r"([\\.\[\]{}()+?^$|])", r"\\$1"), F.lit("*"), F.lit(".*"))
-    return F.regexp_like(path, F.concat(F.lit("^"), quoted, F.when(ends, F.lit("$")).otherwise(F.lit(""))))
+    return robots_hit(robots_pattern(pattern), path)
 
 
 def robots_allowed(rows: DataFrame, rules: DataFrame, key: list[str], host_col: str = "host", path_col: str = "path") -> DataFrame:
-    """The longest matching pattern decides, allow wins a tie, no match allows."""
-    hit = rows.join(rules, host_col, "left").withColumn("hit", F.coalesce(robots_match(F.col("pattern"), F.col(path_col)), F.lit(False)))
-    best = F.max(F.when(F.col("hit"), F.struct(F.length("pattern").alias("n"), F.col("allow"))))
-    return hit.groupBy(*key).agg(F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
+    """The longest matching pattern decides, allow wins a tie, no match allows.
+
+    A host's rules are one array, prepared and sorted once, as large as its robots file; the first that hits ends the search.
+    """
+    one = F.struct((-F.length("pattern")).alias("minus"), (~F.col("allow")).alias("forbids"), robots_pattern(F.col("pattern")).alias("rule"))
+    sets = rules.groupBy(F.col(host_col).alias("__host")).agg(F.sort_array(F.collect_set(one)).alias("__rules"))
+    verdict = F.aggregate("__rules", F.lit(None).cast("boolean"), lambda a, r: F.coalesce(a, F.when(robots_hit(r["rule"], F.col(path_col)), ~r["forbids"])))
+    return rows.join(sets, F.col(host_col) == F.col("__host"), "left").select(*key, F.coalesce(verdict, F.lit(True)).alias("allowed")).distinct()
 
 
 def outlines(rows: DataFrame, id_col: str, xml_col: str) -> DataFrame:

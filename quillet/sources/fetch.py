@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import asyncio
 import http.client
+import itertools
 import re
 import socket
+import time
 import urllib.parse
 import urllib.request
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +28,8 @@ AGENT = "quillet-crawler/1.0"
 MAX_REDIRECTS, TIMEOUT = 5, 10.0
 FEED_BYTES, SITEMAP_BYTES, HEAD_BYTES = 4_000_000, 8_000_000, 150_000
 PER_DOMAIN = 2
+#: Requests of a task under way, and those that wait for their turn with them; seconds that a request may take as a whole.
+AT_ONCE, WAITING, DEADLINE = 32, 256, 30.0
 MAX_ERROR = 200
 
 
@@ -65,9 +72,11 @@ def http_get(url: str, limit: int, until: str | None = None, timeout: float = TI
         raise ValueError(f"{url} is not http")
     request = urllib.request.Request(url, headers={"User-Agent": AGENT})
     with _opener(open_world).open(request, timeout=timeout) as answer:
-        body = b""
+        body, ends = b"", time.monotonic() + DEADLINE
         while len(body) < limit and (part := answer.read(min(16_384, limit - len(body)))):
             body += part
+            if time.monotonic() > ends:
+                raise TimeoutError(f"deadline of {DEADLINE:g} seconds exceeded")
             if until and until.encode() in body.lower():
                 break
         kind = answer.headers.get("Content-Type", "")
@@ -89,22 +98,47 @@ def settled(get: Callable, url: str, *args) -> tuple[int | None, str | None, str
         return None, None, None, None, (str(e) or type(e).__name__)[:MAX_ERROR]
 
 
-def fetch(wanted: DataFrame, url_col: str = "url", limit: int = FEED_BYTES, until: str | None = None, get: Callable = http_get, per_domain: int = PER_DOMAIN) -> DataFrame:
-    """RESPONSE of each different URL. The URLs of one registered name lie in at most per_domain partitions, each read in turn."""
+def fetch(wanted: DataFrame, url_col: str = "url", limit: int = FEED_BYTES, until: str | None = None, get: Callable = http_get, per_domain: int = PER_DOMAIN, deadline: float = DEADLINE) -> DataFrame:
+    """RESPONSE of each different URL.
+
+    A registered name's URLs lie in one task, mixed with others'. The task's event loop has at most AT_ONCE requests under
+    way, of one name at most per_domain: a slow host keeps only its own requests waiting. A request that is not done by the
+    deadline is an error, and its name's place is free once its connection is closed. A task that is stopped begins no more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            asked = batch.column(0).to_pylist()
-            rows = [settled(get, url, limit, until) for url in asked]
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["url", "status", "content_type", "body", "final_url", "error"]
-            )
+        loop, pool = asyncio.new_event_loop(), ThreadPoolExecutor(AT_ONCE)
+        gates: dict[str, asyncio.Semaphore] = defaultdict(lambda: asyncio.Semaphore(per_domain))
+
+        async def one(url: str, domain: str):
+            gate = gates[domain]
+            await gate.acquire()
+            asked = loop.run_in_executor(pool, settled, get, url, limit, until)
+            asked.add_done_callback(lambda _: gate.release())
+            try:
+                return url, *await asyncio.wait_for(asyncio.shield(asked), deadline)
+            except TimeoutError:
+                return url, None, None, None, None, f"deadline of {deadline:g} seconds exceeded"
+
+        rows = ((u, d) for batch in batches for u, d in zip(*(c.to_pylist() for c in batch.columns)))
+        pending: set = set()
+        try:
+            while True:
+                pending |= {loop.create_task(one(u, d or "")) for u, d in itertools.islice(rows, WAITING - len(pending))}
+                if not pending:
+                    return
+                done, pending = loop.run_until_complete(asyncio.wait(pending, return_when=asyncio.FIRST_COMPLETED))
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+                found = [pa.array(c, t) for c, t in zip(zip(*(t.result() for t in done)), kinds)]
+                yield pa.RecordBatch.from_arrays(found, names=["url", "status", "content_type", "body", "final_url", "error"])
+        finally:
+            for task in pending:
+                task.cancel()
+            pool.shutdown(wait=False, cancel_futures=True)
 
     rows = wanted.select(F.col(url_col).alias("url")).where("url IS NOT NULL").distinct()
-    dealt = rows.withColumn("domain", urls.registered_name(urls.host(F.col("url")), urls.suffix_rules(wanted.sparkSession))).repartition("domain", F.pmod(F.xxhash64("url"), F.lit(per_domain)))
-    return dealt.select("url").mapInArrow(run, RESPONSE)
+    dealt = urls.with_registered_name(rows, urls.host(F.col("url")), "domain").repartition("domain").sortWithinPartitions(F.xxhash64("url"))
+    return dealt.select("url", "domain").mapInArrow(run, RESPONSE)
 
 
 def site_probe(sites: DataFrame, url_col: str = "site", get: Callable = http_get) -> DataFrame:

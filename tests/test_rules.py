@@ -347,6 +347,82 @@ def test_fetching(spark):
         assert {r["url"][len(site):]: (r["status"], r["body"]) for r in rows} == {"/ok": (200, "<html><hea"), "/none": (404, None)}
 
 
+def test_a_slow_host_delays_no_other(spark, tmp_path):
+    """A host of three seconds an answer and one that never answers, among quick ones; never more than two requests at once to one."""
+    import time
+
+    from quillet.sources import fetch
+
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def get(url, limit, until):
+        name = url.split("/")[2]
+        began = time.time()
+        time.sleep({"slow.org": 1.5, "dead.org": 30}.get(name, 0.01))
+        (log / f"{name}-{url.rsplit('/', 1)[1]}").write_text(f"{began} {time.time()}")
+        return 200, "text/html", "x", url
+
+    listed = [f"https://slow.org/{i}" for i in range(6)] + [f"https://dead.org/{i}" for i in range(4)] + [f"https://a{i % 20}.net/{i}" for i in range(200)]
+    rows = spark.createDataFrame([(u,) for u in listed], "url string").coalesce(1)
+    began = time.time()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r["url"]: r for r in fetch.fetch(rows, get=get, deadline=4.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert set(got) == set(listed) and time.time() - began < 40
+    assert all("deadline" in got[u]["error"] for u in listed if "dead.org" in u) and all(got[u]["status"] == 200 for u in listed if "dead.org" not in u)
+    spans = {}
+    for f in log.iterdir():
+        spans.setdefault(f.name.rsplit("-", 1)[0], []).append(tuple(map(float, f.read_text().split())))
+    for mine in spans.values():
+        assert max(sum(a <= t < b for a, b in mine) for t, _ in mine) <= 2
+    quick = [b for name, mine in spans.items() if name.endswith(".net") for _, b in mine]
+    assert max(quick) < min(b for _, b in spans["slow.org"]) + 3  # all quick answers are in before the slow host is done
+
+
+def test_registered_names_by_joins_equal_the_rules(spark):
+    exact, under, excluded = rules = urls.suffix_rules(spark)
+
+    def one(host):
+        labels = host.split(".")
+        for i in range(len(labels)):
+            name, parent = ".".join(labels[i:]), ".".join(labels[i + 1 :])
+            if name in excluded:
+                return name
+            if name in exact or parent in under:
+                return ".".join(labels[i - 1 :]) if i else host
+        return ".".join(labels[-2:])
+
+    r = random.Random(6)
+    some = [f"{p}{x}" for x in [*r.sample(sorted(exact), 300), *sorted(under), *sorted(excluded), "localhost", "a.nosuchsuffix"] for p in ("", "a.", "b.a.", "c.b.a.")]
+    rows = spark.createDataFrame([(h,) for h in [*some, *some[:9], "", None]], "host string")
+    got = urls.with_registered_name(rows, F.col("host"), "name", rules)
+    assert "Python" not in got._jdf.queryExecution().toString() and got.count() == len(some) + 11
+    assert {r["host"]: r["name"] for r in got.collect()} == {h: one(h) for h in some} | {"": "", None: None}
+
+
+def test_known_feed_of_the_listed_or_the_final_site(spark):
+    from quillet.operators import crawl
+
+    sites = ("https://listed.org/", "https://both.org/", "https://moved.org/")
+    candidates = spark.createDataFrame([(s, "N", [], ["t"]) for s in sites], "site string, name string, tags array<string>, fallback_tags array<string>")
+    probes = spark.createDataFrame([(s, 200, "text/html", s.replace(".org", ".net"), None, None, None) for s in sites], "site string, status_code int, content_type string, final_url string, page_title string, site_name string, error string")
+    known = spark.createDataFrame([("listed.org", "f1"), ("both.org", "f2"), ("both.net", "f3"), ("moved.net", "f4")], "key string, feed string")
+    feeds = spark.createDataFrame([(s, None, None, [], True) for s in sites], "site string, feed_url string, feed_title string, feed_tags array<string>, inconclusive boolean")
+    got = {r["site"]: r["feed"] for r in crawl.check_candidates(candidates, probes, known, feeds).collect()}
+    assert got == {"https://listed.net/": "f1", "https://both.net/": "f2", "https://moved.net/": "f4"}
+
+
+def test_visit_keys_of_one_page(spark):
+    same = ["https://a.org/x", "https://a.org:443/x", "http://a.org:80/x", "https://user:pw@www.a.org/x/", "https://a.org/x#top"]
+    other = ["https://a.org:8443/x", "http://a.org:443/x", "https://a.org/X"]
+    rows = spark.createDataFrame([(u,) for u in same + other], "url string")
+    got = {r["url"]: r["k"] for r in rows.select("url", urls.visit_key(F.col("url")).alias("k")).collect()}
+    assert len({got[u] for u in same}) == 1 and len(set(got.values())) == 4
+
+
 def test_polite_partitions(spark):
     from quillet.operators import crawl
 
