@@ -173,16 +173,61 @@ def audit(candidates: DataFrame, checked: DataFrame) -> DataFrame:
     )
 
 
+def _apart(words: list[str]) -> bool:
+    """Whether a tag's keywords are words between blanks or other marks and no two of them can overlap in a text."""
+    split = [re.findall(r"\w+", w) for w in words]
+    shared = any(set(x) & set(y) for i, x in enumerate(split) for y in split[:i] if words[i] != words[split.index(y)])
+    return all(re.fullmatch(r"\w(.*\w)?", w, re.DOTALL) for w in words) and not shared
+
+
 def tag_scores(rows: DataFrame, vocabulary: dict[str, list[str]], text_col: str, id_col: str, categories_col: str | None = None) -> DataFrame:
-    """Tags that a text earns: distinct keywords, and two points for a category that names the tag; the best six."""
-    found, low = [], F.lower(F.col(text_col))
-    for i, (tag, words) in enumerate(vocabulary.items()):
-        hits = F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)\b(" + "|".join(map(re.escape, words)) + r")\b"), F.lit(1))))
-        aliases = F.array(*[F.lit(a) for a in sorted({tag, *(w.replace(" ", "-") for w in words)})])
-        own = F.when(F.arrays_overlap(F.transform(F.col(categories_col), text.kebab), aliases), fixed.CATEGORY_SCORE).otherwise(0) if categories_col else F.lit(0)
-        found.append(F.struct((-(hits + own)).alias("minus"), F.lit(i).alias("at"), F.lit(tag).alias("tag")))
-    ranked = F.slice(F.array_sort(F.filter(F.array(*found), lambda x: -x["minus"] >= fixed.MIN_TAG_SCORE)), 1, fixed.MAX_TAGS)
-    return rows.select(id_col, F.inline(ranked)).select(id_col, "tag", (-F.col("minus")).alias("score"))
+    """Tags that a text earns: distinct keywords, and two points for a category that names the tag; the best six.
+
+    A text is read once: its different runs of as many words as keywords have are joined to the dictionary of keywords, whatever
+    the number of tags. Only tags with keywords that may overlap one another, or that begin or end with other marks
+    than letters, are looked for by a pattern each, in which the first of two such matches counts.
+    """
+    spark = rows.sparkSession
+    place = {tag: i for i, tag in enumerate(vocabulary)}
+    plain = {tag: words for tag, words in vocabulary.items() if _apart(words)}
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    bare = F.regexp_replace(low, r"(?U)^\W+", "")
+    words, gaps = F.regexp_extract_all(bare, F.lit(r"(?U)(\w+)"), F.lit(1)), F.regexp_extract_all(bare, F.lit(r"(?U)(\W+)"), F.lit(1))
+    numbered = rows.select(F.monotonically_increasing_id().alias("__row"), id_col, low.alias("__low"), words.alias("__w"), gaps.alias("__g"), *([categories_col] if categories_col else []))
+
+    def runs(n: int) -> Column:
+        def joined(i: Column) -> Column:
+            parts = [F.get("__w", i)]
+            for j in range(1, n):
+                parts += [F.get("__g", i + (j - 1)), F.get("__w", i + j)]
+            return F.concat(*parts)
+
+        return F.col("__w") if n == 1 else F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(0), F.size("__w") - n), joined))
+
+    found = []
+    if plain:
+        lengths = sorted({len(re.findall(r"\w+", w)) for words_ in plain.values() for w in words_})
+        table = spark.createDataFrame([(w, place[t]) for t, ws in plain.items() for w in set(ws)], "__key string, __at int")
+        every = F.array_distinct(F.concat(*[F.coalesce(runs(n), F.array().cast("array<string>")) for n in lengths]))
+        hits = numbered.select("__row", id_col, F.explode(every).alias("__key")).join(table, "__key")
+        found.append(hits.groupBy("__row", id_col, "__at").agg(F.count(F.lit(1)).alias("points")))
+    rest = {tag: words_ for tag, words_ in vocabulary.items() if tag not in plain}
+    if rest:
+        count = lambda ws: F.size(F.array_distinct(F.regexp_extract_all("__low", F.lit(r"(?U)\b(" + "|".join(map(re.escape, ws)) + r")\b"), F.lit(1)))).cast("long")
+        scanned = F.array(*[F.struct(F.lit(place[t]).alias("__at"), count(ws).alias("points")) for t, ws in rest.items()])
+        found.append(numbered.select("__row", id_col, F.inline(scanned)).where("points > 0"))
+    if categories_col:
+        names = {(a, place[t]) for t, ws in vocabulary.items() for a in (t, *(w.replace(" ", "-") for w in ws))}
+        table = spark.createDataFrame(sorted(names), "__key string, __at int")
+        named = numbered.select("__row", id_col, F.explode(F.transform(categories_col, text.kebab)).alias("__key")).join(table, "__key")
+        found.append(named.select("__row", id_col, "__at").distinct().withColumn("points", F.lit(fixed.CATEGORY_SCORE).cast("long")))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    tags = spark.createDataFrame([(i, t) for t, i in place.items()], "__at int, tag string")
+    scored = every.groupBy("__row", id_col, "__at").agg(F.sum("points").alias("score")).where(F.col("score") >= fixed.MIN_TAG_SCORE)
+    best = F.row_number().over(W.partitionBy("__row").orderBy(F.desc("score"), "__at"))  # a text's tags
+    return scored.withColumn("__r", best).where(F.col("__r") <= fixed.MAX_TAGS).join(tags, "__at").select(id_col, "tag", F.col("score").cast("int"))
 
 
 def load_vocabulary(yaml_text: str) -> dict[str, list[str]]:

@@ -766,3 +766,28 @@ def test_one_hot_key_is_judged_in_many_tasks(spark):
         assert mine.allowed.tolist() == whole_bucket([i * 100_000 for i in range(u, 300, 7)], 20.0, 30)
     parts = rows.repartitionByRange("user_id", "ts", "event_id").groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in parts) < 0.6 * n
+
+
+def test_tag_scores_equal_patterns_at_500_tags(spark):
+    import re
+
+    r = random.Random(9)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mé", "ßu", "x_") for b in ("ra", "ti", "no", "ve", "1", "中")]
+    vocabulary = {f"t{i}": list(dict.fromkeys(" ".join(r.choices(words, k=r.choice([1, 1, 2, 3]))) for _ in range(3))) for i in range(500)}
+    vocabulary |= {"marks": ["c++", "ka-ra", ".lo"], "twice": ["kara loti", "loti nove", "nove"]}
+    texts = ["".join(r.choice(words) + r.choice([" ", " ", " ", "  ", ", ", "-", "\n"]) for _ in range(r.randint(0, 60))) for _ in range(40)] + ["", None, "... c++x KARA LOTI NOVE!", "Ka-Ra"]
+    rows = spark.createDataFrame([(i, t, ["Twice", "T1"] if i % 5 == 0 else [words[0]]) for i, t in enumerate(texts)], "id int, text string, cats array<string>")
+    want = {}
+    for i, t in enumerate(texts):
+        scores = []
+        for at, (tag, ws) in enumerate(vocabulary.items()):
+            n = len(set(re.findall(r"\b(" + "|".join(map(re.escape, ws)) + r")\b", (t or "").lower())))
+            kebab = {"twice", "t1"} if i % 5 == 0 else {re.sub("[^a-z0-9]+", "-", words[0])}
+            n += 2 * bool(kebab & {tag, *(w.replace(" ", "-") for w in ws)})
+            if n >= 2:
+                scores.append((-n, at, tag))
+        want[i] = {(tag, -n) for n, _, tag in sorted(scores)[:6]}
+    got = {i: set() for i in want}
+    for x in builder.tag_scores(rows, vocabulary, "text", "id", "cats").collect():
+        got[x["id"]].add((x["tag"], x["score"]))
+    assert got == want and any(len(x) == 6 for x in want.values())
