@@ -141,6 +141,7 @@ def encode(
     id_type = df.schema[id_col].dataType.simpleString()
     out = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+    step = chunk_chars - overlap
 
     def rows(ids, digests):
         n, a, b = zip(*digests) if digests else ((), (), ())
@@ -151,6 +152,19 @@ def encode(
         for batch in batches:
             yield rows(batch.column(0), [c.digest(c.split.findall(t or "")) for t in batch.column(1).to_pylist()])
 
+    def chunked(batches):
+        """The overlapping chunks of each text, a few at a time; a text is gone through once."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = batch.column(2)[i].as_py()
+                starts = range(0, max(0, len(text) - overlap - 1) + 1, step)
+                for some in (starts[j : j + 64] for j in range(0, len(starts), 64)):
+                    same = pa.array([i] * len(some), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(same), batch.column(1).take(same), pa.array([len(text)] * len(some), pa.int64()), pa.array(some, pa.int64()), pa.array([text[s : s + chunk_chars] for s in some], pa.string())],
+                        names=["rid", id_col, "total", "start", "chunk"],
+                    )
+
     def cut(batches):
         c = codec(ranks_path)
         for batch in batches:
@@ -201,12 +215,10 @@ def encode(
     src = df.select(F.col(id_col), F.col(text_col).alias("__text"))
     n = F.coalesce(F.char_length("__text"), F.lit(0))
     short = src.where(n <= chunk_chars).mapInArrow(whole, out)
-    step = chunk_chars - overlap
     long = (
         src.where(n > chunk_chars)
-        .select(F.monotonically_increasing_id().alias("rid"), id_col, n.cast("long").alias("total"), "__text")
-        .select("rid", id_col, "total", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("total") - overlap - 1), F.lit(step).cast("long"))).alias("start"), "__text")
-        .select("rid", id_col, "total", "start", F.substring(F.col("__text"), (F.col("start") + 1).cast("int"), F.lit(chunk_chars)).alias("chunk"))
+        .select(F.monotonically_increasing_id().alias("rid"), id_col, "__text")
+        .mapInArrow(chunked, f"rid long, `{id_col}` {id_type}, total long, start long, chunk string")
         .repartition("rid", "start")
         .mapInArrow(cut, f"rid long, `{id_col}` {id_type}, total long, start long, chunk string, ends binary")
         .groupBy("rid")

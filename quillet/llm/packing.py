@@ -4,7 +4,8 @@ Each document is tokenised once, ended by a separator, and cut into pieces only
 sequence. Pieces are dealt by a stored row number into partitions; each partition packs its pieces best-fit
 decreasing and computes dual-feasible-function lower bounds (Martello-Toth, Fekete-Schepers) of its bin count. A
 partition whose count equals the best of them is certified: only its emptiest bin leaves it. In partitions with a
-gap, every bin with room is opened. The pieces of open bins are exchanged into fewer partitions and packed again,
+gap, every bin is opened that has more than `slack` of a sequence free (0.005: more than ten tokens of 2048; what is fuller
+could take in next to nothing). The pieces of open bins are exchanged into fewer partitions and packed again,
 as long as a round removes at least LEAST_GAIN of the open sequences; a round that does not is dropped, and the
 bins it would have repacked stay. certificate() holds the whole result against the bound of all lengths.
 
