@@ -249,6 +249,12 @@ def search_debounce(spark, d):
     return jobs.last_of_bursts(rows, "user_id", "ts", "event_id", "6 HOURS").select("event_id")
 
 
+@query("SELECT event_id FROM (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE (nxt IS NULL OR nxt > ts + INTERVAL 6 HOURS) AND ts + INTERVAL 6 HOURS < (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR")
+def search_debounce_stream(spark, d):
+    """The same bursts from a stream, those that its watermark has closed."""
+    return jobs.run_bursts(spark, f"{d}/events.parquet", 6 * 3600).select("event_id")
+
+
 @query("SELECT doc_id, doc_id IN (SELECT user_id FROM events WHERE event_type = 'click') AS known FROM (SELECT DISTINCT doc_id FROM documents)")
 def lookup_together(spark, d):
     marks = table(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("doc_id"))

@@ -8,44 +8,112 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillet.operators import discover
 from quillet.sources.storage import shared_folder
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rocks(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB, which processors with timers need; a running query keeps what it began with."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+class Buckets(StatefulProcessor):
+    """A key's tokens and last time; a timer drops a bucket that is full again."""
+
+    def __init__(self, key: str, per_second: float, burst: float):
+        self.key, self.per_second, self.burst = key, per_second, float(burst)
+        self.idle_ms = int(burst / per_second * 1000) + 600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("bucket", "tokens double, last long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        tokens, last = self.held.get() if self.held.exists() else (self.burst, None)
+        allowed = []
+        for now in frame["ts"].astype("datetime64[us]").astype("int64"):
+            tokens = min(self.burst, tokens + ((now - last) / 1e6 * self.per_second if last is not None else 0))
+            last = now
+            allowed.append(tokens >= 1)
+            tokens -= tokens >= 1
+        self.held.update((float(tokens), int(last)))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(max(last // 1000 + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({self.key: pd.Series([key[0]] * len(frame), dtype=object), "event_id": frame["event_id"].to_numpy(), "allowed": allowed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        self.held.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class Bursts(StatefulProcessor):
+    """A key's rows that a later one may still follow within the gap. Once the watermark is past a row and the gap, it is the last
+    of its burst or not, in whatever order the rows came."""
+
+    def __init__(self, key: str, gap_us: int):
+        self.key, self.gap_us = key, gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "at long, id long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        for frame in rows:
+            for at, number in zip(frame["ts"].astype("datetime64[us]").astype("int64"), frame["event_id"]):
+                self.rows.appendValue((int(at), int(number)))
+                self.handle.registerTimer((int(at) + self.gap_us) // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.rows.get()) if self.rows.exists() else []
+        done = [r for r in held if r[0] + self.gap_us < passed]
+        last = [r[1] for i, r in enumerate(held[: len(done)]) if i + 1 == len(held) or held[i + 1][0] > r[0] + self.gap_us]
+        if held[len(done) :]:
+            self.rows.put(held[len(done) :])
+        else:
+            self.rows.clear()
+        if last:
+            yield pd.DataFrame({self.key: pd.Series([key[0]] * len(last), dtype=object), "event_id": pd.Series(last, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
 def limited(requests: DataFrame, key: str, per_second: float, burst: float, late: str = "1 day") -> DataFrame:
     """Token buckets as keyed state: tokens and last time, in event time. Rows are sorted inside a micro-batch.
 
     A key is dropped once the watermark is past the time at which its bucket is full again and ten minutes more; a new
     bucket starts full, so dropping it changes nothing.
     """
+    rocks(requests.sparkSession)
     kind = requests.schema[key].dataType.simpleString()
-    idle_ms = int(burst / per_second * 1000) + 600_000
-
-    def fold(k, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        tokens, last = state.get if state.exists else (float(burst), None)
-        allowed = []
-        for now in rows["ts"].astype("datetime64[us]").astype("int64"):
-            tokens = min(burst, tokens + ((now - last) / 1e6 * per_second if last is not None else 0))
-            last = now
-            allowed.append(tokens >= 1)
-            tokens -= tokens >= 1
-        state.update((float(tokens), int(last)))
-        state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: k[0], "event_id": rows["event_id"], "allowed": allowed})
+    at = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select(key, "ts", "event_id")
+    schema = f"{key} {kind}, event_id long, allowed boolean"
+    return at.groupBy(key).transformWithStateInPandas(Buckets(key, per_second, burst), schema, "Append", "EventTime")
+
 
-    at = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return at.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, event_id long, allowed boolean", "tokens double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+def bursts(requests: DataFrame, key: str, gap_seconds: float, late: str = "1 hour") -> DataFrame:
+    """The last rows of bursts, as last_of_bursts() gives them, each as soon as the watermark has closed its burst."""
+    rocks(requests.sparkSession)
+    kind = requests.schema[key].dataType.simpleString()
+    at = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select(key, "ts", "event_id")
+    return at.groupBy(key).transformWithStateInPandas(Bursts(key, int(gap_seconds * 1_000_000)), f"{key} {kind}, event_id long", "Append", "EventTime")
 
 
-def _run(stream: DataFrame, name: str, folder: str) -> DataFrame:
-    """Write what is available as Parquet in the shared folder and read it back."""
-    out = f"{folder}/quillet-{name}-{uuid.uuid4().hex}"
+def _run(stream: DataFrame, name: str, folder: str, out: str | None = None) -> DataFrame:
+    """Write what is available as Parquet in the shared folder and read it back; in a folder of its own a query goes on where it was."""
+    out = out or f"{folder}/quillet-{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
@@ -62,6 +130,10 @@ def run_limiter(spark: SparkSession, path: str, per_second: float, burst: float)
     return _run(limited(stream_of(spark, path), "user_id", per_second, burst), "limiter", shared_folder(spark))
 
 
+def run_bursts(spark: SparkSession, path: str, gap_seconds: float, late: str = "1 hour", folder: str | None = None) -> DataFrame:
+    return _run(bursts(stream_of(spark, path), "user_id", gap_seconds, late), "bursts", shared_folder(spark), folder)
+
+
 def run_discovery(spark: SparkSession, path: str, row_of, key: str = "id", folder: str | None = None) -> DataFrame:
     """Micro-batches of articles, each added to a store under its number; a replayed batch replaces itself.
 

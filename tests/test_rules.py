@@ -571,6 +571,27 @@ def test_stopped_stream_goes_on(spark, tmp_path):
     assert run() == {1: ("y", "a"), 2: ("z", "b"), 3: ("w", "c")} and store.passes() == [3, 4]
 
 
+def test_bursts_of_a_stream_that_was_stopped(spark, tmp_path):
+    """Rows out of order over four files, two before the stream is stopped and two after, against the batch form."""
+    import datetime
+
+    r = random.Random(12)
+    start = datetime.datetime(2024, 1, 1)
+    rows = sorted((start + datetime.timedelta(seconds=r.randint(0, 4000)), r.choice("abc")) for _ in range(400))
+    rows = [(i, u, t) for i, (t, u) in enumerate(rows)]
+    mixed = [x for i in range(0, 400, 20) for x in r.sample(rows[i : i + 20], 20)]  # within the watermark's reach
+    schema = "event_id long, user_id string, ts timestamp"
+    batch = spark.createDataFrame(rows, schema)
+    for part in range(4):
+        spark.createDataFrame(mixed[part * 100 : part * 100 + 100], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        if part in (1, 3):
+            got = jobs.run_bursts(spark, f"file://{tmp_path}/in", 20, "10 minutes", folder=f"file://{tmp_path}/work")
+    limit = max(t for _, _, t in rows) - datetime.timedelta(minutes=10, seconds=20, milliseconds=1)
+    want = {x["event_id"] for x in jobs.last_of_bursts(batch, "user_id", "ts", "event_id", "20 SECONDS").where(F.col("ts") < F.lit(limit)).collect()}
+    found = [x["event_id"] for x in got.collect()]
+    assert len(found) == len(set(found)) and want <= set(found) and all(rows[i][2] <= limit + datetime.timedelta(seconds=2) for i in found) and len(want) > 50
+
+
 def test_timer_and_idle_buckets(spark, tmp_path):
     schema = "event_id long, user_id string, ts timestamp"
     rows = lambda *x: spark.createDataFrame(x, "event_id long, user_id string, at string").select("event_id", "user_id", F.to_timestamp("at").alias("ts"))
