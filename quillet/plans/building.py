@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import fixed, text
 from quillet.operators import builder, discover
-from quillet.plans.literals import each, each_result, each_values, judged_sql
+from quillet.plans.literals import each, each_result, each_values, frame, judged_sql
 from quillet.sources import documents as src
 from quillet.streaming import jobs
 
@@ -186,7 +186,7 @@ def cursor_slice(spark, d):
 @query(f"WITH {_SOURCES}, l(last) AS (VALUES ('src3'), ('nope'), ('src9')) SELECT last, coalesce((pos + 1) % (SELECT count(*) FROM s), 0) AS position FROM l LEFT JOIN s ON last = id")
 def cursor_resume(spark, d):
     s = _sources(spark, d)
-    return each(spark, d, "last string, position long", [(x, discover.resume_position(s, x)) for x in ("src3", "nope", "src9")])
+    return frame(spark, "last string, position long", [(x, discover.resume_position(s, x)) for x in ("src3", "nope", "src9")])
 
 
 RESULTS = [("a", 3, None), ("b", 0, "context deadline exceeded"), ("c", 0, "parse error"), ("d", 2, None), ("e", 0, "context canceled"), ("f", 0, "Timeout awaiting headers")]
