@@ -203,7 +203,6 @@ def judge(
     common: int = 24,
     min_words: int = 60,
     max_class_distance: float = 0.3,
-    max_word_distance: float = 0.7,
     min_docs: int = 50,
 ) -> DataFrame:
     """id, base counts, base_failed, kept, class_distance and word_distance (null where not judged by them)."""
@@ -227,7 +226,7 @@ def judge(
         "__n_common",
     )
     lacks = lacks_words(F.col("word_distance"), F.col("__word_ref"), F.col("n_words"), F.col("__n_common"))
-    fits = F.col("class_distance").isNull() | ((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance) & ~lacks)
+    fits = F.col("class_distance").isNull() | ((F.col("class_distance") <= max_class_distance) & ~lacks)
     return far.select(id_col, *_BASE, "base_failed", (~F.col("base_failed") & fits).alias("kept"), "class_distance", "word_distance")
 
 
