@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from quillet.functions import fixed, text, urls
 from quillet.sources import documents as src
+from quillet.sources import storage
 
 
 def unique_ids(rows: DataFrame, base: str, order: list[str], out: str, reserved: DataFrame | None = None) -> DataFrame:
     """base, base-2, base-3 ... in order; ids in `reserved` (column id) are passed over."""
-    numbered = rows.withColumn("__n", F.row_number().over(W.partitionBy(base).orderBy(*order)))
+    numbered = storage.numbered(rows, [base], order, "__n")
     if reserved is None:
         return numbered.withColumn(out, F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), F.col("__n").cast("string")))).drop("__n")
     # numbers of a base that are taken, in order: the k-th free number is k plus the taken ones at or below it

@@ -220,8 +220,9 @@ def entry_rows(entries: DataFrame) -> DataFrame:
     """Entries with the declared fields in their order, empty ones null, numbered by name and site."""
     bare = lambda c: F.when(F.size(c) > 0, F.col(c)) if entries.schema[c].dataType.typeName() == "array" else F.nullif(F.col(c), F.lit(""))
     fields = [bare(c).alias(c) for c in ("id", "name", "site", "feed", "kind", "tags")]
-    # a source list is small by its nature, so one task may number it
-    return entries.select(*fields).withColumn("place", F.row_number().over(W.orderBy(F.lower("name"), "site")))
+    from quillet.sources import storage  # which reads texts by this module
+
+    return storage.numbered(entries.select(*fields), [], [F.lower("name"), F.col("site")], "place")
 
 
 SOURCE_SCHEMA = "id string, name string, site string, feed string, kind array<string>, tags array<string>, pos int"

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillet.sources import documents as src
@@ -36,6 +37,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
+    """The rows with their place, from 1, among those of equal keys, by an order; no task holds all rows of a key.
+
+    Rows are dealt by ranges of keys and order and stored with their range; places inside a range are a window of that
+    range, and the sizes of the ranges before, one row a key and range, are added.
+    """
+    dealt = rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
+    stored = staged(dealt, "numbered")
+    sizes = stored.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = stored.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "__part").orderBy(*order)))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
+    return inside.join(before, same).withColumn(out, (F.col("__r") + F.col("__before")).cast("int")).select(*rows.columns, out)
+
+
 def signature(spark: SparkSession, path: str) -> tuple[int, int]:
     """Number and digest of the names, times and sizes of the files below a path; contents are not read."""
     listed = src.files(spark, path, contents=False)

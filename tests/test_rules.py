@@ -812,3 +812,16 @@ def test_tag_scores_equal_patterns_at_500_tags(spark):
     for x in builder.tag_scores(rows, vocabulary, "text", "id", "cats").collect():
         got[x["id"]].add((x["tag"], x["score"]))
     assert got == want and any(len(x) == 6 for x in want.values())
+
+
+def test_numbers_of_a_hot_key_over_ranges(spark):
+    from pyspark.sql import Window as W
+
+    from quillet.sources import storage
+
+    r = random.Random(3)
+    rows = spark.createDataFrame([(r.choice(["hot"] * 8 + ["a", None]), r.randint(0, 10**6) * 3000 + i) for i in range(3000)], "base string, at long").repartition(5)
+    want = sorted(map(str, rows.select("base", "at", F.row_number().over(W.partitionBy("base").orderBy("at")).alias("n")).collect()))
+    assert sorted(map(str, storage.numbered(rows, ["base"], ["at"], "n").collect())) == want
+    assert [x["n"] for x in storage.numbered(rows, [], ["at"], "n").orderBy("at").collect()] == list(range(1, 3001))
+    assert storage.numbered(rows.where("false"), ["base"], ["at"], "n").count() == 0
