@@ -261,11 +261,11 @@ def url_feed_guesses(spark, d):
 
 
 @query(
-    f"WITH src AS (SELECT page_id, url FROM pages UNION ALL SELECT 100000 + page_id, url FROM (SELECT * FROM (VALUES {', '.join(f'({i}, {chr(39)}{u}{chr(39)})' for i, u in MORE_URLS)}) AS m(page_id, url))) "
+    f"WITH {each_values('more', 'page_id, url', MORE_URLS)}, src AS (SELECT page_id, url FROM pages UNION ALL SELECT 1000000000 + page_id, url FROM more) "
     f"SELECT page_id, sch IN ('http', 'https') AND host <> '' AND len({SEGS}) > 0 AND {EXT} NOT IN {in_list(fixed.NON_ARTICLE_EXTENSIONS)} AND NOT list_has_any(list_transform({SEGS}, lambda s: lower(s)), {list(fixed.NON_ARTICLE_SEGMENTS)}) AS is_article FROM {V}"
 )
 def url_is_article(spark, d):
-    every = pages(spark, d).select("page_id", "url").unionByName(_more(spark, d).select((F.col("page_id") + 100000).cast("long").alias("page_id"), "url"))
+    every = pages(spark, d).select("page_id", "url").unionByName(_more(spark, d).select((F.col("page_id") + 1_000_000_000).cast("long").alias("page_id"), "url"))
     return every.select("page_id", urls.is_article_url(F.col("url"), F.col("url")).alias("is_article"))
 
 
