@@ -116,9 +116,12 @@ def build(
     candidates = storage.staged(builder.merge_candidates(builder.candidate_rows(found)), "candidates")
     if retries is not None:
         probes = crawl.second_try(probes, retries)
-    given = candidates.select("site", "name", F.array().cast("array<string>").alias("tags"), F.col("tags").alias("fallback_tags"), "ord", "origins")
+    # a site of many lists is probed once for each of them: equal answers count once, and its origins, as long as the number of
+    # lists, stay out of the joins with its answers
+    probes = probes.distinct()
+    given = candidates.select("site", "name", F.array().cast("array<string>").alias("tags"), F.col("tags").alias("fallback_tags"), "ord", F.array().cast("array<string>").alias("origins"))
     checked = crawl.check_candidates(given, probes, known_feeds, feeds)
-    merged = storage.staged(builder.merge_candidates(checked.where("error IS NULL")), "checked")
+    merged = storage.staged(builder.merge_candidates(checked.where("error IS NULL")).select("site", "name", "feed", "tags"), "checked")
     pinned = merged.join(previous.select("site", F.col("id").alias("old")), "site", "left").withColumn("base", urls.source_id_base(F.col("site")))
     fresh = builder.unique_ids(pinned.where("old IS NULL"), "base", ["name", "site"], "id", previous.select("id"))
     kept = pinned.where("old IS NOT NULL").withColumn("id", F.col("old"))
@@ -131,5 +134,5 @@ def build(
     full = joined.where("id IS NOT NULL").drop("base").unionByName(added.drop("base"))
     provenance = F.array(*map(F.lit, fixed.PROVENANCE_TAGS))
     split = storage.staged(full, "entries").withColumn("kind", F.array_intersect(provenance, "tags")).withColumn("tags", F.array_except("tags", provenance))
-    states = candidates.join(probes.select("site", "status_code", "error"), "site", "left")
+    states = candidates.join(probes.select("site", "status_code", "error").distinct(), "site", "left")
     return Build(split, builder.violations(split), builder.audit(states, probes), builder.unmatched_overrides(named, overrides))

@@ -167,7 +167,7 @@ def violations(entries: DataFrame) -> DataFrame:
 
 def audit(candidates: DataFrame, checked: DataFrame) -> DataFrame:
     """Every candidate with its state, tags and origins as text."""
-    seen = checked.select("site", F.lit(True).alias("__checked"))
+    seen = checked.select("site").distinct().withColumn("__checked", F.lit(True))
     state = F.when(F.col("__checked").isNull(), "unchecked").when(F.col("error").isNull() & (F.col("status_code") < 400), "yes").otherwise("no")
     return candidates.join(seen, "site", "left").select(
         "site", state.alias("reachable"), F.array_join("tags", ",").alias("tags"), F.array_join(F.array_sort("origins"), " | ").alias("origins"), "error"

@@ -654,6 +654,21 @@ def test_arrival_order_and_origins_last_through_redirects(spark):
         builder.checked_entries(built.entries.unionByName(built.entries))
 
 
+def test_site_of_many_lists_is_checked_once(spark):
+    from quillet.operators import build_run
+
+    lines = [(f"{i}.md", f"https://l{i}.org/x", 1, "- [Ann](https://ann.org/)") for i in range(7)]
+    probes = [("https://ann.org/", 200, "text/html", "https://ann.org/", None, None, None)] * 7
+    none = lambda schema: spark.createDataFrame([], schema)
+    built = build_run.build(
+        spark.createDataFrame(lines, "path string, origin string, line_no int, line string"),
+        spark.createDataFrame(probes, "site string, status_code int, content_type string, final_url string, page_title string, site_name string, error string"),
+        none("key string, feed string"), none("site string, feed_url string, feed_title string, feed_tags array<string>, inconclusive boolean"), none("site string, id string"), none("site string, name string, feed string, tags array<string>"),
+    )
+    assert [(r["site"], r["name"], r["tags"]) for r in built.entries.collect()] == [("https://ann.org/", "Ann", ["tech"])]
+    assert [(r["site"], r["reachable"], len(r["origins"].split(" | "))) for r in built.audit.collect()] == [("https://ann.org/", "yes", 7)]
+
+
 def test_vocabulary(spark):
     words = builder.load_vocabulary("c: ['C++', 'node.js']\nrust: [Rust]\n")
     assert words == {"c": ["c++", "node.js"], "rust": ["rust"]} and builder.tag_order(words)[:2] == ["c", "rust"] and builder.tag_order(words)[-1] == "tech"
