@@ -95,12 +95,13 @@ def feed_coverage(entries: DataFrame) -> DataFrame:
 
 def scored_feeds(found: DataFrame, facts: DataFrame, vocabulary: dict[str, list[str]]) -> DataFrame:
     """site, feed_url, feed_title, feed_tags, inconclusive: of each site's working feed (site, url, inconclusive) its title,
-    and the tags that its text and categories earn (facts as feed_facts() gives them)."""
+    and the tags that its text and categories earn (facts as feed_facts() gives them). Feeds are as many as sites, so that
+    no side of their joins goes through the driver."""
     earned = builder.tag_scores(facts.where("ok"), vocabulary, "text", "url", "categories")
     rank = F.struct((-F.col("score")).alias("s"), F.array_position(F.array(*map(F.lit, vocabulary)), F.col("tag")).alias("at"), "tag")
     tags = earned.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(rank)), lambda x: x["tag"]).alias("feed_tags"))  # six at most
-    named = facts.where("ok").select("url", F.col("title").alias("feed_title")).join(tags, "url", "left")
-    return found.join(named, "url", "left").select("site", F.col("url").alias("feed_url"), "feed_title", F.coalesce("feed_tags", F.array().cast("array<string>")).alias("feed_tags"), "inconclusive")
+    named = facts.where("ok").select("url", F.col("title").alias("feed_title")).join(tags.hint("merge"), "url", "left")
+    return found.join(named.hint("merge"), "url", "left").select("site", F.col("url").alias("feed_url"), "feed_title", F.coalesce("feed_tags", F.array().cast("array<string>")).alias("feed_tags"), "inconclusive")
 
 
 def build(

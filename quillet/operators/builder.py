@@ -186,7 +186,8 @@ def tag_scores(rows: DataFrame, vocabulary: dict[str, list[str]], text_col: str,
 
     A text is read once: its different runs of as many words as keywords have are joined to the dictionary of keywords, whatever
     the number of tags. Only tags with keywords that may overlap one another, or that begin or end with other marks
-    than letters, are looked for by a pattern each, in which the first of two such matches counts.
+    than letters, are looked for by a pattern each, in which the first of two such matches counts. Tables of the vocabulary,
+    a parameter, are broadcast; of a text's rows nothing goes through the driver.
     """
     spark = rows.sparkSession
     place = {tag: i for i, tag in enumerate(vocabulary)}
@@ -210,7 +211,7 @@ def tag_scores(rows: DataFrame, vocabulary: dict[str, list[str]], text_col: str,
         lengths = sorted({len(re.findall(r"\w+", w)) for words_ in plain.values() for w in words_})
         table = spark.createDataFrame([(w, place[t]) for t, ws in plain.items() for w in set(ws)], "__key string, __at int")
         every = F.array_distinct(F.concat(*[F.coalesce(runs(n), F.array().cast("array<string>")) for n in lengths]))
-        hits = numbered.select("__row", id_col, F.explode(every).alias("__key")).join(table, "__key")
+        hits = numbered.select("__row", id_col, F.explode(every).alias("__key")).join(F.broadcast(table), "__key")
         found.append(hits.groupBy("__row", id_col, "__at").agg(F.count(F.lit(1)).alias("points")))
     rest = {tag: words_ for tag, words_ in vocabulary.items() if tag not in plain}
     if rest:
@@ -220,7 +221,7 @@ def tag_scores(rows: DataFrame, vocabulary: dict[str, list[str]], text_col: str,
     if categories_col:
         names = {(a, place[t]) for t, ws in vocabulary.items() for a in (t, *(w.replace(" ", "-") for w in ws))}
         table = spark.createDataFrame(sorted(names), "__key string, __at int")
-        named = numbered.select("__row", id_col, F.explode(F.transform(categories_col, text.kebab)).alias("__key")).join(table, "__key")
+        named = numbered.select("__row", id_col, F.explode(F.transform(categories_col, text.kebab)).alias("__key")).join(F.broadcast(table), "__key")
         found.append(named.select("__row", id_col, "__at").distinct().withColumn("points", F.lit(fixed.CATEGORY_SCORE).cast("long")))
     every = found[0]
     for more in found[1:]:
@@ -228,7 +229,7 @@ def tag_scores(rows: DataFrame, vocabulary: dict[str, list[str]], text_col: str,
     tags = spark.createDataFrame([(i, t) for t, i in place.items()], "__at int, tag string")
     scored = every.groupBy("__row", id_col, "__at").agg(F.sum("points").alias("score")).where(F.col("score") >= fixed.MIN_TAG_SCORE)
     best = F.row_number().over(W.partitionBy("__row").orderBy(F.desc("score"), "__at"))  # a text's tags
-    return scored.withColumn("__r", best).where(F.col("__r") <= fixed.MAX_TAGS).join(tags, "__at").select(id_col, "tag", F.col("score").cast("int"))
+    return scored.withColumn("__r", best).where(F.col("__r") <= fixed.MAX_TAGS).join(F.broadcast(tags), "__at").select(id_col, "tag", F.col("score").cast("int"))
 
 
 def load_vocabulary(yaml_text: str) -> dict[str, list[str]]:

@@ -98,7 +98,7 @@ def feed_facts(probes: DataFrame, id_col: str = "url", entries: int = 15, summar
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= entries, F.struct("n", said.alias("x"))))), lambda e: e["x"]), " ").alias("text"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("n") <= entries, F.col("categories")))))).alias("categories"), F.count(F.lit(1)).alias("entries"),
     )
-    named = rows.join(read, id_col, "left").withColumn("title", F.when(F.col("root"), src.feed_title(F.col("body"))))
+    named = rows.join(read.hint("merge"), id_col, "left").withColumn("title", F.when(F.col("root"), src.feed_title(F.col("body"))))
     ok = F.col("root") & (F.col("entries").isNotNull() | F.col("title").isNotNull())
     error = F.when(~ok, F.coalesce("error", F.when(F.coalesce("status", F.lit(0)) >= 400, F.concat(F.lit("http "), F.col("status").cast("string"))).otherwise("not a feed")))
     return named.select(id_col, ok.alias("ok"), "title", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), F.coalesce("entries", F.lit(0)).cast("long").alias("entries"), error.alias("error"))

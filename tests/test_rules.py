@@ -669,6 +669,16 @@ def test_site_of_many_lists_is_checked_once(spark):
     assert [(r["site"], r["reachable"], len(r["origins"].split(" | "))) for r in built.audit.collect()] == [("https://ann.org/", "yes", 7)]
 
 
+def test_feeds_are_joined_without_the_driver(spark):
+    from quillet.operators import build_run, crawl
+
+    probes = spark.createDataFrame([("u", 200, "<rss><channel><title>T</title></channel></rss>", None)], "url string, status int, body string, error string")
+    found = spark.createDataFrame([("s", "u", False)], "site string, url string, inconclusive boolean")
+    got = build_run.scored_feeds(found, crawl.feed_facts(probes), {"rust": ["rust"]})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [url" in plan and "BroadcastHashJoin [url" not in plan
+
+
 def test_vocabulary(spark):
     words = builder.load_vocabulary("c: ['C++', 'node.js']\nrust: [Rust]\n")
     assert words == {"c": ["c++", "node.js"], "rust": ["rust"]} and builder.tag_order(words)[:2] == ["c", "rust"] and builder.tag_order(words)[-1] == "tech"
