@@ -120,10 +120,12 @@ def _run(stream: DataFrame, name: str, folder: str, out: str | None = None) -> D
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """A table's Parquet files as a stream; a single file is a stream of one."""
+    """A table's Parquet files as a stream; a single file is a stream of one. A folder is one whatever its name ends with."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if single else spark.readStream.schema(schema).parquet(path)
 
 
 def run_limiter(spark: SparkSession, path: str, per_second: float, burst: float) -> DataFrame:

@@ -669,6 +669,14 @@ def test_site_of_many_lists_is_checked_once(spark):
     assert [(r["site"], r["reachable"], len(r["origins"].split(" | "))) for r in built.audit.collect()] == [("https://ann.org/", "yes", 7)]
 
 
+def test_stream_of_a_folder_named_like_a_file(spark, tmp_path):
+    from quillet.streaming import jobs
+
+    spark.range(30).repartition(3).write.parquet(f"{tmp_path}/t.parquet")
+    got = jobs.run_discovery(spark, f"{tmp_path}/t.parquet", lambda b: b.select("id", *[F.lit("x").alias(c) for c in ("url", "title", "source_id")]))
+    assert got.count() == 30
+
+
 def test_feeds_are_joined_without_the_driver(spark):
     from quillet.operators import build_run, crawl
 
