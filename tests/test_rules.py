@@ -133,6 +133,11 @@ def test_html():
     assert html.feeds(html.parse('<link rel="ALTERNATE" type="application/rss+xml" href=" /f "><link rel=alternate type=text/css href=/x>')) == ["/f"]
 
 
+def test_references_need_their_semicolon():
+    root = html.parse("<h1>a &amp b &amp;amp; c&amp</h1><link rel=alternate type=rss href='/f?x=1&reg=2&amp;y=3'>&#65; &#66")
+    assert html.metadata(root)[0] == "a &amp b &amp; c&amp" and html.feeds(root) == ["/f?x=1&reg=2&y=3"] and html.main_text(root).endswith("A &#66")
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "page_id int, html string")
     got = {r["page_id"]: r for r in html.extract(rows, "page_id", "html").collect()}
