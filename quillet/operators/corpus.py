@@ -96,7 +96,8 @@ def feed_crawl(feeds: DataFrame, rules: DataFrame, sources: DataFrame, pages: Da
 
 
 def sitemap_entries(
-    maps: DataFrame, rules: DataFrame, fetch: Callable[[DataFrame], DataFrame] | None, levels: int = 1, most_maps: int = fixed.SITEMAP_MAPS, most_entries: int = fixed.SITEMAP_ENTRIES
+    maps: DataFrame, rules: DataFrame, fetch: Callable[[DataFrame], DataFrame] | None, levels: int = 1, most_maps: int = fixed.SITEMAP_MAPS, most_entries: int = fixed.SITEMAP_ENTRIES,
+    most_links: int | None = 20_000,
 ) -> DataFrame:
     """source_id, loc, lastmod, pos of the pages that the sources' maps (source_id, url, xml) name, indexes followed.
 
@@ -104,12 +105,13 @@ def sitemap_entries(
     first, they are fetched (fetch: url to url and xml, null where there is none) until a source has read `most_maps`
     that answered, or `most_entries` pages. A round asks for as many as a source may still read, and for eight times as
     many as the round before where maps fail, so that rounds are few; what was fetched beyond the budget is not used. An
-    index among the fetched maps is followed to the next level, within the same budget of its source.
+    index among the fetched maps is followed to the next level, within the same budget of its source. Of one map `most_links`
+    are read, or all.
     """
     spark = maps.sparkSession
     document = F.struct("source_id", F.coalesce("url", F.lit("")).alias("url"), F.col("order"))
     top = maps.select("source_id", "url", "xml", F.array(F.lit(0).cast("long")).alias("order"))
-    links = storage.staged(src.sitemap_links(top.withColumn("doc", document), "doc", "xml"), "maplinks")
+    links = storage.staged(src.sitemap_links(top.withColumn("doc", document), "doc", "xml", most_links), "maplinks")
     entries = [links.where("kind = 'url'").select("doc.source_id", "doc.order", "loc", "lastmod", "pos")]
     used = spark.createDataFrame([], maps.select("source_id").schema.add("maps", "long").add("pages", "long"))
     for _ in range(levels if fetch else 0):
@@ -132,7 +134,7 @@ def sitemap_entries(
                 break
             bodies = fetch(wanted.select("url").distinct()).where("xml IS NOT NULL")
             got = wanted.join(bodies.select("url", "xml"), "url")
-            found = src.sitemap_links(got.withColumn("doc", F.struct("source_id", "url", F.concat("order", F.array(F.col("place").cast("long"))).alias("order"))), "doc", "xml")
+            found = src.sitemap_links(got.withColumn("doc", F.struct("source_id", "url", F.concat("order", F.array(F.col("place").cast("long"))).alias("order"))), "doc", "xml", most_links)
             counts = got.join(
                 found.groupBy("doc.source_id", "doc.url").agg(F.count_if(F.col("kind") == "url").alias("n")), ["source_id", "url"]
             ).select("source_id", "url", "place", "n", "xml", "order")
@@ -144,7 +146,7 @@ def sitemap_entries(
         chosen = src.chosen_maps(read, used, most_maps, most_entries)
         used = storage.staged(_budget(read, used, most_maps, most_entries), "used")
         deeper = chosen.select(F.struct("source_id", "url", F.concat("order", F.array(F.col("place").cast("long"))).alias("order")).alias("doc"), "xml")
-        links = storage.staged(src.sitemap_links(deeper, "doc", "xml"), "maplinks")
+        links = storage.staged(src.sitemap_links(deeper, "doc", "xml", most_links), "maplinks")
         entries.append(links.where("kind = 'url'").select("doc.source_id", "doc.order", "loc", "lastmod", "pos"))
     rows = entries[0]
     for more in entries[1:]:
@@ -160,7 +162,7 @@ def _budget(read: DataFrame, used: DataFrame, most_maps: int, most_entries: int)
     return both.select("source_id", *[(F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).alias(b) for a, b in (("m", "maps"), ("p", "pages"))])
 
 
-def sitemap_links_wanted(maps: DataFrame, rules: DataFrame, stored: DataFrame, most: int, fetch: Callable[[DataFrame], DataFrame] | None = None, **budgets: int) -> DataFrame:
+def sitemap_links_wanted(maps: DataFrame, rules: DataFrame, stored: DataFrame, most: int, fetch: Callable[[DataFrame], DataFrame] | None = None, **budgets: int | None) -> DataFrame:
     """source_id, site, tags, url, id of the newest links of sitemaps (source_id, site, tags, xml, perhaps url) that are
     articles, that robots rules allow and whose article is not stored yet. fetch reads the maps that an index names."""
     own = maps if "url" in maps.columns else maps.withColumn("url", F.concat("site", F.lit("sitemap.xml")))
@@ -174,7 +176,7 @@ def sitemap_links_wanted(maps: DataFrame, rules: DataFrame, stored: DataFrame, m
     return fresh.join(may.select("source_id", "url"), ["source_id", "url"], "left_semi").select("source_id", "site", "tags", "url", "id")
 
 
-def sitemap_crawl(maps: DataFrame, rules: DataFrame, stored: DataFrame, pages: DataFrame, last_year: int, most: int, min_words: int = fixed.PAGE_MIN_WORDS, fetch: Callable[[DataFrame], DataFrame] | None = None, **budgets: int) -> DataFrame:
+def sitemap_crawl(maps: DataFrame, rules: DataFrame, stored: DataFrame, pages: DataFrame, last_year: int, most: int, min_words: int = fixed.PAGE_MIN_WORDS, fetch: Callable[[DataFrame], DataFrame] | None = None, **budgets: int | None) -> DataFrame:
     """Articles of the pages (url, html) behind the wanted links of sitemaps; a page that was not fetched gives none."""
     wanted = sitemap_links_wanted(maps, rules, stored, most, fetch, **budgets)
     fetched = wanted.join(pages.select("url", "html"), "url").withColumnRenamed("id", "page_id")

@@ -55,12 +55,12 @@ def feed_title(xml: Column) -> Column:
     return F.nullif(text.clean_short(F.coalesce(read["channel"]["title"], read["title"])), F.lit(""))
 
 
-def sitemap_links(rows: DataFrame, id_col: str, xml_col: str, most: int = 20_000) -> DataFrame:
-    """One row a location: kind (url or sitemap), loc, lastmod; nothing from what is no sitemap."""
+def sitemap_links(rows: DataFrame, id_col: str, xml_col: str, most: int | None = 20_000) -> DataFrame:
+    """One row a location: kind (url or sitemap), loc, lastmod; nothing from what is no sitemap. Of a map `most` of each kind, or all."""
     kind = "array<struct<loc:string,lastmod:string>>"
     looks = F.left(F.col(xml_col), F.lit(2000)).rlike(r"(?i)<(urlset|sitemapindex)[\s>]")
     read = rows.where(looks).select(id_col, F.from_xml(_tame(F.col(xml_col)), f"url {kind}, sitemap {kind}", _XML).alias("x"))
-    one = lambda c: read.select(id_col, F.lit(c).alias("kind"), F.posexplode(F.slice(F.col(f"x.{c}"), 1, most)).alias("pos", "l"))
+    one = lambda c: read.select(id_col, F.lit(c).alias("kind"), F.posexplode(F.slice(F.col(f"x.{c}"), 1, most) if most else F.col(f"x.{c}")).alias("pos", "l"))
     return one("url").unionByName(one("sitemap")).select(id_col, "kind", "pos", F.trim("l.loc").alias("loc"), F.trim("l.lastmod").alias("lastmod"))
 
 

@@ -682,6 +682,27 @@ def test_stream_of_a_folder_named_like_a_file(spark, tmp_path):
     assert got.count() == 30
 
 
+def test_sitemaps_of_pages_that_share_a_url(spark, tmp_path):
+    import duckdb
+
+    from quillet.plans import crawling
+
+    p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(30)
+    more = p.where("page_id % 2 = 0").withColumn("page_id", (F.col("page_id") + 1_000_001).cast("long"))
+    p.unionByName(more).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("sitemap_crawl_links", "sitemap_index_links"):
+        want = sorted(r[0] for r in con.sql(crawling.ORACLES[name]).fetchall())
+        assert want and sorted(r["url"] for r in crawling.QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
+def test_sitemap_of_many_links_whole(spark):
+    body = "<urlset>" + "<url><loc>https://a.org/x</loc></url>" * 20_003 + "</urlset>"
+    rows = spark.createDataFrame([(1, body)], "id int, xml string")
+    assert [src.sitemap_links(rows, "id", "xml", most).count() for most in (20_000, None)] == [20_000, 20_003]
+
+
 def test_feeds_are_joined_without_the_driver(spark):
     from quillet.operators import build_run, crawl
 
