@@ -34,6 +34,8 @@ K1, B = 1.2, 0.75
 FIELDS = tuple(fixed.FIELD_WEIGHTS)
 #: Postings in a block; segments of like size that are merged.
 BLOCK, FANOUT = 128, 4
+#: Bytes of text whose words are counted in together.
+SLICE = 2 << 20
 #: Bounds are looked through in levels, so many for a factor of e; postings of a term that are read first.
 STEPS, FIRST = 100, 1 << 16
 #: A block's greatest saturations are stored for the segment's mean length and for these multiples of it.
@@ -55,7 +57,7 @@ def analysed(rows: DataFrame) -> DataFrame:
     n = len(FIELDS)
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, len(kept))):
             fields = [batch.column(len(kept) + i).to_pylist() for i in range(n)]
             lens, edges, terms, tfs = [], [0], [], [np.zeros((0, n), np.int32)]
             for row in zip(*fields):
@@ -79,6 +81,14 @@ def analysed(rows: DataFrame) -> DataFrame:
     return split.mapInArrow(count, schema)
 
 
+def _slices(batch: pa.RecordBatch, first: int):
+    """The batch in parts of about SLICE bytes of the texts from that column on, so that a worker's words are bounded whatever a batch holds."""
+    sizes = sum(pc.binary_length(batch.column(i)).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(first, batch.num_columns))
+    part = np.cumsum(sizes) // SLICE
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
+
+
 def saturation(tf, length, mean: float):
     """The part of a frequency that counts; of columns or of arrays."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B) + K1 * B * length / mean)

@@ -118,3 +118,14 @@ def test_bounds_hold_at_other_means():
     for factor in (0.01, 0.25, 0.3, 0.7, 1.0, 1.01, 1.5, 3.9, 4.0, 9.0):
         bound = sum(a * b for a, b in zip(index.between(factor), stored))
         assert at(100 * factor) <= bound + 1e-9 and (bound <= 1.15 * at(100 * factor) or not 0.25 <= factor <= 4)
+
+
+def test_words_are_counted_in_parts_of_bounded_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (10, index.SLICE, 5, 0, index.SLICE // 2, index.SLICE // 2, index.SLICE * 3, 7)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts), pa.array([""] * 8)], names=["id", "a", "b"])
+    parts = list(index._slices(batch, 1))
+    assert sum((p.column(0).to_pylist() for p in parts), []) == list(range(8)) and len(parts) > 3
+    assert all(sum(map(len, p.column(1).to_pylist()[1:])) <= index.SLICE for p in parts)
+    assert list(index._slices(batch.slice(0, 0), 1)) == []
