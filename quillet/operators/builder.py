@@ -259,25 +259,32 @@ def ordered_tags(tags, order: list[str]):
     return F.slice(F.concat(known, F.array_sort(F.array_except(slugs, known))), 1, fixed.MAX_TAGS)
 
 
-def _by_rules(seed: Column, rules) -> Column:
-    """The tags of the rules of which a word, or all words of a group, are in the seed's address."""
-    t = text.seed_tokens(seed)
+def _by_tokens(t: Column, rules) -> Column:
+    """The tags of the rules of which a word, or all words of a group, are among an address's words."""
     has = lambda w: F.array_contains(t, w) if isinstance(w, str) else F.size(F.array_except(F.array(*map(F.lit, w)), t)) == 0
     met = lambda words: functools.reduce(operator.or_, map(has, words))
     return F.array_compact(F.array(*[F.when(met(words), tag) for tag, words in rules]))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _or_fallback(found: Column) -> Column:
+    return _once(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit(fixed.FALLBACK_TAG))))
+
+
 def provenance_tags(seed: Column) -> Column:
-    return _by_rules(seed, fixed.PROVENANCE_RULES)
+    return _once(text.seed_tokens(seed), lambda t: _by_tokens(t, fixed.PROVENANCE_RULES))
 
 
 def fallback_tags(seed: Column) -> Column:
-    found = _by_rules(seed, fixed.FALLBACK_RULES)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fixed.FALLBACK_TAG)))
+    return _or_fallback(_once(text.seed_tokens(seed), lambda t: _by_tokens(t, fixed.FALLBACK_RULES)))
 
 
 def repository_tags(seeds: Column) -> Column:
     """The tags of all seeds that lead to a repository; the last resort only where no seed says more."""
-    united = lambda rules: F.array_distinct(F.flatten(F.transform(seeds, lambda s: _by_rules(s, rules))))
-    found = united(fixed.FALLBACK_RULES)
-    return F.array_union(united(fixed.PROVENANCE_RULES), F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fixed.FALLBACK_TAG))))
+    united = lambda tokens, rules: F.array_distinct(F.flatten(F.transform(tokens, lambda t: _by_tokens(t, rules))))
+    split = F.transform(seeds, text.seed_tokens)
+    return _once(split, lambda tokens: F.array_union(united(tokens, fixed.PROVENANCE_RULES), _or_fallback(united(tokens, fixed.FALLBACK_RULES))))

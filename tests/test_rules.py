@@ -713,6 +713,13 @@ def test_feeds_are_joined_without_the_driver(spark):
     assert "SortMergeJoin [url" in plan and "BroadcastHashJoin [url" not in plan
 
 
+def test_seeds_are_split_once(spark):
+    rows = spark.createDataFrame([(["https://x.org/z", "https://x.org/security"],), (["https://z.org/"],), ([None],), ([],)], "seeds array<string>")
+    got = rows.select(builder.repository_tags(F.col("seeds")).alias("tags"))
+    assert [r["tags"] for r in got.collect()] == [["security"], ["tech"], ["tech"], ["tech"]]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_vocabulary(spark):
     words = builder.load_vocabulary("c: ['C++', 'node.js']\nrust: [Rust]\n")
     assert words == {"c": ["c++", "node.js"], "rust": ["rust"]} and builder.tag_order(words)[:2] == ["c", "rust"] and builder.tag_order(words)[-1] == "tech"
