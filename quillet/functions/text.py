@@ -30,7 +30,9 @@ def word_count(c: Column) -> Column:
 
 
 def truncate_words(c: Column, n: int) -> Column:
-    return F.array_join(F.slice(tokens(c), 1, max(n, 0)), " ") if n > 0 else F.when(c.isNotNull(), F.lit(""))
+    """The first n words; of a long text only these are looked at, where n is small enough for a pattern."""
+    start = F.regexp_extract(c, rf"^{WS}*+(?:[^{WS[1:]}++{WS}*+){{0,{n}}}+", 0) if 0 < n <= 100 else c
+    return F.array_join(F.slice(tokens(start), 1, max(n, 0)), " ") if n > 0 else F.when(c.isNotNull(), F.lit(""))
 
 
 def strip_tags(c: Column) -> Column:

@@ -1,7 +1,7 @@
 """The stored search index: immutable segments named by numbered manifests.
 
 A segment holds its documents, each with its terms and their frequencies in every field, and postings: of
-each term, documents from the greatest relevance down, in blocks of at most BLOCK. A block says how many documents hold
+each term, documents from the greatest relevance down, packed in blocks of at most BLOCK. A block says how many documents hold
 the term in each field, and the greatest saturation that any of them reaches in each field, for some mean lengths. Adding rows writes one new segment
 and never an old one: rows whose id an older segment holds are marked dead there, with the frequencies that are to be
 taken off its sums, so that statistics are sums over the segments' parts and equal those of an index made at once. Segments
@@ -42,49 +42,88 @@ STEPS, FIRST = 100, 1 << 16
 GRID = (0.25, 0.5, 1.0, 2.0, 4.0)
 #: Scores are rounded to six places, so bounds are taken that much higher.
 ROUNDING = 1e-6
-_ENTRY = "struct<id:{id},source_id:string,origin:string,lens:array<int>,tfs:array<int>>"
+#: Postings of a packed row at most, of a term in one task about, and of what is unpacked together about; the logarithm of no less than any relevance.
+CHUNK, SPREAD, PORTION, LOUDEST = 512, 1 << 20, 1 << 19, 4
+#: A row's postings: ids, its different pairs of source and origin, each posting's pair (16 bits) and fields (a bit each), and frequency and length in each of these (32 bits).
+PACKED = ("ids", "sources", "origins", "places", "masks", "counts", "lens")
 
 
 def analysed(rows: DataFrame) -> DataFrame:
-    """The rows without their content, with lens (terms of each field), terms (different ones) and tfs (of each, by field).
+    """The rows without their content, with lens (terms of each field), words (the different terms between blanks), masks (a byte a
+    term: the fields that hold it) and counts (its frequency in each of these fields, 32-bit integers).
 
-    Fields are brought to words between blanks by expressions; words are counted in a row at a time, which no built-in
-    aggregate does without a shuffle.
+    Expressions lower fields and blank all that is no letter or digit beyond ASCII, and a table the rest, which is most of it; words
+    are counted in a slice at a time, which no built-in aggregate does without a shuffle.
     """
-    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[\x{80}-\x{10FFFF}&&[^\p{L}\p{N}]]+", " ")
     kept = [c for c in rows.columns if c != "content"]
     split = rows.select(*kept, *[plain(c).alias(f"__{c}") for c in FIELDS])
     n = len(FIELDS)
 
     def count(batches):
         for batch in (part for whole in batches for part in _slices(whole, len(kept))):
-            fields = [batch.column(len(kept) + i).to_pylist() for i in range(n)]
-            lens, edges, terms, tfs = [], [0], [], [np.zeros((0, n), np.int32)]
-            for row in zip(*fields):
-                counts = [Counter(field.split()) for field in row]
-                lens.extend(c.total() for c in counts)
-                at: dict[str, int] = {}
-                for c in counts:
-                    at.update((w, len(at)) for w in c.keys() - at.keys())
-                found = np.zeros((len(at), n), np.int32)
-                for i, c in enumerate(counts):
-                    found[[at[w] for w in c], i] = list(c.values())
-                terms.extend(at)
-                tfs.append(found)
-                edges.append(len(terms))
-            fives = lambda flat: pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), pa.array(flat, pa.int32()))
-            places = pa.array(edges, pa.int32())
-            lists = [pa.ListArray.from_arrays(places, pa.array(terms, pa.string())), pa.ListArray.from_arrays(places, fives(np.concatenate(tfs).ravel()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), fives(lens), *lists], names=[*kept, "lens", "terms", "tfs"])
-
-    schema = split.select(*kept, F.lit(None).cast("array<int>").alias("lens"), F.lit(None).cast("array<string>").alias("terms"), F.lit(None).cast("array<array<int>>").alias("tfs")).schema
+            size, docs, tokens = batch.num_rows, [], []
+            for i in range(n):
+                found, doc = _tokens(_blanked(batch.column(len(kept) + i)))
+                docs.append(doc * n + i)
+                tokens.append(found)
+            at = np.concatenate(docs)
+            lens = np.bincount(at, minlength=size * n).astype(np.int32)
+            coded = pa.chunked_array(tokens).combine_chunks().dictionary_encode()
+            codes, known = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
+            key, tf = np.unique((at // n * known + codes) * n + at % n, return_counts=True)
+            new = np.flatnonzero(np.diff(key // n, prepend=-1))  # a document's term
+            term = key[new] // n
+            masks = np.bitwise_or.reduceat(1 << (key % n), new).astype(np.uint8) if len(new) else np.zeros(0, np.uint8)
+            edges = np.searchsorted(term // known, np.arange(size + 1))
+            words = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), coded.dictionary.take(pa.array(term % known))), " ")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * n + 1, n, dtype=np.int32)), pa.array(lens))
+            counts = _binary(tf.astype(np.int32), np.append(new, len(key))[edges])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), lists, words, _binary(masks, edges), counts], names=[*kept, "lens", "words", "masks", "counts"])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    schema = split.select(*kept, none("array<int>").alias("lens"), none("string").alias("words"), none("binary").alias("masks"), none("binary").alias("counts")).schema
     return split.mapInArrow(count, schema)
 
 
-def _slices(batch: pa.RecordBatch, first: int):
+def _blanked(texts: pa.Array) -> pa.Array:
+    """Texts with a blank for every ASCII character but letters and digits; bytes of others are over 127 and stay."""
+    _, offsets, data = texts.buffers()
+    if data is None:
+        return texts
+    blank = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
+    return pa.Array.from_buffers(texts.type, len(texts), [None, offsets, pa.py_buffer(blank[np.frombuffer(data, np.uint8)])], offset=texts.offset)
+
+
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """What stands between blanks, and the row of each."""
+    parts = pc.split_pattern(texts, " ")
+    flat, row = parts.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    some = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(some), row[some.to_numpy(zero_copy_only=False)]
+
+
+def _binary(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The values from each edge to the next as bytes."""
+    offsets = (np.asarray(edges, np.int64) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array, kind) -> np.ndarray:
+    """What _binary() was given, of all rows."""
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, kind)
+    edges = np.frombuffer(offsets, np.int32)
+    first, last = int(edges[column.offset]), int(edges[column.offset + len(column)])
+    return np.frombuffer(data, np.uint8)[first:last].view(kind)
+
+
+def _slices(batch: pa.RecordBatch, first: int, most: int = SLICE):
     """The batch in parts of about SLICE bytes of the texts from that column on, so that a worker's words are bounded whatever a batch holds."""
     sizes = sum(pc.binary_length(batch.column(i)).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(first, batch.num_columns))
-    part = np.cumsum(sizes) // SLICE
+    part = np.cumsum(sizes) // most
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
 
@@ -94,41 +133,149 @@ def saturation(tf, length, mean: float):
     return tf * (K1 + 1) / (tf + K1 * (1 - B) + K1 * B * length / mean)
 
 
-def _postings(documents: DataFrame, name: str, means: list[float]) -> DataFrame:
-    """Blocks of postings in order of term and falling relevance."""
-    flat = documents.select("id", "source_id", "origin", "lens", F.inline(F.arrays_zip("terms", "tfs"))).withColumnRenamed("terms", "term")
-    parts = [F.when(F.col("tfs")[i] > 0, w * saturation(F.col("tfs")[i], F.col("lens")[i], means[i])).otherwise(0.0) for i, w in enumerate(fixed.FIELD_WEIGHTS.values())]
-    ranked = flat.withColumn("falling", -sum(parts[1:], parts[0]))
-    ordered = ranked.repartitionByRange("term", "falling", "id").sortWithinPartitions("term", "falling", "id").select("term", "id", "source_id", "origin", "lens", "tfs")
+class _Flat:
+    """Postings side by side: ids, a number for source and origin of each, and pairs (the posting, field, frequency and length)."""
+
+    def __init__(self, ids: pa.Array, pair: np.ndarray, sources: pa.Array, origins: pa.Array, masks: np.ndarray, counts: np.ndarray):
+        self.ids, self.pair, self.sources, self.origins, self.masks, self.counts = ids, pair, sources, origins, masks, counts
+        self.bits = (masks[:, None] >> np.arange(len(FIELDS)) & 1).astype(bool)
+        self.owner, self.field = np.nonzero(self.bits)
+        self.lens = np.zeros(0, np.int32)
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> "_Flat":
+        """Of rows that packed() made."""
+        column = batch.column
+        names = batch.schema.names
+        col = lambda c: column(names.index(c))
+        known = pc.list_value_length(col("sources")).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(col("ids")).to_numpy(zero_copy_only=False)
+        at = np.repeat(np.cumsum(known) - known, sizes) + _numbers(col("places"), np.uint16)
+        pair, sources, origins = _pairs(col("sources").flatten(), col("origins").flatten())
+        flat = cls(col("ids").flatten(), pair[at], sources, origins, _numbers(col("masks"), np.uint8), _numbers(col("counts"), np.int32))
+        flat.lens = _numbers(col("lens"), np.int32)
+        return flat
+
+    def sums(self, by_field, means) -> np.ndarray:
+        """For each posting the sum over its fields of a factor times the saturation."""
+        parts = np.asarray(by_field)[self.field] * saturation(self.counts, self.lens, np.asarray(means)[self.field])
+        return np.bincount(self.owner, weights=parts, minlength=len(self.masks))
+
+    def packed(self, order: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
+        """PACKED columns of one row for each start in this order of the postings, at most 65,536 to the next."""
+        size, groups = len(order), len(starts)
+        edges = np.append(starts, size)
+        group = np.repeat(np.arange(groups), np.diff(edges))
+        many = max(len(self.sources), 1)
+        key, at = np.unique(group * many + self.pair[order], return_inverse=True)
+        first = np.searchsorted(key // many, np.arange(groups + 1))
+        lists = lambda values, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        n = self.bits.sum(axis=1)
+        before, ends = np.cumsum(n) - n, np.append(0, np.cumsum(n[order]))
+        pairs = np.repeat(before[order] - ends[:-1], n[order]) + np.arange(ends[-1])
+        which = pa.array(key % many)
+        return [
+            lists(self.ids.take(pa.array(order)), edges), lists(self.sources.take(which), first), lists(self.origins.take(which), first), _binary((at - first[group]).astype(np.uint16), edges),
+            _binary(self.masks[order], edges), _binary(self.counts[pairs], ends[edges]), _binary(self.lens[pairs], ends[edges]),
+        ]
+
+
+def _pairs(sources: pa.Array, origins: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Different pairs of source and origin, and each row's number among them."""
+    s, o = (x.dictionary_encode(null_encoding="encode") for x in (sources, origins))
+    many = max(len(o.dictionary), 1)
+    of = lambda x: x.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    key, at = np.unique(of(s) * many + of(o), return_inverse=True)
+    return at, s.dictionary.take(pa.array(key // many)), o.dictionary.take(pa.array(key % many))
+
+
+def _portions(batch: pa.RecordBatch, sizes: np.ndarray, most: int):
+    """The batch in parts of about so many postings."""
+    part = (np.cumsum(sizes) - sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
+
+
+def _postings(documents: DataFrame, name: str, means: list[float], n: int) -> DataFrame:
+    """Blocks of postings in order of term, numbered by falling relevance.
+
+    A slice's postings of a term go to the term's task as one packed row (or several of CHUNK); of a term with more than SPREAD
+    documents, as the slice lets expect, they are dealt to several tasks.
+    """
     kind = documents.schema["id"].dataType.simpleString()
+    weights = list(fixed.FIELD_WEIGHTS.values())
 
-    def cut(batches):
-        number = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            size = batch.num_rows
-            if not size:
+    def gather(batches):
+        turn = TaskContext.get().partitionId()
+        for batch in (part for whole in batches for part in _slices(whole, 6, 4 * SLICE)):
+            masks = _numbers(batch.column(4), np.uint8)
+            if not len(masks):
                 continue
-            terms = batch.column(0)
-            new = np.ones(size, bool)
-            new[1:] = pc.not_equal(terms.slice(1), terms.slice(0, size - 1)).to_numpy(zero_copy_only=False)
-            within = np.arange(size) - np.maximum.accumulate(np.where(new, np.arange(size), 0))
+            coded = _tokens(batch.column(6))[0].dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(batch.num_rows), pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False))
+            pair, sources, origins = _pairs(batch.column(1), batch.column(2))
+            flat = _Flat(batch.column(0).take(pa.array(doc)), pair[doc], sources, origins, masks, _numbers(batch.column(5), np.int32))
+            flat.lens = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[doc[flat.owner], flat.field]
+            order = np.argsort(codes, kind="stable")
+            held = np.bincount(codes)
+            within = np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held)
+            starts = np.flatnonzero(within % CHUNK == 0)
+            term = codes[order][starts]
+            salt = (turn + within[starts] // CHUNK) % np.ceil(held[term] * (n / batch.num_rows) / SPREAD).astype(np.int64).clip(1)
+            turn += 1
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term)), pa.array(salt, pa.int64()), *flat.packed(order, starts)], names=["term", "salt", *PACKED])
+
+    columns = f"ids array<{kind}>, sources array<string>, origins array<string>, places binary, masks binary, counts binary, lens binary"
+    gathered = documents.select("id", "source_id", "origin", "lens", "masks", "counts", "words").mapInArrow(gather, f"term string, salt long, {columns}")
+    ordered = gathered.repartition("term", "salt").sortWithinPartitions("term").drop("salt")
+
+    def cut(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        sized = ((whole, pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) for whole in batches)
+        for batch in (piece for whole, sizes in sized if whole.num_rows for piece in _portions(whole, sizes, PORTION)):
+            terms, flat = batch.column(0), _Flat.of(batch)
+            new = np.append(True, pc.not_equal(terms.slice(1), terms.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False))
+            run = np.repeat(np.cumsum(new) - 1, pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            score = flat.sums(weights, means)
+            order = np.lexsort((-score, run))
+            held = np.bincount(run)
+            within = np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held)
             starts = np.flatnonzero(within % BLOCK == 0)
-            lens, tfs = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(size, -1).astype(np.float64) for i in (4, 5))
-            best = np.concatenate([np.maximum.reduceat(saturation(tfs, lens, np.array(means) * g), starts, axis=0) for g in GRID], axis=1)
-            holding = np.add.reduceat((tfs > 0).astype(np.int64), starts, axis=0)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (holding, best)]
-            entries = pa.StructArray.from_arrays([batch.column(i) for i in range(1, 6)], names=["id", "source_id", "origin", "lens", "tfs"])
-            edges = np.append(starts, size).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * len(starts)), terms.take(pa.array(starts)), pa.array(number + np.arange(len(starts))), pa.array(np.diff(edges)),
-                    *lists, pa.ListArray.from_arrays(pa.array(edges), entries),
-                ],
-                names=["segment", "term", "block", "rows", "holding", "best", "entries"],
-            )
+            best, dense = [], np.zeros(flat.bits.shape)
+            for g in GRID:
+                dense[flat.owner, flat.field] = saturation(flat.counts, flat.lens, np.array(means)[flat.field] * g)
+                best.append(np.maximum.reduceat(dense[order], starts, axis=0))
+            holding = np.add.reduceat(flat.bits[order].astype(np.int64), starts, axis=0)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel())) for x in (holding, np.concatenate(best, axis=1))]
+            # the greatest relevance of a block comes first in its number, so that a term's blocks of several tasks are in one order
+            level = np.floor((LOUDEST - np.log(score[order][starts].clip(ROUNDING))) * STEPS).clip(0).astype(np.int64)
+            blocks = (level << 44) | ((part & 0xFFFFF) << 24) | ((number + np.arange(len(starts))) & 0xFFFFFF)
             number += len(starts)
+            named = terms.filter(pa.array(new)).take(pa.array(run[order][starts]))
+            rows = pa.array(np.diff(np.append(starts, len(order))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(starts)), named, pa.array(blocks), rows, *lists, *flat.packed(order, starts)], names=["segment", "term", "block", "rows", "holding", "best", *PACKED])
 
-    return ordered.mapInArrow(cut, f"segment string, term string, block long, rows int, holding array<long>, best array<double>, entries array<{_ENTRY.format(id=kind)}>")
+    return ordered.mapInArrow(cut, f"segment string, term string, block long, rows int, holding array<long>, best array<double>, {columns}")
+
+
+def _held(documents: DataFrame) -> DataFrame:
+    """segment, term and holding: the documents that hold it in each field, summed within slices."""
+
+    def count(batches):
+        for batch in (part for whole in batches for part in _slices(whole, 2)):
+            terms, doc = _tokens(batch.column(2))
+            if not len(terms):
+                continue
+            coded, segment = terms.dictionary_encode(), batch.column(0).dictionary_encode()
+            known = len(coded.dictionary)
+            key, at = np.unique(segment.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc] * known + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+            bits = _numbers(batch.column(1), np.uint8)[:, None] >> np.arange(len(FIELDS)) & 1
+            holding = np.stack([np.bincount(at, weights=bits[:, i], minlength=len(key)) for i in range(len(FIELDS))], axis=1).astype(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, holding.size + 1, len(FIELDS), dtype=np.int32)), pa.array(holding.ravel()))
+            yield pa.RecordBatch.from_arrays([segment.dictionary.take(pa.array(key // known)), coded.dictionary.take(pa.array(key % known)), lists], names=["segment", "term", "holding"])
+
+    return documents.select("segment", "masks", "words").mapInArrow(count, "segment string, term string, holding array<long>")
 
 
 def _sums(rows: DataFrame) -> list[Column]:
@@ -143,7 +290,7 @@ def _segment(path: str, documents: DataFrame) -> dict:
     stored = spark.read.parquet(f"{path}/{name}/documents")
     sums = stored.agg(*_sums(stored)).first()
     means = [max(t / sums["n"], 1e-9) if sums["n"] else 1.0 for t in sums["tokens"]]
-    _postings(stored, name, means).write.parquet(f"{path}/{name}/postings")
+    _postings(stored, name, means, sums["n"]).write.parquet(f"{path}/{name}/postings")
     return {"name": name, "n": sums["n"], "tokens": list(sums["tokens"]), "means": means, "dead_n": 0, "dead_tokens": [0] * len(FIELDS)}
 
 
@@ -152,11 +299,12 @@ def _bury(spark: SparkSession, path: str, state: dict, ids: DataFrame) -> dict:
     if not state["segments"]:
         return state
     name = uuid.uuid4().hex
-    old = _live(spark, path, state).select("segment", "id", "lens", "terms", "tfs").join(ids.select("id").distinct(), "id", "left_semi")
+    # what is found by ids alone is narrow; only documents that die are read with their words
+    dying = _live(spark, path, state).select("segment", "id").join(ids.select("id").distinct(), "id", "left_semi")
+    old = _documents(spark, path, state).select("segment", "id", "lens", "masks", "words").join(dying, ["segment", "id"], "left_semi")
     old.write.parquet(f"{path}/{name}/dead")
     dead = spark.read.parquet(f"{path}/{name}/dead")
-    taken = dead.select("segment", F.inline(F.arrays_zip("terms", "tfs"))).groupBy("segment", F.col("terms").alias("term"))
-    taken = taken.agg(F.array(*[F.sum((F.col("tfs")[i] > 0).cast("long")) for i in range(len(FIELDS))]).alias("holding"))
+    taken = _held(dead).groupBy("segment", "term").agg(F.array(*[F.sum(F.col("holding")[i]) for i in range(len(FIELDS))]).alias("holding"))
     taken.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{name}/taken")
     sums = {r["segment"]: r for r in dead.groupBy("segment").agg(*_sums(dead)).collect()}  # a row a segment
     if not sums:
@@ -205,8 +353,11 @@ def merge(spark: SparkSession, path: str, fanout: int = FANOUT) -> bool:
 
 
 def _live(spark: SparkSession, path: str, state: dict) -> DataFrame:
-    documents = spark.read.parquet(*[f"{path}/{s['name']}/documents" for s in state["segments"]])
-    return _alive(documents, _dead(spark, path, state))
+    return _alive(_documents(spark, path, state), _dead(spark, path, state))
+
+
+def _documents(spark: SparkSession, path: str, state: dict) -> DataFrame:
+    return spark.read.parquet(*[f"{path}/{s['name']}/documents" for s in state["segments"]])
 
 
 def _dead(spark: SparkSession, path: str, state: dict) -> DataFrame | None:
@@ -228,7 +379,7 @@ class Index:
         self.postings = spark.read.parquet(*[f"{path}/{n}/postings" for n in names])
         self.dead = _dead(spark, path, self.state)
         self.taken = spark.read.parquet(*[f"{path}/{d['name']}/taken" for d in self.state["dead"]]).where(F.col("segment").isin(*names)) if self.state["dead"] else None
-        self.documents = _live(spark, path, self.state).drop("segment", "lens", "terms", "tfs")
+        self.documents = _live(spark, path, self.state).drop("segment", "lens", "words", "masks", "counts")
         self.n = sum(s["n"] - s["dead_n"] for s in self.segments)
         tokens = [sum(s["tokens"][i] - s["dead_tokens"][i] for s in self.segments) for i in range(len(FIELDS))]
         self.means = [max(t / self.n, 1e-9) if self.n else 1.0 for t in tokens]
@@ -258,12 +409,39 @@ class Index:
             for segment, block in cuts.items():
                 some = some | ((F.col("segment") == segment) & (F.col("block") <= block))
             mine = mine.where(some)
-        rows = _alive(mine.select("segment", F.inline("entries")), self.dead)
-        of = lambda i: F.when(F.col("tfs")[i] > 0, weight[i] * saturation(F.col("tfs")[i], F.col("lens")[i], self.means[i])).otherwise(0.0)
-        part = of(0)
-        for i in range(1, len(FIELDS)):
-            part = part + of(i)
-        return rows.select("id", "source_id", "origin", part.alias("part"))
+        means = self.means
+
+        def parts(flat):
+            pair = pa.array(flat.pair)
+            return [flat.ids, flat.sources.take(pair), flat.origins.take(pair), pa.array(flat.sums(weight, means))]
+
+        rows = self._unpacked(mine, ["segment"], parts, "source_id string, origin string, part double")
+        return _alive(rows, self.dead).drop("segment")
+
+    def _unpacked(self, blocks: DataFrame, kept: list[str], of, schema: str) -> DataFrame:
+        """A row a posting of the blocks: these columns of its block, its id, and what `of` tells of the postings after their ids."""
+
+        def run(batches):
+            for whole in batches:
+                sizes = pc.list_value_length(whole.column(len(kept))).to_numpy(zero_copy_only=False).astype(np.int64) if whole.num_rows else np.zeros(0, np.int64)
+                for batch in _portions(whole, sizes, PORTION) if len(sizes) else ():
+                    at = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(len(kept))).to_numpy(zero_copy_only=False)))
+                    told = [*(batch.column(i).take(at) for i in range(len(kept))), *of(_Flat.of(batch))]
+                    yield pa.RecordBatch.from_arrays(told, names=names)
+
+        kind = blocks.schema["ids"].dataType.elementType.simpleString()
+        names = [*kept, "id", *(c.split()[0] for c in schema.split(", "))]
+        return blocks.select(*kept, *PACKED).mapInArrow(run, ", ".join([*(f"{c} string" for c in kept), f"id {kind}", schema]))
+
+    def entries(self) -> DataFrame:
+        """term, id and tfs (its frequency in each field) of all stored postings."""
+
+        def tfs(flat):
+            dense = np.zeros(flat.bits.shape, np.int32)
+            dense[flat.owner, flat.field] = flat.counts
+            return [flat.ids, pa.ListArray.from_arrays(pa.array(np.arange(0, dense.size + 1, len(FIELDS), dtype=np.int32)), pa.array(dense.ravel()))]
+
+        return self._unpacked(self.postings, ["term"], tfs, "tfs array<int>")
 
     def _joined(self, known: dict, cuts: dict[str, dict[str, int]] | None, origin: str = "") -> DataFrame:
         """Documents with all terms, by joins from the rarest term on; small sides are broadcast where Spark finds them small."""
