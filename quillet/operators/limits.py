@@ -60,12 +60,58 @@ class Carried:
                 self.value[over], self.grows[over] = self.full, 0
         self._cut(self.token)
         self.value = self.value - self.token * (self.value >= self.token)
+        self._join()
+
+    def _join(self) -> None:
+        """Make one of neighbouring pieces that go on in each other."""
         if len(self.at) > 1:
             same = (self.grows[1:] == self.grows[:-1]) & (self.value[1:] - self.value[:-1] == self.grows[1:] * (self.at[1:] - self.at[:-1]))
             if same.any():
                 kept = np.append(True, ~same)
                 self.at, self.value, self.grows = self.at[kept], self.value[kept], self.grows[kept]
 
+    def requests(self, gains: np.ndarray) -> None:
+        """request() for each gain, of a full bucket at most; stretches in which no bucket fills are taken at once."""
+        most = max((1 << 61) // (self.full + self.token), 1)  # sums stay within 64 bits
+        at, step = 0, 64
+        while at < len(gains):
+            if len(self.at) == 1 and not self.grows[0]:  # known tokens
+                tokens = int(self.value[0])
+                for gain in gains[at:].tolist():
+                    tokens = min(self.full, tokens + gain)
+                    tokens -= self.token * (tokens >= self.token)
+                self.value = np.array([tokens])
+                return
+            some = gains[at : at + min(step, most)]
+            taken = self._stretch(some)
+            step = min(2 * step, 1 << 14) if taken == len(some) else 64
+            at += taken
+            if taken < len(some):
+                self.request(int(gains[at]))
+                at += 1
+
+    def _stretch(self, gains: np.ndarray) -> int:
+        """Take the requests before the first at which a bucket may be full, and tell how many these are.
+
+        Of tokens v, with every request charged, v + low is the least that is left. Where that is below zero, as many requests are
+        refused as bring it to zero or more, and no others.
+        """
+        charged = np.cumsum(gains) - self.token * np.arange(1, len(gains) + 1)
+        low = np.minimum.accumulate(charged)
+        highest = int((self.value + self.grows * (np.append(self.at[1:], self.full + 1) - self.at - 1)).max())
+        # tokens before a request: those of a bucket that refused none, or less than a token after the last refusal and what came since
+        before = charged + self.token + np.maximum(highest, self.token - 1 - np.append(0, low[:-1]))
+        full = np.flatnonzero(before >= self.full)
+        n = int(full[0]) if len(full) else len(gains)
+        if n:
+            least, change = int(low[n - 1]), int(charged[n - 1])
+            first = max(0, -((least + highest) // self.token))
+            for level in range(-least - first * self.token, int(self.value.min()), -self.token):
+                self._cut(level)
+            self.value = self.value + change + self.token * np.maximum(0, -((self.value + least) // self.token))
+            self._join()
+        return n
+
 
 def buckets(requests: DataFrame, key: str, per_second: float, burst: float, ts: str = "ts", tie: str = "event_id", number: bool = False) -> DataFrame:
     """All columns of requests, allowed and wait_s, and with `number` nth, the request's place among its key's; a rate or burst
@@ -90,6 +136,7 @@ def buckets(requests: DataFrame, key: str, per_second: float, burst: float, ts:
 
         part, arrow = TaskContext.get().partitionId(), to_arrow_schema(schema)
         owner, runs, carried, first, last, n, tokens = None, 0, None, 0, 0, 0, 0
+        gains: list[int] = []  # of the first run's requests that are not in its function yet
 
         def told():
             """A row that tells of the run that ends: its function, or the tokens it ends with."""
@@ -107,6 +154,8 @@ def buckets(requests: DataFrame, key: str, per_second: float, burst: float, ts:
             for name, now in zip(batch.column(k).to_pylist(), batch.column(t).to_pylist()):
                 if owner is None or name != owner[0]:
                     if runs == 1:
+                        carried.requests(np.array(gains, np.int64))
+                        gains.clear()
                         ended = told()
                     owner, runs, first, n, tokens = (name,), runs + 1, now, 0, full
                     carried = Carried(token, full) if runs == 1 else None
@@ -115,7 +164,7 @@ def buckets(requests: DataFrame, key: str, per_second: float, burst: float, ts:
                 last, n = now, n + 1
                 nth.append(n)
                 if carried is not None:
-                    carried.request(refill)
+                    gains.append(min(refill, full))
                     allowed.append(None)
                     waits.append(None)
                     continue
@@ -124,6 +173,9 @@ def buckets(requests: DataFrame, key: str, per_second: float, burst: float, ts:
                 tokens -= token * ok
                 allowed.append(ok)
                 waits.append(0.0 if ok else wait(tokens))
+            if carried is not None:
+                carried.requests(np.array(gains, np.int64))
+                gains.clear()
             size = batch.num_rows
             more = [pa.array(allowed, pa.bool_()), pa.array(waits, pa.float64()), pa.array(nth, pa.int64()), pa.array([part] * size, pa.int32()), pa.nulls(size, arrow.field("__function").type)]
             yield pa.RecordBatch.from_arrays([*(c.cast(arrow.field(i).type) for i, c in enumerate(batch.columns)), *more], schema=arrow)

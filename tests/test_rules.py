@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -891,3 +892,26 @@ def test_numbers_of_a_hot_key_over_ranges(spark):
     assert sorted(map(str, storage.numbered(rows, ["base"], ["at"], "n").collect())) == want
     assert [x["n"] for x in storage.numbered(rows, [], ["at"], "n").orderBy("at").collect()] == list(range(1, 3001))
     assert storage.numbered(rows.where("false"), ["base"], ["at"], "n").count() == 0
+
+
+@pytest.mark.parametrize("rate,burst", [(0.01, 20), (2.0, 20), (7.3, 4.5), (0.01, 1)])
+def test_stretches_of_requests_equal_single_ones(rate, burst):
+    r = random.Random(burst)
+    gain, token, full = limits.units(rate, burst)
+    for load in (0.02, 0.3, 0.9, 1.0, 1.1, 3):
+        gains = [min(full, r.choice([0, 1, r.randint(0, int(2 * token / gain * load)), 10**8 * (r.random() < 0.02)]) * gain) for _ in range(300)]
+        one, many = limits.Carried(token, full), limits.Carried(token, full)
+        for g in gains:
+            one.request(g)
+        for i in range(0, 300, 70):
+            many.requests(np.array(gains[i : i + 70], np.int64))
+        at = lambda f, t: f.value[i := np.searchsorted(f.at, t, "right") - 1] + f.grows[i] * (t - f.at[i])
+        assert all(at(one, t) == at(many, t) for t in {0, full, *one.at.tolist(), *(x - 1 for x in one.at.tolist() if x), *(r.randint(0, full) for _ in range(50))})
+
+
+def test_a_flood_is_not_folded_a_request_at_a_time(monkeypatch):
+    gain, token, full = limits.units(0.01, 20)
+    calls, single = [], limits.Carried.request
+    monkeypatch.setattr(limits.Carried, "request", lambda self, g: calls.append(g) or single(self, g))
+    limits.Carried(token, full).requests(np.full(100_000, 400_000 * gain, np.int64))
+    assert len(calls) < 1000
