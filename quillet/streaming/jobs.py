@@ -68,19 +68,32 @@ class Bursts(StatefulProcessor):
         self.rows = handle.getListState("rows", "at long, id long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        first = None
         for frame in rows:
-            for at, number in zip(frame["ts"].astype("datetime64[us]").astype("int64"), frame["event_id"]):
-                self.rows.appendValue((int(at), int(number)))
-                self.handle.registerTimer((int(at) + self.gap_us) // 1000 + 1)
+            at = frame["ts"].astype("datetime64[us]").astype("int64")
+            self.rows.appendList(list(zip(at.tolist(), frame["event_id"].tolist())))
+            first = min(at.min(), first) if first is not None else at.min()
+        if first is not None:
+            self._wake(int(first), list(self.handle.listTimers()))
         yield from ()
 
+    def _wake(self, at: int, timers: list[int]) -> None:
+        """A key has one timer, at the first of its rows that can be settled: one call settles all rows that the watermark has passed."""
+        due = (at + self.gap_us) // 1000 + 1
+        if not timers or due < min(timers):
+            for later in timers:
+                self.handle.deleteTimer(later)
+            self.handle.registerTimer(due)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted(self.rows.get()) if self.rows.exists() else []
         done = [r for r in held if r[0] + self.gap_us < passed]
         last = [r[1] for i, r in enumerate(held[: len(done)]) if i + 1 == len(held) or held[i + 1][0] > r[0] + self.gap_us]
         if held[len(done) :]:
-            self.rows.put(held[len(done) :])
+            if done:
+                self.rows.put(held[len(done) :])
+            self._wake(held[len(done)][0], [])
         else:
             self.rows.clear()
         if last:

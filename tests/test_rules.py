@@ -915,3 +915,27 @@ def test_a_flood_is_not_folded_a_request_at_a_time(monkeypatch):
     monkeypatch.setattr(limits.Carried, "request", lambda self, g: calls.append(g) or single(self, g))
     limits.Carried(token, full).requests(np.full(100_000, 400_000 * gain, np.int64))
     assert len(calls) < 1000
+
+
+def test_a_key_of_a_burst_stream_has_one_timer():
+    """One call of the state store a batch of rows, and one timer, however many rows a key has."""
+    import pandas as pd
+
+    told = []
+
+    class Rows:
+        appendList = staticmethod(lambda rows: told.append(("rows", len(rows))))  # noqa: N815
+
+    class Handle:
+        timers: list[int] = []
+        listTimers = staticmethod(lambda: iter(Handle.timers))  # noqa: N815
+        registerTimer = staticmethod(lambda at: Handle.timers.append(at))  # noqa: N815
+        deleteTimer = staticmethod(lambda at: Handle.timers.remove(at))  # noqa: N815
+
+    held = jobs.Bursts("user_id", 10_000_000)
+    held.handle, held.rows = Handle, Rows
+    frame = lambda *seconds: pd.DataFrame({"ts": pd.to_datetime(seconds, unit="s"), "event_id": range(len(seconds))})
+    for seconds, due in (((50, 40, 60), 50_001), ((70, 80), 50_001), ((30, 90), 40_001)):
+        list(held.handleInputRows(("a",), iter([frame(*seconds)]), None))
+        assert Handle.timers == [due]
+    assert told == [("rows", 3), ("rows", 2), ("rows", 2)]
