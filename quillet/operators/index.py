@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -42,8 +43,8 @@ STEPS, FIRST = 100, 1 << 16
 GRID = (0.25, 0.5, 1.0, 2.0, 4.0)
 #: Scores are rounded to six places, so bounds are taken that much higher.
 ROUNDING = 1e-6
-#: Postings of a packed row at most, of a term in one task about, and of what is unpacked together about; the logarithm of no less than any relevance.
-CHUNK, SPREAD, PORTION, LOUDEST = 512, 1 << 20, 1 << 19, 4
+#: Postings of a bucket of terms about, and of what is unpacked together about; the logarithm of no less than any relevance.
+BUCKET, PORTION, LOUDEST = 1 << 19, 1 << 19, 4
 #: A row's postings: ids, its different pairs of source and origin, each posting's pair (16 bits) and fields (a bit each), and frequency and length in each of these (32 bits).
 PACKED = ("ids", "sources", "origins", "places", "masks", "counts", "lens")
 
@@ -196,14 +197,15 @@ def _portions(batch: pa.RecordBatch, sizes: np.ndarray, most: int):
     yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
 
 
-def _postings(documents: DataFrame, name: str, means: list[float], n: int) -> DataFrame:
-    """Blocks of postings in order of term, numbered by falling relevance.
+def _postings(documents: DataFrame, name: str, means: list[float], n: int, postings: int) -> DataFrame:
+    """Blocks of postings, numbered by falling relevance, in order of term within a bucket of terms.
 
-    A slice's postings of a term go to the term's task as one packed row (or several of CHUNK); of a term with more than SPREAD
-    documents, as the slice lets expect, they are dealt to several tasks.
+    A slice's postings of a bucket's terms go to its task as one compressed record batch of a row a term. A term with more
+    documents than a bucket should hold, as the slice lets expect, lies in several.
     """
     kind = documents.schema["id"].dataType.simpleString()
     weights = list(fixed.FIELD_WEIGHTS.values())
+    buckets = max(-(-postings // BUCKET), 1)
 
     def gather(batches):
         turn = TaskContext.get().partitionId()
@@ -219,21 +221,48 @@ def _postings(documents: DataFrame, name: str, means: list[float], n: int) -> Da
             flat.lens = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[doc[flat.owner], flat.field]
             order = np.argsort(codes, kind="stable")
             held = np.bincount(codes)
-            within = np.arange(len(order)) - np.repeat(np.cumsum(held) - held, held)
-            starts = np.flatnonzero(within % CHUNK == 0)
-            term = codes[order][starts]
-            salt = (turn + within[starts] // CHUNK) % np.ceil(held[term] * (n / batch.num_rows) / SPREAD).astype(np.int64).clip(1)
+            spread = np.ceil(held * (n / batch.num_rows) / BUCKET).astype(np.int64).clip(1)
+            hashed = np.array([zlib.crc32(t.encode()) for t in coded.dictionary.to_pylist()], np.int64)
+            bucket = (hashed + turn % spread) % buckets
             turn += 1
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term)), pa.array(salt, pa.int64()), *flat.packed(order, starts)], names=["term", "salt", *PACKED])
+            order = order[np.argsort(bucket[codes[order]], kind="stable")]
+            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            term = codes[order][starts]
+            rows = pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term)), *flat.packed(order, starts)], names=["term", *PACKED])
+            edges = np.append(np.flatnonzero(np.diff(bucket[term], prepend=-1)), len(term))
+            sent = []
+            for start, end in zip(edges, edges[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(rows.slice(start, end - start))
+                sent.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[term][edges[:-1]]), pa.array(sent, pa.binary())], names=["bucket", "rows"])
 
     columns = f"ids array<{kind}>, sources array<string>, origins array<string>, places binary, masks binary, counts binary, lens binary"
-    gathered = documents.select("id", "source_id", "origin", "lens", "masks", "counts", "words").mapInArrow(gather, f"term string, salt long, {columns}")
-    ordered = gathered.repartition("term", "salt").sortWithinPartitions("term").drop("salt")
+    gathered = documents.select("id", "source_id", "origin", "lens", "masks", "counts", "words").mapInArrow(gather, "bucket long, rows binary")
+    ordered = gathered.repartition("bucket").sortWithinPartitions("bucket")
+
+    def whole_buckets(batches):
+        """The rows of each bucket in order of term; those of one that goes on in the next batch wait for it."""
+        held, last = [], None
+        for batch in batches:
+            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != last and held:
+                    yield from ordered_rows(held)
+                    held = []
+                last = bucket
+                held.append(pa.ipc.open_stream(rows.as_buffer()).read_all())
+        if held:
+            yield from ordered_rows(held)
+
+    def ordered_rows(held):
+        rows = pa.concat_tables(held).combine_chunks()
+        return rows.take(pc.sort_indices(rows.column("term"))).combine_chunks().to_batches()
 
     def cut(batches):
         part, number = TaskContext.get().partitionId(), 0
-        sized = ((whole, pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) for whole in batches)
-        for batch in (piece for whole, sizes in sized if whole.num_rows for piece in _portions(whole, sizes, PORTION)):
+        sized = ((whole, pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) for whole in whole_buckets(batches))
+        for batch in (piece for whole, sizes in sized for piece in _portions(whole, sizes, 4 * PORTION)):
             terms, flat = batch.column(0), _Flat.of(batch)
             new = np.append(True, pc.not_equal(terms.slice(1), terms.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False))
             run = np.repeat(np.cumsum(new) - 1, pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
@@ -288,9 +317,9 @@ def _segment(path: str, documents: DataFrame) -> dict:
     name = uuid.uuid4().hex
     documents.withColumn("segment", F.lit(name)).write.parquet(f"{path}/{name}/documents")
     stored = spark.read.parquet(f"{path}/{name}/documents")
-    sums = stored.agg(*_sums(stored)).first()
+    sums = stored.agg(*_sums(stored), F.coalesce(F.sum(F.length("masks")), F.lit(0)).alias("postings")).first()
     means = [max(t / sums["n"], 1e-9) if sums["n"] else 1.0 for t in sums["tokens"]]
-    _postings(stored, name, means, sums["n"]).write.parquet(f"{path}/{name}/postings")
+    _postings(stored, name, means, sums["n"], sums["postings"]).write.parquet(f"{path}/{name}/postings")
     return {"name": name, "n": sums["n"], "tokens": list(sums["tokens"]), "means": means, "dead_n": 0, "dead_tokens": [0] * len(FIELDS)}
 
 

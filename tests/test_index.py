@@ -129,3 +129,20 @@ def test_words_are_counted_in_parts_of_bounded_bytes():
     assert sum((p.column(0).to_pylist() for p in parts), []) == list(range(8)) and len(parts) > 3
     assert all(sum(map(len, p.column(1).to_pylist()[1:])) <= index.SLICE for p in parts)
     assert list(index._slices(batch.slice(0, 0), 1)) == []
+
+
+def test_postings_of_a_slice_travel_by_buckets(spark, tmp_path, monkeypatch):
+    """A term that fills several buckets is found whole, and a slice sends one row a bucket, not one a posting."""
+    rows = searching.articles(spark.read.parquet(f"{DATA}/documents.parquet"))
+    index.add(rows, f"file://{tmp_path}/one")
+    monkeypatch.setattr(index, "BUCKET", 999)
+    index.add(rows, f"file://{tmp_path}/many")
+    one, many = index.Index(spark, f"file://{tmp_path}/one"), index.Index(spark, f"file://{tmp_path}/many")
+    assert answers(one) == answers(many)
+    assert sorted(map(str, one.entries().collect())) == sorted(map(str, many.entries().collect()))
+    sent = []
+    whole = type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, *by: sent.append(self) or whole(self, *by))
+    stored = spark.read.parquet(f"file://{tmp_path}/one/{one.segments[0]['name']}/documents")
+    index._postings(stored, "s", one.means, one.n, 1)
+    assert len(sent) == 1 and sent[0].count() <= stored.rdd.getNumPartitions() < one.entries().count() / 1000
