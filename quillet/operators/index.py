@@ -45,6 +45,8 @@ GRID = (0.25, 0.5, 1.0, 2.0, 4.0)
 ROUNDING = 1e-6
 #: Postings of a bucket of terms about, and of what is unpacked together about; the logarithm of no less than any relevance.
 BUCKET, PORTION, LOUDEST = 1 << 19, 1 << 19, 4
+#: Bits by which documents that may be dead are told from the others at most.
+MARKS = 1 << 26
 #: A row's postings: ids, its different pairs of source and origin, each posting's pair (16 bits) and fields (a bit each), and frequency and length in each of these (32 bits).
 PACKED = ("ids", "sources", "origins", "places", "masks", "counts", "lens")
 
@@ -307,6 +309,10 @@ def _held(documents: DataFrame) -> DataFrame:
     return documents.select("segment", "masks", "words").mapInArrow(count, "segment string, term string, holding array<long>")
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.option("compression", "zstd").parquet(path)
+
+
 def _sums(rows: DataFrame) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.array(*[F.coalesce(F.sum(F.col("lens")[i]), F.lit(0)) for i in range(len(FIELDS))]).alias("tokens")]
 
@@ -315,11 +321,11 @@ def _segment(path: str, documents: DataFrame) -> dict:
     """Write analysed documents as a new segment; its entry in a manifest."""
     spark = documents.sparkSession
     name = uuid.uuid4().hex
-    documents.withColumn("segment", F.lit(name)).write.parquet(f"{path}/{name}/documents")
+    _write(documents.withColumn("segment", F.lit(name)), f"{path}/{name}/documents")
     stored = spark.read.parquet(f"{path}/{name}/documents")
     sums = stored.agg(*_sums(stored), F.coalesce(F.sum(F.length("masks")), F.lit(0)).alias("postings")).first()
     means = [max(t / sums["n"], 1e-9) if sums["n"] else 1.0 for t in sums["tokens"]]
-    _postings(stored, name, means, sums["n"], sums["postings"]).write.parquet(f"{path}/{name}/postings")
+    _write(_postings(stored, name, means, sums["n"], sums["postings"]), f"{path}/{name}/postings")
     return {"name": name, "n": sums["n"], "tokens": list(sums["tokens"]), "means": means, "dead_n": 0, "dead_tokens": [0] * len(FIELDS)}
 
 
@@ -328,16 +334,18 @@ def _bury(spark: SparkSession, path: str, state: dict, ids: DataFrame) -> dict:
     if not state["segments"]:
         return state
     name = uuid.uuid4().hex
-    # what is found by ids alone is narrow; only documents that die are read with their words
-    dying = _live(spark, path, state).select("segment", "id").join(ids.select("id").distinct(), "id", "left_semi")
-    old = _documents(spark, path, state).select("segment", "id", "lens", "masks", "words").join(dying, ["segment", "id"], "left_semi")
-    old.write.parquet(f"{path}/{name}/dead")
+    # what is found by ids alone is narrow; only documents that die, and some with hashes like theirs, are moved with their words
+    _write(_live(spark, path, state).select("segment", "id").join(ids.select("id").distinct(), "id", "left_semi"), f"{path}/{name}/dying")
+    dying = spark.read.parquet(f"{path}/{name}/dying")
+    if dying.isEmpty():
+        return state
+    old = _documents(spark, path, state).select("segment", "id", "lens", "masks", "words")
+    _, likely = _parted(old, dying, sum(s["n"] for s in state["segments"]))
+    _write(likely.join(dying, ["segment", "id"], "left_semi"), f"{path}/{name}/dead")
     dead = spark.read.parquet(f"{path}/{name}/dead")
     taken = _held(dead).groupBy("segment", "term").agg(F.array(*[F.sum(F.col("holding")[i]) for i in range(len(FIELDS))]).alias("holding"))
     taken.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{name}/taken")
     sums = {r["segment"]: r for r in dead.groupBy("segment").agg(*_sums(dead)).collect()}  # a row a segment
-    if not sums:
-        return state
     segments = [
         s | {"dead_n": s["dead_n"] + sums[s["name"]]["n"], "dead_tokens": [a + b for a, b in zip(s["dead_tokens"], sums[s["name"]]["tokens"])]} if s["name"] in sums else s
         for s in state["segments"]
@@ -375,7 +383,13 @@ def merge(spark: SparkSession, path: str, fanout: int = FANOUT) -> bool:
     if not full:
         return False
     gone = set(full[0])
-    made = _segment(path, _live(spark, path, state).where(F.col("segment").isin(*gone)).drop("segment"))
+    merged = [s for s in state["segments"] if s["name"] in gone]
+    rows, dead = _documents(spark, path, state | {"segments": merged}), _dead(spark, path, state)
+    if dead is not None:
+        dead = dead.where(F.col("segment").isin(*gone))
+        rest, likely = _parted(rows, dead, sum(s["n"] for s in merged))
+        rows = rest.unionByName(_alive(likely, dead))
+    made = _segment(path, rows.drop("segment"))
     segments = [s for s in state["segments"] if s["name"] not in gone] + ([made] if made["n"] else [])
     dead = [d for d in state["dead"] if set(d["of"]) - gone]
     return storage.commit(spark, f"{path}/manifests", number + 1, json.dumps({"segments": segments, "dead": dead})) or merge(spark, path, fanout)
@@ -397,6 +411,23 @@ def _alive(rows: DataFrame, dead: DataFrame | None) -> DataFrame:
     return rows if dead is None else rows.join(dead, ["segment", "id"], "left_anti")
 
 
+def _parted(rows: DataFrame, ids: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The rows, of n, whose id is none of ids, and the others: all whose id is one, and some more.
+
+    Rows are told by a broadcast bit of their ids' hash, and so are not moved. There are about two bits a row, and no more than MARKS,
+    beyond which more rows than need be count as likely.
+    """
+    size = 1 << min(max(2 * n, 1 << 12).bit_length(), MARKS.bit_length() - 1)
+    at = f"pmod(xxhash64(id), {size}L)"
+    word, bit = f"CAST(shiftright({at}, 6) AS INT)", f"CAST({at} & 63 AS INT)"
+    none = rows.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = ids.select(F.expr(word).alias("word"), F.expr(f"shiftleft(1L, {bit})").alias("bits")).union(none).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    every = words.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words")).select(F.transform("words", lambda w: w["bits"]).alias("marks"))
+    marks = F.broadcast(every)  # a row of at most MARKS bits
+    found = F.expr(f"shiftright(get(marks, {word}), {bit}) & 1") == 1
+    return rows.join(marks, found, "left_anti"), rows.join(marks, found, "left_semi")
+
+
 class Index:
     """The index as its newest manifest tells it; `cuts` has the last block that the last top() read of each segment and term."""
 

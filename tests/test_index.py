@@ -146,3 +146,37 @@ def test_postings_of_a_slice_travel_by_buckets(spark, tmp_path, monkeypatch):
     stored = spark.read.parquet(f"file://{tmp_path}/one/{one.segments[0]['name']}/documents")
     index._postings(stored, "s", one.means, one.n, 1)
     assert len(sent) == 1 and sent[0].count() <= stored.rdd.getNumPartitions() < one.entries().count() / 1000
+
+
+def shuffled(spark):
+    """Bytes that all stages have written to shuffles so far."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_words_of_documents_that_stay_are_not_moved(spark, tmp_path, monkeypatch):
+    """Where ids are too many to be broadcast, only rows that die or have a hash like theirs are shuffled with their words."""
+    rows, path = searching.articles(spark.read.parquet(f"{DATA}/documents.parquet")), f"file://{tmp_path}/moved"
+    index.add(rows, path)
+    number, state = index.state_of(spark, path)
+    stored = sum(p.stat().st_size for p in (tmp_path / "moved").glob("*/documents/*.parquet"))
+    ids = rows.select("id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sent = {}
+        for step in (0, 20, 1):
+            before = shuffled(spark)
+            after = index._bury(spark, path, state, ids.where(f"id % {step} = 3" if step > 1 else f"{step} = 1"))
+            sent[step] = shuffled(spark) - before
+            want = {r["id"] for r in ids.collect() if step == 1 or step and r["id"] % step == 3}
+            dead = index._dead(spark, path, after)
+            assert (set() if dead is None else {r["id"] for r in dead.collect()}) == want
+        assert sent[0] < stored / 10 and sent[20] < stored / 2 < sent[1]
+        # one bit is set for all: everything is likely, and is found by the join
+        monkeypatch.setattr(index, "MARKS", 64)
+        after = index._bury(spark, path, state, ids.where("id % 20 = 3"))
+        assert {r["id"] for r in index._dead(spark, path, after).collect()} == {r["id"] for r in ids.collect() if r["id"] % 20 == 3}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
