@@ -44,24 +44,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
 
 
-#: What is taken out of a text without white space, class by class; what is left at the end is "other".
+#: What is taken out of a text without white space, class by class; what is left at the end is "other" (and white space that was not taken out).
 _TAKEN = ("[a-z]+", "[A-Z]+", "[0-9]+", r"[!-/:-@\[-`{-~]+", r"[\p{L}\p{M}]+")
 
 
-def _class_counts(chars: Column, word_chars: Column, lefts: Column) -> Column:
-    """Counts of CLASSES from the characters that are left after each of _TAKEN."""
+def _class_counts(chars: Column, joined_chars: Column, lefts: Column, spaces: Column | None = None) -> Column:
+    """Counts of CLASSES from the characters that are left after each of _TAKEN, and the white space that was joined with them."""
     taken = [F.get(lefts, F.lit(i)) - F.get(lefts, F.lit(i + 1)) for i in range(len(_TAKEN))]
-    return F.array(*[x.cast("double") for x in (*taken, chars - word_chars, F.get(lefts, F.lit(len(_TAKEN))))])
+    outside, other = chars - joined_chars, F.get(lefts, F.lit(len(_TAKEN)))
+    space, other = (outside, other) if spaces is None else (outside + spaces, other - spaces)
+    return F.array(*[x.cast("double") for x in (*taken, space, other)])
 
 
 def _with_classes(rows: DataFrame, joined: str) -> DataFrame:
-    """rows and __lefts, one projection a step, so that no step is done twice."""
+    """rows, __lefts and what is left in the end, one projection a step, so that no step is done twice."""
     for i, pattern in enumerate(_TAKEN):
         source = joined if i == 0 else "__left"
         before = F.array(F.char_length(joined)) if i == 0 else F.col("__lefts")
         rows = rows.withColumn("__next", F.regexp_replace(source, pattern, ""))
         rows = rows.withColumn("__lefts", F.concat(before, F.array(F.char_length("__next")))).withColumn("__left", F.col("__next")).drop("__next")
-    return rows.drop("__left")
+    return rows
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -138,22 +140,26 @@ def measures(read: DataFrame, id_col: str, common: int, *kept: str) -> DataFrame
 def references(df: DataFrame, text_col: str, lang_col: str, common: int, least_words: int) -> DataFrame:
     """__lang, class shares, hashes of the common words, their shares and the share of all others, per language with enough text.
 
-    One scan counts all words and, under names that no word has, words and character classes. A language has a
+    One scan counts all words, another the characters of each class, without cutting texts into words: only blanks are taken out, by
+    plain search, so that runs of letters are long and few, and other white space is told apart in the little that is left. A language has a
     reference from least_words words on, whatever its part of the table; nothing comes to the driver.
     """
     text = F.col("__text")
-    split = _read(df, None, text_col, lang_col).where("__text <> '' AND __lang <> ''").select("__lang", F.char_length(text).alias("__chars"), words_of(F.lower(text)).alias("words"), F.regexp_replace(text, SPACE_CLASS + "+", "").alias("__joined"))
-    joined = _with_classes(split, "__joined")
-    entry = lambda w, n: F.struct(w.alias("word"), n.alias("n"))
-    classes = joined.select("__lang", "words", _class_counts(F.col("__chars"), F.char_length("__joined"), F.col("__lefts")).alias("c"))
-    sums = classes.groupBy("__lang").agg(F.sum(F.size("words")).cast("double").alias("words"), F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(len(CLASSES))]).alias("c"))
-    counts = staged(split.select("__lang", F.explode("words").alias("word")).groupBy("__lang", "word").agg(F.count(F.lit(1)).alias("n")), "counts")
+    read = _read(df, None, text_col, lang_col).where("__text <> '' AND __lang <> ''")
+    joined = _with_classes(read.select("__lang", F.char_length(text).alias("__chars"), F.replace(text, F.lit(" "), F.lit("")).alias("__joined")), "__joined")
+    spaces = F.char_length("__left") - F.char_length(F.regexp_replace("__left", SPACE_CLASS + "+", ""))
+    classes = joined.withColumn("__spaces", spaces).select("__lang", _class_counts(F.col("__chars"), F.char_length("__joined"), F.col("__lefts"), F.col("__spaces")).alias("c"))
+    sums = classes.groupBy("__lang").agg(F.array(*[F.sum(F.get("c", F.lit(i))) for i in range(len(CLASSES))]).alias("c"))
+    words = read.select("__lang", F.explode(words_of(F.lower(text))).alias("word"))
+    counts = staged(words.groupBy("__lang", "word").agg(F.count(F.lit(1)).alias("n")), "counts")
+    totals = counts.groupBy("__lang").agg(F.sum("n").cast("double").alias("words"))
     rank = F.row_number().over(W.partitionBy("__lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("r", rank).where(f"r <= {common}")
     tops = top.groupBy("__lang").agg(F.sort_array(F.collect_list(F.struct("r", "word", "n"))).alias("top"))
     shares = F.coalesce(F.transform("top", lambda x: x["n"] / F.col("words")), F.array().cast("array<double>"))
     rest = 1 - F.aggregate("__shares", F.lit(0.0), lambda a, x: a + x)
-    refs = sums.where(F.col("words") >= least_words).join(tops, "__lang", "left").withColumn("__shares", shares).select(
+    known = sums.join(totals, "__lang", "left").withColumn("words", F.coalesce("words", F.lit(0.0))).where(F.col("words") >= least_words)
+    refs = known.join(tops, "__lang", "left").withColumn("__shares", shares).select(
         "__lang",
         _shares(F.col("c")).alias("__class_ref"),
         F.transform(F.coalesce(F.col("top.word"), F.array().cast("array<string>")), lambda w: F.xxhash64(w)).alias("__keys"),

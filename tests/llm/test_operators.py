@@ -652,6 +652,24 @@ def test_quality_verdicts_equal_brute_force(spark):
     assert {True, False} == {k for _, k, *_ in expected.values()} and not expected[3001][1]
 
 
+def test_quality_class_references_cut_no_words(spark, monkeypatch):
+    """Shares of classes equal those counted a character at a time, and their scan neither lowers texts nor cuts them into words."""
+    r = random.Random(5)
+    odd = ["\t", "\n", "\x0b", "\x0c", "\r", " ", "  ", "\u00a0", "\u2003", "\u0130", "\u03a3", "e\u0301", "\u65e5\u672c", "\U0001f642", "\u00bd", "#*$", "Ab1", "zz", "-", "\x00", "\x1f"]
+    texts_of = {"en": ["".join(r.choices(odd, k=r.randint(1, 60))) for _ in range(40)], "el": ["".join(r.choices(odd, k=90)), ""], "blank": [" \n", "\t"]}
+    rows = [(t, lang) for lang, every in texts_of.items() for t in every]
+    plans = {}
+    monkeypatch.setattr(quality, "staged", lambda df, label, f=quality.staged: plans.update({label: df._jdf.queryExecution().optimizedPlan().toString()}) or f(df, label))
+    got = {x["__lang"]: x for x in quality.references(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 3, 0).collect()}
+    assert set(got) == set(texts_of)
+    for lang, every in texts_of.items():
+        counts = Counter(w for t in every for w in SPACE.split(t.lower()) if w)
+        assert got[lang]["__class_ref"] == pytest.approx(shares([sum(x) for x in zip(*map(class_counts, every))]))
+        assert len(got[lang]["__keys"]) == min(3, len(counts))
+        assert got[lang]["__word_ref"][:-1] == pytest.approx([n / sum(counts.values()) for n in sorted(counts.values(), reverse=True)[:3]])
+    assert "split(" in plans["counts"] and "split(" not in plans["references"] and "lower(" not in plans["references"]
+
+
 def test_quality_divergence(spark):
     rows = [(i, prose(200, i), "en") for i in range(200)] + [(900, " ".join("0123456789"[i % 10] * (3 + i % 7) + str(i) for i in range(300)), "en")]
     got = by_id(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
