@@ -9,6 +9,8 @@ from quillet.functions import fixed
 
 #: Unicode white space, in a form that Java and RE2 read alike.
 WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same class and what is not in it, for Java: printable ASCII, most of any text, is told by its first range alone.
+_BLANK, _INK = f"[[^!-~]&&{WS}]", f"[!-~[^{WS[1:]}]"
 MARKERS = r"^[#*`~_=-]+$"
 
 
@@ -17,7 +19,7 @@ def first_non_blank(*columns: Column) -> Column:
 
 
 def normalise_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, WS + "+", " "))
+    return F.trim(F.regexp_replace(c, _BLANK + "+", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -31,7 +33,7 @@ def word_count(c: Column) -> Column:
 
 def truncate_words(c: Column, n: int) -> Column:
     """The first n words; of a long text only these are looked at, where n is small enough for a pattern."""
-    start = F.regexp_extract(c, rf"^{WS}*+(?:[^{WS[1:]}++{WS}*+){{0,{n}}}+", 0) if 0 < n <= 100 else c
+    start = F.regexp_extract(c, rf"^{_BLANK}*+(?:{_INK}++{_BLANK}*+){{0,{n}}}+", 0) if 0 < n <= 100 else c
     return F.array_join(F.slice(tokens(start), 1, max(n, 0)), " ") if n > 0 else F.when(c.isNotNull(), F.lit(""))
 
 

@@ -58,28 +58,20 @@ def analysed(rows: DataFrame) -> DataFrame:
     Expressions lower fields and blank all that is no letter or digit beyond ASCII, and a table the rest, which is most of it; words
     are counted in a slice at a time, which no built-in aggregate does without a shuffle.
     """
-    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[\x{80}-\x{10FFFF}&&[^\p{L}\p{N}]]+", " ")
     kept = [c for c in rows.columns if c != "content"]
-    split = rows.select(*kept, *[plain(c).alias(f"__{c}") for c in FIELDS])
+    split = _plain(rows, kept)
     n = len(FIELDS)
 
     def count(batches):
         for batch in (part for whole in batches for part in _slices(whole, len(kept))):
-            size, docs, tokens = batch.num_rows, [], []
-            for i in range(n):
-                found, doc = _tokens(_blanked(batch.column(len(kept) + i)))
-                docs.append(doc * n + i)
-                tokens.append(found)
-            at = np.concatenate(docs)
-            lens = np.bincount(at, minlength=size * n).astype(np.int32)
-            coded = pa.chunked_array(tokens).combine_chunks().dictionary_encode()
-            codes, known = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
-            key, tf = np.unique((at // n * known + codes) * n + at % n, return_counts=True)
+            size = batch.num_rows
+            terms, key, tf, lens = _counted(batch.columns[len(kept) :])
+            known = max(len(terms), 1)
             new = np.flatnonzero(np.diff(key // n, prepend=-1))  # a document's term
             term = key[new] // n
             masks = np.bitwise_or.reduceat(1 << (key % n), new).astype(np.uint8) if len(new) else np.zeros(0, np.uint8)
             edges = np.searchsorted(term // known, np.arange(size + 1))
-            words = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), coded.dictionary.take(pa.array(term % known))), " ")
+            words = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), terms.take(pa.array(term % known))), " ")
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, size * n + 1, n, dtype=np.int32)), pa.array(lens))
             counts = _binary(tf.astype(np.int32), np.append(new, len(key))[edges])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), lists, words, _binary(masks, edges), counts], names=[*kept, "lens", "words", "masks", "counts"])
@@ -89,6 +81,51 @@ def analysed(rows: DataFrame) -> DataFrame:
     return split.mapInArrow(count, schema)
 
 
+def entries(rows: DataFrame) -> DataFrame:
+    """term, field, id and tf of the rows, counted where they lie: a document has its entries to itself, so nothing is shuffled and
+    no index is written. Only the entries of ids that several rows share are summed."""
+    ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    n, shared = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
+    if not shared:
+        return _entries(rows)
+    alone, likely = _parted(rows, ids.where("n > 1"), n)
+    return _entries(alone).unionByName(_entries(likely).groupBy("term", "field", "id").agg(F.sum("tf").alias("tf")))
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    split = _plain(rows, ["id"])
+    fields, n = pa.array(FIELDS), len(FIELDS)
+
+    def count(batches):
+        for batch in (part for whole in batches for part in _slices(whole, 1)):
+            terms, key, tf, _ = _counted(batch.columns[1:])
+            at, known = key // n, max(len(terms), 1)
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(at % known)), fields.take(pa.array(key % n)), batch.column(0).take(pa.array(at // known)), pa.array(tf, pa.int64())], names=["term", "field", "id", "tf"])
+
+    return split.mapInArrow(count, f"term string, field string, id {split.schema['id'].dataType.simpleString()}, tf long")
+
+
+def _plain(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """These columns, and the fields lowered, with a blank for what is no letter or digit beyond ASCII."""
+    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[\x{80}-\x{10FFFF}&&[^\p{L}\p{N}]]+", " ")
+    return rows.select(*kept, *[plain(c).alias(f"__{c}") for c in FIELDS])
+
+
+def _counted(columns: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The different terms of a slice's fields; in rising order (row * terms + term) * fields + field of each entry, its frequency;
+    and the terms of each row and field."""
+    size, n, docs, tokens = len(columns[0]), len(FIELDS), [], []
+    for i, texts in enumerate(columns):
+        found, doc = _tokens(_blanked(texts))
+        docs.append(doc * n + i)
+        tokens.append(found)
+    at = np.concatenate(docs)
+    coded = pa.chunked_array(tokens).combine_chunks().dictionary_encode()
+    codes, known = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(coded.dictionary), 1)
+    key, tf = np.unique((at // n * known + codes) * n + at % n, return_counts=True)
+    return coded.dictionary, key, tf, np.bincount(at, minlength=size * n).astype(np.int32)
+
+
 def _blanked(texts: pa.Array) -> pa.Array:
     """Texts with a blank for every ASCII character but letters and digits; bytes of others are over 127 and stay."""
     _, offsets, data = texts.buffers()

@@ -3,9 +3,11 @@
 import random
 import threading
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillet.functions import text
 from quillet.operators import index, search
 from quillet.plans import searching
 from quillet.sources import storage
@@ -156,6 +158,37 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
+def test_all_postings_are_counted_where_texts_lie(spark, monkeypatch):
+    """No index is written for them, and nothing but the documents' ids is shuffled."""
+    monkeypatch.setattr(index, "add", None)
+    monkeypatch.setattr(storage, "made_once", None)
+    assert searching.postings_index(spark, DATA).distinct().count() == searching.postings_index(spark, DATA).count() > 50_000
+    before = shuffled(spark)
+    searching.postings_index(spark, DATA).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark) - before < 100 * spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_postings_of_ids_that_several_rows_share_are_summed(spark, tmp_path):
+    few = [(1, "The  the\u00a0end. Caf\u00e9 CAF\u00c9", "en", "a"), (1, "the end of the end", "en", "a"), (2, None, "fr", None), (None, "la la", "es", "b"), (None, "la", "es", "b"), (3, "", None, "b"), (4, "x " * 50 + "the", "en", "the"), (5, "\u2003- \u2014 -\u3000", "en", "c")]
+    spark.createDataFrame(few, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.sql(f"SELECT term, field, id, tf FROM ({searching.ORACLES['postings_index']})").fetchall()
+    got = searching.postings_index(spark, f"file://{tmp_path}").select("term", "field", "id", "tf").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and ("the", "content", 1, 4) in want
+    alone = spark.createDataFrame(few[5:6], "doc_id long, text string, lang string, source string")
+    assert [tuple(r) for r in index.entries(searching.articles(alone)).collect()] == [("b", "author", 3, 1)]
+    assert index.entries(searching.articles(alone.limit(0))).collect() == []
+
+
+def test_blank_and_ink_are_white_space_and_its_opposite(spark):
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([("".join(chars[i : i + 4096]),) for i in range(0, len(chars), 4096)], "s string")
+    for one, other in ((text.WS, text._BLANK), ("[^" + text.WS[1:], text._INK)):
+        kept = [F.regexp_replace("s", c, "") for c in (one, other)]
+        assert rows.where(kept[0] != kept[1]).count() == 0 and rows.where(kept[0] != F.col("s")).count() > 0
+
+
 def test_words_of_documents_that_stay_are_not_moved(spark, tmp_path, monkeypatch):
     """Where ids are too many to be broadcast, only rows that die or have a hash like theirs are shuffled with their words."""
     rows, path = searching.articles(spark.read.parquet(f"{DATA}/documents.parquet")), f"file://{tmp_path}/moved"
